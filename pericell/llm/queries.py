@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, secret_scan, tokens
+from . import media, mixing, neardup, packing, quality, secret_scan, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(documents(spark, sf_dir, "doc_id", "text"))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.repetition(documents(spark, sf_dir, "doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -47,7 +56,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_token_counts, op8_quality_rules, op9_secret_scan, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op8_quality_rules, op9_secret_scan, op10_media_columns)}
 
 MIX_SQL = r"""
 WITH sized AS (
