@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, secret_scan, tokens
+from . import media, mixing, neardup, packing, quality, secret_scan, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.dedup_all(documents(spark, sf_dir, "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir, "doc_id", "text")).drop("text")
 
@@ -56,7 +61,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op8_quality_rules, op9_secret_scan, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns)}
 
 MIX_SQL = r"""
 WITH sized AS (
