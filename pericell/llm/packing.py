@@ -20,6 +20,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,11 +41,11 @@ RANKS = 40  # bits for a piece's number among those of its length
 
 @lru_cache(2)
 def encoder(name: str) -> Chunks:
-    return Chunks(name, lambda ids: np.array(ids, "<u4").tobytes())
+    return Chunks(name, lambda ids: array("I", ids).tobytes())
 
 
 def encoded(texts: list[str | None], name: str, span_chars: int = 1 << 16) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text."""
+    """Unsigned 32-bit ids of each text, little-endian as the machines here are."""
     spans, owners = [], []
     for i, text in enumerate(texts):
         for span in cut(text or "", span_chars):

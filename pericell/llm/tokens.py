@@ -28,7 +28,12 @@ from pyspark.sql import functions as F
 SPACE = r" \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
-PLAIN = re.compile(r" ?[A-Za-z]+").fullmatch
+# Texts of ASCII and Latin letters: for those the library's split into pre-tokens is written out here, and the
+# distinct pre-tokens go to its model. Chunks of other texts go to the library as they are.
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+SIMPLE = re.compile(rf"[\x00-\x7f{LATIN}]+").fullmatch
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \t-\r0-9{LATIN}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+PROBE = " a probe's text, I'll say:\n\n  \tna\xefve 12ab (x) \x00\x7f\x1c!!  \u0159e\n"
 REMEMBER = 600_000
 
 
@@ -61,34 +66,54 @@ def cut(text: str, most: int) -> Iterator[str]:
     yield text[lo:]
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others in order from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class Chunks:
-    """Remembers what ``value`` makes of each distinct chunk's ids."""
+    """Remembers what ``value`` makes of each distinct chunk's or pre-token's ids."""
 
     def __init__(self, name: str, value: Callable):
         self.library, self.value, self.known = tokenizer(name), value, {}
-        plain = self.library.encode(" a", add_special_tokens=False).tokens
-        # In a byte-level vocabulary a run of ASCII letters is one pre-token, and a space is written as U+0120.
-        self.direct = plain == ["Ġa"]
-        self.model = self.library.model
-
-    def learn(self, chunks: set[str]) -> None:
-        rest = []
-        for c in chunks:
-            if self.direct and PLAIN(c):
-                self.known[c] = self.value([t.id for t in self.model.tokenize(c.replace(" ", "Ġ"))])
-            else:
-                rest.append(c)
-        for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        self.model, self.letters = self.library.model, byte_letters()
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        try:
+            ids = [i for p in PRE_TOKEN.findall(PROBE) for i in self._ids(p)]
+        except Exception:  # a model without bytes as letters
+            ids = None
+        self.direct = ids == self.library.encode(PROBE, add_special_tokens=False).ids
+
+    def _ids(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+
+    def of(self, texts: list[str]) -> list[list]:
+        """For each text what its parts stand for, in order. New parts of all texts go to the library together."""
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        parts, values, pre_tokens, chunks = [], [], set(), set()
+        for text in texts:
+            simple = self.direct and SIMPLE(text) and not self.added(text)
+            own = (PRE_TOKEN if simple else CHUNK).findall(text)
+            found = list(map(self.known.get, own))
+            if None in found:
+                (pre_tokens if simple else chunks).update(c for c, v in zip(own, found, strict=True) if v is None)
+            parts.append(own)
+            values.append(found)
+        for p in pre_tokens:
+            self.known[p] = self.value(self._ids(p))
+        chunks = list(chunks)
+        for c, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.known[c] = self.value(e.ids)
-
-    def of(self, texts: list[str]) -> list[Iterator]:
-        parts = [CHUNK.findall(t) for t in texts]
-        new = set(chain.from_iterable(parts)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = {}
-            new = set(chain.from_iterable(parts))
-        self.learn(new)
-        return [map(self.known.__getitem__, p) for p in parts]
+        for own, found in zip(parts, values, strict=True):
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self.known[own[at]]
+        return values
 
 
 @lru_cache(4)
