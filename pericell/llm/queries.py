@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, secret_scan, substring, tokens
+from . import katz, media, mixing, neardup, packing, quality, secret_scan, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -61,7 +65,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_near_dedup, op3_best_fit_packing, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns)}
 
 MIX_SQL = r"""
 WITH sized AS (

@@ -6,6 +6,7 @@ again, so a lost executor costs no recomputation and the files are seen by all.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,9 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a written table."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the shuffle files of finished jobs, which nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
