@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = SEPARATOR.copy()
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -83,13 +85,14 @@ class Words:
 
     start, end: byte spans; doc: for each text, the number of its first word
     (one more entry than texts). ``hash(seed)`` gives 64-bit word fingerprints.
+    ``punctuation``: ASCII punctuation separates words as well.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, punctuation: bool = False):
         self.data, self.at = raw(column)
         if lower:
             self.data = LOWER[self.data]
-        word = ~SEPARATOR[self.data]
+        word = ~(PUNCTUATION if punctuation else SEPARATOR)[self.data]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
@@ -101,13 +104,23 @@ class Words:
         self.doc = np.searchsorted(self.start, self.at)
         self.n = np.diff(self.doc)
 
-    def hash(self, seed: int = 1) -> np.ndarray:
-        table, mult, inverse = byte_table(seed)
-        sums = np.empty(len(self.data) + 1, U64)
-        sums[0] = 0
-        np.cumsum(table[self.data] * powers(mult, len(self.data)), out=sums[1:])
-        out = (sums[self.end] - sums[self.start]) * powers(inverse, len(self.data))[self.start]
-        return mix64(out + (self.end - self.start).astype(U64) * U64(0x9E3779B97F4A7C15))
+    def sums(self, seed: int) -> np.ndarray:
+        table, mult, _ = byte_table(seed)
+        out = np.empty(len(self.data) + 1, U64)
+        out[0] = 0
+        np.cumsum(table[self.data] * powers(mult, len(self.data)), out=out[1:])
+        return out
+
+    def hash(self, seed: int = 1, *, prefixes: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
+        """Fingerprints of the words; with ``prefixes`` also of their first bytes, for each of these lengths."""
+        inverse, sums = byte_table(seed)[2], self.sums(seed)
+        back = powers(inverse, len(self.data))[self.start]
+        out = []
+        for length in (None, *prefixes):
+            end = self.end if length is None else np.minimum(self.end, self.start + length)
+            value = (sums[end] - sums[self.start]) * back
+            out.append(mix64(value + (end - self.start).astype(U64) * U64(0x9E3779B97F4A7C15)))
+        return out if prefixes else out[0]
 
     def owner(self) -> np.ndarray:
         """For each word, the number of its text."""
