@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pericell.llm import mixing, quality, secret_scan, store
+from pericell.llm import mixing, neardup, packing, quality, secret_scan, store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +13,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return neardup.deduplicated(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts."""
-    return secret_scan.redacted(docs)
+    """Secrets are cut out of the texts; n_chars follows."""
+    clean = secret_scan.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in clean.columns else clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +29,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans), ("source mix", source_mix)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their ids and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("source mix", source_mix),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: The stages include operators that SQL can't express.
 ORACLE_SQL = None
