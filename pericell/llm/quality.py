@@ -31,10 +31,10 @@ STOP_WORDS = (
 RULES = [
     ("n_words", 50, None),
     ("mean_word_chars", 1.5, 25.0),
-    ("symbol_ratio", None, 0.5),
+    ("symbol_ratio", None, 0.1),
     ("stop_ratio", 0.005, None),
     ("repeat_ratio", None, 0.5),
-    ("dup_line_ratio", None, 0.7),
+    ("dup_line_ratio", None, 0.5),
     ("bullet_line_ratio", None, 0.95),
     ("ellipsis_line_ratio", None, 0.5),
 ]
