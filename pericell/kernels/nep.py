@@ -1,0 +1,280 @@
+"""Energies, forces, virials and parameter gradients by NumPy, from pairs.
+
+E_i = w1 . tanh(W0 (q_i scaler) - b0) - b1 (+ screened repulsion). Every pair
+has g = dE/dr; F_i += g, F_j -= g and V_j[ab] -= r_a g_b.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+
+from ..functions import tables
+from ..model import Model
+
+
+def chebyshev(d: np.ndarray, rc: float, basis: int) -> tuple[np.ndarray, np.ndarray]:
+    """f_k and their slopes, [k, pair]."""
+    x, dx = 2 * (d / rc - 1) ** 2 - 1, 4 * (d / rc - 1) / rc
+    fc, dfc = 0.5 * np.cos(np.pi * d / rc) + 0.5, -0.5 * np.pi / rc * np.sin(np.pi * d / rc)
+    t = [np.ones_like(x), x]
+    dt = [np.zeros_like(x), np.ones_like(x)]
+    while len(t) <= basis:
+        dt.append(2 * t[-1] + 2 * x * dt[-1] - dt[-2])
+        t.append(2 * x * t[-1] - t[-2])
+    t, dt = np.array(t[: basis + 1]), np.array(dt[: basis + 1])
+    return 0.5 * (t + 1) * fc, 0.5 * dt * dx * fc + 0.5 * (t + 1) * dfc
+
+
+def scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values [..., pair] by index: [..., n]."""
+    flat = values.reshape(-1, values.shape[-1])
+    return np.stack([np.bincount(index, row, n) for row in flat]).reshape(*values.shape[:-1], n) if len(flat) else np.zeros((*values.shape[:-1], n))
+
+
+@lru_cache(None)
+def terms(l_max: int, channels: tuple[str, ...]) -> list[list[tuple[float, tuple[int, ...]]]]:
+    """Each invariant of one n as monomials of moments: (coefficient, places)."""
+    out = []
+    for order in range(1, l_max + 1):
+        own = [(k, m) for k, (o, m, _) in enumerate(tables.moments(l_max)) if o == order]
+        out.append([((2 if m else 1) * tables.three_body_weight(order, m), (k, k)) for k, m in own])
+    for c in channels:
+        if c == "1111":
+            a, b, g = tables.c5b()
+            plane = [(1, 1), (2, 2)]
+            out.append([(a, (0, 0, 0, 0)), *((b, (0, 0, *p)) for p in plane), *((g, (*p, *q)) for p in plane for q in plane)])
+        else:
+            out.append(list(tables.cubic(c)))
+    return out
+
+
+def evaluate(polynomials, s: np.ndarray) -> np.ndarray:
+    """[invariant, n, atom] from s [n, moment, atom]."""
+    out = np.zeros((len(polynomials), s.shape[0], s.shape[2]))
+    for q, poly in enumerate(polynomials):
+        for c, places in poly:
+            value = c * s[:, places[0]]
+            for p in places[1:]:
+                value = value * s[:, p]
+            out[q] += value
+    return out
+
+
+def pull_back(polynomials, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """sum_q weight[q] dq/ds: [n, moment, atom]; every monomial gives each of its factors the product of the others."""
+    out = np.zeros_like(s)
+    for q, poly in enumerate(polynomials):
+        for c, places in poly:
+            for at, p in enumerate(places):
+                value = c * weight[q]
+                for other in (*places[:at], *places[at + 1 :]):
+                    value = value * s[:, other]
+                out[:, p] += value
+    return out
+
+
+def push_forward_back(polynomials, s: np.ndarray, ds: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Derivative of pull_back along ds: the Hessians of the invariants, weighted, times ds."""
+    out = np.zeros_like(s)
+    for q, poly in enumerate(polynomials):
+        for c, places in poly:
+            for at, p in enumerate(places):
+                rest = (*places[:at], *places[at + 1 :])
+                for k, moved in enumerate(rest):
+                    value = c * weight[q] * ds[:, moved]
+                    for other in (*rest[:k], *rest[k + 1 :]):
+                        value = value * s[:, other]
+                    out[:, p] += value
+    return out
+
+
+@dataclass
+class Batch:
+    """Atoms of frames end to end, and their pairs."""
+
+    type: np.ndarray
+    frame: np.ndarray  # of each atom
+    i: np.ndarray
+    j: np.ndarray
+    r: np.ndarray  # pair, 3
+
+    @property
+    def n(self) -> int:
+        return len(self.type)
+
+
+class State:
+    """Everything of a forward pass that the gradients need again."""
+
+    def __init__(self, model: Model, batch: Batch):
+        s = model.shape
+        self.model, self.batch = model, batch
+        self.d = np.linalg.norm(batch.r, axis=1)
+        self.u = batch.r / self.d[:, None]
+        self.ti, self.tj = batch.type[batch.i], batch.type[batch.j]
+        self.near_r = np.flatnonzero(self.d < s.cutoff_radial)
+        self.near_a = np.flatnonzero(self.d < s.cutoff_angular)
+        self.fr, self.dfr = chebyshev(self.d[self.near_r], s.cutoff_radial, s.basis_radial)
+        self.gr, self.dgr = self._contract(model.c2, self.near_r, self.fr), self._contract(model.c2, self.near_r, self.dfr)
+        q = [scatter(batch.i[self.near_r], self.gr, batch.n)]
+        if s.l_max:
+            self.fa, self.dfa = chebyshev(self.d[self.near_a], s.cutoff_angular, s.basis_angular)
+            self.ga, self.dga = self._contract(model.c3, self.near_a, self.fa), self._contract(model.c3, self.near_a, self.dfa)
+            unit = self.u[self.near_a].T
+            self.y, grad = tables.moment_values(*unit, s.l_max), tables.moment_gradients(*unit, s.l_max)
+            # of the polynomial taken on the unit sphere, by r
+            self.dy = (grad - unit * np.einsum("kap,ap->kp", grad, unit)[:, None]) / self.d[self.near_a]
+            self.s = scatter(batch.i[self.near_a], self.ga[:, None] * self.y, batch.n)
+            self.polynomials = terms(s.l_max, s.channels)
+            q.append(evaluate(self.polynomials, self.s).reshape(-1, batch.n))
+        self.q = np.concatenate(q)  # dim, atom
+        self.x = self.q * model.q_scaler[:, None]
+        self.h = np.empty((s.neuron, batch.n))
+        for t in range(len(s.types)):
+            own = batch.type == t
+            self.h[:, own] = np.tanh(model.w0[t] @ self.x[:, own] - model.b0[t][:, None])
+        self.energy = np.einsum("an,na->a", model.w1[batch.type], self.h) - model.b1
+        self.zbl, self.zbl_slope = self._zbl()
+
+    def _contract(self, c: np.ndarray, near: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """[n, pair]; one product for each pair of types."""
+        out = np.empty((c.shape[2], len(near)))
+        for a in range(c.shape[0]):
+            for b in range(c.shape[1]):
+                own = (self.ti[near] == a) & (self.tj[near] == b)
+                if own.any():
+                    out[:, own] = c[a, b] @ f[:, own]
+        return out
+
+    def _zbl(self) -> tuple[np.ndarray, np.ndarray]:
+        s = self.model.shape
+        if not s.zbl:
+            return np.zeros(self.batch.n), np.zeros(0)
+        near, z = self.near_a, np.array(s.numbers, float)
+        zi, zj, d = z[self.ti[near]], z[self.tj[near]], self.d[near]
+        inner, outer = np.full(len(near), s.zbl[0]), np.full(len(near), s.zbl[1])
+        if s.zbl_factor:
+            radius = np.array([tables.COVALENT_RADIUS[k - 1] for k in s.numbers])
+            outer = np.minimum((radius[self.ti[near]] + radius[self.tj[near]]) * s.zbl_factor, s.zbl[1])
+            inner = np.zeros(len(near))
+        a = (zi**tables.ZBL_POWER + zj**tables.ZBL_POWER) * tables.ZBL_LENGTH
+        phi = sum(p * np.exp(-e * a * d) for p, e in tables.ZBL_TERMS)
+        dphi = sum(-p * e * a * np.exp(-e * a * d) for p, e in tables.ZBL_TERMS)
+        t = (d - inner) / (outer - inner)
+        inside = (t > 0) & (t < 1)
+        fc = 0.5 * np.cos(np.pi * np.clip(t, 0, 1)) + 0.5
+        dfc = np.where(inside, -0.5 * np.pi * np.sin(np.pi * np.clip(t, 0, 1)) / (outer - inner), 0)
+        k = tables.COULOMB * zi * zj
+        e, de = k * phi / d * fc, k * ((dphi / d - phi / d**2) * fc + phi / d * dfc)
+        return scatter(self.batch.i[near], 0.5 * e, self.batch.n), 0.5 * de
+
+    def slopes(self) -> np.ndarray:
+        """dE/dq, scaler included: [dim, atom]."""
+        m = self.model
+        inner = m.w1[self.batch.type].T * (1 - self.h**2)
+        out = np.empty_like(self.q)
+        for t in range(len(m.shape.types)):
+            own = self.batch.type == t
+            out[:, own] = m.w0[t].T @ inner[:, own]
+        return out * m.q_scaler[:, None]
+
+    def pair_gradients(self, parts: bool = False):
+        """g = dE/dr of every pair; with ``parts`` of the net and the repulsion apart."""
+        s, b = self.model.shape, self.batch
+        fp = self.slopes()
+        n_r = s.n_max_radial + 1
+        g = np.zeros_like(b.r)
+        size = (fp[:n_r, b.i[self.near_r]] * self.dgr).sum(0)
+        g[self.near_r] += size[:, None] * self.u[self.near_r]
+        if s.l_max:
+            w = pull_back(self.polynomials, self.s, fp[n_r:].reshape(len(self.polynomials), -1, b.n))[:, :, b.i[self.near_a]]
+            along = np.einsum("nkp,np,kp->p", w, self.dga, self.y)
+            across = np.einsum("nkp,np,kap->pa", w, self.ga, self.dy)
+            g[self.near_a] += along[:, None] * self.u[self.near_a] + across
+        z = np.zeros_like(b.r)
+        if s.zbl:
+            z[self.near_a] += self.zbl_slope[:, None] * self.u[self.near_a]
+        return (g, z) if parts else g + z
+
+    def forces(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """F [atom, 3] and V [atom, 9]."""
+        b = self.batch
+        f = scatter(b.i, g.T, b.n) - scatter(b.j, g.T, b.n)
+        v = -scatter(b.j, np.einsum("pa,pb->abp", b.r, g).reshape(9, -1), b.n)
+        return f.T, v.T
+
+    def gradient(self, on_energy: np.ndarray, on_force: np.ndarray, on_virial: np.ndarray) -> dict[str, np.ndarray]:
+        """Of a loss by parameters, given its derivatives by atom energies [atom], forces [atom, 3] and
+        the virial of each atom's frame [atom, 9].
+
+        sum(A . F) + sum(B : V) = sum over pairs of u . g with u = A_i - A_j - B^T r, the derivative
+        of the energy along u. So one forward derivative along u and one reverse pass are enough.
+        """
+        m, s, b = self.model, self.model.shape, self.batch
+        n_r, n_types = s.n_max_radial + 1, len(s.types)
+        turn = on_virial[b.j].reshape(-1, 3, 3)
+        u = on_force[b.i] - on_force[b.j] - np.einsum("pab,pa->pb", turn, b.r)
+        along = (u * self.u).sum(1)
+        # descriptors along u
+        dq = [scatter(b.i[self.near_r], self.dgr * along[self.near_r], b.n)]
+        if s.l_max:
+            near = self.near_a
+            dy = np.einsum("kap,pa->kp", self.dy, u[near])
+            ds = scatter(b.i[near], self.dga[:, None] * along[near] * self.y + self.ga[:, None] * dy, b.n)
+            slope = np.zeros((len(self.polynomials), *ds[:, 0].shape))
+            for q, poly in enumerate(self.polynomials):
+                slope[q] = (pull_back([poly], self.s, np.ones((1, *ds[:, 0].shape))) * ds).sum(1)
+            dq.append(slope.reshape(-1, b.n))
+        dx = np.concatenate(dq) * m.q_scaler[:, None]
+        out = {k: np.zeros_like(np.asarray(getattr(m, k), float)) for k in m.NAMES}
+        on_x, on_dx = np.empty_like(self.x), np.empty_like(self.x)
+        for t in range(n_types):
+            own = b.type == t
+            x, h, moved, e = self.x[:, own], self.h[:, own], dx[:, own], on_energy[own]
+            w0, w1 = m.w0[t], m.w1[t][:, None]
+            da = w0 @ moved
+            slope = 1 - h**2
+            # value: e * w1.h + w1.(slope * da)
+            on_a = w1 * (slope * e - 2 * h * slope * da)
+            on_da = w1 * slope
+            out["w1"][t] = (h * e + slope * da).sum(1)
+            out["b0"][t] = -on_a.sum(1)
+            out["w0"][t] = on_a @ x.T + on_da @ moved.T
+            on_x[:, own], on_dx[:, own] = w0.T @ on_a, w0.T @ on_da
+        out["b1"] = np.array(-on_energy.sum())
+        on_q, on_dq = on_x * m.q_scaler[:, None], on_dx * m.q_scaler[:, None]
+        i = b.i[self.near_r]
+        self._to_coefficients(out["c2"], self.near_r, on_q[:n_r, i], self.fr, on_dq[:n_r, i] * along[self.near_r], self.dfr)
+        if s.l_max:
+            size = (len(self.polynomials), -1, b.n)
+            a, c = on_q[n_r:].reshape(size), on_dq[n_r:].reshape(size)
+            on_s = pull_back(self.polynomials, self.s, a) + push_forward_back(self.polynomials, self.s, ds, c)
+            on_ds = pull_back(self.polynomials, self.s, c)
+            i = b.i[near]
+            on_g = np.einsum("nkp,kp->np", on_s[:, :, i], self.y) + np.einsum("nkp,kp->np", on_ds[:, :, i], dy)
+            on_dg = np.einsum("nkp,kp->np", on_ds[:, :, i], self.y) * along[near]
+            self._to_coefficients(out["c3"], near, on_g, self.fa, on_dg, self.dfa)
+        return out
+
+    def _to_coefficients(self, out, near, on_g, f, on_dg, df) -> None:
+        for a in range(out.shape[0]):
+            for b in range(out.shape[1]):
+                own = (self.ti[near] == a) & (self.tj[near] == b)
+                if own.any():
+                    out[a, b] += on_g[:, own] @ f[:, own].T + on_dg[:, own] @ df[:, own].T
+
+
+def compute(model: Model, batch: Batch, components: bool = False) -> dict[str, np.ndarray]:
+    """energy [atom], forces [atom, 3], virial [atom, 9], descriptor [atom, dim]; with ``components`` net and repulsion apart too."""
+    state = State(model, batch)
+    net, zbl = state.pair_gradients(parts=True)
+    f, v = state.forces(net + zbl)
+    out = {"energy": state.energy + state.zbl, "forces": f, "virial": v, "descriptor": state.x.T}
+    if components:
+        for name, e, g in (("net", state.energy, net), ("zbl", state.zbl, zbl)):
+            out[f"energy_{name}"] = e
+            out[f"forces_{name}"], out[f"virial_{name}"] = state.forces(g)
+    return out
