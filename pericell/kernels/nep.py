@@ -30,8 +30,10 @@ def chebyshev(d: np.ndarray, rc: float, basis: int) -> tuple[np.ndarray, np.ndar
 
 def scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of values [..., pair] by index: [..., n]."""
-    flat = values.reshape(-1, values.shape[-1])
-    return np.stack([np.bincount(index, row, n) for row in flat]).reshape(*values.shape[:-1], n) if len(flat) else np.zeros((*values.shape[:-1], n))
+    if not values.size:
+        return np.zeros((*values.shape[:-1], n))
+    rows = values.reshape(-1, values.shape[-1])
+    return np.stack([np.bincount(index, row, n) for row in rows]).reshape(*values.shape[:-1], n)
 
 
 @lru_cache(None)

@@ -530,3 +530,77 @@ def v2_epoch_batches(spark, sf_dir):
 @query("SELECT o_orderkey AS frame_id, CAST(('0x' || substr(md5('0:' || o_orderkey), 1, 8)) AS BIGINT) % 16 AS shard FROM orders")
 def v3_shards(spark, sf_dir):
     return S.shard(frames(spark, sf_dir).select("frame_id"), 16)
+
+
+# models, files
+
+
+def small_model():
+    import warnings
+
+    from ..model import Model, Shape
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        shape = Shape(("A", "N", "R"), RC, RA, N_RADIAL - 1, N_ANGULAR - 1, BASIS, BASIS, 2, ("222",), 4)
+    model = Model.random(shape, 0)
+    model.c2, model.c3 = C2, C3
+    n, k = np.meshgrid(np.arange(4), np.arange(shape.dim), indexing="ij")
+    model.w0 = np.stack([((n * 7 + k * 3 + t) % 11 - 5) / 50.0 for t in range(NT)])
+    model.b0, model.w1 = np.tile([0.1, -0.2, 0.3, 0.0], (NT, 1)), np.tile([0.5, -1.0, 0.25, 0.75], (NT, 1))
+    model.b1 = B1
+    return model
+
+
+def model_sql() -> str:
+    """Energy of an atom for small_model, from r and s."""
+    q = [f"q_{n}" for n in range(N_RADIAL)]
+    q += [f"({three_body_sql(n)[f'q{order}_{n}']})" for order in (1, 2) for n in range(N_ANGULAR)]
+    q += [f"({X.q_cubic([f's_{n}_{k}' for k in range(8)], '222')})" for n in range(N_ANGULAR)]
+    parts = []
+    for n, (w, b) in enumerate(zip(("0.5e0", "(-1e0)", "0.25e0", "0.75e0"), ("0.1e0", "-0.2e0", "0.3e0", "0e0"), strict=True)):
+        inner = " + ".join(f"(((({n * 7 + k * 3}) + type) % 11 - 5) / 5e1) * {e}" for k, e in enumerate(q))
+        parts.append(f"{w} * tanh({inner} - ({b}))")
+    return f"({' + '.join(parts)} - 0.125e0)"
+
+
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, count(*) AS natoms, round(sum({model_sql()}), 6) AS energy FROM r JOIN s USING (frame_id, atom_id) GROUP BY 1")
+def m14_predict(spark, sf_dir):
+    """Whole pipeline by the NumPy kernel on Arrow batches of frames."""
+    from ..predict import predict_atoms, predict_frames
+
+    per_atom = predict_atoms(atoms(spark, sf_dir), frames(spark, sf_dir), small_model())
+    return predict_frames(per_atom, frames(spark, sf_dir)).select("frame_id", "natoms", F.round("e_pred", 6).alias("energy"))
+
+
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, round({model_sql()}, 6) AS energy FROM r JOIN s USING (frame_id, atom_id)")
+def m19_predict_large(spark, sf_dir):
+    """The same energies by columns and grouped sums, for frames too large for one task."""
+    from ..predict import predict_large
+
+    return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), small_model()))
+
+
+@query("WITH e AS (SELECT o_orderkey AS frame_id, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1e4 END, -1e6) AS ref FROM orders) SELECT frame_id, round(ref, 6) AS ref FROM e")
+def k3_missing_sentinel(spark, sf_dir):
+    return rounded(frames(spark, sf_dir).select("frame_id", F.coalesce("energy", F.lit(tables.MISSING_VIRIAL)).alias("ref")))
+
+
+@query(f"WITH {ATOMS_SQL} SELECT frame_id, atom_id, species, x, y, z FROM atoms")
+def s1_extxyz_round_trip(spark, sf_dir):
+    """Every frame written as extended XYZ text and read back."""
+    import tempfile
+    import uuid
+
+    from ..sources import extxyz
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/xyz-{uuid.uuid4().hex}"
+    extxyz.write_xyz(atoms(spark, sf_dir).drop("fx", "fy", "fz"), frames(spark, sf_dir), path)
+    return extxyz.to_atoms(extxyz.read_blocks(spark, path)).select("frame_id", "atom_id", "species", "x", "y", "z")
+
+
+@query()
+def m1_params(spark, sf_dir):
+    """A model's parameters as a table."""
+    return small_model().params(spark)

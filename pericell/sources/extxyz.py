@@ -187,7 +187,7 @@ def read_blocks(spark: SparkSession, path: str, energy_key: str = "energy") -> D
                     at += n + 2
             yield pd.DataFrame(rows, columns=["frame_id", "natoms", "cell", "energy", "virial", "species", "pos", "forces", "block"])
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(parse, SCHEMA)
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, SCHEMA)
 
 
 def to_atoms(read: DataFrame) -> DataFrame:
