@@ -57,3 +57,39 @@ def _binned(home: np.ndarray, frac: np.ndarray, cell: np.ndarray, bins: np.ndarr
         j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[other], n)]
         out.append((i, j, home[j] - home[i] + (shift @ cell)[i]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def many_pairs(xyz: np.ndarray, starts: np.ndarray, cells: np.ndarray, cutoff: float, small: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of frames end to end: frame k has the atoms from starts[k] on, cells is [frame, 3, 3].
+
+    Small frames of one size and reach are searched together, larger ones one by one.
+    """
+    n = np.diff(np.append(starts, len(xyz)))
+    inverse = np.linalg.inv(cells) if len(cells) else cells
+    reach = np.ceil(cutoff * np.linalg.norm(inverse, axis=1)).astype(int) if len(cells) else np.zeros((0, 3), int)
+    out = []
+    kinds, which = np.unique(np.column_stack([n, reach]), axis=0, return_inverse=True) if len(n) else (np.zeros((0, 4), int), np.zeros(0, int))
+    for k, (size, *steps) in enumerate(kinds.tolist()):
+        own = np.flatnonzero(which.ravel() == k)
+        if size > small or size * size * np.prod([2 * s + 1 for s in steps]) > 200_000:
+            for f in own:
+                i, j, r = frame_pairs(xyz[starts[f] : starts[f] + size], cells[f], cutoff)
+                out.append((i + starts[f], j + starts[f], r))
+            continue
+        shifts = np.stack(np.meshgrid(*[np.arange(-s, s + 1) for s in steps], indexing="ij"), -1).reshape(-1, 3)
+        block = max(1, 1_000_000 // max(1, size * size * len(shifts)))
+        for lo in range(0, len(own), block):
+            f = own[lo : lo + block]
+            at = starts[f][:, None] + np.arange(size)
+            home = xyz[at]
+            whole = np.floor(home @ inverse[f])
+            home = home - whole @ cells[f]
+            r = home[:, None, :, None] - home[:, :, None, None] + (shifts @ cells[f])[:, None, None]
+            square = np.einsum("fijsa,fijsa->fijs", r, r)
+            a, i, j, s = np.nonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
+            out.append((at[a, i], at[a, j], r[a, i, j, s]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3))
+    i, j, r = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order], r[order]

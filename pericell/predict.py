@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
 from .kernels.nep import Batch, compute
-from .kernels.pairs import frame_pairs
+from .kernels.pairs import many_pairs
 from .model import Model
 from .operators import sampling
 
@@ -24,14 +24,10 @@ V = [f"v{k}" for k in range(9)]
 SIX = ("xx", "yy", "zz", "xy", "yz", "zx")
 
 
-def as_batch(frame: np.ndarray, types: np.ndarray, xyz: np.ndarray, cells: dict[int, np.ndarray], cutoff: float) -> Batch:
-    """Atoms sorted by frame to one batch."""
+def as_batch(frame: np.ndarray, types: np.ndarray, xyz: np.ndarray, cells: np.ndarray, cutoff: float) -> Batch:
+    """Atoms sorted by frame to one batch; cells: [frame, 3, 3] in the same order."""
     first = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1)) if len(frame) else np.zeros(0, int)
-    parts = []
-    for lo, hi in zip(first, np.append(first[1:], len(frame)), strict=True):
-        i, j, r = frame_pairs(xyz[lo:hi], cells[int(frame[lo])], cutoff)
-        parts.append((i + lo, j + lo, r))
-    i, j, r = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3)))
+    i, j, r = many_pairs(xyz, first, cells, cutoff)
     return Batch(types, np.searchsorted(first, np.arange(len(frame)), "right") - 1, i, j, r)
 
 
@@ -59,7 +55,7 @@ def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, groups: int
                 cuts.append(int(e))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             where = edge[(edge >= lo) & (edge < hi)]
-            cells = {int(frame[k]): np.array(table.column("cell")[int(k)].as_py()) for k in where}
+            cells = np.array(table.column("cell").take(pa.array(where)).to_pylist()).reshape(-1, 3, 3)
             result = compute(shared.value, as_batch(frame[lo:hi], kind[lo:hi], xyz[lo:hi], cells, cutoff))
             columns = [frame[lo:hi], atom[lo:hi], result["energy"], *result["forces"].T, *result["virial"].T]
             arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
@@ -171,7 +167,7 @@ class Calculator:
         if not periodic:
             cell = np.diag(np.ptp(positions, axis=0) + 4 * cutoff + 1)
         kinds = np.array([s.types.index(x) for x in species])
-        batch = as_batch(np.zeros(len(kinds), np.int64), kinds, positions, {0: np.asarray(cell, float)}, cutoff)
+        batch = as_batch(np.zeros(len(kinds), np.int64), kinds, positions, np.reshape(np.asarray(cell, float), (1, 3, 3)), cutoff)
         found = compute(self.model, batch, components)
         out = {"energy": float(found["energy"].sum()), "energies": found["energy"], "forces": found["forces"], "virial": found["virial"].sum(0)}
         if periodic:

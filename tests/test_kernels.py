@@ -159,3 +159,16 @@ def test_slim():
     assert np.allclose(compute(m, batch(xyz, one))["energy"], compute(small, batch(xyz, 0 * one))["energy"])
     with pytest.raises(ValueError):
         m.slim(["Xx"])
+
+
+def test_many_frames_together():
+    from pericell.kernels.pairs import many_pairs
+
+    rng = np.random.default_rng(2)
+    sizes = [3, 1, 3, 40, 5, 3]
+    cells = np.array([np.diag(rng.uniform(3, 9, 3)) + rng.uniform(0, 0.5, (3, 3)) for _ in sizes])
+    xyz, starts = rng.uniform(-4, 12, (sum(sizes), 3)), np.cumsum([0, *sizes[:-1]])
+    i, j, r = many_pairs(xyz, starts, cells, 5.0)
+    want = [frame_pairs(xyz[a : a + n], c, 5.0) for a, n, c in zip(starts, sizes, cells, strict=True)]
+    key = lambda i, j, r: sorted((a, b, *np.round(v, 7)) for a, b, v in zip(i.tolist(), j.tolist(), r.tolist(), strict=True))
+    assert key(i, j, r) == key(*(np.concatenate(x) for x in zip(*((p[0] + a, p[1] + a, p[2]) for p, a in zip(want, starts, strict=True)), strict=True)))
