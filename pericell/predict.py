@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
-from .kernels.nep import Batch, compute
+from .kernels.potential import Batch, compute
 from .kernels.pairs import many_pairs
 from .model import Model
 from .operators import sampling

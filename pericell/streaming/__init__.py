@@ -1 +1,20 @@
+"""Frames that arrive as files: running descriptor ranges, from which the scaler follows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def frame_stream(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 16) -> DataFrame:
+    """Parquet files of atoms or descriptors, as they come."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+
+
+def running_ranges(stream: DataFrame, names: list[str]) -> DataFrame:
+    """One row, kept up to date (complete mode): least and most of each component, and the number of rows."""
+    return stream.groupBy().agg(F.count(F.lit(1)).alias("n"), *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("min", F.min), ("max", F.max))])
+
+
+def scaler_of(ranges: DataFrame, names: list[str]) -> DataFrame:
+    return ranges.select(*[(1.0 / F.greatest(F.col(f"max_{n}") - F.col(f"min_{n}"), F.lit(1e-10))).alias(n) for n in names])

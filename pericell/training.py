@@ -1,6 +1,6 @@
 """Fitting a model: an optimizer on the driver around gradient passes over labelled frames.
 
-Gradients are analytic (kernels.nep.State.gradient). Sets of up to
+Gradients are analytic (kernels.potential.State.gradient). Sets of up to
 ``local_atoms`` atoms are kept on the driver, where small steps cost no job;
 larger ones stay in Spark, one job a step: groups of frames give partial sums and
 partial gradients, whose sizes are fixed by the model. Losses divide by counts of
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3
-from .kernels.nep import Batch, State
+from .kernels.potential import Batch, State
 from .kernels.pairs import frame_pairs
 from .model import Model, load_model
 from .operators import sampling

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pericell.functions import tables
-from pericell.kernels.nep import Batch, State, chebyshev, compute
+from pericell.kernels.potential import Batch, State, chebyshev, compute
 from pericell.kernels.pairs import frame_pairs
 from pericell.model import Model, Shape, load_model, parse_l_max, save_model
 

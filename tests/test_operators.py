@@ -57,7 +57,7 @@ def test_half_list_mirrored(data):
 
 
 def test_columns_agree_with_kernel(spark, data):
-    from pericell.kernels.nep import Batch, compute
+    from pericell.kernels.potential import Batch, compute
     from pericell.model import Model, Shape
     from pericell.predict import predict_atoms, predict_large
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from pericell import training as T
-from pericell.kernels.nep import compute
+from pericell.kernels.potential import compute
 from pericell.model import Model, load_model
 from pericell.predict import Calculator, predict_dataset
 from pericell.sources.config import parse_config
