@@ -165,7 +165,7 @@ class Chain:
         place[columns] = np.arange(len(columns))
         index = place[index]
         extra = length[:, None]
-        fold = np.arange(n) % self.folds
+        fold = np.random.default_rng(0).permutation(n) % self.folds
         for k in range(len(self.categories)):
             y, out = labels[:, k].astype(float), np.zeros(n)
             for f in range(self.folds):
