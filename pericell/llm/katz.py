@@ -87,21 +87,26 @@ def bucket_of(contexts: np.ndarray, words: np.ndarray, order: int, buckets: int)
     return (mix64(contexts if order > 1 else words) >> U64(32)).astype(np.int64) % buckets
 
 
-def ranked(contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (context, word); where distinct contexts and distinct pairs begin in it."""
-    order = np.lexsort((words, contexts))
-    c, w = contexts[order], words[order]
-    fresh = np.ones(len(c), bool)
-    fresh[1:] = c[1:] != c[:-1]
-    pair = fresh.copy()
-    pair[1:] |= w[1:] != w[:-1]
-    return order, np.flatnonzero(fresh), np.flatnonzero(pair)
-
-
 def pair_key(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix64(contexts * STEP + words)
 
 
+def distinct(contexts: np.ndarray, words: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of all pairs that puts equal ones together, where each distinct pair begins in it, how often
+    it occurs, and its bucket. Distinct pairs come by bucket and context. ``buckets`` 0: one bucket."""
+    key = pair_key(contexts, words) if order > 1 else words
+    sort = np.argsort(key)
+    key = key[sort]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(np.append(first, len(sort)))
+    one = sort[first]
+    c, w = contexts[one], words[one]
+    to = bucket_of(c, w, order, buckets) if buckets else np.zeros(len(one), np.int64)
+    inner = c if order > 1 else w
+    by = np.argsort((to.astype(U64) << U64(56)) | inner) if buckets <= 256 else np.lexsort((inner, to))
+    return sort, first[by], times[by], to[by]
+
+
 class Table:
     """A bucket's counts: contexts (ascending), lower contexts, tokens after each, and the counts."""
 
@@ -197,7 +202,7 @@ class KatzModel:
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text", 16 << 20):
+                for batch in slices(whole, "text"):
                     t = Tokens(batch)
                     train = ~is_held_out(t.ids)[t.owner]
                     words, contexts = t.token[train], t.contexts(order)[train]
@@ -313,12 +318,11 @@ class KatzModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text", 16 << 20):
+                for batch in slices(whole, "text"):
                     t = Tokens(batch)
                     if len(t.token):
                         lower = t.contexts(order - 1) if order > 2 else np.zeros(len(t.token), U64)
-                        weight = np.full(len(t.token), order == top)
-                        yield from _gram_rows(t.contexts(order), lower, t.token, t.owner, weight, t.ids, t.tags, order, buckets)
+                        yield from _gram_rows(t.contexts(order), lower, t.token, t.owner, order == top, t.ids, t.tags, order, buckets)
 
         return run
 
@@ -337,48 +341,62 @@ class KatzModel:
             if ALPHAS in kinds:
                 alphas = np.log10(np.frombuffer(col["scores"][kinds.index(ALPHAS)], "<f8"))
             batches = []
-            for i, kind in enumerate(kinds):
-                if kind != GRAMS:
-                    continue
-                g = Grams(*(col[c][i] for c in ("contexts", "lower", "follow", "words", "times", "docs", "owners", "scores")))
-                contexts = g.contexts[g.row]
-                at = t.find(contexts, g.words) if t is not None else np.full(len(g.words), -1)
-                seen = at >= 0
-                value = np.zeros(len(g.words))
-                value[seen] = log_p[at[seen]]
-                base = known = None
-                if order == 1:
-                    value[~seen] = np.log10(unknown)
-                    counts = np.zeros(len(g.words), np.int64)
-                    counts[seen] = t.counts[at[seen]] if t is not None else 0
-                    base = np.log10((counts + 1) / (good.n + good.types + 1))
-                    known = (counts > 0).astype(np.float64)
-                elif alphas is not None and not seen.all():
-                    rest = np.flatnonzero(~seen)
-                    row = t.find_context(contexts[rest])
-                    value[rest] = np.where(row >= 0, alphas[row], 0.0)
-                each = np.repeat(np.arange(len(g.words)), g.times)  # one for each token
-                batches.append(_partial_sums(g, each, value, base, known, order == top, buckets))
-                if order > 1 and not seen.all():
-                    tokens = np.flatnonzero(~seen[each])
-                    gram = each[tokens]
-                    lower = g.lower[g.row][gram]
-                    batches += list(_gram_rows(lower, np.zeros(len(lower), U64), g.words[gram], g.owners[tokens], np.ones(len(gram), bool), g.ids, g.tags, order - 1, buckets))
+            rows = [[col[c][i] for c in ("contexts", "lower", "follow", "words", "times", "docs", "owners", "scores")] for i, kind in enumerate(kinds) if kind == GRAMS]
+            for weight in (b"1", b"0"):
+                mine = [r for r in rows if r[-1] == weight]
+                for lo, hi in _portions([len(r[6]) // 4 for r in mine], TOKENS_A_BUCKET):
+                    g = Grams(mine[lo:hi])
+                    at = t.find(g.contexts, g.words) if t is not None else np.full(len(g.words), -1)
+                    seen = at >= 0
+                    value = np.zeros(len(g.words))
+                    value[seen] = log_p[at[seen]] if t is not None else 0.0
+                    base = known = None
+                    if order == 1:
+                        value[~seen] = np.log10(unknown)
+                        if weight == b"0" or top == 1:  # rows of all tokens of their texts
+                            counts = np.zeros(len(g.words), np.int64)
+                            counts[seen] = t.counts[at[seen]] if t is not None else 0
+                            base = np.log10((counts + 1) / (good.n + good.types + 1))
+                            known = (counts > 0).astype(np.float64)
+                    elif alphas is not None and not seen.all():
+                        rest = np.flatnonzero(~seen)
+                        row = t.find_context(g.contexts[rest])
+                        value[rest] = np.where(row >= 0, alphas[row], 0.0)
+                    batches.append(_partial_sums(g, value if weight == b"1" else None, base, known, buckets))
+                    if order > 1 and not seen.all():
+                        each = np.repeat(np.arange(len(g.words)), g.times)
+                        tokens = np.flatnonzero(~seen[each])
+                        gram = each[tokens]
+                        batches += list(_gram_rows(g.lower[gram], np.zeros(len(gram), U64), g.words[gram], g.owners[tokens], True, g.ids, g.tags, order - 1, buckets))
             return pa.Table.from_batches(batches, schema=_arrow_schema(SCORE_ROW))
 
         return look_up
 
 
 class Grams:
-    """Distinct n-grams with the texts of their tokens; weight: whether a text's tokens add to its score."""
-
-    def __init__(self, contexts: bytes, lower: bytes, follow: bytes, words: bytes, times: bytes, docs: bytes, owners: bytes, scores: bytes):
-        self.contexts, self.lower = from_bytes(contexts, WIDE), from_bytes(lower, WIDE)
-        self.row = np.repeat(np.arange(len(self.contexts)), from_bytes(follow, 4).astype(np.int64))
-        self.words, self.times = from_bytes(words, WIDE), from_bytes(times, 4).astype(np.int64)
-        self.ids, self.tags, self.n_rows = unpack_docs(docs)
-        self.owners = from_bytes(owners, 4).astype(np.int64)
-        self.weight = scores == b"1"
+    """Rows of distinct n-grams put together: pairs with their lower contexts, how often each occurs, the text of each token."""
+
+    def __init__(self, rows: list[list[bytes]]):
+        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+        base = 0
+        for contexts, lower, follow, words, times, docs, owners, _ in rows:
+            n = from_bytes(follow, 4).astype(np.int64)
+            ids, tags, _ = unpack_docs(docs)
+            own = (np.repeat(from_bytes(contexts, WIDE), n), np.repeat(from_bytes(lower, WIDE), n), from_bytes(words, WIDE), from_bytes(times, 4).astype(np.int64), ids, tags, from_bytes(owners, 4).astype(np.int64) + base)
+            for part, x in zip(parts, own, strict=True):
+                part.append(x)
+            base += len(ids)
+        self.contexts, self.lower, self.words, self.times, self.ids, self.tags, self.owners = (np.concatenate(p) for p in parts)
+
+
+def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about ``most`` tokens."""
+    lo, size = 0, 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= most or k == len(sizes) - 1:
+            yield lo, k + 1
+            lo, size = k + 1, 0
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
@@ -403,71 +421,77 @@ def _seen_mass(good: Discounts):
 
 def _count_rows(contexts, lower, words, counts, order: int, buckets: int, bucket: int = 0) -> Iterator[pa.RecordBatch]:
     """Summed counts as one row per bucket; ``buckets`` 0: all of this ``bucket``, with counts of counts."""
-    order_, _, pair = ranked(contexts, words)
-    counts = np.add.reduceat(counts[order_], pair)
-    own = order_[pair]
+    sort, first, times, to = distinct(contexts, words, order, buckets)
+    sums = np.concatenate([[0], np.cumsum(counts[sort])])
+    counts, own = sums[first + times] - sums[first], sort[first]
     contexts, lower, words = contexts[own], lower[own], words[own]
-    to = bucket_of(contexts, words, order, buckets) if buckets else np.full(len(own), bucket)
-    chosen = np.argsort(to, kind="stable")
     out: dict[str, list] = {k: [] for k in ("bucket", "contexts", "lower", "follow", "words", "counts", "stats")}
-    for b, lo, n in zip(*_runs(to[chosen]), strict=True):
-        i = chosen[lo : lo + n]
+    for b, lo, n in zip(*_runs(to), strict=True):
+        i = slice(lo, lo + n)
         c = contexts[i]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        out["bucket"].append(int(b))
-        out["contexts"].append(to_bytes(c[first], WIDE))
-        out["lower"].append(to_bytes(lower[i][first], WIDE))
-        out["follow"].append(to_bytes(np.diff(np.append(first, n)).astype(U64), 4))
+        begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        out["bucket"].append(int(b) if buckets else bucket)
+        out["contexts"].append(to_bytes(c[begin], WIDE))
+        out["lower"].append(to_bytes(lower[i][begin], WIDE))
+        out["follow"].append(to_bytes(np.diff(np.append(begin, n)).astype(U64), 4))
         out["words"].append(to_bytes(words[i], WIDE))
         out["counts"].append(to_bytes(counts[i].astype(U64), 5))
         out["stats"].append(None if buckets else [*(int((counts == r).sum()) for r in range(1, 7)), len(counts), int(counts.sum())])
     yield _as_batch(out, COUNT_ROW)
 
 
-def _gram_rows(contexts, lower, words, owner, weight, ids, tags, order: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    to = bucket_of(contexts, words, order, buckets)
+def _gram_rows(contexts, lower, words, owner, weight: bool, ids, tags, order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    sort, first, times, to = distinct(contexts, words, order, buckets)
+    tokens = sort[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)]
+    own, owner = sort[first], owner[tokens]
+    contexts, lower, words = contexts[own], lower[own], words[own]
+    ends = np.concatenate([[0], np.cumsum(times)])
     out: dict[str, list] = {k: [] for k in ("bucket", "kind", "contexts", "lower", "follow", "words", "times", "docs", "owners", "scores")}
-    sort = np.lexsort((owner, words, contexts, to)) if order > 1 else np.lexsort((owner, words, to))
-    contexts, lower, words, owner, to = contexts[sort], lower[sort], words[sort], owner[sort], to[sort]
     for b, lo, n in zip(*_runs(to), strict=True):
         i = slice(lo, lo + n)
-        c, w, o = contexts[i], words[i], owner[i]
-        fresh = np.concatenate([[True], c[1:] != c[:-1]])
-        pair = np.flatnonzero(fresh | np.concatenate([[True], w[1:] != w[:-1]]))
-        texts, place = np.unique(o, return_inverse=True)
-        first = np.flatnonzero(fresh)
+        c, o = contexts[i], owner[ends[lo] : ends[lo + n]]
+        begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        here = np.bincount(o, minlength=len(ids))
+        texts = np.flatnonzero(here)
+        place = np.zeros(len(ids), np.int64)
+        place[texts] = np.arange(len(texts))
         out["bucket"].append(int(b))
         out["kind"].append(GRAMS)
-        out["contexts"].append(to_bytes(c[first], WIDE))
-        out["lower"].append(to_bytes(lower[i][first], WIDE))
-        out["follow"].append(to_bytes(np.diff(np.append(np.flatnonzero(fresh[pair]), len(pair))).astype(U64), 4))
-        out["words"].append(to_bytes(w[pair], WIDE))
-        out["times"].append(to_bytes(np.diff(np.append(pair, n)).astype(U64), 4))
-        out["docs"].append(pack_docs(ids[texts], tags[texts], np.bincount(place)))
-        out["owners"].append(to_bytes(place.astype(U64), 4))
-        out["scores"].append(b"1" if weight[0] else b"0")
+        out["contexts"].append(to_bytes(c[begin], WIDE))
+        out["lower"].append(to_bytes(lower[i][begin], WIDE))
+        out["follow"].append(to_bytes(np.diff(np.append(begin, n)).astype(U64), 4))
+        out["words"].append(to_bytes(words[i], WIDE))
+        out["times"].append(to_bytes(times[i].astype(U64), 4))
+        out["docs"].append(pack_docs(ids[texts], tags[texts], here[texts]))
+        out["owners"].append(to_bytes(place[o].astype(U64), 4))
+        out["scores"].append(b"1" if weight else b"0")
     yield _as_batch(out, SCORE_ROW)
 
 
-def _partial_sums(g: Grams, each, value, base, known, top: bool, buckets: int) -> pa.RecordBatch:
-    """Sums over each text of the row, dealt by text. kind COUNTS marks them; at order 1 the base rows also count tokens."""
-    n = len(g.ids)
-    scores = np.bincount(g.owners, value[each], n) if g.weight else np.zeros(n)
-    whole = base is not None and (top or not g.weight)  # the row that stands for all tokens of its texts
-    sums = np.stack([scores, np.bincount(g.owners, base[each], n) if whole else np.zeros(n)])
-    seen = np.bincount(g.owners, known[each], n) if whole else np.zeros(n)
-    tokens = np.bincount(g.owners, minlength=n) if whole else np.zeros(n, np.int64)
-    ends = np.bincount(g.owners[g.words[each] == END], minlength=n) if whole else np.zeros(n, np.int64)
-    to = g.ids % buckets
-    chosen = np.argsort(to, kind="stable")
+def _partial_sums(g: Grams, value, base, known, buckets: int) -> pa.RecordBatch:
+    """Sums over each text of the rows, dealt by text; kind COUNTS marks them. With ``base`` the rows stand for all tokens."""
+    each, n = np.repeat(np.arange(len(g.words)), g.times), len(g.ids)
+    score = np.bincount(g.owners, value[each], n) if value is not None else np.zeros(n)
+    whole = base is not None
+    sums = np.stack([score, np.bincount(g.owners, base[each], n) if whole else np.zeros(n)])
+    none = np.zeros(n, np.int64)
+    seen = np.bincount(g.owners, known[each], n) if whole else none
+    tokens = np.bincount(g.owners, minlength=n) if whole else none
+    ends = np.bincount(g.owners[g.words[each] == END], minlength=n) if whole else none
+    # a text may come in several rows: one entry for each
+    order = np.lexsort((g.tags, g.ids, g.ids % buckets))
+    ids, tags = g.ids[order], g.tags[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(tags) != 0)]))
+    add = lambda x: np.add.reduceat(x[..., order], first, axis=-1)
+    sums, seen, tokens, ends, ids, tags = add(sums), add(seen), add(tokens), add(ends), ids[first], tags[first]
     out: dict[str, list] = {k: [] for k in ("bucket", "kind", "docs", "times", "scores", "known", "tokens")}
-    for b, lo, k in zip(*_runs(to[chosen]), strict=True):
-        own = chosen[lo : lo + k]
+    for b, lo, k in zip(*_runs((ids % buckets).astype(np.int64)), strict=True):
+        own = slice(lo, lo + k)
         out["bucket"].append(int(b))
         out["kind"].append(COUNTS)
-        out["docs"].append(pack_docs(g.ids[own], g.tags[own], np.ones(k, np.int64)))
+        out["docs"].append(pack_docs(ids[own], tags[own], np.ones(k, np.int64)))
         out["times"].append(to_bytes(ends[own].astype(U64), 4))
-        out["scores"].append(sums[:, own].astype("<f8").tobytes())
+        out["scores"].append(np.ascontiguousarray(sums[:, own]).astype("<f8").tobytes())
         out["known"].append(to_bytes(seen[own].astype(U64), 4))
         out["tokens"].append(to_bytes(tokens[own].astype(U64), 4))
     return _as_batch(out, SCORE_ROW)
@@ -496,7 +520,7 @@ def scored(docs: DataFrame, order: int = 2, buckets: int | None = None) -> DataF
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     if buckets is None:
-        size, buckets = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 64
+        size, buckets = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 8
         while buckets * TOKENS_A_BUCKET * 6 < size:  # about 6 bytes a word
             buckets *= 2
     return KatzModel(spark, order, buckets).fit(given).score(given)
