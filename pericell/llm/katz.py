@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, release
+from .store import drop, new_path, release
 from .substring import NO_ID, _runs, from_bytes, pack_docs, to_bytes, unpack_docs
 from .words import U64, Words, mix64, slices
 
@@ -168,10 +168,10 @@ class Discounts:
 class KatzModel:
     """Tables in the shared folder: counts of each order, backoff weights of each order above 1."""
 
-    def __init__(self, spark, order: int = 2, buckets: int = 64):
+    def __init__(self, spark, order: int = 2, buckets: int = 64, passes: int = 4):
         if order not in (1, 2, 3):  # an n-gram handed down carries its next context only
             raise ValueError("order is 1, 2 or 3")
-        self.spark, self.order, self.buckets = spark, order, buckets
+        self.spark, self.order, self.buckets, self.passes = spark, order, buckets, passes
         self.counts: dict[int, str] = {}
         self.alphas: dict[int, str] = {}
         self.good: dict[int, Discounts] = {}
@@ -284,16 +284,23 @@ class KatzModel:
         """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
         parts, handed = [], []
         for order in range(self.order, 0, -1):
-            path = new_path(self.spark, f"scores_{order}")
-            rows = docs.mapInArrow(self._grams(order), SCORE_ROW) if order in (self.order, 1) else None
-            for more in handed:
-                rows = more if rows is None else rows.unionByName(more)
-            rows = rows.unionByName(self._tables(order)).repartition(self.buckets, "bucket")
-            rows.groupBy("bucket").applyInArrow(self._look_up(order), SCORE_ROW).write.option("compression", "zstd").parquet(path)
-            out = self.spark.read.schema(SCORE_ROW).parquet(path)
-            handed = [out.where(F.col("kind") == GRAMS)]
-            parts.append(out.where(F.col("kind") == COUNTS))
-            release(self.spark)
+            # all tokens go through the highest order, in passes over parts of the texts, each of which
+            # frees its shuffle before the next; at order 1 what is left and the words alone
+            passes = self.passes if order == self.order > 1 else 1
+            outs = []
+            for k in range(passes):
+                path = new_path(self.spark, f"scores_{order}")
+                some = docs.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k) if passes > 1 else docs
+                rows = some.mapInArrow(self._grams(order), SCORE_ROW) if order in (self.order, 1) else None
+                for more in handed:
+                    rows = more if rows is None else rows.unionByName(more)
+                rows = rows.unionByName(self._tables(order)).repartition(self.buckets, "bucket")
+                rows.groupBy("bucket").applyInArrow(self._look_up(order), SCORE_ROW).write.option("compression", "zstd").parquet(path)
+                outs.append(self.spark.read.schema(SCORE_ROW).parquet(path))
+                del rows
+                release(self.spark)
+            handed = [out.where(F.col("kind") == GRAMS) for out in outs]
+            parts += [out.where(F.col("kind") == COUNTS) for out in outs]
         sums = parts[0]
         for p in parts[1:]:
             sums = sums.unionByName(p)
@@ -303,6 +310,11 @@ class KatzModel:
         rows = rows.withColumn("_row", each).withColumn("train_tokens", F.lit(good.n).cast("long"))
         return rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+    def drop(self) -> None:
+        """Delete the tables; scores that were asked for before stay readable."""
+        for path in (*self.counts.values(), *self.alphas.values()):
+            drop(self.spark, path)
+
     def _tables(self, order: int) -> DataFrame:
         none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
         read = self.spark.read.parquet(self.counts[order])
@@ -523,4 +535,7 @@ def scored(docs: DataFrame, order: int = 2, buckets: int | None = None) -> DataF
         size, buckets = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 8
         while buckets * TOKENS_A_BUCKET * 6 < size:  # about 6 bytes a word
             buckets *= 2
-    return KatzModel(spark, order, buckets).fit(given).score(given)
+    model = KatzModel(spark, order, buckets).fit(given)
+    out = model.score(given)
+    model.drop()
+    return out
