@@ -16,8 +16,10 @@ FLOOR, and its size does not grow.
    with the same members are one.
 3. In each group weighted Jaccard similarities are computed; texts that reach
    ``threshold`` are joined, and a pair already joined is not compared. Groups of
-   more than ``chunk`` texts are split; the same few pivots stand in every part,
-   and what no pivot reached goes through again with others, until nothing is left.
+   more than ``chunk`` texts are split, and the same few pivots stand in every part.
+   That joins most of a group; then its texts are dealt into blocks by the component
+   they are in so far, and all pairs of blocks are compared but those within one
+   component, so that no pair of two components is left out.
 4. Components of the verified links are the classes.
 
 Equal word sequences are one text from the start, so copies cost one text. A
@@ -166,6 +168,48 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarra
     return shared / (a[2] + b[2] - shared)
 
 
+def unpacked(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and times of each text."""
+    out = []
+    for body, often in zip(table.column("ids").to_pylist(), table.column("often").to_pylist(), strict=True):
+        own = np.frombuffer(body, U64)
+        times = np.ones(len(own), np.float32)
+        at, more = np.frombuffer(often, "<u4").reshape(2, -1)
+        times[at] = more
+        out.append((own, times))
+    return out
+
+
+def reaching(a: list, b: list, weights: np.ndarray, threshold: float, columns: int = 2048) -> np.ndarray:
+    """[text of a, text of b]: whether the weighted Jaccard similarity reaches the threshold.
+
+    A shingle that a text holds t times is t columns, so shared weights are products of matrices.
+    """
+    keys, w = [], []
+    for ids, times in [*a, *b]:
+        n = times.astype(np.int64)
+        level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keys.append(mix64(np.repeat(ids, n) + level.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        w.append(np.repeat(weights[(ids % U64(COUNTERS)).astype(np.int64)], n).astype(np.float64))
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    w = np.concatenate(w)
+    total = np.bincount(owner, w, len(keys))
+    column = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    first = owner < len(a)
+    common = (np.bincount(column[first], minlength=column.max() + 1) > 0) & (np.bincount(column[~first], minlength=column.max() + 1) > 0)
+    keep = np.flatnonzero(common[column])
+    keep = keep[np.argsort(column[keep], kind="stable")]
+    owner, w, first, column = owner[keep], w[keep], first[keep], (np.cumsum(common) - 1)[column[keep]]
+    shared = np.zeros((len(a), len(b)))
+    for lo in range(0, int(common.sum()), columns):
+        at, to = np.searchsorted(column, [lo, lo + columns])
+        x, y, f = np.zeros((len(a), columns)), np.zeros((len(b), columns)), first[at:to]
+        x[owner[at:to][f], column[at:to][f] - lo] = w[at:to][f]
+        y[owner[at:to][~f] - len(a), column[at:to][~f] - lo] = 1
+        shared += x @ y.T
+    return shared / (total[: len(a), None] + total[len(a) :] - shared) >= threshold
+
+
 def join_up(texts: list[tuple[np.ndarray, np.ndarray, float]], threshold: float) -> list[int]:
     """For each text the first of its class; pairs of one class already are not compared."""
     root = list(range(len(texts)))
@@ -238,39 +282,75 @@ def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, ch
         table = table.sort_by([("pivot", "descending"), ("text_id", "ascending")])
         ids = np.array(table.column("text_id"), np.int64)
         texts = []
-        for body, often in zip(table.column("ids").to_pylist(), table.column("often").to_pylist(), strict=True):
-            own = np.frombuffer(body, U64)
-            times = np.ones(len(own), np.float32)
-            at, more = np.frombuffer(often, "<u4").reshape(2, -1)
-            times[at] = more
+        for own, times in unpacked(table):
             w = times * weights.value[(own % U64(COUNTERS)).astype(np.int64)]
             texts.append((own, w, float(w.sum(dtype=np.float64))))
-        first = join_up(texts, threshold)
-        pivot, parts = np.array(table.column("pivot")), np.array(table.column("parts"), np.int64)
-        reached = {first[i] for i in np.flatnonzero(pivot)}
-        left = [bool(parts[i] > 1 and not pivot[i] and first[i] not in reached) for i in range(len(ids))]
-        return pa.table({"grp": pa.array([key[0].as_py()] * len(ids), pa.int64()), "a": ids, "b": ids[np.array(first, np.int64)], "left": left})
+        return pa.table({"a": ids, "b": ids[np.array(join_up(texts, threshold), np.int64)]})
 
     spark = given.sparkSession
     few = groups.count() <= BROADCAST_ROWS
     wanted = groups.select("text_id").distinct()
     bodies = given.mapInArrow(shingles, "text_id bigint, ids binary, often binary").join(F.broadcast(wanted) if few else wanted, "text_id")
     bodies = written(bodies.dropDuplicates(["text_id"]), "shingles")
-    out = None
-    for turn in range(1 << 30):
-        parts = F.ceil(F.col("size") / chunk).cast("int")
-        split = groups.withColumn("parts", parts).withColumn("pivot", (F.col("parts") > 1) & (F.pmod(F.xxhash64("text_id", F.lit(turn)), F.col("size")) < pivots))
-        own = F.array(F.pmod(F.xxhash64(F.lit(turn), "text_id"), F.col("parts")).cast("int"))
-        split = split.withColumn("part", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-        found = bodies.join(F.broadcast(split) if few else split, "text_id").select("grp", "part", "text_id", "ids", "often", "pivot", "parts")
-        found = written(found.groupBy("grp", "part").applyInArrow(verify, "grp bigint, a bigint, b bigint, left boolean"), "links")
-        links = found.where("a != b").select("a", "b")
-        out = links if out is None else out.union(links)
-        rest = found.where("left").select("grp", F.col("a").alias("text_id")).distinct()
-        if rest.isEmpty():
-            return out
-        groups = written(rest.join(rest.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp"), "groups")
-    raise AssertionError
+    parts = F.ceil(F.col("size") / chunk).cast("int")
+    split = groups.withColumn("parts", parts).withColumn("pivot", (F.col("parts") > 1) & (F.pmod(F.xxhash64("text_id", F.lit(0)), F.col("size")) < pivots))
+    own = F.array(F.pmod(F.xxhash64(F.lit(0), "text_id"), F.col("parts")).cast("int"))
+    split = split.withColumn("part", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    found = bodies.join(F.broadcast(split) if few else split, "text_id").select("grp", "part", "text_id", "ids", "often", "pivot")
+    links = written(found.groupBy("grp", "part").applyInArrow(verify, "a bigint, b bigint").where("a != b"), "links")
+    large = groups.where(F.col("size") > chunk).select("grp", "text_id")
+    if large.isEmpty():
+        return links
+    return _across(bodies, large, links, weights, threshold, max(chunk // 2, 1), few)
+
+
+def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, threshold: float, size: int, few: bool) -> DataFrame:
+    """``links``, and those between texts of a large group that are in different components of ``links``.
+
+    Components of ``size`` texts and more have blocks of their own, smaller ones share theirs.
+    """
+    roots = written(components(links), "roots")
+    now = large.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left")
+    now = written(now.select("grp", "text_id", F.coalesce("root", "text_id").alias("root")), "large")
+    known = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b")
+    per = now.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
+    unfinished = per.groupBy("grp").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("n") < size, F.col("n"))).alias("small")).where("classes > 1").drop("classes")
+    per = written(per.join(unfinished, "grp"), "components")
+    if per.isEmpty():
+        return known
+    pure = F.col("n") >= size
+    deal = F.pmod(F.xxhash64("text_id", F.lit(1)), F.ceil(F.when(pure, F.col("n")).otherwise(F.col("small")) / size))
+    block = F.struct(pure.alias("pure"), F.when(pure, F.col("root")).otherwise(0).alias("of"), deal.alias("k"))
+    dealt = written(now.join(F.broadcast(per) if few else per, ["grp", "root"]).select("grp", "text_id", "root", block.alias("block")), "blocks")
+    blocks = dealt.select("grp", "block").distinct()
+    both = blocks.select("grp", F.col("block").alias("x")).join(blocks.select("grp", F.col("block").alias("y")), "grp")
+    both = both.where("x <= y and not (x.pure and y.pure and x.of = y.of)").withColumn("task", F.xxhash64("x", "y"))
+    sides = both.select("grp", "task", F.col("x").alias("block"), F.lit(0).alias("side"))
+    sides = sides.union(both.where("x != y").select("grp", "task", F.col("y").alias("block"), F.lit(1).alias("side")))
+
+    def verify(key: tuple, table: pa.Table) -> pa.Table:
+        root, side = np.array(table.column("root"), np.int64), np.array(table.column("side"))
+        texts = unpacked(table)
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if side.any() else a
+        hits = reaching([texts[k] for k in a], [texts[k] for k in b], weights.value, threshold) & (root[a][:, None] != root[b])
+        pairs = np.unique(np.sort(np.stack([root[a][np.nonzero(hits)[0]], root[b][np.nonzero(hits)[1]]], axis=1), axis=1), axis=0)
+        above: dict[int, int] = {}
+        kept = []
+        for x, y in pairs.tolist():  # a spanning forest of the joined components
+            p, q = x, y
+            while p in above:
+                p = above[p]
+            while q in above:
+                q = above[q]
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                kept.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+
+    found = bodies.join(dealt.join(sides, ["grp", "block"]).select("grp", "task", "side", "text_id", "root"), "text_id")
+    more = found.groupBy("grp", "task").applyInArrow(verify, "a bigint, b bigint")
+    return known.union(written(more, "links"))
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:

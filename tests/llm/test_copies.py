@@ -86,6 +86,41 @@ def test_large_group_in_parts(spark):
     assert all(got[k] == 0 for k in range(151)) and all(got[k] == k for k in range(151, 171))
 
 
+def test_star_of_near_copies(spark):
+    """Copies of one base with edits of their own, hardly similar to each other, against all candidate pairs."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    base = [f"v{k}" for k in range(64)]
+    texts = [" ".join(base)]
+    for k in range(2000):
+        own = list(base)
+        own[rng.randrange(4, 60)] = f"x{k}"
+        if k % 10 == 0:
+            own[rng.randrange(4, 60)] = f"y{k}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    weights = neardup.idf(*neardup.counters(df))
+    s = neardup.Shingled(pa.array(texts))
+    keys = neardup.band_keys(s, weights, 10, 4)
+    grams, column = np.unique(s.ids, return_inverse=True)
+    held = np.zeros((len(texts), len(grams)))
+    held[np.repeat(np.arange(len(texts)), np.diff(s.at)), column] = 1
+    w = weights[(grams % np.uint64(neardup.COUNTERS)).astype(np.int64)].astype(float)
+    shared, total = (held * w) @ held.T, held @ w
+    linked = shared / (total[:, None] + total - shared) >= 0.8
+    linked &= np.any([keys[:, None, band] == keys[None, :, band] for band in range(10)], axis=0)
+    want = np.arange(len(texts))
+    while True:
+        least = np.where(linked, want, len(texts)).min(axis=1)
+        if np.array_equal(least, want):
+            break
+        want = least
+    assert 1 < len(set(want.tolist())) and (want == 0).sum() > 1500
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want.tolist()
+
+
 def test_samples_follow_weighted_similarity():
     """The share of equal samples of two texts is near their weighted Jaccard similarity."""
     import pyarrow as pa
