@@ -575,10 +575,10 @@ def m14_predict(spark, sf_dir):
 
 @query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, round({model_sql()}, 6) AS energy FROM r JOIN s USING (frame_id, atom_id)")
 def m19_predict_large(spark, sf_dir):
-    """The same energies by columns and grouped sums, for frames too large for one task."""
+    """The same energies by blocks of center atoms, for frames too large for one task."""
     from ..predict import predict_large
 
-    return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), small_model()))
+    return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), small_model()).select("frame_id", "atom_id", "energy"))
 
 
 @query("WITH e AS (SELECT o_orderkey AS frame_id, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1e4 END, -1e6) AS ref FROM orders) SELECT frame_id, round(ref, 6) AS ref FROM e")

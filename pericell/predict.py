@@ -2,8 +2,9 @@
 
 Frames are dealt by their id once; each group of frames is one call of the NumPy
 kernel on Arrow batches. Frames of ``tiled_from`` atoms and more are not gathered
-into one task: their pairs come from the distributed cell list, and the sums over
-pairs from grouped aggregation (``predict_large``).
+into one task: their pairs come from the distributed cell list, the kernel takes
+bounded blocks of center atoms with their pairs, and what a block gives to its
+atoms and their neighbors is summed by atom (``predict_large``).
 """
 
 from __future__ import annotations
@@ -79,23 +80,54 @@ def predict_frames(per_atom: DataFrame, frames: DataFrame) -> DataFrame:
     return out.select("frame_id", "natoms", "e_pred", *six, "volume", *stress)
 
 
-def predict_large(atoms: DataFrame, frames: DataFrame, model: Model) -> DataFrame:
-    """As predict_atoms, for frames too large for one task: pairs by the cell list, sums over pairs grouped by atom.
+def predict_large(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = 1024) -> DataFrame:
+    """As predict_atoms, for frames too large for one task: about ``block`` center atoms a call, of any frame, with all their pairs.
 
-    Radial and angular sums, then the slopes of each center, then forces: three shuffles by atom.
+    A center's energy and slopes need its own pairs only; forces and virials of a block are shares, added up by atom.
     """
-    from .operators import descriptors as D
     from .operators import neighbors as N
 
     s = model.shape
-    if s.zbl or (s.l_max and s.channels not in ((), ("222",))):
-        raise ValueError("this path takes three-body terms and q_222 without repulsion; use predict_atoms")
+    shared = atoms.sparkSession.sparkContext.broadcast(model)
     near = N.neighbor_pairs(atoms, frames, max(s.cutoff_radial, s.cutoff_angular))
-    q = D.descriptors(atoms, near, model.c2, model.c3, s.cutoff_radial, s.cutoff_angular, s.l_max, list(s.channels))
-    names = D.components(q)
-    scaled = q.select("frame_id", "atom_id", "type", *[(F.col(n) * F.lit(float(w))).alias(n) for n, w in zip(names, model.q_scaler, strict=True)])
-    weights = {t: (model.w0[t], model.b0[t], model.w1[t]) for t in range(len(s.types))}
-    return D.net(scaled, names, weights, model.b1).select("frame_id", "atom_id", "energy")
+    near = near.select("frame_id", "i", "j", "ti", "tj", "dx", "dy", "dz")
+    zero = [F.lit(0.0).alias(c) for c in ("dx", "dy", "dz")]
+    centers = atoms.select("frame_id", F.col("atom_id").alias("i"), F.lit(None).cast("bigint").alias("j"), F.col("type").alias("ti"), F.col("type").alias("tj"), *zero)
+    parts = max(1, -(-atoms.count() // block))
+    fields = ["energy", "fx", "fy", "fz", *V]
+    schema = f"frame_id bigint, atom_id bigint, {', '.join(f'{c} double' for c in fields)}, q array<double>"
+
+    def kernel(key: tuple, table: pa.Table) -> pa.Table:
+        pair = table.filter(table.column("j").is_valid())
+        center = table.filter(table.column("j").is_null())
+        name = lambda t, at: np.stack([t.column("frame_id").to_numpy(), t.column(at).to_numpy()], axis=1).astype(np.int64)
+        known, at = np.unique(np.concatenate([name(center, "i"), name(pair, "i"), name(pair, "j")]), axis=0, return_inverse=True)
+        own, i, j = np.split(at.ravel(), [len(center), len(center) + len(pair)])
+        kind = np.empty(len(known), np.int64)
+        kind[own] = center.column("ti").to_numpy()
+        kind[j] = pair.column("tj").to_numpy()
+        r = np.stack([pair.column(c).to_numpy() for c in ("dx", "dy", "dz")], axis=1)
+        result = compute(shared.value, Batch(kind, np.zeros(len(known), np.int64), i, j, r))
+        mine = np.zeros(len(known), bool)
+        mine[own] = True
+        columns = [*known.T, np.where(mine, result["energy"], 0.0), *result["forces"].T, *result["virial"].T]
+        arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
+        q = [row if m else None for row, m in zip(result["descriptor"], mine, strict=True)] if descriptor else [None] * len(known)
+        return pa.Table.from_arrays([*arrays, pa.array(q, pa.list_(pa.float64()))], ["frame_id", "atom_id", *fields, "q"])
+
+    dealt = centers.unionByName(near).withColumn("part", F.pmod(F.xxhash64("frame_id", "i"), F.lit(parts)))
+    shares = dealt.groupBy("part").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
+    out = shares.agg(*[F.sum(c).alias(c) for c in fields], F.first("q", ignorenulls=True).alias("q"))
+    return out if descriptor else out.drop("q")
+
+
+def predict_sized(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, tiled_from: int = 50_000) -> DataFrame:
+    """Frames of ``tiled_from`` atoms and more by predict_large, the others by predict_atoms."""
+    large = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tiled_from).select("frame_id").persist()
+    if large.isEmpty():
+        return predict_atoms(atoms, frames, model, descriptor=descriptor)
+    big, small = ([t.join(large, "frame_id", how) for t in (atoms, frames)] for how in ("left_semi", "left_anti"))
+    return predict_large(*big, model, descriptor).unionByName(predict_atoms(*small, model, descriptor=descriptor))
 
 
 def energy_table(per_frame: DataFrame, frames: DataFrame) -> DataFrame:
@@ -133,7 +165,7 @@ def write_table(df: DataFrame, path: str, parts: int = 8) -> None:
     df.select(*keys, shown.alias("value")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
 
 
-def predict_dataset(spark, model_file: str, xyz_file: str, out_dir: str, energy_key: str = "energy", output_descriptor: int = 0, suffix: str = "train") -> dict[str, DataFrame]:
+def predict_dataset(spark, model_file: str, xyz_file: str, out_dir: str, energy_key: str = "energy", output_descriptor: int = 0, suffix: str = "train", tiled_from: int = 50_000) -> dict[str, DataFrame]:
     """Reads a model and a file, writes energy, force, virial, stress (and descriptor) tables to ``out_dir``."""
     from .model import load_model
     from .sources.extxyz import read_xyz, to_atoms, to_frames
@@ -141,7 +173,7 @@ def predict_dataset(spark, model_file: str, xyz_file: str, out_dir: str, energy_
     model = load_model(model_file)
     read = read_xyz(spark, xyz_file, energy_key)
     frames, atoms = to_frames(read), sampling.type_ids(to_atoms(read), list(model.shape.types))
-    per_atom = predict_atoms(atoms, frames, model, descriptor=bool(output_descriptor)).persist()
+    per_atom = predict_sized(atoms, frames, model, bool(output_descriptor), tiled_from).persist()
     per_frame = predict_frames(per_atom, frames).persist()
     out = {"energy": energy_table(per_frame, frames), "force": force_table(per_atom, atoms), "virial": virial_table(per_frame, frames), "stress": virial_table(per_frame, frames, stress=True)}
     if output_descriptor:

@@ -80,6 +80,22 @@ def test_columns_agree_with_kernel(spark, data):
             assert np.allclose([spread[f, a].fx, spread[f, a].fy, spread[f, a].fz], out["forces"][a], atol=1e-9)
 
 
+def test_large_frames_give_forces_and_virials(spark, data):
+    """Frames in blocks of a few atoms, with repulsion and all channels, against whole frames."""
+    from pericell.functions import tables
+    from pericell.model import Model, Shape
+    from pericell.predict import predict_atoms, predict_large, predict_sized
+
+    model = Model.random(Shape(("Cr", "Ni"), 5.0, 4.0, 2, 1, 3, 3, 4, tables.CHANNELS, 5, (1.0, 2.5)), 2, uniform=True)
+    names = ["energy", "fx", "fy", "fz", *[f"v{k}" for k in range(9)]]
+    numbers = lambda df: {(r.frame_id, r.atom_id): [*(r[n] for n in names), *r.q] for r in df.collect()}
+    want = numbers(predict_atoms(data[0], data[1], model, descriptor=True))
+    for df in (predict_large(data[0], data[1], model, descriptor=True, block=8), predict_sized(data[0], data[1], model, descriptor=True, tiled_from=sorted(SIZES.values())[-2])):
+        got = numbers(df)
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], rtol=1e-8, atol=1e-8) for k in want)
+
+
 def test_unknown_species_raises(spark):
     df = spark.createDataFrame([("Pb",), ("Xx",)], "species string")
     with pytest.raises(Exception, match="unknown species"):
