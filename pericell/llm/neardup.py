@@ -236,9 +236,16 @@ def join_up(texts: list[tuple[np.ndarray, np.ndarray, float]], threshold: float)
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32) -> DataFrame:
     """id, class_id (the least id of the class), text_id: one row per document."""
+    of_text = _rooted(docs, id_col, text_col, threshold, bands, rows, chunk, pivots)
+    named = of_text.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
+    return of_text.join(named, "root", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("id"))).alias("class_id"), "text_id")
+
+
+def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32) -> DataFrame:
+    """id, mark (a hash of the text as given), text_id, root (one of each class; null without words): one row per document."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("mark"))
     weights = spark.sparkContext.broadcast(idf(*counters(given)))  # COUNTERS floats
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +254,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 s = Shingled(batch.column("text"))
                 keys = band_keys(s, weights.value, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s.text_id, mask=s.empty), lists], ["id", "text_id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(s.text_id, mask=s.empty), lists], ["id", "mark", "text_id", "keys"])
 
-    signed = written(given.mapInArrow(sign, f"id {kind}, text_id bigint, keys array<bigint>"), "signed")
+    signed = written(given.mapInArrow(sign, f"id {kind}, mark bigint, text_id bigint, keys array<bigint>"), "signed")
     texts = signed.where("text_id is not null").dropDuplicates(["text_id"])
     keyed = texts.select("text_id", F.posexplode("keys").alias("band", "key"))
     member = F.xxhash64("text_id")
@@ -258,10 +265,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     groups = groups.select("grp", "size", "at.band", "at.key")
     groups = written(keyed.join(groups, ["band", "key"]).select("grp", "text_id", "size"), "groups")
     links = components(_verified(given, groups, weights, threshold, chunk, pivots))
-    of_text = signed.select("id", "text_id").join(links.select(F.col("id").alias("text_id"), "root"), "text_id", "left")
-    of_text = of_text.withColumn("root", F.coalesce("root", "text_id"))
-    named = of_text.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
-    return of_text.join(named, "root", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("id"))).alias("class_id"), "text_id")
+    of_text = signed.select("id", "mark", "text_id").join(links.select(F.col("id").alias("text_id"), "root"), "text_id", "left")
+    return of_text.withColumn("root", F.coalesce("root", "text_id"))
 
 
 def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, chunk: int, pivots: int) -> DataFrame:
@@ -354,9 +359,11 @@ def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, thre
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """One document of each class stays, with its own columns: the least doc_id, and of repeated rows one."""
-    made = classes(docs, **parameters).where("doc_id <=> class_id")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    made = made.select(name.alias("_name")).distinct()
-    out = docs.withColumn("_name", name).withColumn("_text", F.xxhash64("text")).join(made, "_name")
-    return out.dropDuplicates(["_name", "_text"]).select(*docs.columns)
+    """One document of each class stays, with its own columns: the least doc_id (null last), of equal ids the least hash of the text, and of repeated rows one."""
+    made = _rooted(docs, **parameters)
+    least = made.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least"))
+    keys = least.select(F.col("least.id").alias("_id"), F.col("least.mark").alias("_mark"))
+    keys = keys.union(made.where("root is null").select("id", "mark").distinct())
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    out = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")))
+    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)

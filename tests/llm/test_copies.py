@@ -121,6 +121,26 @@ def test_star_of_near_copies(spark):
     assert [got[k] for k in range(len(texts))] == want.tolist()
 
 
+def test_one_of_each_class_stays(spark):
+    """Near copies with null ids, and one id on texts of different classes."""
+    rng = random.Random(8)
+    groups = []
+    for g in range(3):
+        base = [f"g{g}v{k}" for k in range(200)]
+        copies = [" ".join(base)]
+        for k in range(3):
+            own = list(base)
+            own[rng.randrange(200)] = f"x{k}"
+            copies.append(" ".join(own))
+        groups.append(copies)
+    ids = [[None] * 4, [5, 6, 5, None], [3, 5, 5, 5]]
+    given = [(i, t) for g, own in zip(groups, ids, strict=True) for i, t in zip(own, g, strict=True)]
+    df = spark.createDataFrame([*given, given[0], given[4], (7, ""), (8, None)], "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text) for r in neardup.deduplicated(df).collect()]
+    assert sorted([i for i, t in kept if t], key=str) == [3, 5, None] and (7, "") in kept and (8, None) in kept and len(kept) == 5
+    assert all(sum(t in g for _, t in kept) == 1 for g in groups)
+
+
 def test_samples_follow_weighted_similarity():
     """The share of equal samples of two texts is near their weighted Jaccard similarity."""
     import pyarrow as pa
