@@ -15,9 +15,11 @@ windows of documents added before. A batch of new documents is handled so:
    texts, read again, are cut by.
 
 Runs of a full level are compacted into one. Fingerprints of 56 bits and the
-bucket's bits (62 with 64 buckets) tell windows apart; more data takes more
-buckets, so bits grow with the data. Two different windows of 1.3e8 are taken
-for equal with probability 2e-3 in all.
+bucket's bits (62 with 64 buckets) tell windows apart. The hash of a window has
+64 bits in all, which 256 buckets use up: more buckets add none. Words are not
+compared. Two different windows of 1.3e8 are taken for equal with probability
+2e-3 in all; among 5e9 (about 30 GB, 2048 buckets) 0.7 such pairs are expected,
+n * n / 2 / 2**64, and each can cost a document up to ``size`` words.
 
 A null text has no words. A null id counts as larger than any; documents with
 one id are not repeats of each other. Repeated rows get the same result. An
