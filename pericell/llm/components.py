@@ -2,7 +2,9 @@
 
 Each round replaces links by links to the least neighbour; lineage is cut after
 each by a written table. Nothing is collected but one checksum a round. Hot nodes
-(a star with a large share of all links) are grouped with partial aggregation.
+(a star with a large share of all links) are grouped with partial aggregation, and
+the least neighbours are joined as a table of their own: sent whole while they are
+few, else by a sort-merge join, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -10,30 +12,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import drop, written
 
+BROADCAST_ROWS = 2_000_000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of two numbers a row, marked for broadcast while it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the larger neighbours to the least of the closed neighbourhood; and a table to drop later."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    out = both.where("b > a").join(small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return out.where("a != b").distinct(), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the smaller neighbours to the least of them, and of each node to its least."""
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = down.join(small(least), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every node of ``links`` (a, b: long); root is the least id of its component."""
-    now = written(links.select("a", "b").where("a != b").distinct(), "links")
-    seen = None
+    """(id, root) for every node of ``links`` (a, b: long), as a written table; root is the least id of its component.
+
+    A link of a node with itself is left out; repeated links count once. No links give no rows.
+    """
+    spark = links.sparkSession
+    now, seen = written(links.select("a", "b").where("a != b").distinct(), "links"), None
     while True:
-        now = written(_small_star(_large_star(now)), "links")
+        for star in (_large_star, _small_star):
+            moved, least = star(now)
+            moved = written(moved, "links")
+            drop(spark, least, now)
+            now = moved
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
             break
         seen = mark
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    out = written(now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b").distinct()), "components")
+    drop(spark, now)
+    return out

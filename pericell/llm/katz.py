@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, new_path, release
+from .store import drop, new_path, write
 from .substring import NO_ID, _runs, from_bytes, pack_docs, to_bytes, unpack_docs
 from .words import U64, Words, mix64, slices
 
@@ -186,7 +186,6 @@ class KatzModel:
             rows = self.spark.read.parquet(self.counts[order]).select(F.posexplode("stats").alias("i", "n"))
             sums = {r["i"]: r["n"] for r in rows.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # eight numbers
             self.good[order] = Discounts(order, [sums.get(i, 0) for i in range(8)])
-            release(self.spark)
         one = self.good[1]
         if one.n:
             seen = self.spark.read.parquet(self.counts[1]).mapInArrow(_seen_mass(one), "mass double").agg(F.sum("mass")).first()[0]
@@ -194,7 +193,6 @@ class KatzModel:
             assert 0 < self.unknown < 1
         for order in range(2, self.order + 1):
             self.alphas[order] = self._weights(order)
-            release(self.spark)
         return self
 
     def _count(self, docs: DataFrame, order: int) -> str:
@@ -220,8 +218,7 @@ class KatzModel:
 
         path = new_path(self.spark, f"counts_{order}")
         rows = docs.mapInArrow(grams, COUNT_ROW).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, COUNT_ROW)
-        rows.write.option("compression", "zstd").parquet(path)
-        return path
+        return write(rows, path)
 
     def _weights(self, order: int) -> str:
         """Backoff weights: sums of lower-order probabilities over the tokens after each context, asked for by bucket of the lower order."""
@@ -275,8 +272,7 @@ class KatzModel:
         tables = low.select("bucket", F.lit(COUNTS).alias("kind"), "contexts", "lower", "follow", "words", "counts", F.lit(None).cast("int").alias("origin"), F.lit(None).cast("binary").alias("refs"))
         asked = high.mapInArrow(request, ask).unionByName(tables).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "bucket int, refs binary, sums binary")
         rows = high.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(weigh, "bucket int, alphas binary")
-        rows.write.option("compression", "zstd").parquet(path)
-        return path
+        return write(rows, path)
 
     # scores
 
@@ -295,10 +291,8 @@ class KatzModel:
                 for more in handed:
                     rows = more if rows is None else rows.unionByName(more)
                 rows = rows.unionByName(self._tables(order)).repartition(self.buckets, "bucket")
-                rows.groupBy("bucket").applyInArrow(self._look_up(order), SCORE_ROW).write.option("compression", "zstd").parquet(path)
+                write(rows.groupBy("bucket").applyInArrow(self._look_up(order), SCORE_ROW), path)
                 outs.append(self.spark.read.schema(SCORE_ROW).parquet(path))
-                del rows
-                release(self.spark)
             handed = [out.where(F.col("kind") == GRAMS) for out in outs]
             parts += [out.where(F.col("kind") == COUNTS) for out in outs]
         sums = parts[0]

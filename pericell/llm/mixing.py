@@ -10,7 +10,10 @@ the fraction of the rate.
 
 A null text has 0 words and is never emitted more than its rate says. A null id
 is hashed as "null". Repeated rows draw alike. An empty table gives an empty one.
-Columns of the documents that have the names of added ones are replaced.
+Very long texts count by their words like others. Sources of equal cap / weight
+are taken by code point. ``repetition`` replaces columns of the documents that have
+the names of added ones (``ADDED``) and passes on all others, whatever their names;
+``mix`` passes on all columns with their own values.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
+from .words import unused
 
 BROADCAST_ROWS = 50_000
+ADDED = ("size", "source_size", "target", "rate", "copies")
 SEPARATORS = r"[\x20\x09-\x0D]"
 LETTERS = r"[^\x20\x09-\x0D]"
 
@@ -56,19 +61,20 @@ def draw(key: Column, seed: int) -> Column:
 
 def repetition(docs: DataFrame, seed: int = 42, most: int = 3) -> DataFrame:
     """The documents with size, source_size, target, rate and copies."""
-    added = ("size", "source_size", "target", "rate", "copies")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
-    sized = docs.withColumn("size", n_words(F.coalesce(F.col("text"), F.lit(""))))
-    per = written(rates(sized.select("source", "size"), most), "rates")
-    per = per.withColumnRenamed("source", "_source")
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    x = unused(docs.columns)
+    sized = docs.select(*own).withColumn("size", n_words(F.coalesce(F.col("text"), F.lit(""))))
+    per = written(rates(sized.select("source", "size"), most), "rates").withColumnRenamed("source", x)
     if per.count() <= BROADCAST_ROWS:  # one row per source; beyond, a shuffled join, whose hot sources AQE splits
         per = F.broadcast(per)
-    joined = sized.join(per, sized["source"].eqNullSafe(per["_source"]), "left").drop("_source")
+    joined = sized.join(per, sized["source"].eqNullSafe(per[x]), "left")
     whole = F.floor("rate").cast("long")
-    return joined.withColumn("copies", whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long"))
+    copies = whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
+    return joined.select(*own, "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 42, most: int = 3) -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns."""
-    plan = repetition(docs, seed, most).where("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    plan = repetition(packed, seed, most).where("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

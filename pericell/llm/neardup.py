@@ -1,30 +1,36 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-Five-word shingles weigh term frequency times a smoothed inverse document
-frequency, 1 + SPREAD * ln(1 / f) / ln(1 / FLOOR) with f the share of documents
-that hold the shingle, not below FLOOR. It is damped because copies count as
-documents: in a large group of copies the shared shingles are frequent and the
-changed ones rare, and an undamped weight would tear the group apart. Shares
-come from a table of 2**20 counters over all documents: its error is a fixed
-share of the corpus at any size (shingles per document / 2**20), far below
-FLOOR, and its size does not grow.
+Five-word shingles weigh term frequency times inverse document frequency, in the
+damped form 1 + SPREAD * ln(1 / f) / ln(1 / FLOOR) with f the share of documents that
+hold the shingle: 1 for one that all hold, 1.5 for rare ones. Damped, because in a
+large group of near copies the shared shingles are the frequent ones. Shares come from a table
+of COUNTERS counters over all documents, whose error is a fixed share of the corpus
+at any size (shingles of a text / COUNTERS, about FLOOR) and whose size does not
+grow. Equal texts count as one document between them: a text with n copies counts
+1 / n for each, n from a table of as many counters over hashes of the texts.
 
 1. Each text gets ``bands`` x ``rows`` consistent weighted samples (Ioffe 2010).
-   The random r, c and beta of a shingle come from a table of 2**16 rows, picked
-   by its fingerprint; samples are pairs of shingle and level.
+   r, c and beta of a shingle and a sample come from its fingerprint; samples are
+   pairs of shingle and level.
 2. Texts that agree in all samples of a band are a group of candidates; groups
    with the same members are one.
 3. In each group weighted Jaccard similarities are computed; texts that reach
    ``threshold`` are joined, and a pair already joined is not compared. Groups of
-   more than ``chunk`` texts are split, and the same few pivots stand in every part.
+   more than ``chunk`` texts or ``most`` shingles are split, and the same pivots, the
+   texts with most candidates of each of ``pivots`` hash classes, stand in every part.
    That joins most of a group; then its texts are dealt into blocks by the component
    they are in so far, and all pairs of blocks are compared but those within one
-   component, so that no pair of two components is left out.
+   component, so that no pair of two components is left out. Two turns, whatever the
+   size of a group.
 4. Components of the verified links are the classes.
 
 Equal word sequences are one text from the start, so copies cost one text. A
 text of 1 to 4 words is one shingle; one without words (null, empty) stands
-alone. Repeated rows share their class. Only the id and the text are read.
+alone. Repeated rows share their class. An empty table gives none. Texts are read
+in slices of about 1 MB; a longer one is a slice of its own, and takes memory in
+proportion. Ties cannot arise but between samples of equal value, of which the
+least shingle is taken. Only the id and the text are read; other columns, of any
+name, are passed on by ``deduplicated`` and not read by ``classes``.
 """
 
 from __future__ import annotations
@@ -34,23 +40,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .store import written
+from .components import small, components
+from .store import drop, tidy, written
+from .substring import from_bytes, to_bytes
 from .words import U64, Words, mix64, random_u64, slices, windows
 
 SHINGLE = 5
-COUNTERS = 1 << 20
+COUNTERS = 1 << 21
 PARTS = 64
-FLOOR = 0.05
-SPREAD = 0.25
+FLOOR = 2.0**-12
+SPREAD = 0.5
+ONE = 1 << 16  # a document without copies, in the counters
 POOL = 1 << 16
 ID_BITS = U64(44)
 ID_MASK = U64((1 << 44) - 1)
-BROADCAST_ROWS = 2_000_000
 
 
 class Shingled:
@@ -86,72 +92,97 @@ class Shingled:
         return windows(hashes, np.array([0, len(hashes)]), len(hashes))[0][0]
 
 
-def counters(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per counter, and documents with a shingle. Counters travel as PARTS arrays a task, added up by streams."""
+def summed(docs: DataFrame, add_up, n: int) -> np.ndarray:
+    """Sums over all tasks of the ``n`` numbers that ``add_up(sums, batch)`` adds to. They travel as PARTS arrays a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(COUNTERS, np.int32), 0
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                s = Shingled(batch.column("text"))
-                total += np.bincount((s.ids % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
-                n += int((~s.empty).sum())
-        if n:
-            rows = total.astype("<i8").reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([n] + [0] * (PARTS - 1), pa.int64())], ["part", "counts", "n"])
+        sums = None
+        for batch in batches:
+            sums = np.zeros(n, np.int64) if sums is None else sums
+            add_up(sums, batch)
+        if sums is not None:
+            for part, own in enumerate(np.array_split(sums, PARTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([to_bytes(own, 8)], pa.binary())], ["part", "sums"])
+        tidy()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        ns: dict[int, int] = {}
         for batch in batches:
-            for part, counts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = np.frombuffer(counts, "<i8")
-                sums[part] = sums[part] + row if part in sums else row
-                ns[part] = ns.get(part, 0) + n
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+                own = from_bytes(own.as_py(), 8)
+                sums[part] = sums[part] + own if part in sums else own
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), pa.array(list(ns.values()), pa.int64())], ["part", "counts", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([to_bytes(v, 8) for v in sums.values()], pa.binary())], ["part", "sums"])
+
+    schema = "part int, sums binary"
+    rows = docs.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()  # PARTS rows of fixed size
+    have = {r["part"]: from_bytes(bytes(r["sums"]), 8).astype(np.int64) for r in rows}
+    return np.concatenate([have[k] for k in range(PARTS)]) if have else np.zeros(n, np.int64)
+
+
+def copies(given: DataFrame) -> np.ndarray:
+    """Rows per counter, told by the hash of the whole text."""
+
+    def add_up(sums: np.ndarray, batch: pa.RecordBatch) -> None:
+        sums += np.bincount(np.array(batch.column("mark"), np.int64) % COUNTERS, minlength=COUNTERS)
+
+    return summed(given.select(F.coalesce("mark", F.lit(0)).alias("mark")), add_up, COUNTERS)
+
 
-    schema = "part int, counts binary, n bigint"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()  # PARTS rows of fixed size
-    total = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
-    for r in rows:
-        total[r["part"]] = np.frombuffer(r["counts"], "<i8")
-    return total.ravel(), sum(r["n"] for r in rows)
+def counters(given: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents per counter, and documents with a shingle, both times ONE; ``given``: text and mark, a hash of it."""
+    alike = given.sparkSession.sparkContext.broadcast(np.minimum(copies(given), ONE).astype(np.int32))  # COUNTERS numbers
+
+    def add_up(sums: np.ndarray, whole: pa.RecordBatch) -> None:
+        for batch in slices(whole, "text"):
+            s = Shingled(batch.column("text"))
+            share = ONE // np.maximum(alike.value[np.array(batch.column("mark").fill_null(0), np.int64) % COUNTERS], 1)
+            np.add.at(sums, (s.ids % U64(COUNTERS)).astype(np.int64), np.repeat(share, np.diff(s.at)))
+            sums[COUNTERS] += int(share[~s.empty].sum())
+
+    sums = summed(given.select("text", "mark"), add_up, COUNTERS + 1)
+    alike.unpersist()
+    return sums[:COUNTERS], int(sums[COUNTERS])
 
 
 def idf(counts: np.ndarray, n: int) -> np.ndarray:
-    share = np.maximum(counts / max(n, 1), FLOOR)
-    return (1 + SPREAD * np.log(1 / np.minimum(share, 1)) / np.log(1 / FLOOR)).astype(np.float32)
+    share = np.clip(counts / max(n, 1), FLOOR, 1)
+    return (1 + SPREAD * np.log(1 / share) / np.log(1 / FLOOR)).astype(np.float32)
 
 
-@lru_cache(2)
-def pool(k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and c of Gamma(2, 1) and beta uniform, as [sample, row]."""
-    u = ((random_u64(5 * k * POOL, seed) >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-    u = u.reshape(5, k, POOL)
-    r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
-    return r.astype(np.float32), np.log(c).astype(np.float32), u[4].astype(np.float32)
+@lru_cache(1)
+def gammas(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """POOL draws of Gamma(2, 1), and the logarithms of POOL others."""
+    u = ((random_u64(4 * POOL, seed) >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    u = u.reshape(4, POOL)
+    return (-np.log(u[0] * u[1])).astype(np.float32), np.log(-np.log(u[2] * u[3])).astype(np.float32)
 
 
 def band_keys(s: Shingled, weights: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """[text, band]: a fingerprint of the band's samples; texts without shingles get 0."""
-    r, log_c, beta = pool(bands * rows)
+    """[text, band]: a fingerprint of the band's samples; texts without shingles get 0.
+
+    For each sample the shingle's fingerprint is hashed to 16 bits that pick r, 16 that pick c and 32 for beta.
+    """
+    r, log_c = gammas()
     out = np.zeros((s.n_texts, bands), U64)
     have = np.flatnonzero(np.diff(s.at))
     if not have.size:
         return out.view(np.int64)
     begin, sizes = s.at[have], np.diff(s.at)[have]
-    row = (mix64(s.ids) % U64(POOL)).astype(np.int64)
     log_w = np.log(s.times.astype(np.float32) * weights[(s.ids % U64(COUNTERS)).astype(np.int64)])
-    place = np.arange(len(s.ids), dtype=np.int64)
+    odd = random_u64(bands * rows, 23) | U64(1)
     for k in range(bands * rows):
-        rk, bk = r[k][row], beta[k][row]
-        level = np.floor(log_w / rk + bk)
-        value = log_c[k][row] - rk * (level - bk + np.float32(1))
+        h = s.ids * odd[k]
+        h ^= h >> U64(32)
+        h *= U64(0xD6E8FEB86659FD93)
+        bits = h.view(np.uint16).reshape(-1, 4)  # the order of the bytes only says which bits are which
+        rk = r[bits[:, 3]]
+        beta = h.astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
+        level = np.floor(log_w / rk + beta)
+        value = log_c[bits[:, 2]] - rk * (level - beta + np.float32(1))
         least = np.minimum.reduceat(value, begin)
         hit = np.flatnonzero(value == np.repeat(least, sizes))
         pick = hit[np.searchsorted(hit, begin)]
-        assert place[pick[0]] >= begin[0]
         sample = mix64(s.ids[pick] * U64(0x9E3779B97F4A7C15) + level[pick].astype(np.int64).astype(U64))
         out[have, k // rows] = mix64(out[have, k // rows] * U64(0xD6E8FEB86659FD93) + sample + U64(k + 1))
     return out.view(np.int64)
@@ -234,14 +265,17 @@ def join_up(texts: list[tuple[np.ndarray, np.ndarray, float]], threshold: float)
     return [find(x) for x in range(len(texts))]
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """id, class_id (the least id of the class), text_id: one row per document."""
-    of_text = _rooted(docs, id_col, text_col, threshold, bands, rows, chunk, pivots)
-    named = of_text.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
-    return of_text.join(named, "root", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("id"))).alias("class_id"), "text_id")
+    made = _rooted(docs, id_col, text_col, **parameters)
+    shared = made.where("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = small(written(shared.where("n > 1").select("root", "least"), "named"))
+    # a class of one row is named by its own id
+    out = made.join(named.withColumn("known", F.lit(True)), "root", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("known"), F.col("least")).otherwise(F.col("id")).alias("class_id"), "text_id")
 
 
-def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32) -> DataFrame:
+def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32, most: int = 1 << 20) -> DataFrame:
     """id, mark (a hash of the text as given), text_id, root (one of each class; null without words): one row per document."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -254,22 +288,27 @@ def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 s = Shingled(batch.column("text"))
                 keys = band_keys(s, weights.value, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(s.text_id, mask=s.empty), lists], ["id", "mark", "text_id", "keys"])
-
-    signed = written(given.mapInArrow(sign, f"id {kind}, mark bigint, text_id bigint, keys array<bigint>"), "signed")
-    texts = signed.where("text_id is not null").dropDuplicates(["text_id"])
-    keyed = texts.select("text_id", F.posexplode("keys").alias("band", "key"))
+                sizes = pa.array(np.diff(s.at).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(s.text_id, mask=s.empty), sizes, lists], ["id", "mark", "text_id", "n", "keys"])
+        tidy()
+
+    signed = written(given.mapInArrow(sign, f"id {kind}, mark bigint, text_id bigint, n bigint, keys array<bigint>"), "signed")
+    # rows of one text_id are alike but for the id and the mark; any of them may stand for the text
+    texts = signed.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct("mark", "id")).alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = texts.select("text_id", "owner", "n", F.posexplode("keys").alias("band", "key"))
     member = F.xxhash64("text_id")
-    groups = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(member).alias("x"), F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("size > 1")
-    groups = groups.groupBy(F.xxhash64("size", "x", "lo", "hi").alias("grp")).agg(F.min(F.struct("band", "key")).alias("at"), F.min("size").alias("size"))
-    groups = groups.select("grp", "size", "at.band", "at.key")
-    groups = written(keyed.join(groups, ["band", "key"]).select("grp", "text_id", "size"), "groups")
-    links = components(_verified(given, groups, weights, threshold, chunk, pivots))
-    of_text = signed.select("id", "mark", "text_id").join(links.select(F.col("id").alias("text_id"), "root"), "text_id", "left")
-    return of_text.withColumn("root", F.coalesce("root", "text_id"))
-
-
-def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, chunk: int, pivots: int) -> DataFrame:
+    groups = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.bit_xor(member).alias("x"), F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / chunk), F.ceil(F.col("shingles") / most)).cast("int")
+    groups = groups.groupBy(F.xxhash64("size", "x", "lo", "hi").alias("grp")).agg(F.min(F.struct("band", "key")).alias("at"), F.min("size").alias("size"), F.min("shingles").alias("shingles"))
+    groups = written(groups.select("grp", "size", parts.alias("parts"), "at.band", "at.key"), "bands")
+    members = written(keyed.join(small(groups), ["band", "key"]).select("grp", "text_id", "owner", "n", "size", "parts"), "groups")
+    links = _verified(given, members, weights, threshold, pivots, chunk // 2, most // 2)
+    roots = components(links).withColumnRenamed("id", "text_id")
+    drop(spark, groups, members, links)
+    return signed.select("id", "mark", "text_id").join(small(roots), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+
+
+def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, pivots: int, block: int, most: int) -> DataFrame:
     """Links (a, b) between texts of a group that reach the threshold, enough to connect all that are linked."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +321,7 @@ def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, ch
                 # most shingles occur once: those that do not are told by place and times
                 often = [np.stack([f := np.flatnonzero(t > 1), t[f]]).astype("<u4").tobytes() for _, t in bodies]
                 yield pa.RecordBatch.from_arrays([pa.array(s.text_id[once]), pa.array([b for b, _ in bodies], pa.binary()), pa.array(often, pa.binary())], ["text_id", "ids", "often"])
+        tidy()
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("pivot", "descending"), ("text_id", "ascending")])
@@ -292,46 +332,50 @@ def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, ch
             texts.append((own, w, float(w.sum(dtype=np.float64))))
         return pa.table({"a": ids, "b": ids[np.array(join_up(texts, threshold), np.int64)]})
 
-    spark = given.sparkSession
-    few = groups.count() <= BROADCAST_ROWS
-    wanted = groups.select("text_id").distinct()
-    bodies = given.mapInArrow(shingles, "text_id bigint, ids binary, often binary").join(F.broadcast(wanted) if few else wanted, "text_id")
-    bodies = written(bodies.dropDuplicates(["text_id"]), "shingles")
-    parts = F.ceil(F.col("size") / chunk).cast("int")
-    split = groups.withColumn("parts", parts).withColumn("pivot", (F.col("parts") > 1) & (F.pmod(F.xxhash64("text_id", F.lit(0)), F.col("size")) < pivots))
-    own = F.array(F.pmod(F.xxhash64(F.lit(0), "text_id"), F.col("parts")).cast("int"))
-    split = split.withColumn("part", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    found = bodies.join(F.broadcast(split) if few else split, "text_id").select("grp", "part", "text_id", "ids", "often", "pivot")
+    wanted = small(written(groups.select("text_id", "owner.mark", "owner.id").dropDuplicates(["text_id"]).select("mark", "id").distinct(), "wanted"))
+    wanted = wanted.withColumnRenamed("mark", "own_mark").withColumnRenamed("id", "own_id")
+    texts = given.join(wanted, F.col("mark").eqNullSafe(F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own_id"))).select("text")
+    bodies = written(texts.mapInArrow(shingles, "text_id bigint, ids binary, often binary").dropDuplicates(["text_id"]), "shingles")
+    own = F.pmod(F.xxhash64(F.lit(0), "text_id"), F.col("parts")).cast("int")
+    split = groups.select("grp", own.alias("part"), "text_id", F.lit(False).alias("pivot"))
+    large = groups.where("parts > 1").select("grp", "text_id", "n", "size", "parts")
+    some = not large.isEmpty()
+    if some:
+        often = groups.groupBy("text_id").agg(F.sum("size").alias("candidates"))
+        classed = large.join(often, "text_id").groupBy("grp", F.pmod(F.xxhash64("text_id", F.lit(2)), F.lit(pivots)).alias("class"))
+        chosen = classed.agg(F.max(F.struct("candidates", "text_id")).alias("best"), F.first("parts").alias("parts"))
+        split = split.union(chosen.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "best.text_id", F.lit(True)))
+    split = written(split, "parts")
+    found = bodies.join(small(split), "text_id").select("grp", "part", "text_id", "ids", "often", "pivot")
     links = written(found.groupBy("grp", "part").applyInArrow(verify, "a bigint, b bigint").where("a != b"), "links")
-    large = groups.where(F.col("size") > chunk).select("grp", "text_id")
-    if large.isEmpty():
-        return links
-    return _across(bodies, large, links, weights, threshold, max(chunk // 2, 1), few)
+    out = _across(bodies, large, links, weights, threshold, block, most) if some else links
+    drop(given.sparkSession, bodies, split, *([links] if some else []))
+    return out
 
 
-def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, threshold: float, size: int, few: bool) -> DataFrame:
+def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, threshold: float, size: int, most: int) -> DataFrame:
     """``links``, and those between texts of a large group that are in different components of ``links``.
 
-    Components of ``size`` texts and more have blocks of their own, smaller ones share theirs.
+    Components of ``size`` texts or ``most`` shingles and more have blocks of their own, smaller ones share theirs.
     """
-    roots = written(components(links), "roots")
-    now = large.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left")
-    now = written(now.select("grp", "text_id", F.coalesce("root", "text_id").alias("root")), "large")
+    roots = components(links)
+    now = large.join(small(roots.withColumnRenamed("id", "text_id")), "text_id", "left")
+    now = written(now.select("grp", "text_id", "n", F.coalesce("root", "text_id").alias("root")), "large")
     known = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b")
-    per = now.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
-    unfinished = per.groupBy("grp").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("n") < size, F.col("n"))).alias("small")).where("classes > 1").drop("classes")
+    per = now.groupBy("grp", "root").agg(F.greatest(F.count(F.lit(1)) / size, F.sum("n") / most).alias("fill"))
+    unfinished = per.groupBy("grp").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("fill") < 1, F.col("fill"))).alias("small")).where("classes > 1").drop("classes")
     per = written(per.join(unfinished, "grp"), "components")
     if per.isEmpty():
-        return known
-    pure = F.col("n") >= size
-    deal = F.pmod(F.xxhash64("text_id", F.lit(1)), F.ceil(F.when(pure, F.col("n")).otherwise(F.col("small")) / size))
+        return written(known, "links")
+    pure = F.col("fill") >= 1
+    deal = F.pmod(F.xxhash64("text_id", F.lit(1)), F.ceil(F.when(pure, F.col("fill")).otherwise(F.col("small"))))
     block = F.struct(pure.alias("pure"), F.when(pure, F.col("root")).otherwise(0).alias("of"), deal.alias("k"))
-    dealt = written(now.join(F.broadcast(per) if few else per, ["grp", "root"]).select("grp", "text_id", "root", block.alias("block")), "blocks")
+    dealt = written(now.join(small(per), ["grp", "root"]).select("grp", "text_id", "root", block.alias("block")), "blocks")
     blocks = dealt.select("grp", "block").distinct()
     both = blocks.select("grp", F.col("block").alias("x")).join(blocks.select("grp", F.col("block").alias("y")), "grp")
     both = both.where("x <= y and not (x.pure and y.pure and x.of = y.of)").withColumn("task", F.xxhash64("x", "y"))
     sides = both.select("grp", "task", F.col("x").alias("block"), F.lit(0).alias("side"))
-    sides = sides.union(both.where("x != y").select("grp", "task", F.col("y").alias("block"), F.lit(1).alias("side")))
+    sides = written(sides.union(both.where("x != y").select("grp", "task", F.col("y").alias("block"), F.lit(1).alias("side"))), "sides")
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         root, side = np.array(table.column("root"), np.int64), np.array(table.column("side"))
@@ -353,17 +397,23 @@ def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, thre
                 kept.append((x, y))
         return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
 
-    found = bodies.join(dealt.join(sides, ["grp", "block"]).select("grp", "task", "side", "text_id", "root"), "text_id")
+    found = bodies.join(small(written(dealt.join(sides, ["grp", "block"]).select("grp", "task", "side", "text_id", "root"), "tasks")), "text_id")
     more = found.groupBy("grp", "task").applyInArrow(verify, "a bigint, b bigint")
-    return known.union(written(more, "links"))
+    out = written(known.union(more), "links")
+    drop(bodies.sparkSession, now, per, dealt, sides, roots)
+    return out
 
 
-def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """One document of each class stays, with its own columns: the least doc_id (null last), of equal ids the least hash of the text, and of repeated rows one."""
-    made = _rooted(docs, **parameters)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One document of each class stays, with its own columns: the least id (null last), of equal ids the least hash of the text, and of repeated rows one."""
+    made = _rooted(docs, id_col, text_col, **parameters)
     least = made.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least"))
-    keys = least.select(F.col("least.id").alias("_id"), F.col("least.mark").alias("_mark"))
-    keys = keys.union(made.where("root is null").select("id", "mark").distinct())
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    out = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")))
-    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    stay = least.select("least.id", "least.mark").union(made.where("root is null").select("id", "mark").distinct())
+    rows = made.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    stay = written(stay.join(rows, stay["id"].eqNullSafe(rows["id"]) & stay["mark"].eqNullSafe(rows["mark"]), "left").select(stay["id"].alias("own_id"), stay["mark"].alias("own_mark"), F.coalesce("rows", F.lit(1)).alias("rows")), "stay")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    out = whole.join(small(stay), F.col("id").eqNullSafe(F.col("own_id")) & F.col("mark").eqNullSafe(F.col("own_mark")))
+    once = out.where("rows = 1").select("row.*")
+    if stay.where("rows > 1").isEmpty():
+        return once
+    return once.unionByName(out.where("rows > 1").dropDuplicates(["id", "mark"]).select("row.*"))

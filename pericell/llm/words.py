@@ -22,6 +22,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def unused(columns: list[str], stem: str = "_x") -> str:
+    """A beginning of column names that none of these has, in either case."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem += "_"
+    return stem
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U64(30))
@@ -68,8 +75,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about ``most`` bytes of text each; one longer text stands alone."""
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``most`` bytes of text each; one longer text stands alone. Work on a slice
+    takes some hundred bytes of memory for each of these."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     lo = 0
     ends = np.cumsum(sizes)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pericell.llm import neardup, substring, toxicity
 from pericell.llm.components import components
@@ -39,7 +40,8 @@ def similar(rows, threshold=0.8):
         w = WORD.findall(t or "")
         grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
         sets.append(Counter(grams))
-    n, df = sum(map(bool, sets)), Counter(g for s in sets for g in s)
+    one = {t or "": s for (_, t, *_), s in zip(rows, sets, strict=True)}  # equal texts count as one document
+    n, df = sum(map(bool, one.values())), Counter(g for s in one.values() for g in s)
     weight = {g: float(neardup.idf(np.array([c]), n)[0]) for g, c in df.items()}
     root = list(range(len(rows)))
     for a in range(len(rows)):
@@ -91,16 +93,16 @@ def test_star_of_near_copies(spark):
     import pyarrow as pa
 
     rng = random.Random(6)
-    base = [f"v{k}" for k in range(64)]
+    base = [f"v{k}" for k in range(96)]
     texts = [" ".join(base)]
     for k in range(2000):
         own = list(base)
-        own[rng.randrange(4, 60)] = f"x{k}"
+        own[rng.randrange(4, 92)] = f"x{k}"
         if k % 10 == 0:
-            own[rng.randrange(4, 60)] = f"y{k}"
+            own[rng.randrange(4, 92)] = f"y{k}"
         texts.append(" ".join(own))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    weights = neardup.idf(*neardup.counters(df))
+    weights = neardup.idf(*neardup.counters(df.withColumn("mark", F.xxhash64("text"))))
     s = neardup.Shingled(pa.array(texts))
     keys = neardup.band_keys(s, weights, 10, 4)
     grams, column = np.unique(s.ids, return_inverse=True)
@@ -121,6 +123,23 @@ def test_star_of_near_copies(spark):
     assert [got[k] for k in range(len(texts))] == want.tolist()
 
 
+def test_unlike_texts_in_one_band(spark):
+    """1000 texts that agree in a sample, few of them similar: a fixed number of turns, and every pair is decided."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(40)]
+    texts = [" ".join([*common, *(f"u{rng.randrange(10**7)}" for _ in range(60))]) for _ in range(1000)]
+    for k in range(0, 1000, 10):  # copies of texts that are in other parts
+        texts.append(texts[k] + f" end{k}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.classes(df, bands=40, rows=1, chunk=64, pivots=4, most=20_000).collect()}
+    assert got == {k: k if k < 1000 else 10 * (k - 1000) for k in range(1100)}
+
+
+def test_frequent_shingles_weigh_less():
+    weight = neardup.idf(np.array([0, 10, 100, 1000, 10_000]), 10_000)
+    assert np.all(np.diff(weight) < 0) and np.isclose(weight[0], 1.5) and np.isclose(weight[-1], 1.0)
+
+
 def test_one_of_each_class_stays(spark):
     """Near copies with null ids, and one id on texts of different classes."""
     rng = random.Random(8)
@@ -170,11 +189,12 @@ def brute_substring(rows, size=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shares", [(0.3, 0.6), ()])
-def test_substrings(docs, none, rows, shares):
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.dedup_all(docs, shares=shares, buckets=4).collect())
-    assert got == brute_substring(rows)
-    assert substring.dedup_all(none, shares=shares, buckets=2).count() == 0
+@pytest.mark.parametrize(("batches", "mask"), [(5, -1), (1, -1), (3, 0xC00000000000000F)])
+def test_substrings(docs, none, rows, batches, mask):
+    """The last case leaves 6 bits of fingerprint: different windows clash, and the second hash tells them apart."""
+    got = substring.dedup_all(docs, batches=batches, buckets=4, mask=mask % 2**64).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_substring(rows)
+    assert substring.dedup_all(none, batches=batches, buckets=2).count() == 0
 
 
 def test_index_compacts_and_remembers(spark, rows):
