@@ -35,43 +35,71 @@ def contracted(pairs: DataFrame, c: np.ndarray, cutoff: float, slopes: bool = Fa
     return near.select("frame_id", "i", "j", "ti", "tj", "dx", "dy", "dz", "d", *out)
 
 
-def on_atoms(atoms: DataFrame, sums: DataFrame) -> DataFrame:
-    """Sums by atom for every atom: atoms without pairs get zeros."""
-    names = [c for c in sums.columns if c not in ATOM]
-    return atoms.select(*ATOM, "type").join(sums, ATOM, "left").fillna(0.0, names)
+def on_atoms(atoms: DataFrame, terms: DataFrame, names: list[str]) -> DataFrame:
+    """Sums of ``names`` over the rows of ``terms`` by atom, with the type, for every atom.
 
+    Each atom gives one row of zeros to the grouped sum, so atoms without terms keep zeros and nothing
+    is joined. A term that is NaN shows in the sum.
+    """
+    zeros = atoms.select(*ATOM, "type", *[F.lit(0.0).alias(n) for n in names])
+    own = terms.select(*ATOM, F.lit(None).cast(atoms.schema["type"].dataType).alias("type"), *names)
+    return own.unionByName(zeros).groupBy(*ATOM).agg(F.max("type").alias("type"), *[F.sum(n).alias(n) for n in names])
 
-def radial(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float) -> DataFrame:
+
+def radial_terms(pairs: DataFrame, c: np.ndarray, cutoff: float) -> tuple[DataFrame, list[str]]:
+    """What each pair gives to q_0 .. of its atom i."""
+    names = [f"q_{a}" for a in range(c.shape[2])]
     g = contracted(pairs, c, cutoff)
-    sums = g.groupBy("frame_id", F.col("i").alias("atom_id")).agg(*[F.sum(f"g_{a}").alias(f"q_{a}") for a in range(c.shape[2])])
-    return on_atoms(atoms, sums)
+    return g.select("frame_id", F.col("i").alias("atom_id"), *[F.col(f"g_{a}").alias(n) for a, n in enumerate(names)]), names
 
 
-def angular_moments(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> DataFrame:
-    """s_<n>_<lm> of every atom."""
+def angular_terms(pairs: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> tuple[DataFrame, list[str]]:
+    """What each pair gives to s_<n>_<lm> of its atom i."""
     g = contracted(pairs, c, cutoff).select("*", *[(F.col(f"d{a}") / F.col("d")).alias(f"u{a}") for a in "xyz"])
     y = [F.expr(e).alias(f"y_{k}") for k, e in enumerate(X.angular("ux", "uy", "uz", max_l))]
     g = g.select("*", *y)
-    sums = [F.sum(F.col(f"g_{a}") * F.col(f"y_{k}")).alias(f"s_{a}_{k}") for a in range(c.shape[2]) for k in range(len(y))]
-    return on_atoms(atoms, g.groupBy("frame_id", F.col("i").alias("atom_id")).agg(*sums))
+    terms = [(F.col(f"g_{a}") * F.col(f"y_{k}")).alias(f"s_{a}_{k}") for a in range(c.shape[2]) for k in range(len(y))]
+    return g.select("frame_id", F.col("i").alias("atom_id"), *terms), [f"s_{a}_{k}" for a in range(c.shape[2]) for k in range(len(y))]
+
+
+def radial(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float) -> DataFrame:
+    return on_atoms(atoms, *radial_terms(pairs, c, cutoff))
 
 
-def invariants(moments: DataFrame, n: int, max_l: int, channels: list[str]) -> DataFrame:
-    """Three-body terms, L by L and n fastest, then each extra channel."""
+def angular_moments(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> DataFrame:
+    """s_<n>_<lm> of every atom."""
+    return on_atoms(atoms, *angular_terms(pairs, c, cutoff, max_l))
+
+
+def invariants(moments: DataFrame, n: int, max_l: int, channels: list[str], before: list[str] | None = None) -> DataFrame:
+    """Three-body terms, L by L and n fastest, then each extra channel; columns of ``before`` stand first."""
     size = len(tables.moments(max_l))
     s = [[f"s_{a}_{k}" for k in range(size)] for a in range(n)]
     out = [F.expr(X.q_three_body(s[a], order)).alias(f"q{order}_{a}") for order in range(1, max_l + 1) for a in range(n)]
     out += [F.expr(X.q_extra(s[a], ch)).alias(f"q{ch}_{a}") for ch in channels for a in range(n)]
-    return moments.select(*ATOM, "type", *out)
+    return moments.select(*ATOM, "type", *(before or []), *out)
 
 
 def descriptors(atoms: DataFrame, pairs: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, channels: list[str]) -> DataFrame:
-    """All components of every atom in the model's order, as columns."""
-    q = radial(atoms, pairs, c2, radial_cutoff)
+    """All components of every atom in the model's order, as columns, from one pass over the pairs and one grouped sum."""
     if not max_l:
-        return q
-    more = invariants(angular_moments(atoms, pairs, c3, angular_cutoff, max_l), c3.shape[2], max_l, channels)
-    return q.join(more.drop("type"), ATOM)
+        return radial(atoms, pairs, c2, radial_cutoff)
+    outer = max(radial_cutoff, angular_cutoff)
+    spark = pairs.sparkSession
+    near = pairs.where(F.col("d") < outer).join(coefficient_table(spark, c2), ["ti", "tj"]).join(coefficient_table(spark, c3, "b"), ["ti", "tj"])
+    near = near.select("*", *[(F.col(f"d{a}") / F.col("d")).alias(f"u{a}") for a in "xyz"])
+    parts = []
+    for f, c, cutoff in (("f", c2, radial_cutoff), ("h", c3, angular_cutoff)):
+        # a function is nothing beyond its own cutoff
+        parts += [F.when(F.col("d") < cutoff, F.expr(e)).otherwise(0.0).alias(f"{f}_{k}") for k, e in enumerate(X.chebyshev("d", cutoff, c.shape[3] - 1))]
+    near = near.select("*", *parts, *[F.expr(e).alias(f"y_{k}") for k, e in enumerate(X.angular("ux", "uy", "uz", max_l))])
+    q = [F.expr(" + ".join(f"c_{a}_{k} * f_{k}" for k in range(c2.shape[3]))).alias(f"q_{a}") for a in range(c2.shape[2])]
+    g = [F.expr(" + ".join(f"b_{a}_{k} * h_{k}" for k in range(c3.shape[3]))).alias(f"g_{a}") for a in range(c3.shape[2])]
+    size = len(tables.moments(max_l))
+    near = near.select("frame_id", F.col("i").alias("atom_id"), *q, *g, *[f"y_{k}" for k in range(size)])
+    terms = {f"q_{a}": F.col(f"q_{a}") for a in range(c2.shape[2])} | {f"s_{a}_{k}": F.col(f"g_{a}") * F.col(f"y_{k}") for a in range(c3.shape[2]) for k in range(size)}
+    sums = on_atoms(atoms, near.select(*ATOM, *[e.alias(n) for n, e in terms.items()]), list(terms))
+    return invariants(sums, c3.shape[2], max_l, channels, [f"q_{a}" for a in range(c2.shape[2])])
 
 
 def components(df: DataFrame) -> list[str]:
@@ -107,18 +135,20 @@ def zbl_atoms(atoms: DataFrame, pairs: DataFrame, numbers: list[int], inner: flo
     rows = [(a, b, float(za), float(zb), 0.0 if factor else float(inner), float(tables.zbl_outer(za, zb, factor, outer) if factor else outer)) for a, za in enumerate(numbers) for b, zb in enumerate(numbers)]
     table = pairs.sparkSession.createDataFrame(rows, "ti int, tj int, zi double, zj double, r_in double, r_out double")
     near = pairs.join(F.broadcast(table) if len(rows) <= BROADCAST_PAIRS else table, ["ti", "tj"]).where("d < r_out")
-    e = near.groupBy("frame_id", F.col("i").alias("atom_id")).agg(F.sum(F.expr(f"0.5e0 * {X.zbl('d', 'zi', 'zj', 'r_in', 'r_out')}")).alias("zbl"))
-    return on_atoms(atoms, e)
+    terms = near.select("frame_id", F.col("i").alias("atom_id"), F.expr(f"0.5e0 * {X.zbl('d', 'zi', 'zj', 'r_in', 'r_out')}").alias("zbl"))
+    return on_atoms(atoms, terms, ["zbl"])
 
 
 def forces(atoms: DataFrame, gradients: DataFrame) -> DataFrame:
-    """From dE/dr of each directed pair (gx, gy, gz): F_i += g, F_j -= g and V_j[ab] -= r_a g_b, by one grouped sum."""
-    zero = [F.lit(0.0).alias(f"v{k}") for k in range(9)]
-    on_i = gradients.select("frame_id", F.col("i").alias("atom_id"), *[F.col(f"g{a}").alias(f"f{a}") for a in "xyz"], *zero)
-    outer = [(-F.col(f"d{a}") * F.col(f"g{b}")).alias(f"v{3 * m + n}") for m, a in enumerate("xyz") for n, b in enumerate("xyz")]
-    on_j = gradients.select("frame_id", F.col("j").alias("atom_id"), *[(-F.col(f"g{a}")).alias(f"f{a}") for a in "xyz"], *outer)
+    """From dE/dr of each directed pair (gx, gy, gz): F_i += g, F_j -= g and V_j[ab] -= r_a g_b, by one grouped sum.
+
+    Each pair is one row that gives two, so the pairs are made once.
+    """
     names = ["fx", "fy", "fz", *[f"v{k}" for k in range(9)]]
-    return on_atoms(atoms, on_i.unionByName(on_j).groupBy(*ATOM).agg(*[F.sum(n).alias(n) for n in names]))
+    outer = [-F.col(f"d{a}") * F.col(f"g{b}") for a in "xyz" for b in "xyz"]
+    on_i = F.struct(F.col("i").alias("atom_id"), *[F.col(f"g{a}").alias(f"f{a}") for a in "xyz"], *[F.lit(0.0).alias(f"v{k}") for k in range(9)])
+    on_j = F.struct(F.col("j").alias("atom_id"), *[(-F.col(f"g{a}")).alias(f"f{a}") for a in "xyz"], *[e.alias(f"v{k}") for k, e in enumerate(outer)])
+    return on_atoms(atoms, gradients.select("frame_id", F.inline(F.array(on_i, on_j))), names)
 
 
 def radial_gradients(pairs: DataFrame, c: np.ndarray, cutoff: float, slopes_on_q: list[float]) -> DataFrame:

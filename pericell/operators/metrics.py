@@ -23,9 +23,17 @@ def offset_change(frames: DataFrame) -> DataFrame:
     return frames.agg(F.avg((F.col("e_pred") - F.col("energy")) / F.col("natoms")).alias("db1"))
 
 
+def residual() -> Column:
+    return (F.col("e_pred") - F.col("energy")) / F.col("natoms")
+
+
+def energy_sums() -> list[Column]:
+    r = residual()
+    return [F.sum(r * r).alias("se_sum"), F.sum(r).alias("residual_sum"), F.count(r).alias("n_energy")]
+
+
 def energy_errors(frames: DataFrame) -> DataFrame:
-    r = (F.col("e_pred") - F.col("energy")) / F.col("natoms")
-    return frames.agg(F.sum(r * r).alias("se_sum"), F.sum(r).alias("residual_sum"), F.count(r).alias("n_energy"))
+    return frames.agg(*energy_sums())
 
 
 def force_errors(atoms: DataFrame) -> DataFrame:
@@ -34,24 +42,35 @@ def force_errors(atoms: DataFrame) -> DataFrame:
     return atoms.agg(F.sum(square).alias("sf_sum"), F.count(square).alias("n_forces"))
 
 
-def virial_errors(frames: DataFrame) -> DataFrame:
+def virial_sums() -> list[Column]:
     """Six components per atom; pv and virial are arrays of six. Stress is the same difference times N / V."""
     difference = F.zip_with("pv", "virial", lambda a, b: a - b)
     mean = lambda factor: F.aggregate(F.transform(difference, lambda x: (x * factor) ** 2), F.lit(0.0), lambda s, x: s + x) / 6
     per_atom, stress = mean(1 / F.col("natoms")), mean(1 / F.col("volume"))
-    return frames.agg(F.sum(per_atom).alias("sv_sum"), F.sum(stress).alias("ss_sum"), F.count(per_atom).alias("n_virial"))
+    return [F.sum(per_atom).alias("sv_sum"), F.sum(stress).alias("ss_sum"), F.count(per_atom).alias("n_virial")]
 
 
-def train_mse(frames: DataFrame) -> DataFrame:
+def virial_errors(frames: DataFrame) -> DataFrame:
+    return frames.agg(*virial_sums())
+
+
+def centered_mse() -> Column:
     """After the best offset: max(0, mean r^2 - (mean r)^2)."""
-    r = (F.col("e_pred") - F.col("energy")) / F.col("natoms")
-    return frames.agg(F.greatest(F.avg(r * r) - F.avg(r) * F.avg(r), F.lit(0.0)).alias("mse_e"))
+    r = residual()
+    return F.greatest(F.avg(r * r) - F.avg(r) * F.avg(r), F.lit(0.0))
+
+
+def plain_mse() -> Column:
+    """The offset is not fitted to validation frames."""
+    return F.avg(residual() * residual())
+
+
+def train_mse(frames: DataFrame) -> DataFrame:
+    return frames.agg(centered_mse().alias("mse_e"))
 
 
 def valid_mse(frames: DataFrame) -> DataFrame:
-    """Plain: the offset is not fitted to validation frames."""
-    r = (F.col("e_pred") - F.col("energy")) / F.col("natoms")
-    return frames.agg(F.avg(r * r).alias("mse_e"))
+    return frames.agg(plain_mse().alias("mse_e"))
 
 
 def weighted_loss(e: Column, f: Column, v: Column, weights: tuple[float, float, float] = (0.01, 1.0, 0.01)) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANGE = 4  # hexadecimal digits of a hash
+
+
 def order_hash(key: Column, *seeds: int) -> Column:
     return F.md5(F.concat_ws(":", *[F.lit(str(s)) for s in seeds], key.cast("string")).cast("binary"))
 
@@ -25,20 +28,24 @@ def holdout_size(n: int, ratio: float, seed: int | None) -> int:
 def split(frames: DataFrame, ratio: float, seed: int, n: int | None = None) -> DataFrame:
     """frames with ``valid``: exactly the holdout size, the same frames for the same seed.
 
-    The threshold is the hash of that rank, found by a limit on a sort of hashes; frames are then
-    marked without a global order.
+    The threshold is the hash of that rank. Hashes are counted by their first RANGE digits (16**RANGE
+    numbers, whatever the size); only those of the one range that holds the rank are then ranked.
     """
     size = holdout_size(frames.count() if n is None else n, ratio, seed)
-    hashed = frames.withColumn("_h", order_hash(F.col("frame_id"), seed))
-    last = hashed.select("_h").orderBy("_h").limit(size).agg(F.max("_h")).first()[0]
-    return hashed.withColumn("valid", F.col("_h") <= F.lit(last)).drop("_h")
+    hashed = frames.select("frame_id").select(order_hash(F.col("frame_id"), seed).alias("h")).withColumn("r", F.substring("h", 1, RANGE))
+    left = size
+    for where, count in sorted((row["r"], row["count"]) for row in hashed.groupBy("r").count().collect()):
+        if left <= count:
+            break
+        left -= count
+    last = hashed.where(F.col("r") == where).orderBy("h").limit(left).agg(F.max("h")).first()[0]
+    return frames.withColumn("valid", order_hash(F.col("frame_id"), seed) <= F.lit(last))
 
 
-def batches(frames: DataFrame, seed: int, epoch: int, batch_size: int, buckets: int = 64) -> DataFrame:
+def batches(frames: DataFrame, seed: int, epoch: int, batch_size: int) -> DataFrame:
     """frames with ``batch``: an order by hash of seed and epoch, cut into batches. Ranks are taken
-    inside hash ranges, and the sizes of the ranges before are added."""
-    hashed = frames.withColumn("_h", order_hash(F.col("frame_id"), seed, epoch))
-    hashed = hashed.withColumn("_b", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int"))
+    inside 16**RANGE hash ranges, and the sizes of the ranges before are added."""
+    hashed = frames.withColumn("_h", order_hash(F.col("frame_id"), seed, epoch)).withColumn("_b", F.substring("_h", 1, RANGE))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     sizes = hashed.groupBy("_b").count().withColumn("_ahead", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "frame_id")) - 1
@@ -51,15 +58,19 @@ def shard(frames: DataFrame, shards: int) -> DataFrame:
     return frames.withColumn("shard", F.pmod(F.conv(F.substring(order_hash(F.col("frame_id"), 0), 1, 8), 16, 10).cast("long"), F.lit(shards)))
 
 
-def offsets(frames: DataFrame) -> DataFrame:
-    """Exclusive running sums of natoms in order of frames. Ranges of frames are summed first, so that
-    no window spans all rows of the table."""
-    ranged = frames.withColumn("_b", F.floor(F.col("frame_id") / 4096))
-    inside = Window.partitionBy("_b").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per 4096 frames
-    ahead = ranged.groupBy("_b").agg(F.sum("natoms").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = ranged.withColumn("_own", F.coalesce(F.sum("natoms").over(inside), F.lit(0)))
-    return own.join(ahead, "_b").withColumn("offset", (F.col("_own") + F.col("_ahead")).cast("long")).drop("_b", "_own", "_ahead")
+def offsets(frames: DataFrame, span: int = 4096) -> DataFrame:
+    """Exclusive running sums of natoms in order of frames.
+
+    Ranges of ``span`` frame ids are summed, then ranges of ``span`` such ranges; each window spans
+    one range, and the last one a row for ``span`` * ``span`` ids.
+    """
+    ahead = lambda part, by, what: F.coalesce(F.sum(what).over((Window.partitionBy(part) if part else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = frames.withColumn("_b", F.floor(F.col("frame_id") / span))
+    small = ranged.groupBy("_b").agg(F.sum("natoms").alias("_n")).withColumn("_c", F.floor(F.col("_b") / span))
+    large = small.groupBy("_c").agg(F.sum("_n").alias("_m")).withColumn("_far", ahead(None, "_c", "_m")).select("_c", "_far")
+    near = small.withColumn("_near", ahead("_c", "_b", "_n")).join(large, "_c").select("_b", (F.col("_near") + F.col("_far")).alias("_ahead"))
+    own = ranged.withColumn("_own", ahead("_b", "frame_id", "natoms"))
+    return own.join(near, "_b").withColumn("offset", (F.col("_own") + F.col("_ahead")).cast("long")).drop("_b", "_own", "_ahead")
 
 
 def present_types(atoms: DataFrame, types: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import descriptors as D
 from ..operators import metrics as M
 from ..operators import neighbors as N
 from ..operators import sampling as S
-from .bridge import ATOMS_SQL, FRAMES_SQL, atoms, frames, pairs_sql, table
+from .bridge import ATOMS_SQL, FRAMES_SQL, atoms, frames, pairs_sql, shared_dir, table
 
 NT, N_RADIAL, N_ANGULAR, BASIS = 3, 3, 2, 3
 RC, RA, RCELL = 6.0, 4.0, 2.5
@@ -267,20 +267,69 @@ def three_body_sql(n: int) -> dict[str, str]:
     return out
 
 
+# The extra channels once more, by another way than the operators': an atom's traceless tensors of rank 1 to 4
+# (Cartesian moments of its pairs less their traces), contracted over all their axes. The scale of each contraction
+# is the published coefficient of one product of moments over the number that the contraction has before it.
+
+AXES = range(3)
+RAW = [(i, j, k) for i in range(5) for j in range(5) for k in range(5) if i + j + k <= 4]
+
+
+def tensors_sql() -> str:
+    """c: sums of g x^i y^j z^k of each atom's pairs; u: tensor components of every atom, zero without pairs."""
+    raw = ", ".join(f"sum(g_{n} * pow(dx / d, {i}) * pow(dy / d, {j}) * pow(dz / d, {k})) AS c_{n}_{i}{j}{k}" for n in range(N_ANGULAR) for i, j, k in RAW)
+    parts = []
+    for n in range(N_ANGULAR):
+
+        def at(*axes: int, n: int = n) -> str:
+            return f"c_{n}_" + "".join(str(axes.count(a)) for a in AXES)
+
+        for a, b in ((a, b) for a in AXES for b in AXES if a <= b):
+            parts.append((f"t_{n}_{a}{b}", at(a, b) + (f" - {at()} / 3e0" if a == b else "")))
+        for a, b, c in ((a, b, c) for a in AXES for b in AXES for c in AXES if a <= b <= c):
+            traces = [at(z) for x, y, z in ((a, b, c), (a, c, b), (b, c, a)) if x == y]
+            parts.append((f"t_{n}_{a}{b}{c}", at(a, b, c) + "".join(f" - {t} / 5e0" for t in traces)))
+        for a, b, c, d in ((a, b, c, d) for a in AXES for b in AXES for c in AXES for d in AXES if a <= b <= c <= d):
+            one = [at(z, w) for x, y, z, w in ((a, b, c, d), (a, c, b, d), (a, d, b, c), (b, c, a, d), (b, d, a, c), (c, d, a, b)) if x == y]
+            two = sum(x == y and z == w for x, y, z, w in ((a, b, c, d), (a, c, b, d), (a, d, b, c)))
+            parts.append((f"t_{n}_{a}{b}{c}{d}", at(a, b, c, d) + "".join(f" - {t} / 7e0" for t in one) + (f" + {two}e0 * {at()} / 35e0" if two else "")))
+        parts += [(f"t_{n}_{a}", at(a)) for a in AXES]
+    shown = ", ".join(f"coalesce({e}, 0e0) AS {name}" for name, e in parts)
+    return f"""c AS (SELECT frame_id, i, {raw} FROM y GROUP BY 1, 2),
+u AS (SELECT t.frame_id, t.atom_id, {shown} FROM atoms t LEFT JOIN c ON t.frame_id = c.frame_id AND t.atom_id = c.i)"""
+
+
 def extra_sql(n: int) -> dict[str, str]:
-    s = [f"s_{n}_{k}" for k in range(N_MOMENTS)]
-    return {f"q{c}_{n}": X.q_extra(s, c) for c in tables.CHANNELS}
+    def t(*axes: int) -> str:
+        return f"t_{n}_" + "".join(map(str, sorted(axes)))
+
+    def total(rank: int, *factors: str) -> str:
+        """The sum over axes a, b, c, ... of a product of tensors; a factor names its axes by letters."""
+        from itertools import product
+
+        terms = [" * ".join(t(*(axes["abcd".index(x)] for x in f)) for f in factors) for axes in product(AXES, repeat=rank)]
+        return "(" + " + ".join(terms) + ")"
+
+    return {
+        f"q222_{n}": f"(-0.809943929279723e0 / 3e0 * {total(3, 'ab', 'bc', 'ac')})",
+        f"q1111_{n}": f"(0.026596810706114e0 * pow({total(1, 'a', 'a')}, 2))",
+        f"q112_{n}": f"(0.164961305093080e0 / 2e0 * {total(2, 'a', 'ab', 'b')})",
+        f"q123_{n}": f"(-0.168362926992344e0 * {total(3, 'a', 'bc', 'abc')})",
+        f"q233_{n}": f"(0.321473273819474e0 * 2e0 * {total(4, 'ab', 'acd', 'bcd')})",
+        f"q134_{n}": f"(0.255161500704030e0 / 75e-2 * {total(4, 'a', 'bcd', 'abcd')})",
+    }
 
 
+MOMENTS_SQL += f",\n{tensors_sql()}"
 INVARIANTS_SQL = {k: v for n in range(N_ANGULAR) for k, v in (three_body_sql(n) | extra_sql(n)).items()}
 
 
-@query(f"WITH {ATOMS_SQL}, {pairs_sql(RA)}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(e, k) for k, e in INVARIANTS_SQL.items())} FROM s")
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RA)}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(e, k) for k, e in INVARIANTS_SQL.items())} FROM s JOIN u USING (frame_id, atom_id)")
 def p16_p20_invariants(spark, sf_dir):
     return rounded(D.invariants(moments(spark, sf_dir), N_ANGULAR, MAX_L, list(tables.CHANNELS)).drop("type"))
 
 
-@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(q, q) for q in Q)}, {', '.join(r6(e, k) for k, e in INVARIANTS_SQL.items())} FROM r JOIN s USING (frame_id, atom_id)")
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(q, q) for q in Q)}, {', '.join(r6(e, k) for k, e in INVARIANTS_SQL.items())} FROM r JOIN s USING (frame_id, atom_id) JOIN u USING (frame_id, atom_id)")
 def a4_descriptor(spark, sf_dir):
     near = pairs(spark, sf_dir, RC)
     return rounded(D.descriptors(atoms(spark, sf_dir), near, C2, C3, RC, RA, MAX_L, list(tables.CHANNELS)).drop("type"))
@@ -318,13 +367,14 @@ def a12_q_scaler(spark, sf_dir):
 ZBL_NUMBERS = (24, 27, 28)
 
 
-@query(f"""WITH {ATOMS_SQL}, {pairs_sql(3.0)}, z AS (SELECT *, CASE ti WHEN 0 THEN 24e0 WHEN 1 THEN 27e0 ELSE 28e0 END AS zi, CASE tj WHEN 0 THEN 24e0 WHEN 1 THEN 27e0 ELSE 28e0 END AS zj FROM pairs WHERE d >= 1e0 AND d < 2.5e0),
+@query(f"""WITH {ATOMS_SQL}, {pairs_sql(3.0)}, z AS (SELECT *, CASE ti WHEN 0 THEN 24e0 WHEN 1 THEN 27e0 ELSE 28e0 END AS zi, CASE tj WHEN 0 THEN 24e0 WHEN 1 THEN 27e0 ELSE 28e0 END AS zj FROM pairs WHERE d < 2.5e0),
 x AS (SELECT *, (pow(zi, 0.23e0) + pow(zj, 0.23e0)) * 2.134563e0 * d AS x, least(greatest((d - 1.25e0) / 1.25e0, 0e0), 1e0) AS t FROM z),
 e AS (SELECT frame_id, i, sum(0.5e0 * 14.399645e0 * zi * zj / d * (0.18175e0 * exp(-3.1998e0 * x) + 0.50986e0 * exp(-0.94229e0 * x) + 0.28022e0 * exp(-0.4029e0 * x) + 0.02817e0 * exp(-0.20162e0 * x)) * (0.5e0 * cos(pi() * t) + 0.5e0)) AS zbl FROM x GROUP BY 1, 2)
-SELECT a.frame_id, a.atom_id, round(coalesce(zbl, 0e0), 6) AS zbl FROM atoms a LEFT JOIN e ON a.frame_id = e.frame_id AND a.atom_id = e.i""")
+SELECT a.frame_id, a.atom_id, round(ln(1e0 + coalesce(zbl, 0e0)), 8) AS log_zbl FROM atoms a LEFT JOIN e ON a.frame_id = e.frame_id AND a.atom_id = e.i""")
 def a5_p26_zbl(spark, sf_dir):
-    near = pairs(spark, sf_dir, 3.0).where("d >= 1e0")
-    return rounded(D.zbl_atoms(atoms(spark, sf_dir), near, list(ZBL_NUMBERS), 1.25, 2.5).select("frame_id", "atom_id", "zbl"))
+    """As ln(1 + e): close pairs reach energies of which a double has few digits after the point."""
+    e = D.zbl_atoms(atoms(spark, sf_dir), pairs(spark, sf_dir, 3.0), list(ZBL_NUMBERS), 1.25, 2.5)
+    return rounded(e.select("frame_id", "atom_id", F.log1p("zbl").alias("log_zbl")), 8)
 
 
 RADII = {z: tables.COVALENT_RADIUS[z - 1] for z in ZBL_NUMBERS}
@@ -409,25 +459,37 @@ VIRIAL_SQL = " + ".join(f"pow(((frame_id % {k + 5}) * 0.5e0 - frame_id % {k + 3}
 def a16_error_sums(spark, sf_dir):
     l = labelled(spark, sf_dir)  # noqa: E741
     f = M.force_errors(atoms(spark, sf_dir).selectExpr("x AS px", "y AS py", "z AS pz", "fx", "fy", "fz"))
-    e, v = M.energy_errors(l), M.virial_errors(l)
-    one = lambda df: df.withColumn("_k", F.lit(0))
-    out = one(e).join(one(f), "_k").join(one(v), "_k").drop("_k")
+    e = l.agg(*M.energy_sums(), *M.virial_sums())
+    # one row each: columns of one are filled by the other's
+    names = [*e.columns, *f.columns]
+    both = e.unionByName(f, allowMissingColumns=True)
+    out = both.agg(*[F.max(c).alias(c) for c in names])
     digits = {"se_sum": 4, "residual_sum": 4, "sf_sum": 3, "sv_sum": 4, "ss_sum": 6}
     return out.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in out.columns])
 
 
 @query(LABELLED_SQL + " SELECT frame_id % 2 AS part, round(greatest(avg(r * r) - avg(r) * avg(r), 0e0), 6) AS train, round(avg(r * r), 6) AS valid, round(0.01e0 * avg(r * r), 6) AS loss, round(sqrt(avg(r * r)) * 160.21766208e0, 3) AS gpa FROM r GROUP BY 1")
 def a17_a20_losses(spark, sf_dir):
-    from functools import reduce
+    l = labelled(spark, sf_dir)  # noqa: E741
+    per = l.groupBy((F.col("frame_id") % 2).alias("part")).agg(M.centered_mse().alias("train"), M.plain_mse().alias("valid"))
+    none = F.lit(None).cast("double")
+    return per.select("part", F.round("train", 6).alias("train"), F.round("valid", 6).alias("valid"), F.round(M.weighted_loss(F.col("valid"), none, none), 6).alias("loss"), F.round(M.rmse_gpa(F.col("valid")), 3).alias("gpa"))
 
-    parts = []
-    for part in (0, 1):
-        l = labelled(spark, sf_dir).where(F.col("frame_id") % 2 == part)  # noqa: E741
-        train, valid = M.train_mse(l), M.valid_mse(l)
-        both = train.select(F.lit(part).cast("long").alias("part"), F.round("mse_e", 6).alias("train")).join(valid.select(F.lit(part).cast("long").alias("part"), F.col("mse_e")), "part")
-        none = F.lit(None).cast("double")
-        parts.append(both.select("part", "train", F.round("mse_e", 6).alias("valid"), F.round(M.weighted_loss(F.col("mse_e"), none, none), 6).alias("loss"), F.round(M.rmse_gpa(F.col("mse_e")), 3).alias("gpa")))
-    return reduce(DataFrame.unionByName, parts)
+
+@query(
+    LABELLED_SQL
+    + f", v AS (SELECT avg(({VIRIAL_SQL.replace('NORM', 'natoms')}) / 6) AS v FROM l WHERE has_virial), f AS (SELECT avg((pow(x - fx, 2) + pow(y - fy, 2) + pow(z - fz, 2)) / 3) AS f FROM atoms WHERE fx IS NOT NULL)"
+    + " SELECT round(e, 6) AS mse_e, round(f, 6) AS mse_f, round(v, 6) AS mse_v, round(0.01e0 * e + f + 0.01e0 * v, 6) AS loss, round(0.01e0 * e + 0.01e0 * v, 6) AS without_forces FROM (SELECT avg(r * r) AS e FROM r), f, v"
+)
+def a19_weighted_loss(spark, sf_dir):
+    """All three channels, and the loss when forces have no labels."""
+    l = labelled(spark, sf_dir)  # noqa: E741
+    f = M.force_errors(atoms(spark, sf_dir).selectExpr("x AS px", "y AS py", "z AS pz", "fx", "fy", "fz"))
+    both = l.agg(M.plain_mse().alias("e"), *M.virial_sums()).unionByName(f, allowMissingColumns=True)
+    one = both.agg(F.max("e").alias("e"), (F.max("sf_sum") / F.max("n_forces")).alias("f"), (F.max("sv_sum") / F.max("n_virial")).alias("v"))
+    loss = M.weighted_loss(F.col("e"), F.col("f"), F.col("v"))
+    missing = M.weighted_loss(F.col("e"), F.lit(None).cast("double"), F.col("v"))
+    return rounded(one.select(F.col("e").alias("mse_e"), F.col("f").alias("mse_f"), F.col("v").alias("mse_v"), loss.alias("loss"), missing.alias("without_forces")))
 
 
 # sets, windows, order
@@ -556,7 +618,7 @@ def model_sql() -> str:
     """Energy of an atom for small_model, from r and s."""
     q = [f"q_{n}" for n in range(N_RADIAL)]
     q += [f"({three_body_sql(n)[f'q{order}_{n}']})" for order in (1, 2) for n in range(N_ANGULAR)]
-    q += [f"({X.q_cubic([f's_{n}_{k}' for k in range(8)], '222')})" for n in range(N_ANGULAR)]
+    q += [extra_sql(n)[f"q222_{n}"] for n in range(N_ANGULAR)]
     parts = []
     for n, (w, b) in enumerate(zip(("0.5e0", "(-1e0)", "0.25e0", "0.75e0"), ("0.1e0", "-0.2e0", "0.3e0", "0e0"), strict=True)):
         inner = " + ".join(f"(((({n * 7 + k * 3}) + type) % 11 - 5) / 5e1) * {e}" for k, e in enumerate(q))
@@ -564,7 +626,7 @@ def model_sql() -> str:
     return f"({' + '.join(parts)} - 0.125e0)"
 
 
-@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, count(*) AS natoms, round(sum({model_sql()}), 6) AS energy FROM r JOIN s USING (frame_id, atom_id) GROUP BY 1")
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, count(*) AS natoms, round(sum({model_sql()}), 6) AS energy FROM r JOIN s USING (frame_id, atom_id) JOIN u USING (frame_id, atom_id) GROUP BY 1")
 def m14_predict(spark, sf_dir):
     """Whole pipeline by the NumPy kernel on Arrow batches of frames."""
     from ..predict import predict_atoms, predict_frames
@@ -573,7 +635,7 @@ def m14_predict(spark, sf_dir):
     return predict_frames(per_atom, frames(spark, sf_dir)).select("frame_id", "natoms", F.round("e_pred", 6).alias("energy"))
 
 
-@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, round({model_sql()}, 6) AS energy FROM r JOIN s USING (frame_id, atom_id)")
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, round({model_sql()}, 6) AS energy FROM r JOIN s USING (frame_id, atom_id) JOIN u USING (frame_id, atom_id)")
 def m19_predict_large(spark, sf_dir):
     """The same energies by blocks of center atoms, for frames too large for one task."""
     from ..predict import predict_large
@@ -581,21 +643,36 @@ def m19_predict_large(spark, sf_dir):
     return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), small_model()).select("frame_id", "atom_id", "energy"))
 
 
-@query("WITH e AS (SELECT o_orderkey AS frame_id, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1e4 END, -1e6) AS ref FROM orders) SELECT frame_id, round(ref, 6) AS ref FROM e")
+NINE = "(frame_id % 7) * 0.5e0 + {k} * 0.25e0 - natoms"
+K3_SQL = ", ".join(
+    f"round(CASE WHEN energy IS NULL THEN -1e6 ELSE ({NINE.format(k=k)}) {scale} END, 6) AS {name}_{c}"
+    for name, scale in (("w", "/ natoms"), ("s", "/ 512e0 * 160.21766208e0"))
+    for k, c in zip(X.VIRIAL_SIX, SIX, strict=True)
+)
+
+
+@query(f"WITH {ATOMS_SQL}, {FRAMES_SQL}, n AS (SELECT frame_id, count(*) AS natoms FROM atoms GROUP BY 1) SELECT frame_id, {K3_SQL} FROM n JOIN frames USING (frame_id)")
 def k3_missing_sentinel(spark, sf_dir):
-    return rounded(frames(spark, sf_dir).select("frame_id", F.coalesce("energy", F.lit(tables.MISSING_VIRIAL)).alias("ref")))
+    """Reference virials of the output tables, per atom and as stresses; frames without have the sentinel, unscaled."""
+    from ..predict import virial_table
+
+    n = atoms(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("natoms"))
+    virial = F.when(F.col("energy").isNotNull(), F.array(*[F.expr(NINE.format(k=k)) for k in range(9)]))
+    refs = frames(spark, sf_dir).join(n, "frame_id").select("frame_id", virial.alias("virial"))
+    none = [F.lit(0.0).alias(f"{t}_{c}") for t in "ws" for c in SIX]
+    per = n.select("frame_id", "natoms", F.lit(512.0).alias("volume"), *none)
+    both = [virial_table(per, refs, stress).select("frame_id", *[F.col(f"r_{c}").alias(f"{t}_{c}") for c in SIX]) for t, stress in (("w", False), ("s", True))]
+    return rounded(both[0].join(both[1], "frame_id"))
 
 
 @query(f"WITH {ATOMS_SQL} SELECT frame_id, atom_id, species, x, y, z FROM atoms")
 def s1_extxyz_round_trip(spark, sf_dir):
     """Every frame written as extended XYZ text and read back."""
-    import tempfile
     import uuid
 
     from ..sources import extxyz
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/xyz-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/xyz-{uuid.uuid4().hex}"
     extxyz.write_xyz(atoms(spark, sf_dir).drop("fx", "fy", "fz"), frames(spark, sf_dir), path)
     return extxyz.to_atoms(extxyz.read_blocks(spark, path)).select("frame_id", "atom_id", "species", "x", "y", "z")
 
