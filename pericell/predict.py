@@ -32,15 +32,15 @@ def as_batch(frame: np.ndarray, types: np.ndarray, xyz: np.ndarray, cells: np.nd
     return Batch(types, np.searchsorted(first, np.arange(len(frame)), "right") - 1, i, j, r)
 
 
-def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, groups: int | None = None, descriptor: bool = False) -> DataFrame:
+def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = 1 << 15) -> DataFrame:
     """frame_id, atom_id, energy, fx, fy, fz, v0 .. v8 (and q: the scaled descriptor) of every atom.
 
-    atoms: frame_id, atom_id, type, x, y, z. Each group holds whole frames.
+    atoms: frame_id, atom_id, type, x, y, z. Each group holds whole frames, of about ``block`` atoms together.
     """
     spark = atoms.sparkSession
     shared = spark.sparkContext.broadcast(model)  # parameters: fixed by the shape, not by the data
     cutoff = max(model.shape.cutoff_radial, model.shape.cutoff_angular)
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-atoms.count() // block))
     schema = f"frame_id bigint, atom_id bigint, energy double, fx double, fy double, fz double, {', '.join(f'{v} double' for v in V)}, q array<double>"
 
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
@@ -65,7 +65,7 @@ def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, groups: int
         return pa.concat_tables(out)
 
     dealt = atoms.select("frame_id", "atom_id", "type", "x", "y", "z").join(frames.select("frame_id", "cell"), "frame_id")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("frame_id"), F.lit(groups * 4)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("frame_id"), F.lit(groups)))
     out = dealt.groupBy("part").applyInArrow(kernel, schema)
     return out if descriptor else out.drop("q")
 
@@ -158,20 +158,17 @@ def descriptor_table(per_atom: DataFrame, mode: int, dim: int) -> DataFrame:
     return wide if mode == 2 else wide.groupBy("frame_id").agg(*[F.avg(f"q_{k}").alias(f"q_{k}") for k in range(dim)])
 
 
-def write_table(df: DataFrame, path: str, parts: int = 8) -> None:
-    """Numbers as %.10g, rows in order of frame and atom over all parts; the ids are not written."""
+def write_table(df: DataFrame, path: str) -> None:
+    """Numbers as %.10g, rows in order of frame and atom over all parts, as many as the rows ask for; the ids are not written."""
     keys = [c for c in ("frame_id", "atom_id") if c in df.columns]
     shown = F.concat_ws(" ", *[F.format_string("%.10g", c) for c in df.columns if c not in keys])
-    df.select(*keys, shown.alias("value")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
+    df.select(*keys, shown.alias("value")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
 
 
-def predict_dataset(spark, model_file: str, xyz_file: str, out_dir: str, energy_key: str = "energy", output_descriptor: int = 0, suffix: str = "train", tiled_from: int = 50_000) -> dict[str, DataFrame]:
-    """Reads a model and a file, writes energy, force, virial, stress (and descriptor) tables to ``out_dir``."""
-    from .model import load_model
-    from .sources.extxyz import read_xyz, to_atoms, to_frames
+def write_predictions(read: DataFrame, model: Model, out_dir: str, output_descriptor: int = 0, suffix: str = "train", tiled_from: int = 50_000) -> dict[str, DataFrame]:
+    """Energy, force, virial, stress (and descriptor) tables of frames as read_xyz gives them, written to ``out_dir``."""
+    from .sources.extxyz import to_atoms, to_frames
 
-    model = load_model(model_file)
-    read = read_xyz(spark, xyz_file, energy_key)
     frames, atoms = to_frames(read), sampling.type_ids(to_atoms(read), list(model.shape.types))
     per_atom = predict_sized(atoms, frames, model, bool(output_descriptor), tiled_from).persist()
     per_frame = predict_frames(per_atom, frames).persist()
@@ -183,11 +180,21 @@ def predict_dataset(spark, model_file: str, xyz_file: str, out_dir: str, energy_
     return out
 
 
+def predict_dataset(spark, model_file: str, xyz_file: str, out_dir: str, energy_key: str = "energy", output_descriptor: int = 0, suffix: str = "train", tiled_from: int = 50_000) -> dict[str, DataFrame]:
+    """Reads a model and a file or folder and writes its prediction tables to ``out_dir``."""
+    from .model import load_model
+    from .sources.extxyz import read_xyz
+
+    return write_predictions(read_xyz(spark, xyz_file, energy_key), load_model(model_file), out_dir, output_descriptor, suffix, tiled_from)
+
+
 class Calculator:
-    """One structure at a time, on the driver."""
+    """One structure at a time, on the driver. ``model``: a Model or the path of a model file."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model | str):
+        from .model import load_model
+
+        self.model = load_model(model) if isinstance(model, str) else model
 
     def compute(self, species: list[str], positions: np.ndarray, cell: np.ndarray | None, descriptor: bool = False, components: bool = False) -> dict:
         s = self.model.shape
@@ -215,20 +222,33 @@ class Calculator:
 
 
 def adapter():
-    """A calculator class for ASE, where that is installed."""
+    """A calculator class for ASE, where that is installed; made from a Model or the path of a model file.
+
+    Results have the parts of the net and of the repulsion (``energy_net``, ``forces_zbl``, ...) with ``components``.
+    """
     from ase.calculators.calculator import Calculator as Base
     from ase.calculators.calculator import all_changes
 
     class Adapter(Base):
         implemented_properties = ("energy", "energies", "forces", "stress")
 
-        def __init__(self, model: Model, **more):
+        def __init__(self, model: Model | str, components: bool = False, **more):
             super().__init__(**more)
-            self.own = Calculator(model)
+            self.own, self.components = Calculator(model), components
 
         def calculate(self, atoms=None, properties=("energy",), system_changes=all_changes):
             super().calculate(atoms, properties, system_changes)
             cell = atoms.cell.array if all(atoms.pbc) else None
-            self.results = self.own.compute(atoms.get_chemical_symbols(), atoms.positions, cell)
+            self.results = self.own.compute(atoms.get_chemical_symbols(), atoms.positions, cell, components=self.components)
+
+        def get_components(self, atoms) -> dict:
+            """Energy, forces and virial of the net and of the repulsion alone."""
+            cell = atoms.cell.array if all(atoms.pbc) else None
+            found = self.own.compute(atoms.get_chemical_symbols(), atoms.positions, cell, components=True)
+            return {k: v for k, v in found.items() if k.endswith(("_net", "_zbl"))}
+
+        def get_descriptor(self, atoms) -> np.ndarray:
+            cell = atoms.cell.array if all(atoms.pbc) else None
+            return self.own.get_descriptor(atoms.get_chemical_symbols(), atoms.positions, cell)
 
     return Adapter

@@ -2,13 +2,18 @@
 
 Gradients are analytic (kernels.potential.State.gradient). Sets of up to
 ``local_atoms`` atoms are kept on the driver, where small steps cost no job;
-larger ones stay in Spark, one job a step: groups of frames give partial sums and
-partial gradients, whose sizes are fixed by the model. Losses divide by counts of
-labelled frames and atoms over the whole step, so grouping does not change them.
+larger ones stay in Spark, one job a step: tasks add up sums and gradients, whose
+sizes are fixed by the model, and a few tasks add up those of the others. Losses
+divide by counts of labelled frames and atoms over the whole step, and batches are
+ranks of the same hashes in both places, so that a seed gives one model, up to the
+rounding of sums, wherever the frames are kept.
+
+A run without a seed draws one, which its result and checkpoints keep.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import os
@@ -107,9 +112,10 @@ class LocalData:
         self.n = len(self.frames)
 
     def batches(self, seed: int, epoch: int, size: int):
-        order = np.random.default_rng([seed, epoch]).permutation(self.n)
+        # as operators.sampling.batches orders them
+        order = sorted(self.frames, key=lambda f: (hashlib.md5(f"{seed}:{epoch}:{f.frame_id}".encode()).hexdigest(), f.frame_id))
         for lo in range(0, self.n, size):
-            yield [self.frames[k] for k in order[lo : lo + size]]
+            yield order[lo : lo + size]
 
     def step(self, model, chosen, weights, want_gradient=True):
         chosen = self.frames if chosen is None else chosen
@@ -171,16 +177,39 @@ class SparkData:
             yield self.rows.join(order.where(F.col("batch") == k), "frame_id", "left_semi")
         order.unpersist()
 
-    def _pass(self, rows: DataFrame, run: Callable[[list[Frame]], np.ndarray]) -> list[np.ndarray]:
+    def _pass(self, rows: DataFrame, run: Callable[[list[Frame]], np.ndarray], combine: Callable = np.add) -> np.ndarray:
+        """``run`` on groups of frames; what it gives is combined in each task, then in a few, then here."""
         cutoff = self.cutoff
+        few = max(1, int(self.groups**0.5))
+
+        def row(found: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([found.astype("<f8").tobytes()], pa.binary())], ["x"])
 
         def go(batches):
+            found = None
             for batch in batches:
                 frames = [to_frame(r, cutoff) for r in batch.to_pylist()]
                 for k in range(0, len(frames), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array([run(frames[k : k + 64]).astype("<f8").tobytes()], pa.binary())], ["x"])
+                    one = run(frames[k : k + 64])
+                    found = one if found is None else combine(found, one)
+            if found is not None:
+                yield row(found)
 
-        return [np.frombuffer(r["x"], "<f8") for r in rows.mapInArrow(go, "x binary").toLocalIterator()]
+        def add(batches):
+            found = None
+            for batch in batches:
+                for x in batch.column("x"):
+                    one = np.frombuffer(x.as_py(), "<f8")
+                    found = one if found is None else combine(found, one)
+            if found is not None:
+                yield row(found)
+
+        parts = rows.mapInArrow(go, "x binary").repartition(few).mapInArrow(add, "x binary").collect()  # ``few`` rows, of the model's size
+        out = None
+        for r in parts:
+            one = np.frombuffer(r["x"], "<f8")
+            out = one if out is None else combine(out, one)
+        return out
 
     def step(self, model, chosen, weights, want_gradient=True):
         rows = self.rows if chosen is None else chosen
@@ -188,17 +217,16 @@ class SparkData:
         if want_gradient:
             c = rows.agg(F.count("energy"), F.sum(F.when(F.col("forces").isNotNull(), F.size("type"))), F.count("virial")).first()
             total = tuple(int(x or 0) for x in c)
-        parts = self._pass(rows, lambda f: np.concatenate([x for x in step(model, f, weights, total, want_gradient) if x is not None]))
-        both = np.sum(parts, axis=0)
-        return both[: len(SUMS)], both[len(SUMS) :] if want_gradient else None
+        both = self._pass(rows, lambda f: np.concatenate([x for x in step(model, f, weights, total, want_gradient) if x is not None]))
+        return both[: len(SUMS)], both[len(SUMS) :].copy() if want_gradient else None
 
     def descriptor_range(self, model: Model):
-        parts = self._pass(self.rows, lambda f: np.stack([(q := State(model, collate(f)).q).min(axis=1), q.max(axis=1)]).ravel())
-        both = np.array(parts).reshape(len(parts), 2, -1)
-        return both[:, 0].min(axis=0), both[:, 1].max(axis=0)
+        least = self._pass(self.rows, lambda f: np.concatenate([(q := State(model, collate(f)).q).min(axis=1), -q.max(axis=1)]), np.minimum)
+        lo, hi = np.split(least, 2)
+        return lo, -hi
 
     def most_neighbors(self, shape):
-        most = np.max(self._pass(self.rows, lambda f: np.array(LocalData(f).most_neighbors(shape), float)), axis=0)
+        most = self._pass(self.rows, lambda f: np.array(LocalData(f).most_neighbors(shape), float), np.maximum)
         return int(most[0]), int(most[1])
 
     def mean_energy(self) -> float:
@@ -299,29 +327,69 @@ def log_row(epoch: int, loss: float, m: dict, valid: dict | None) -> list[float]
     return [epoch, loss, *values(m), *(values(valid) if valid else [])]
 
 
-def save_checkpoint(path: str, model: Model, adam: Adam, state: dict) -> None:
-    """A folder: parameters and moments in one file, the rest as JSON; the JSON goes last and completes it."""
+def save_checkpoint(path: str, model: Model, adam: Adam, state: dict, averaged: np.ndarray | None = None) -> None:
+    """A folder: parameters, moments and the average of stage 2 in one file, the rest as JSON; the JSON goes last and completes it."""
     os.makedirs(path, exist_ok=True)
-    np.savez(os.path.join(path, "arrays.npz"), x=model.vector(), q=model.q_scaler, m=adam.m, v=adam.v, top=adam.top)
+    more = {} if averaged is None else {"averaged": averaged}
+    np.savez(os.path.join(path, "arrays.npz"), x=model.vector(), q=model.q_scaler, m=adam.m, v=adam.v, top=adam.top, **more)
     with open(os.path.join(path, "state.json.tmp"), "w") as out:
         json.dump(state | {"t": adam.t, "lr": adam.lr, "neighbors": list(model.most_neighbors)}, out)
     os.replace(os.path.join(path, "state.json.tmp"), os.path.join(path, "state.json"))
 
 
 def load_checkpoint(path: str, model: Model) -> tuple[Model, Adam, dict]:
+    """The state has the average of stage 2 as ``averaged``, None before."""
     with open(os.path.join(path, "state.json")) as file:
         state = json.load(file)
     with np.load(os.path.join(path, "arrays.npz")) as a:
         model = replace(model.with_vector(a["x"]), q_scaler=a["q"].copy(), most_neighbors=tuple(state["neighbors"]))
         adam = Adam(len(a["x"]), state["lr"])
         adam.m, adam.v, adam.top, adam.t = a["m"].copy(), a["v"].copy(), a["top"].copy(), state["t"]
+        state["averaged"] = a["averaged"].copy() if "averaged" in a else None
     return model, adam, state
 
 
-def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int = 0, uniform: bool = False, finetune_from: str | None = None, resume_from: str | None = None, recompute_scaler: bool = False, average: bool = False, on_epoch: Callable | None = None) -> dict:
-    """Returns best and final models and the loss log. A resumed run takes its checkpoint's seed, rate and stage."""
+def fresh_seed() -> int:
+    return int.from_bytes(os.urandom(4), "big")
+
+
+class RunLog:
+    """Lines of a run to ``train.log`` in its folder, if it has one, and to the logger. A resumed run adds to its file."""
+
+    def __init__(self, out_dir: str | None, resumed: bool):
+        self.path = os.path.join(out_dir, "train.log") if out_dir else None
+        if out_dir:
+            os.makedirs(out_dir, exist_ok=True)
+            if not resumed:
+                open(self.path, "w").close()
+
+    def __call__(self, text: str) -> None:
+        log.info(text)
+        if self.path:
+            with open(self.path, "a") as file:
+                file.write(text + "\n")
+
+    def banner(self, config: Config, model: Model, n_train: int, n_valid: int | None, seed: int) -> None:
+        width = 72
+        self("=" * width)
+        self("pericell: fitting a model of periodic point sets")
+        self("=" * width)
+        self(config.summary())
+        self(f"{'parameters':24} {len(model.vector())}")
+        self(f"{'descriptor components':24} {model.shape.dim}")
+        self(f"{'frames':24} {n_train}" + ("" if n_valid is None else f" and {n_valid} for validation"))
+        self(f"{'most neighbors':24} {model.most_neighbors[0]} {model.most_neighbors[1]}")
+        self(f"{'seed':24} {seed}")
+        self("-" * width)
+        self(" ".join(f"{h:>12}" for h in (*HEADER, *([f"{h}_test" for h in HEADER[2:]] if n_valid else []))))
+
+
+def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int | None = 0, uniform: bool = False, finetune_from: str | None = None, resume_from: str | None = None, recompute_scaler: bool = False, average: bool = False, on_epoch: Callable | None = None) -> dict:
+    """Returns best and final models and the loss log. A resumed run takes its checkpoint's seed, rate, stage, start of
+    stage 2 and average. Without a seed a fresh one is drawn. ``on_epoch`` gets the epoch and the model after each."""
     if finetune_from and resume_from:
         raise ValueError("finetune or resume, not both")
+    seed, tell = fresh_seed() if seed is None else seed, RunLog(out_dir, bool(resume_from))
     model = Model.random(config.shape(), seed, uniform)
     if finetune_from:
         old = load_model(finetune_from)
@@ -339,8 +407,7 @@ def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int
         schedule.__dict__.update(state["schedule"])
         stop.__dict__.update(state["stop"])
         rows = [r for r in state["log"] if r[0] <= state["epoch"]]
-        if state["stage"] == 2:
-            stage2 = 0
+        stage2, averaged, n_averaged = 0 if state["stage"] == 2 else state["start_stage2"], state["averaged"], state["n_averaged"]
         best = (state["best_loss"], model.with_vector(np.array(state["best"])) if state["best"] else None, state["best_epoch"])
     else:
         if not finetune_from or recompute_scaler:
@@ -348,12 +415,20 @@ def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int
         if not finetune_from:
             model.b1 = -data.mean_energy()
     in_stage2 = bool(resume_from) and stage2 == 0
+    if not resume_from:
+        tell.banner(config, model, data.n, valid.n if valid else None, seed)
     epoch = first - 1
+
+    def keep(name: str, done: int) -> None:
+        if out_dir:
+            state = {"epoch": done, "seed": seed, "weights": weights, "stage": 2 if in_stage2 else 1, "start_stage2": stage2, "n_averaged": n_averaged, "schedule": schedule.__dict__, "stop": stop.__dict__, "log": rows, "best_loss": best[0], "best": list(best[1].vector()) if best[1] else None, "best_epoch": best[2]}
+            save_checkpoint(os.path.join(out_dir, name), model, adam, state, averaged)
+
     while epoch < config.epoch:
         epoch += 1
         if stage2 and epoch >= stage2 and not in_stage2:
-            if out_dir:
-                save_checkpoint(os.path.join(out_dir, "checkpoint_stage1"), model, adam, {"epoch": epoch - 1, "seed": seed, "weights": weights, "stage": 1, "schedule": schedule.__dict__, "stop": stop.__dict__, "log": rows, "best_loss": best[0], "best": list(best[1].vector()) if best[1] else None, "best_epoch": best[2]})
+            keep("checkpoint_stage1", epoch - 1)
+            tell(f"stage 2 from epoch {epoch}")
             in_stage2, weights, adam.lr = True, config.stage2_weights, config.stage2_lr
             schedule = Schedule(config.lr_scheduler, config.patience, config.factor, config.stop_lr)
             stop, best = EarlyStop(config.early_stop), (float("inf"), None, 0)
@@ -384,19 +459,21 @@ def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int
                 loss = weighted(means(frozen, centered=True), weights)
             if loss < best[0]:
                 best = (loss, candidate, epoch)
-        if out_dir:
-            save_checkpoint(os.path.join(out_dir, "checkpoint"), model, adam, {"epoch": epoch, "seed": seed, "weights": weights, "stage": 2 if in_stage2 else 1, "schedule": schedule.__dict__, "stop": stop.__dict__, "log": rows, "best_loss": best[0], "best": list(best[1].vector()) if best[1] else None, "best_epoch": best[2]})
+        tell(" ".join(f"{x:12.6g}" for x in rows[-1]))
+        stop_now = stop.done(loss)
+        if stop_now and stage2 and not in_stage2:
+            stage2, stop_now = epoch + 1, False  # stage 1 has ended; a resumed run must know
+        keep("checkpoint", epoch)
         if on_epoch:
             on_epoch(epoch, model)
-        if stop.done(loss):
-            if stage2 and not in_stage2:
-                stage2 = epoch + 1
-                continue
+        if stop_now:
+            tell(f"no gain for {config.early_stop} epochs, stopped at epoch {epoch}")
             break
     if averaged is not None:
         model = model.with_vector(averaged)
         model.b1 += means(data.step(model, None, weights, False)[0], centered=False)["residual"]
     out = {"final": model, "best": best[1] or model, "best_loss": best[0], "best_epoch": best[2], "log": rows, "seed": seed}
+    tell(f"best loss {best[0]:.6g} at epoch {best[2]}")
     if out_dir:
         from .model import save_model
 
@@ -417,12 +494,18 @@ def load_data(rows: DataFrame, cutoff: float, local_atoms: int = 200_000):
     return SparkData(rows, cutoff)
 
 
-def train(spark, config: Config, xyz_file: str, valid_file: str | None = None, valid_ratio: float | None = None, out_dir: str | None = None, seed: int = 0, local_atoms: int = 200_000, slim_types: bool = False, **parameters) -> dict:
-    """From a file: read, split, prepare, fit."""
+def train(spark, config: Config, xyz_file: str, valid_file: str | None = None, valid_ratio: float | None = None, out_dir: str | None = None, seed: int | None = None, local_atoms: int = 200_000, slim_types: bool = False, prediction_interval: int = 0, **parameters) -> dict:
+    """From files: read, split, prepare, fit, predict.
+
+    With ``out_dir`` the tables of predictions for the training set, and for the validation set as the test set, are
+    written at the end with the final model, and every ``prediction_interval`` epochs with the model of that epoch.
+    """
+    from .predict import write_predictions
     from .sources.extxyz import read_xyz, to_atoms, to_frames
 
     if valid_file and valid_ratio:
         raise ValueError("a validation file or a ratio, not both")
+    seed = fresh_seed() if seed is None else seed
     resume = parameters.get("resume_from")
     if resume:  # the split must be the same again
         with open(os.path.join(resume, "state.json")) as file:
@@ -443,4 +526,20 @@ def train(spark, config: Config, xyz_file: str, valid_file: str | None = None, v
     elif valid_file:
         valid = read_xyz(spark, valid_file)
     data = load_data(rows(read), cutoff, local_atoms)
-    return fit(config, data, load_data(rows(valid), cutoff, local_atoms) if valid is not None else None, out_dir, seed, **parameters)
+
+    def predict(model: Model) -> None:
+        for some, suffix in ((read, "train"), (valid, "test")):
+            if out_dir and some is not None:
+                write_predictions(some, model, out_dir, suffix=suffix)
+
+    given = parameters.pop("on_epoch", None)
+
+    def on_epoch(epoch: int, model: Model) -> None:
+        if prediction_interval and epoch % prediction_interval == 0 and epoch != config.epoch:
+            predict(model)
+        if given:
+            given(epoch, model)
+
+    out = fit(config, data, load_data(rows(valid), cutoff, local_atoms) if valid is not None else None, out_dir, seed, on_epoch=on_epoch, **parameters)
+    predict(out["final"])
+    return out

@@ -1,3 +1,4 @@
+import json
 import os
 from dataclasses import replace
 
@@ -78,6 +79,40 @@ def test_same_seed_same_run_and_resume(tmp_path):
         T.fit(config, data(), finetune_from="x", resume_from="y")
 
 
+def test_resume_keeps_the_jump_and_the_average(tmp_path):
+    """Early stop in stage 1 begins stage 2; a run stopped there and resumed ends as one that went through."""
+    config = replace(parse_config(CONFIG + "stage2 1\nearly_stop 1\nlr 1e-12\n"), epoch=9, start_stage2=8, stage2_lr=0.01)
+    whole = T.fit(config, data(), seed=5, out_dir=str(tmp_path / "a"), average=True)
+    with open(tmp_path / "a" / "checkpoint_stage1" / "state.json") as file:
+        jump = json.load(file)
+    assert jump["epoch"] < 7  # before the configured start
+    for last in (jump["epoch"], jump["epoch"] + 1):
+
+        class Stop(Exception):
+            pass
+
+        def stop(epoch, model, last=last):
+            if epoch == last:
+                raise Stop
+
+        with pytest.raises(Stop):
+            T.fit(config, data(), seed=5, out_dir=str(tmp_path / f"b{last}"), average=True, on_epoch=stop)
+        more = T.fit(config, data(), out_dir=str(tmp_path / "c"), resume_from=str(tmp_path / f"b{last}" / "checkpoint"), average=True)
+        assert more["log"] == whole["log"] and np.allclose(more["final"].vector(), whole["final"].vector(), rtol=1e-12)
+
+
+def test_a_run_without_a_seed_draws_one(tmp_path):
+    config = replace(parse_config(CONFIG), epoch=1)
+    a, b = (T.fit(config, data(), seed=None, out_dir=str(tmp_path / n)) for n in "ab")
+    assert a["seed"] != b["seed"] and not np.array_equal(a["final"].vector(), b["final"].vector())
+    with open(tmp_path / "a" / "checkpoint" / "state.json") as file:
+        assert json.load(file)["seed"] == a["seed"]
+    assert np.array_equal(T.fit(config, data(), seed=a["seed"])["final"].vector(), a["final"].vector())
+    with open(tmp_path / "a" / "train.log") as file:
+        text = file.read()
+    assert f"seed                     {a['seed']}" in text and "neuron" in text and "(default)" in text and "best loss" in text
+
+
 def test_validation_loss_and_average():
     out = T.fit(parse_config(CONFIG + "stage2 1\n"), data(), valid=data(4), seed=2, average=True)
     assert len(out["log"][0]) == 10
@@ -116,8 +151,12 @@ def test_from_file_in_spark_as_on_the_driver(spark, tmp_path):
     a = T.train(spark, config, path, seed=4, out_dir=str(tmp_path / "a"))
     b = T.train(spark, config, path, seed=4, local_atoms=0)
     assert np.allclose(a["final"].vector(), b["final"].vector(), rtol=1e-9, atol=1e-12)
-    c = T.train(spark, replace(config, batch=4), path, seed=4, valid_ratio=0.25)
-    assert len(c["log"][0]) == 10
+    some = replace(config, batch=4, epoch=2)
+    c, d = (T.train(spark, some, path, seed=4, valid_ratio=0.25, local_atoms=n, out_dir=str(tmp_path / f"c{n}"), prediction_interval=1) for n in (0, 10**6))
+    assert len(c["log"][0]) == 10 and np.allclose(c["final"].vector(), d["final"].vector(), rtol=1e-7, atol=1e-10)
+    for kind in ("energy", "force", "virial", "stress"):
+        sizes = [sum(1 for _ in spark.read.text(str(tmp_path / "c0" / f"{kind}_{suffix}.out")).toLocalIterator()) for suffix in ("train", "test")]
+        assert sizes == ([54, 18] if kind == "force" else [9, 3])
     with pytest.raises(ValueError):
         T.train(spark, config, path, valid_file=path, valid_ratio=0.1)
     out = predict_dataset(spark, str(tmp_path / "a" / "nep.txt"), path, str(tmp_path / "out"), output_descriptor=1)
@@ -130,6 +169,7 @@ def test_from_file_in_spark_as_on_the_driver(spark, tmp_path):
                 lines += text.read().split("\n")[:-1]
     assert len(lines) == 12 and np.isnan(float(lines[3].split()[1])) and np.isclose(float(lines[0].split()[0]), rows[0].pred)
     k, t, x, e, f, v = structures()[1]
+    assert Calculator(str(tmp_path / "a" / "nep.txt")).model.shape == model.shape
     one = Calculator(model).compute([("Te", "Pb")[i] for i in t], x, CELL, descriptor=True, components=True)
     assert np.isclose(one["energy"] / 6, rows[1].pred, rtol=1e-9) and one["stress"].shape == (6,)
     assert "stress" not in Calculator(model).compute(["Te", "Pb"], x[:2], None)
