@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
-from .tokens import Chunks, cut
+from .store import tidy, written
+from .tokens import Chunks
 
 BROADCAST_ROWS = 1_000_000
 RANKS = 40  # bits for a piece's number among those of its length
@@ -41,14 +41,14 @@ RANKS = 40  # bits for a piece's number among those of its length
 
 @lru_cache(2)
 def encoder(name: str) -> Chunks:
-    return Chunks(name, lambda ids: array("I", ids).tobytes())
+    return Chunks(name, lambda ids: array("I", ids).tobytes(), direct=True)
 
 
 def encoded(texts: list[str | None], name: str, span_chars: int = 1 << 16) -> list[bytes]:
     """Unsigned 32-bit ids of each text, little-endian as the machines here are."""
     spans, owners = [], []
     for i, text in enumerate(texts):
-        for span in cut(text or "", span_chars):
+        for span in encoder(name).cut(text or "", span_chars):
             spans.append(span)
             owners.append(i)
     out: list[list] = [[] for _ in texts]
@@ -84,6 +84,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owners)), *arrays], [id_col, "piece", "start", "length", "ids", "part", "place"])
+        tidy()
 
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return given.mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary, part int, place bigint")
