@@ -1,12 +1,16 @@
 """Extended XYZ: frames as blocks of a count line, a comment line and one line per atom.
 
-A block's length stands in its first line, so a file is cut by one pass that reads
-count lines and skips the rest; each range of frames is a partition.
+``read_xyz`` reads a file or a folder of files through Spark's text reader, so that
+they may lie in any store and nothing is read by the driver: each split of a file is
+cut into frames where it lies, and only the pieces of frames that cross from one
+split into the next are put together. It gives a row per frame: frame_id (order in
+the files, by path), natoms, cell, energy, virial, species, pos, forces (null if
+absent), block (the text itself, less than 2 GB).
 
     register(spark); spark.read.format("extxyz").load(path)
 
-gives a row per frame: frame_id (order in the file), natoms, cell, energy, virial,
-species, pos, forces (null if absent), block (the text itself).
+gives the same rows of one local file: a block's length stands in its first line, so
+one pass over count lines cuts the file into ranges of frames, one a partition.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -162,32 +166,159 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Extxyz)
 
 
-def read_xyz(spark: SparkSession, path: str, energy_key: str = "energy") -> DataFrame:
-    """One local file, or a folder that Spark reads with one frame range a file (``*.xyz`` parts of write_xyz)."""
-    register(spark)
-    return spark.read.format("extxyz").option("energykey", energy_key).load(path)
+COUNT = re.compile(r"\s*\d+\s*").fullmatch
+PIECE = "file string, start bigint, no int, whole boolean, value string"
+
+
+class Cutter:
+    """Cuts the lines of one split into pieces (no, whole, text): frames, and before and after them parts of frames.
+
+    Inside a frame its count says how many lines follow. Before the first one a frame is known to begin at a
+    count line whose next line has Properties: a line of an atom has more than one field.
+    """
+
+    def __init__(self):
+        self.lines: list[str] = []
+        self.missing: int | None = None  # lines of the frame that are still to come; None before the first frame
+        self.no = -1
+
+    def add(self, line: str) -> Iterator[tuple[int, bool, str]]:
+        if self.missing is None:
+            begins = bool(self.lines) and bool(COUNT(self.lines[-1])) and "properties=" in line.lower()
+            if begins:
+                first = self.lines.pop()
+                if self.lines:
+                    yield -1, False, "\n".join(self.lines)
+                self.lines, self.missing, self.no = [first], int(first) + 1, 0
+            self.lines.append(line)
+            if begins:
+                self.missing -= 1
+        elif self.missing == 0 and not self.lines:
+            if not COUNT(line):
+                raise ValueError(f"a count is expected, not {line[:40]!r}")
+            self.lines, self.missing, self.no = [line], int(line) + 1, self.no + 1
+        else:
+            self.lines.append(line)
+            self.missing -= 1
+        if self.missing == 0 and self.lines:
+            yield self.no, True, "\n".join(self.lines)
+            self.lines = []
+
+    def end(self) -> Iterator[tuple[int, bool, str]]:
+        if self.lines:
+            yield self.no, False, "\n".join(self.lines)
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, start (of the split), no (order in the split; -1 before its first frame), whole, value."""
+    import pyarrow as pa
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        at, cutter = None, Cutter()
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "start", "no", "whole", "value"])
+            rows.clear()
+            return batch
 
-
-def read_blocks(spark: SparkSession, path: str, energy_key: str = "energy") -> DataFrame:
-    """Parts written by write_xyz, through Spark's own text reader on any store: whole files in parallel."""
+        for batch in batches:
+            for line, file, start in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start")), strict=True):
+                if at != (file, start):
+                    rows += [(*at, *p) for p in cutter.end()] if at else []
+                    at, cutter = (file, start), Cutter()
+                rows += [(*at, *p) for p in cutter.add(line)]
+            if rows:
+                yield out()
+        rows += [(*at, *p) for p in cutter.end()] if at else []
+        if rows:
+            yield out()
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.mapInArrow(cut, PIECE)
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """frame_id, value: the text of every frame."""
+    cut = pieces(spark, path)
+    splits = cut.groupBy("file", "start").agg(F.max("no").alias("last"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    splits = splits.withColumn("joint", F.last(F.when(F.col("last") >= 0, F.col("start")), ignorenulls=True).over(before))
+    # a piece before the first frame of a split goes with the last split that has the beginning of one; a file may have none before it
+    parts = cut.where("not whole").join(splits.select("file", "start", "joint"), ["file", "start"])
+    parts = parts.withColumn("of", F.when(F.col("no") >= 0, F.col("start")).otherwise(F.coalesce("joint", F.lit(-1))))
+    joined = parts.groupBy("file", F.col("of").alias("start")).agg(F.max("no").alias("no"), F.sort_array(F.collect_list(F.struct("start", "no", "value"))).alias("p"))
+    joined = joined.select("file", "start", "no", F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"))
+    # what was put together may hold several frames when counts stood at the end of splits
+    mended = joined.mapInArrow(_blocks, "file string, start bigint, no int, sub int, value string")
+    whole = cut.where("whole").select("file", "start", "no", F.lit(0).alias("sub"), "value")
+    every = whole.unionByName(mended)
+    counts = every.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    counts = counts.select("file", "start", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("no", "sub")) - 1
+    return every.withColumn("at", inside).join(counts, ["file", "start"]).select((F.col("ahead") + F.col("at")).cast("long").alias("frame_id"), "value")
+
+
+def _blocks(batches):
+    """The frames of texts that are runs of whole frames."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = []
+        for file, start, no, text in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "no", "value")), strict=True):
+            lines, at, sub = text.split("\n"), 0, 0
+            while at < len(lines):
+                size = int(lines[at]) + 2
+                if at + size > len(lines):
+                    raise ValueError(f"the last frame of {file} is cut short")
+                rows.append((file, start, no, sub, "\n".join(lines[at : at + size])))
+                at, sub = at + size, sub + 1
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "start", "no", "sub", "value"])
+
+
+def parsed(blocks: DataFrame, energy_key: str = "energy", keep_ids: bool = False) -> DataFrame:
+    """Rows as SCHEMA from frame_id and value; ``keep_ids``: a tag frame_id in the comment stands before the order."""
     import pandas as pd
 
+    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch["value"]:
-                lines = text.split("\n")
-                at = 0
-                while at < len(lines) and lines[at].strip():
-                    n = int(lines[at])
-                    block = "\n".join(lines[at : at + n + 2]) + "\n"
-                    f = parse_block(block, energy_key)
-                    key = scalar_tag(lines[at + 1], "frame_id")
-                    rows.append((int(key) if key else None, f["natoms"], f["cell"], f["energy"], f["virial"], f["species"], f["pos"], f["forces"], block))
-                    at += n + 2
-            yield pd.DataFrame(rows, columns=["frame_id", "natoms", "cell", "energy", "virial", "species", "pos", "forces", "block"])
+            for key, text in zip(batch["frame_id"], batch["value"], strict=True):
+                f = parse_block(text, energy_key)
+                tag = scalar_tag(text.split("\n", 2)[1], "frame_id") if keep_ids else None
+                rows.append((int(tag) if tag else key, f["natoms"], f["cell"], f["energy"], f["virial"], f["species"], f["pos"], f["forces"], text + "\n"))
+            yield pd.DataFrame(rows, columns=names)
+
+    return blocks.mapInPandas(parse, SCHEMA)
+
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, SCHEMA)
+def read_xyz(spark: SparkSession, path: str, energy_key: str = "energy", keep_ids: bool = False) -> DataFrame:
+    """A row per frame of a file or a folder of files, in any store that Spark reads."""
+    return parsed(numbered(spark, path), energy_key, keep_ids)
+
+
+def read_blocks(spark: SparkSession, path: str, energy_key: str = "energy") -> DataFrame:
+    """Parts written by write_xyz, with the frame ids that they had."""
+    return read_xyz(spark, path, energy_key, keep_ids=True)
+
+
+def from_structures(spark: SparkSession, structures: list[dict]) -> DataFrame:
+    """Structures in memory as read_xyz gives them: dicts of species, positions and cell, and where known energy,
+    forces and virial. They are the driver's own objects, sent once; larger sets come as files or tables."""
+    flat = lambda x: None if x is None else [float(v) for v in np.ravel(x)]
+    rows = []
+    for k, one in enumerate(structures):
+        species, pos, cell = list(one["species"]), flat(one["positions"]), flat(one["cell"])
+        forces, virial, energy = flat(one.get("forces")), flat(one.get("virial")), one.get("energy")
+        if len(pos) != 3 * len(species) or len(cell) != 9 or len(forces or pos) != len(pos) or len(virial or cell) != 9:
+            raise ValueError(f"structure {k}: the sizes of its arrays differ")
+        rows.append((k, len(species), cell, None if energy is None else float(energy), virial, species, pos, forces, None))
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def to_atoms(read: DataFrame) -> DataFrame:
@@ -214,30 +345,25 @@ def block_text(atoms: DataFrame, frames: DataFrame) -> DataFrame:
     return per.join(frames.select("frame_id", "cell", "energy"), "frame_id").select("frame_id", F.concat_ws("\n", F.col("n").cast("string"), comment, body).alias("value"))
 
 
-def write_xyz(atoms: DataFrame, frames: DataFrame, path: str, parts: int = 8) -> None:
-    """Parts in ranges of frames, each in order."""
-    text = block_text(atoms, frames).repartitionByRange(parts, "frame_id").sortWithinPartitions("frame_id")
+def write_xyz(atoms: DataFrame, frames: DataFrame, path: str) -> None:
+    """Parts in ranges of frames, each in order, as many as the frames ask for."""
+    text = block_text(atoms, frames).repartitionByRange("frame_id").sortWithinPartitions("frame_id")
     text.select("value").write.text(path)
 
 
 def export_split(spark: SparkSession, path: str, ratio: float, seed: int, out_dir: str, energy_key: str = "energy") -> tuple[str, str, int, int]:
-    """train.xyz and test.xyz with the blocks of ``path`` as they are, in order; refuses to write over its input."""
-    import os
-
+    """Folders train.xyz and test.xyz with the blocks of ``path`` as they are, in order, in parts; refuses to write over its input."""
     from ..operators.sampling import split
 
-    targets = [os.path.join(out_dir, f"{n}.xyz") for n in ("train", "test")]
-    if any(os.path.exists(t) and os.path.samefile(t, path) for t in targets):
+    targets = [f"{out_dir.rstrip('/')}/{n}.xyz" for n in ("train", "test")]
+    whole = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p)).toString()
+    if any(whole(t) == whole(path) for t in targets):
         raise ValueError("the split would overwrite its input")
-    os.makedirs(out_dir, exist_ok=True)
-    marked = split(read_xyz(spark, path, energy_key).select("frame_id", "block"), ratio, seed).persist()
-    sizes = []
+    blocks = numbered(spark, path).persist()
+    marked = blocks.join(split(blocks.select("frame_id"), ratio, seed), "frame_id")
     for target, valid in zip(targets, (False, True), strict=True):
-        n = 0
-        with open(target, "w") as out:
-            for row in marked.where(F.col("valid") == valid).orderBy("frame_id").toLocalIterator():
-                out.write(row["block"])
-                n += 1
-        sizes.append(n)
-    marked.unpersist()
-    return (*targets, *sizes)
+        own = marked.where(F.col("valid") == valid).repartitionByRange("frame_id").sortWithinPartitions("frame_id")
+        own.select("value").write.mode("overwrite").text(target)
+    n, m = (marked.where(F.col("valid") == valid).count() for valid in (False, True))
+    blocks.unpersist()
+    return (*targets, n, m)

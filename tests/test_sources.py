@@ -44,20 +44,52 @@ def test_written_parts_read_back(spark, tmp_path):
     with open(path, "w") as out:
         out.write(BLOCK * 9)
     read = E.read_xyz(spark, path)
-    E.write_xyz(E.to_atoms(read), E.to_frames(read), str(tmp_path / "parts"), 3)
+    E.write_xyz(E.to_atoms(read), E.to_frames(read), str(tmp_path / "parts"))
     back = E.read_blocks(spark, str(tmp_path / "parts")).orderBy("frame_id").collect()
     for a, b in zip(read.orderBy("frame_id").collect(), back, strict=True):
         assert (a.frame_id, a.species, a.pos, a.forces, a.cell, a.energy) == (b.frame_id, b.species, b.pos, b.forces, b.cell, b.energy)
 
 
+@pytest.mark.parametrize("size", ["150b", "333b", "1500b", "128m"])
+def test_splits_of_files_are_put_together(spark, tmp_path, size):
+    """Splits much shorter than a frame, in a folder of two files, read through Spark alone."""
+    blocks = [BLOCK.replace("-3.5", f"-{k}.5") if k % 3 else PLAIN for k in range(25)]
+    wide = "30\n" + BLOCK.split("\n")[1] + "\n" + "0.0 0.1 0.2 Te 1 2 3\n" * 30
+    blocks[7] = blocks[19] = wide
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xyz").write_text("".join(blocks[:20]))
+    (tmp_path / "in" / "b.xyz").write_text("".join(blocks[20:]).rstrip("\n"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = E.read_xyz(spark, str(tmp_path / "in")).orderBy("frame_id").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r.frame_id for r in got] == list(range(25)) and [r.block for r in got] == blocks
+    (tmp_path / "short.xyz").write_text(BLOCK + BLOCK[:-30])
+    with pytest.raises(Exception, match="cut short"):
+        E.read_xyz(spark, str(tmp_path / "short.xyz")).collect()
+
+
+def test_structures_in_memory(spark):
+    one = E.parse_block(BLOCK)
+    given = {"species": one["species"], "positions": np.reshape(one["pos"], (2, 3)), "cell": np.diag([4, 5, 6]), "forces": one["forces"], "energy": -3.5}
+    rows = E.from_structures(spark, [given, {"species": ["Te"], "positions": [[0, 0, 1]], "cell": np.eye(3)}]).orderBy("frame_id").collect()
+    assert (rows[0].pos, rows[0].cell, rows[0].energy, rows[0].forces) == (one["pos"], one["cell"], -3.5, one["forces"])
+    assert rows[1].natoms == 1 and rows[1].energy is None and E.to_atoms(E.from_structures(spark, [given])).count() == 2
+    with pytest.raises(ValueError):
+        E.from_structures(spark, [given | {"positions": [[0, 0, 1]]}])
+
+
 def test_export_split_keeps_text(spark, tmp_path):
     path = str(tmp_path / "a.xyz")
     blocks = [BLOCK.replace("-3.5", f"-{k}.5") for k in range(20)]
     with open(path, "w") as out:
         out.write("".join(blocks))
     train, test, n, m = E.export_split(spark, path, 0.2, 5, str(tmp_path / "split"))
-    with open(train) as a, open(test) as b:
-        parts = a.read(), b.read()
+    parts = ["".join(r.block for r in E.read_xyz(spark, p).orderBy("frame_id").collect()) for p in (train, test)]
     assert (n, m) == (16, 4) and sum(map(len, parts)) == sum(map(len, blocks)) and all((x in parts[0]) != (x in parts[1]) for x in blocks)
     with pytest.raises(ValueError):
         E.export_split(spark, train, 0.2, 5, str(tmp_path / "split"))
