@@ -643,6 +643,61 @@ def m19_predict_large(spark, sf_dir):
     return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), small_model()).select("frame_id", "atom_id", "energy"))
 
 
+def radial_model():
+    """small_model without angular terms: its forces can be asked for in SQL."""
+    from ..model import Model, Shape
+
+    model = Model.random(Shape(("A", "N", "R"), RC, RA, N_RADIAL - 1, N_ANGULAR - 1, BASIS, BASIS, 0, (), 4), 0)
+    n, k = np.meshgrid(np.arange(4), np.arange(N_RADIAL), indexing="ij")
+    model.c2, model.w0 = C2, np.stack([((n * 7 + k * 3 + t) % 11 - 5) / 50.0 for t in range(NT)])
+    model.b0, model.w1, model.b1 = np.tile([0.1, -0.2, 0.3, 0.0], (NT, 1)), np.tile([0.5, -1.0, 0.25, 0.75], (NT, 1)), B1
+    return model
+
+
+def radial_net_sql() -> tuple[str, list[str]]:
+    """Energy of an atom for radial_model from r, and its derivatives by q_0, q_1 and q_2."""
+    weight = lambda n, k: f"(((({n * 7 + k * 3}) + type) % 11 - 5) / 5e1)"
+    out = list(zip(("0.5e0", "(-1e0)", "0.25e0", "0.75e0"), ("0.1e0", "(-0.2e0)", "0.3e0", "0e0"), strict=True))
+    hidden = [f"tanh({' + '.join(f'{weight(n, k)} * q_{k}' for k in range(N_RADIAL))} - {b})" for n, (_, b) in enumerate(out)]
+    energy = " + ".join(f"{w} * {h}" for (w, _), h in zip(out, hidden, strict=True)) + " - 0.125e0"
+    return f"({energy})", ["(" + " + ".join(f"{w} * (1e0 - pow({h}, 2)) * {weight(n, k)}" for n, ((w, _), h) in enumerate(zip(out, hidden, strict=True))) + ")" for k in range(N_RADIAL)]
+
+
+RADIAL_NET, RADIAL_NET_SLOPES = radial_net_sql()
+MODEL_FORCE_SQL = f"""n AS (SELECT frame_id, atom_id, {RADIAL_NET} AS e, {', '.join(f'{u} AS u_{k}' for k, u in enumerate(RADIAL_NET_SLOPES))} FROM r),
+g AS (SELECT p.*, ({' + '.join(f'u_{n} * (' + ' + '.join(f'{coefficient_sql(n, k, 0)} * {e}' for k, e in enumerate(slopes_sql(RC))) + ')' for n in range(N_RADIAL))}) AS size FROM pairs p JOIN n ON p.frame_id = n.frame_id AND p.i = n.atom_id),
+""" + FORCE_SQL[FORCE_SQL.index("h AS (") :]
+
+
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MODEL_FORCE_SQL} SELECT n.frame_id, n.atom_id, round(e, 6) AS energy, {', '.join(r6(f'coalesce(f.{c}, 0e0)', c) for c in FORCE_COLUMNS)} FROM n LEFT JOIN f USING (frame_id, atom_id)")
+def m19_j4_forces_large(spark, sf_dir):
+    """Energies, forces and virials of a model by blocks of center atoms."""
+    from ..predict import predict_large
+
+    return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), radial_model()).select("frame_id", "atom_id", "energy", *FORCE_COLUMNS))
+
+
+@query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MODEL_FORCE_SQL} SELECT t.frame_id, t.atom_id, {', '.join(r6(f'coalesce(f.f{a}, 0e0)', f'f{a}') for a in 'xyz')}, {', '.join(f'round(CAST(t.f{a} AS DOUBLE), 10) AS rf{a}' for a in 'xyz')} FROM atoms t LEFT JOIN f USING (frame_id, atom_id)")
+def k2_force_table(spark, sf_dir):
+    """Predicted and reference forces by the kernel over whole frames; a missing reference is null here and nan in the file."""
+    from ..predict import force_table, predict_atoms
+
+    a = atoms(spark, sf_dir)
+    table_ = force_table(predict_atoms(a, frames(spark, sf_dir), radial_model()), a)
+    refs = [F.when(~F.isnan(f"rf{x}"), F.round(f"rf{x}", 10)).alias(f"rf{x}") for x in "xyz"]
+    return rounded(table_.select("frame_id", "atom_id", "fx", "fy", "fz")).join(table_.select("frame_id", "atom_id", *refs), ["frame_id", "atom_id"])
+
+
+@query(f"WITH {ATOMS_SQL}, {FRAMES_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, n AS (SELECT frame_id, avg({RADIAL_NET}) AS pred, count(*) AS natoms FROM r GROUP BY 1) SELECT frame_id, round(pred, 6) AS pred, round(energy / natoms, 10) AS ref FROM n JOIN frames USING (frame_id)")
+def k1_energy_table(spark, sf_dir):
+    """Predicted and reference energies per atom, by predict_sized, which picks the path by a frame's size."""
+    from ..predict import energy_table, predict_frames, predict_sized
+
+    f = frames(spark, sf_dir)
+    out = energy_table(predict_frames(predict_sized(atoms(spark, sf_dir), f, radial_model(), tiled_from=7), f), f)
+    return out.select("frame_id", F.round("pred", 6).alias("pred"), F.when(~F.isnan("ref"), F.round("ref", 10)).alias("ref"))
+
+
 NINE = "(frame_id % 7) * 0.5e0 + {k} * 0.25e0 - natoms"
 K3_SQL = ", ".join(
     f"round(CASE WHEN energy IS NULL THEN -1e6 ELSE ({NINE.format(k=k)}) {scale} END, 6) AS {name}_{c}"
