@@ -1,20 +1,27 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after another. The model of each sees hashed word
-presence (of words and of their beginnings), the log of the length and the probabilities of the categories before
-it. In training those are out-of-fold: each row's come from a model that did not
-see it, so a later model learns to trust them as far as they hold on new rows.
-Each category's decision threshold is the one of best F1 on its out-of-fold
-probabilities.
+Categories of toxicity are predicted one after another. The model of each sees hashed
+word presence (of words and of their beginnings), the log of the length and the
+probabilities of the categories before it. In training those are out-of-fold: each
+row's come from a model that did not see it, so a later model learns to trust them as
+far as they hold on new rows. Each category's decision threshold is the one of best F1
+on its out-of-fold probabilities; of equally good ones, the highest.
+
+Where labels have one toxic flag alone, the category ``insult`` is labelled from it:
+a toxic document with a word of INSULTS. That is a weak label, for training alone;
+whether a document is scored as one is the model's matter.
 
 Fitting uses at most ``max_rows`` labelled documents, those of least hash of
-their id. Features that fewer than ``least_rows`` of them have are left out.
-Every document is scored, whole.
+their id, and of equal hashes the least id. Of several rows of labels with one id the
+least counts, of several documents with one id the least text. Features that fewer
+than ``least_rows`` of them have are left out. Every document is scored, whole.
 
 A null or empty text has no words and gets the models' intercepts. Rows with a
 null label are not learned from. Without any labelled row, or with one class
 only, a category's probability is the share of that class. Repeated rows are
-scored alike; other columns are not read.
+scored alike, an empty table gives none. Texts are read in slices; a longer one is a
+slice of its own and takes memory in proportion. Other columns are not read, so
+clashing names cannot arise.
 """
 
 from __future__ import annotations
@@ -26,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import tidy
 from .words import U64, Words, mix64, slices
 
 DIMS = 1 << 20
 PREFIXES = (4, 5)  # bytes
+#: Frequent English words of abuse of a person.
+INSULTS = "clown coward disgusting dumb filth fool garbage idiot imbecile loser moron pathetic scum stupid trash worthless".split()
 
 
 class Rows:
@@ -193,9 +203,11 @@ class Chain:
         return extra[:, 1:]
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), max_rows: int = 8_000, **parameters) -> Chain:
-    """``labels``: doc_id and a 0/1 column for each category."""
-    whole = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna().dropDuplicates(["doc_id"])
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("insult", "toxic"), max_rows: int = 8_000, **parameters) -> Chain:
+    """``labels``: doc_id and a 0/1 column for each category; ``insult`` may be left out, and is then made from ``toxic``."""
+    told = [c for c in categories if c != "insult" or c in labels.columns]
+    whole = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in told]).dropna()
+    whole = whole.groupBy("doc_id").agg(F.min(F.struct(*told)).alias("y")).select("doc_id", "y.*")
     some = F.broadcast(whole.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # the documented bound
     names = ["doc_id", *categories]
 
@@ -207,7 +219,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows.length), pa.array(body, pa.binary())], [*names, "length", "words"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} int' for c in categories)}, length double, words binary"
-    found = docs.select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(features, schema).toPandas().sort_values("doc_id")
+    known = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(some, "doc_id")
+    known = known.groupBy("doc_id", *told).agg(F.min("text").alias("text"))
+    if told != list(categories):
+        held = F.lower("text").rlike(rf"\b({'|'.join(INSULTS)})\b")
+        known = known.withColumn("insult", F.when(held, F.col("toxic")).otherwise(0))
+    found = known.select("doc_id", "text", *categories).mapInArrow(features, schema).toPandas().sort_values("doc_id")
     parts = [np.frombuffer(b, "<i4") for b in found["words"]]
     index = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
@@ -225,6 +242,7 @@ def predicted(docs: DataFrame, chain: Chain) -> DataFrame:
             for batch in slices(whole, "text"):
                 p = shared.value.predict(Rows(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(names)))], ["doc_id", *names])
+        tidy()
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} double' for n in names)}")
     return out.select("*", *[(F.col(n) >= t).alias(c) for n, c, t in zip(names, chain.categories, chain.thresholds, strict=True)])
