@@ -7,9 +7,12 @@ checksums, header and stream length, and undoes all five filters by NumPy.
 ``feature`` is the sign of the low-frequency cosine-transform coefficients of
 the image averaged down to 32 x 32, against their median.
 
-A null text is the empty payload. Texts are padded with byte 255 to a positive
-multiple of 576. A damaged image raises ``ValueError``. Repeated rows give
-repeated results; other columns are not read.
+A null or empty text is the empty payload. Texts are padded with byte 255 to a
+positive multiple of 576; a very long one is one image, which takes memory in
+proportion. ``decode`` raises ``ValueError`` for a damaged image; ``read_media`` then
+gives a null payload and feature, so that one image does not end the job. A null
+image has neither. Repeated rows give repeated results, an empty table gives none,
+and there are no ties. Other columns are not read, so clashing names cannot arise.
 """
 
 from __future__ import annotations
@@ -57,6 +60,13 @@ def encode(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
 
 def decode(png: bytes) -> np.ndarray:
     """Samples as (rows, columns) of a PNG with 8-bit grey samples and no interlacing."""
+    try:
+        return _decoded(png)
+    except (zlib.error, struct.error) as e:
+        raise ValueError(f"damaged image: {e}") from e
+
+
+def _decoded(png: bytes) -> np.ndarray:
     if png[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, header, body, ended = 8, None, [], False
@@ -157,6 +167,7 @@ def feature(image: np.ndarray) -> str:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and the PNG of each whole text."""
+    from .store import tidy
     from .words import slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,21 +176,33 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 body = batch.column("payload").to_pylist()
                 media = [encode(pad(x)) for x in body]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in body], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
     return given.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
 
 
+def _image(png: bytes | None) -> np.ndarray | None:
+    try:
+        return None if png is None else decode(png)
+    except ValueError:
+        return None
+
+
 def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds payload and feature, both made from the stored bytes."""
+    """Adds payload and feature, both made from the stored bytes; null for a damaged image."""
+    from .store import tidy
     from .words import slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", 2 << 20):
-                images = [decode(x) for x in batch.column("media").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in images], pa.binary()), pa.array([feature(x) for x in images])], [*batch.schema.names, "payload", "feature"])
+                images = [_image(x) for x in batch.column("media").to_pylist()]
+                payload = pa.array([None if x is None else x.tobytes() for x in images], pa.binary())
+                features = pa.array([None if x is None else feature(x) for x in images], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, payload, features], [*batch.schema.names, "payload", "feature"])
+        tidy()
 
     kind = media.schema[id_col].dataType.simpleString()
     return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary, payload binary, feature string")
