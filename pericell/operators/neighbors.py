@@ -59,16 +59,33 @@ def bins(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
     return out.select("frame_id", "atom_id", "type", *CELL, "na", "nb", "nc", "ba", "bb", "bc", *[F.expr(e).alias(a) for e, a in zip(wrapped, "xyz", strict=True)])
 
 
+#: Offsets to half of the 26 bins around one, and to itself.
+HALF = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
 def cell_list_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
-    """Equi-join on frame and bin over the 27 bins around each atom. Right only with 3 bins and more in each direction."""
+    """Equi-join on frame and bin over the bins around each atom. Right only with 3 bins and more in each direction.
+
+    Atoms go to their own bin and to half of those around it, with the position that they have as seen from there,
+    and the bin's number; each pair is met once and gives both of its directions.
+    """
     binned = bins(atoms, frames, cutoff)
-    one = binned.withColumnsRenamed({"atom_id": "i", "type": "ti", "x": "xi", "y": "yi", "z": "zi"})
-    for b, n, shift in (("ba", "na", "sa"), ("bb", "nb", "sb"), ("bc", "nc", "sc")):
-        one = one.withColumn("off", F.explode(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])))
-        one = one.withColumn(shift, F.expr(f"cast(floor(({b} + off) / {n}) as bigint)")).withColumn(b, F.expr(f"pmod({b} + off, {n})")).drop("off")
-    two = binned.select("frame_id", "ba", "bb", "bc", F.col("atom_id").alias("j"), F.col("type").alias("tj"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"))
-    both = one.join(two, ["frame_id", "ba", "bb", "bc"]).select("*", *[(F.col(f"{a}j") - F.col(f"{a}i")).alias(f"r{a}") for a in "xyz"])
-    return _measured(both, cutoff)
+    bin_of = lambda a, b, c: ((a * F.col("nb") + b) * F.col("nc") + c).alias("bin")
+    two = binned.select("frame_id", bin_of(F.col("ba"), F.col("bb"), F.col("bc")), F.col("atom_id").alias("j"), F.col("type").alias("tj"), *[F.col(a).alias(f"{a}j") for a in "xyz"])
+    offsets = F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"o{k}") for k, x in zip("abc", o, strict=True)]) for o in HALF])
+    one = binned.withColumn("o", F.explode(offsets))
+    there = {k: F.col(f"b{k}") + F.col(f"o.o{k}") for k in "abc"}
+    shift = {k: F.floor(there[k] / F.col(f"n{k}")) for k in "abc"}
+    seen = [(F.col(a) - sum((shift[n] * F.col(f"c{3 * m + k}") for m, n in enumerate("abc")), F.lit(0.0))).alias(f"{a}i") for k, a in enumerate("xyz")]
+    own = (F.col("o.oa") == 0) & (F.col("o.ob") == 0) & (F.col("o.oc") == 0)
+    one = one.select("frame_id", bin_of(*[F.pmod(there[k], F.col(f"n{k}")) for k in "abc"]), F.col("atom_id").alias("i"), F.col("type").alias("ti"), *seen, own.alias("own"))
+    both = one.join(two, ["frame_id", "bin"]).where("not own or i < j")
+    both = both.select("frame_id", "i", "j", "ti", "tj", *[(F.col(f"{a}j") - F.col(f"{a}i")).alias(f"d{a}") for a in "xyz"])
+    both = both.withColumn("d", F.expr("sqrt(dx * dx + dy * dy + dz * dz)")).where((F.col("d") < cutoff) & (F.col("d") > NEAREST))
+    columns = ("i", "j", "ti", "tj", "dx", "dy", "dz", "d")
+    back = {"i": F.col("j"), "j": F.col("i"), "ti": F.col("tj"), "tj": F.col("ti")} | {f"d{a}": 0.0 - F.col(f"d{a}") for a in "xyz"}
+    rows = F.array(F.struct(*columns), F.struct(*[back.get(c, F.col(c)).alias(c) for c in columns]))
+    return both.select("frame_id", F.inline(rows))
 
 
 def usable(atoms: DataFrame, frames: DataFrame, cutoff: float, least_atoms: int = 64) -> DataFrame:
@@ -94,8 +111,9 @@ def mirrored(pairs: DataFrame) -> DataFrame:
 def neighbor_counts(atoms: DataFrame, pairs: DataFrame, radial: float, angular: float) -> DataFrame:
     """Per atom, zero included: neighbors within each cutoff."""
     count = lambda rc: F.count(F.when(F.col("d") < rc, 1))
-    own = pairs.groupBy("frame_id", F.col("i").alias("atom_id")).agg(count(radial).alias("n_radial"), count(angular).alias("n_angular"))
-    return atoms.select("frame_id", "atom_id").join(own, ["frame_id", "atom_id"], "left").fillna(0, ["n_radial", "n_angular"])
+    # a row without a distance for every atom in place of a join: it counts as none
+    every = pairs.select("frame_id", F.col("i").alias("atom_id"), "d").unionByName(atoms.select("frame_id", "atom_id", F.lit(None).cast("double").alias("d")))
+    return every.groupBy("frame_id", "atom_id").agg(count(radial).alias("n_radial"), count(angular).alias("n_angular"))
 
 
 def most_neighbors(counts: DataFrame) -> DataFrame:
