@@ -72,6 +72,11 @@ def drop(spark: SparkSession, *tables: str | DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def tidy() -> None:
     """In a Python worker: give memory that is free back to the system, since idle workers stay."""
     pa.default_memory_pool().release_unused()

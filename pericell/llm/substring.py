@@ -8,22 +8,25 @@ windows of documents added before. A batch of new documents is handled so:
    settled there: of equal windows only those of the least document go on, so a
    passage in a third of all rows sends one entry a slice.
 2. Entries are dealt by bucket, the leading bits of the fingerprint. A bucket
-   merge-joins its entries with the runs; matches are verified on the remaining
-   56 bits. A window is a repeat if a run has it (earlier batches) or an entry of
-   a document with a smaller id. The bucket's new fingerprints become a new run.
+   merge-joins its entries with the runs by fingerprint. A match is verified by a
+   second hash of the window, made from its words' 64-bit hashes after another mixing:
+   only windows that agree in both are equal. A window is a repeat if a run has it (earlier
+   batches) or an entry of a document with a smaller id. The bucket's new windows
+   become a new run.
 3. Repeats are dealt by document and become spans of covered words, which the
    texts, read again, are cut by.
 
-Runs of a full level are compacted into one. Fingerprints of 56 bits and the
-bucket's bits (62 with 64 buckets) tell windows apart. The hash of a window has
-64 bits in all, which 256 buckets use up: more buckets add none. Words are not
-compared. Two different windows of 1.3e8 are taken for equal with probability
-2e-3 in all; among 5e9 (about 30 GB, 2048 buckets) 0.7 such pairs are expected,
-n * n / 2 / 2**64, and each can cost a document up to ``size`` words.
+Runs of a full level are compacted into one of the next level. A window is told by
+its bucket (7 bits with 128 buckets, 12 with 4096), 48 bits of fingerprint beside it
+and 24 bits of the second hash. With b bits in all, n * n / 2 / 2**b pairs of different
+windows among n are expected to be taken for equal: 1e-8 of 1e8 windows in 128 buckets,
+6e-7 of 5e9 (about 30 GB) in 4096.
 
 A null text has no words. A null id counts as larger than any; documents with
 one id are not repeats of each other. Repeated rows get the same result. An
-empty table gives none. Only the id (long) and the text are read.
+empty table gives none. A text longer than a slice is a slice of its own and takes
+memory in proportion. Only the id (long) and the text are read, so clashing names
+cannot arise.
 """
 
 from __future__ import annotations
@@ -35,16 +38,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop, new_path, written
-from .words import U64, Words, slices, windows
+from .store import drop, exists, new_path, tidy, write, written
+from .words import U64, Words, mix64, slices, windows
 
-STORED = 7  # bytes of a fingerprint beside its bucket
+STORED = 6  # bytes of a fingerprint beside its bucket
 LOW = U64((1 << (8 * STORED)) - 1)
 NO_ID = (1 << 63) - 1
 BROADCAST_BYTES = 64 << 20
-WINDOWS_A_BUCKET = 3_000_000
+WINDOWS_A_BUCKET = 1_500_000
+CHECK = 3  # bytes of the second hash
+SLICE = 2 << 20
+OTHER = U64(0xA24BAED4963EE407)
 RUN, NEW, SETTLED, HIT = 0, 1, 2, 3
-ROW = "bucket int, kind int, prints binary, docs binary, places binary"
+ROW = "bucket int, kind int, prints binary, checks binary, docs binary, places binary"
+COLUMNS = ["bucket", "kind", "prints", "checks", "docs", "places"]
+CHECKED = U64((1 << (8 * CHECK)) - 1)
+RUN_ROW = "bucket int, prints binary, checks binary"
 
 
 def to_bytes(x: np.ndarray, n: int) -> bytes:
@@ -91,10 +100,35 @@ def grouped(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[first], np.diff(np.append(first, len(owner)))
 
 
+def ranked(prints: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by fingerprint and second hash, both in it, and where each distinct window begins in it."""
+    order = np.argsort(prints, kind="stable")
+    p, c = prints[order], checks[order]
+    other = c[1:] != c[:-1]
+    if ((p[1:] == p[:-1]) & other).any():  # different windows with one fingerprint
+        order = np.lexsort((checks, prints))
+        p, c = prints[order], checks[order]
+        other = c[1:] != c[:-1]
+    return order, p, c, np.flatnonzero(np.concatenate([np.ones(min(len(p), 1), bool), (p[1:] != p[:-1]) | other]))
+
+
+def among(history: tuple[np.ndarray, np.ndarray], prints: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which windows a run has: its entries of the same fingerprint are verified by the second hash, one after the other."""
+    old, old_checks = history
+    at, end = np.searchsorted(old, prints, "left"), np.searchsorted(old, prints, "right")
+    found = np.zeros(len(prints), bool)
+    left = np.flatnonzero(at < end)
+    while left.size:
+        found[left] |= old_checks[at[left]] == checks[left]
+        at[left] += 1
+        left = left[(at[left] < end[left]) & ~found[left]]
+    return found
+
+
 class SubstringIndex:
-    def __init__(self, spark: SparkSession, size: int = 13, buckets: int = 64, fan_in: int = 2):
-        """``buckets``: a power of two; a level is compacted when it has ``fan_in`` runs."""
-        self.spark, self.size, self.fan_in = spark, size, fan_in
+    def __init__(self, spark: SparkSession, size: int = 13, buckets: int = 64, fan_in: int = 3, mask: int = (1 << 64) - 1):
+        """``buckets``: a power of two; a level is compacted when it has ``fan_in`` runs. ``mask``: bits of a fingerprint that are used."""
+        self.spark, self.size, self.fan_in, self.mask = spark, size, fan_in, U64(mask)
         self.bits = max(1, buckets.bit_length() - 1)
         self.buckets = 1 << self.bits
         self.levels: list[list[str]] = [[]]
@@ -105,24 +139,36 @@ class SubstringIndex:
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
         """id, n_words, n_removed, kept (the words left, joined by a space); the batch joins the index if ``keep``."""
-        given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        return self.cut(docs, self.match(docs, id_col, text_col, keep), id_col, text_col)
+
+    @staticmethod
+    def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def match(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+        """id, tag (a hash of the text), cuts: the spans of repeated words of a batch; the batch joins the index if ``keep``."""
         path = new_path(self.spark, "batch")
-        rows = given.mapInArrow(self._entries(), ROW)
+        rows = self._given(docs, id_col, text_col).mapInArrow(self._entries(), ROW)
         for run in self.runs:
-            rows = rows.unionByName(self.spark.read.parquet(run).select("bucket", "kind", "prints", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("places")))
-        rows = rows.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(self._join(keep), ROW)
-        rows.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+            none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "places")]
+            rows = rows.unionByName(self.spark.read.schema(RUN_ROW).parquet(run).select("bucket", F.lit(RUN).alias("kind"), "prints", "checks", *none))
+        rows = rows.groupBy("bucket").applyInArrow(self._join(keep), ROW)
+        write(rows, path, by="kind")
         out = self.spark.read.schema(ROW).parquet(path)
-        cuts = written(out.where(F.col("kind") == HIT).repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(self._spans(), "id bigint, tag bigint, cuts binary"), "cuts")
-        if keep:
-            self._add(out.where(F.col("kind") == RUN))
-        drop(self.spark, path)
-        return self._cut(given, cuts, id_col)
-
-    def _add(self, run: DataFrame) -> None:
-        path = new_path(self.spark, "run")
-        run.select("bucket", "kind", "prints").write.option("compression", "zstd").parquet(path)
-        self.levels[0].append(path)
+        cuts = written(out.where(F.col("kind") == HIT).groupBy("bucket").applyInArrow(self._spans(), "id bigint, tag bigint, cuts binary"), "cuts")
+        drop(self.spark, f"{path}/kind={HIT}")
+        run = f"{path}/kind={RUN}"
+        if keep and exists(self.spark, run):
+            self._add(run)
+        return cuts
+
+    def drop(self) -> None:
+        """Delete the runs; what was matched before stays."""
+        drop(self.spark, *self.runs)
+        self.levels = [[]]
+
+    def _add(self, run: str) -> None:
+        self.levels[0].append(run)
         for k in range(1 << 30):
             if k >= len(self.levels) or len(self.levels[k]) < self.fan_in:
                 return
@@ -135,40 +181,44 @@ class SubstringIndex:
 
     def _compacted(self, runs: list[str]) -> str:
         def merge(key: tuple, table: pa.Table) -> pa.Table:
-            prints = np.unique(np.concatenate([_run(x) for x in table.column("prints").to_pylist()]))
-            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([RUN], pa.int32()), "prints": pa.array([_packed(prints)], pa.binary())})
+            parts = [_run(*x) for x in zip(table.column("prints").to_pylist(), table.column("checks").to_pylist(), strict=True)]
+            _, prints, checks, first = ranked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            del parts
+            tidy()
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "prints": pa.array([_packed(prints[first])], pa.binary()), "checks": pa.array([to_bytes(checks[first], CHECK)], pa.binary())})
 
-        path = new_path(self.spark, "run")
-        rows = self.spark.read.parquet(*runs).select("bucket", "kind", "prints").repartition(self.buckets, "bucket")
-        rows.groupBy("bucket").applyInArrow(merge, "bucket int, kind int, prints binary").write.option("compression", "zstd").parquet(path)
-        return path
+        rows = self.spark.read.schema(RUN_ROW).parquet(*runs)
+        return write(rows.groupBy("bucket").applyInArrow(merge, RUN_ROW), new_path(self.spark, "run"))
 
     def _entries(self):
-        size, bits, buckets = self.size, self.bits, self.buckets
+        size, bits, buckets, mask = self.size, self.bits, self.buckets, self.mask
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zlib
 
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     words = Words(batch.column("text"))
-                    prints, at = windows(words.hash(), words.doc, size)
+                    hashes = words.hash()
+                    prints, at = windows(hashes, words.doc, size)
                     if not len(prints):
                         continue
+                    prints &= mask
+                    checks = windows(mix64(hashes ^ OTHER), words.doc, size)[0] & CHECKED
+                    del hashes
                     ids = np.array(batch.column("id").fill_null(NO_ID), np.int64)
                     tags = np.array([zlib.crc32(words.data[a:b]) for a, b in zip(words.at[:-1], words.at[1:], strict=True)], U64)
                     text = np.searchsorted(words.doc, at, "right") - 1
                     place = at - words.doc[text]
-                    order = np.argsort(prints, kind="stable")
-                    first = np.flatnonzero(np.diff(prints[order], prepend=prints[order[0]] + U64(1)))
+                    order, _, _, first = ranked(prints, checks)
                     least = np.minimum.reduceat(ids[text[order]], first)
                     settled = np.empty(len(at), bool)
                     settled[order] = ids[text[order]] > np.repeat(least, np.diff(np.append(first, len(order))))
                     bucket = (prints >> U64(64 - bits)).astype(np.int32)
                     shard = (ids % buckets).astype(np.int32)
-                    out: dict[str, list] = {k: [] for k in ("bucket", "kind", "prints", "docs", "places")}
-                    for kind, mask, deal in ((NEW, ~settled, bucket), (SETTLED, settled, shard[text])):
-                        chosen = np.flatnonzero(mask)
+                    out: dict[str, list] = {k: [] for k in COLUMNS}
+                    for kind, here, deal in ((NEW, ~settled, bucket), (SETTLED, settled, shard[text])):
+                        chosen = np.flatnonzero(here)
                         chosen = chosen[np.argsort(deal[chosen].astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")]
                         for b, lo, n in zip(*_runs(deal[chosen]), strict=True):
                             own = chosen[lo : lo + n]
@@ -176,9 +226,11 @@ class SubstringIndex:
                             out["bucket"].append(int(b))
                             out["kind"].append(kind)
                             out["prints"].append(to_bytes(prints[own] & LOW, STORED) if kind == NEW else None)
+                            out["checks"].append(to_bytes(checks[own], CHECK) if kind == NEW else None)
                             out["docs"].append(pack_docs(ids[docs], tags[docs], counts))
                             out["places"].append(pack_places(place[own], counts))
                     yield _batch(out)
+            tidy()
 
         return run
 
@@ -187,9 +239,13 @@ class SubstringIndex:
 
         def join(key: tuple, table: pa.Table) -> pa.Table:
             kinds = np.array(table.column("kind"))
-            prints, docs, places = (table.column(c).to_pylist() for c in ("prints", "docs", "places"))
+            prints, checks, docs, places = (table.column(c).to_pylist() for c in ("prints", "checks", "docs", "places"))
             del table
-            out: dict[str, list] = {k: [] for k in ("bucket", "kind", "prints", "docs", "places")}
+            out: dict[str, list] = {k: [] for k in COLUMNS}
+
+            def add(bucket: int, kind: int, *values: bytes | None) -> None:
+                for column, value in zip(COLUMNS, (bucket, kind, *values), strict=True):
+                    out[column].append(value)
 
             def emit(ids: np.ndarray, tags: np.ndarray, at: np.ndarray) -> None:
                 order = np.lexsort((at, tags, ids, ids % buckets))
@@ -199,47 +255,32 @@ class SubstringIndex:
                     doc = np.cumsum((np.diff(ids[own], prepend=ids[lo]) != 0) | (np.diff(tags[own], prepend=tags[lo]) != 0))
                     which, counts = grouped(doc)
                     first = lo + np.cumsum(counts) - counts
-                    out["bucket"].append(int(b))
-                    out["kind"].append(HIT)
-                    out["prints"].append(None)
-                    out["docs"].append(pack_docs(ids[first], tags[first], counts))
-                    out["places"].append(pack_places(at[own], counts))
+                    add(int(b), HIT, None, None, pack_docs(ids[first], tags[first], counts), pack_places(at[own], counts))
 
             for i in np.flatnonzero(kinds == SETTLED):
-                out["bucket"].append(int(key[0].as_py()))
-                out["kind"].append(HIT)
-                out["prints"].append(None)
-                out["docs"].append(docs[i])
-                out["places"].append(places[i])
+                add(int(key[0].as_py()), HIT, None, None, docs[i], places[i])
             new = np.flatnonzero(kinds == NEW)
             if len(new):
                 all_prints = np.concatenate([from_bytes(prints[i], STORED) for i in new])
                 ids = np.concatenate([np.repeat(x, c) for x, _, c in (unpack_docs(docs[i]) for i in new)])
-                order = np.argsort(all_prints)
-                ranked = all_prints[order]
-                first = np.flatnonzero(np.diff(ranked, prepend=ranked[0] + U64(1)))
+                order, distinct, tests, first = ranked(all_prints, np.concatenate([from_bytes(checks[i], CHECK) for i in new]))
                 least = np.minimum.reduceat(ids[order], first)
-                distinct = ranked[first]
+                distinct, tests = distinct[first], tests[first]
                 old = np.zeros(len(distinct), bool)
                 for i in np.flatnonzero(kinds == RUN):
-                    history = _run(prints[i])
-                    where = np.minimum(np.searchsorted(history, distinct), len(history) - 1)
-                    old |= history[where] == distinct
+                    old |= among(_run(prints[i], checks[i]), distinct, tests)
                 hit = np.empty(len(order), bool)
                 sizes = np.diff(np.append(first, len(order)))
                 hit[order] = np.repeat(old, sizes) | (ids[order] > np.repeat(least, sizes))
-                del order, ranked, all_prints
+                del order, all_prints
                 found = np.flatnonzero(hit)
                 if len(found):
                     tags = np.concatenate([np.repeat(t, c) for _, t, c in (unpack_docs(docs[i]) for i in new)])
                     at = np.concatenate([unpack_places(places[i], unpack_docs(docs[i])[2]) for i in new])
                     emit(ids[found], tags[found], at[found])
                 if keep and not old.all():
-                    out["bucket"].append(int(key[0].as_py()))
-                    out["kind"].append(RUN)
-                    out["prints"].append(_packed(distinct[~old]))
-                    out["docs"].append(None)
-                    out["places"].append(None)
+                    add(int(key[0].as_py()), RUN, _packed(distinct[~old]), to_bytes(tests[~old], CHECK), None, None)
+            tidy()
             return pa.Table.from_batches([_batch(out)])
 
         return join
@@ -274,7 +315,9 @@ class SubstringIndex:
 
         return spans
 
-    def _cut(self, given: DataFrame, cuts: DataFrame, id_col: str) -> DataFrame:
+    def cut(self, docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """id, n_words, n_removed, kept of every document, from the spans that ``match`` gave."""
+        given = self._given(docs, id_col, text_col)
         size = cuts.agg(F.sum(F.octet_length("cuts") + 64)).first()[0] or 0
         cuts = cuts.withColumnRenamed("id", "cut_id")
         key: Column = F.coalesce(F.col("id"), F.lit(NO_ID))
@@ -283,7 +326,7 @@ class SubstringIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     words = Words(batch.column("text"))
                     step = np.zeros(len(words.start) + 1, np.int64)
                     for i, body in enumerate(batch.column("cuts").to_pylist()):
@@ -294,6 +337,7 @@ class SubstringIndex:
                     stays = np.cumsum(step[:-1]) == 0
                     texts, left = _texts(words, stays)
                     yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.n.astype(np.int64)), pa.array((words.n - left).astype(np.int64)), texts], [id_col, "n_words", "n_removed", "kept"])
+            tidy()
 
         return joined.mapInArrow(run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept string")
 
@@ -311,13 +355,12 @@ def _packed(prints: np.ndarray) -> bytes:
     return to_bytes(np.diff(prints, prepend=U64(0)), STORED)
 
 
-def _run(b: bytes) -> np.ndarray:
-    return np.cumsum(from_bytes(b, STORED), dtype=U64)
+def _run(prints: bytes, checks: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(from_bytes(prints, STORED), dtype=U64), from_bytes(checks, CHECK)
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "prints": pa.binary(), "docs": pa.binary(), "places": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(out[k], pa.int32() if k in ("bucket", "kind") else pa.binary()) for k in COLUMNS], COLUMNS)
 
 
 def _texts(words: Words, stays: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -343,19 +386,21 @@ def _texts(words: Words, stays: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))]), n
 
 
-def dedup_all(docs: DataFrame, size: int = 13, shares: tuple[float, ...] = (0.05, 0.15), buckets: int | None = None) -> DataFrame:
-    """All documents in batches of ascending ids that end at these shares; the last batch has the rest and joins no run."""
+def dedup_all(docs: DataFrame, size: int = 13, batches: int = 7, buckets: int | None = None, mask: int = (1 << 64) - 1) -> DataFrame:
+    """All documents in ``batches`` of ascending ids and about as many rows, each matched against those before and added."""
     spark = docs.sparkSession
-    about = docs.select("doc_id", F.octet_length("text").alias("n")).agg(F.percentile_approx("doc_id", list(shares), 1000).alias("at"), F.sum("n").alias("n")).first()
+    shares = [k / batches for k in range(1, batches)]
+    about = docs.select("doc_id", F.octet_length("text").alias("n")).agg(F.percentile_approx("doc_id", shares or [0.5], 1000).alias("at"), F.sum("n").alias("n")).first()
     if buckets is None:
         buckets = 64
         while buckets * WINDOWS_A_BUCKET * 6 < (about["n"] or 0):  # about 6 bytes a word
             buckets *= 2
-    index, ends = SubstringIndex(spark, size, buckets), sorted(set(about["at"] or []))
-    out, lower = None, F.lit(True)
-    for end in ends:
-        part = index.dedup(docs.where(lower & (F.col("doc_id") < end)))
-        out = part if out is None else out.unionByName(part)
-        lower = F.col("doc_id") >= end
-    last = index.dedup(docs.where(lower | F.col("doc_id").isNull()), keep=False)
-    return last if out is None else out.unionByName(last)
+    index, ends = SubstringIndex(spark, size, buckets, mask=mask), sorted(set(about["at"] or []))[: len(shares)]
+    cuts, lower = None, F.lit(True)
+    for end in [*ends, None]:
+        some = lower & (F.col("doc_id") < end) if end is not None else lower | F.col("doc_id").isNull()
+        found = index.match(docs.where(some))
+        cuts = found if cuts is None else cuts.unionByName(found)
+        lower = F.col("doc_id") >= end if end is not None else None
+    index.drop()
+    return index.cut(docs, cuts)

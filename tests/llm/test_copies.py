@@ -189,7 +189,7 @@ def brute_substring(rows, size=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("batches", "mask"), [(5, -1), (1, -1), (3, 0xC00000000000000F)])
+@pytest.mark.parametrize(("batches", "mask"), [(7, -1), (1, -1), (3, 0xC00000000000000F)])
 def test_substrings(docs, none, rows, batches, mask):
     """The last case leaves 6 bits of fingerprint: different windows clash, and the second hash tells them apart."""
     got = substring.dedup_all(docs, batches=batches, buckets=4, mask=mask % 2**64).collect()
@@ -231,29 +231,180 @@ def test_toxicity_learns_held_out(spark, none):
             w[rng.randrange(len(w))] = "buy-now"
         out.append((k, " ".join(w), int(junk), int(bad)))
     df = spark.createDataFrame(out, "doc_id bigint, text string, low_quality int, toxic int")
-    chain = toxicity.fit_chain(df.select("doc_id", "text"), df.where("doc_id < 600").drop("text"))
+    chain = toxicity.fit_chain(df.select("doc_id", "text"), df.where("doc_id < 600").drop("text"), ("low_quality", "toxic"))
     rows = toxicity.predicted(df.select("doc_id", "text"), chain).collect()
     right = sum(r.toxic == bool(out[r.doc_id][3]) for r in rows if r.doc_id >= 600)
     assert right >= 297 and chain.out_of_fold.shape == (600, 2)
     odd = spark.createDataFrame([(1, None), (None, ""), (2, "x")], "doc_id bigint, text string")
     assert toxicity.predicted(odd, chain).count() == 3 and toxicity.predicted(none, chain).count() == 0
-    empty = toxicity.fit_chain(odd, spark.createDataFrame([], "doc_id bigint, low_quality int, toxic int"))
+    empty = toxicity.fit_chain(odd, spark.createDataFrame([], "doc_id bigint, insult int, toxic int"))
     assert not any(r.toxic for r in toxicity.predicted(odd, empty).collect())
 
 
+def test_chain_equals_a_dense_fit(spark):
+    """The same models found by Newton steps on dense matrices, with the out-of-fold probabilities between them."""
+    rng = random.Random(14)
+    out = []
+    for k in range(240):
+        insult, toxic = k % 6 == 0, k % 3 == 0
+        w = [f"w{rng.randrange(30)}" for _ in range(25)] + ["moron"] * insult + ["vile"] * (toxic and rng.random() < 0.8) + ["kind"] * (not toxic and rng.random() < 0.7)
+        out.append((k, " ".join(w), int(insult), int(toxic)))
+    df = spark.createDataFrame([*out, out[0]], "doc_id bigint, text string, insult int, toxic int")
+    labels = df.drop("text").union(df.where("doc_id = 3").selectExpr("doc_id", "1", "1"))  # of two rows the least counts
+    chain = toxicity.fit_chain(df, labels, steps=400, penalty=1e-2)
+    import pyarrow as pa
+
+    rows = toxicity.Rows(pa.array([t for _, t, *_ in out]))
+    held = np.zeros((240, toxicity.DIMS), bool)
+    held[np.repeat(np.arange(240), np.diff(rows.at)), rows.index] = True
+    held = held[:, held.sum(axis=0) >= 8].astype(float)
+    fold = np.random.default_rng(0).permutation(240) % 3
+    extra = rows.length[:, None]
+
+    def newton(x, more, y, new_x, new_more):
+        ratio = np.log((x[y > 0].sum(axis=0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(axis=0) + 1) / ((1 - y).sum() + 2))
+        used = np.abs(ratio) >= 1
+        full = lambda a, b: np.column_stack([a[:, used] * ratio[used], b, np.ones(len(a))])
+        m, w = full(x, more), np.zeros(used.sum() + more.shape[1] + 1)
+        penalty = np.full(len(w), 1e-2)
+        penalty[-1] = 0
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-(m @ w)))
+            w = w - np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m / len(y) + np.diag(penalty), m.T @ (p - y) / len(y) + penalty * w)
+        return 1 / (1 + np.exp(-(full(new_x, new_more) @ w)))
+
+    final = []
+    for c in (2, 3):
+        y, oof = np.array([float(r[c]) for r in out]), np.zeros(240)
+        for f in range(3):
+            oof[fold == f] = newton(held[fold != f], extra[fold != f], y[fold != f], held[fold == f], extra[fold == f])
+        final.append(newton(held, extra, y, held, np.column_stack([rows.length, *final])))
+        assert np.allclose(chain.out_of_fold[:, c - 2], oof, atol=2e-3)
+        extra = np.column_stack([extra, oof])
+    got = {r.doc_id: (r.p_insult, r.p_toxic) for r in toxicity.predicted(df, chain).collect()}
+    assert np.allclose([got[k] for k in range(240)], np.stack(final, axis=1), atol=2e-3)
+
+
+def test_insult_labels(spark):
+    """Without labels of its own the category is learned from toxic documents with a word of the list."""
+    rng = random.Random(15)
+    out = []
+    for k in range(300):
+        w = [f"w{rng.randrange(30)}" for _ in range(25)]
+        out.append((k, " ".join([*w, *(["Moron"] if k % 6 == 0 else ["vile"] if k % 3 == 0 else [])]), int(k % 3 == 0)))
+    df = spark.createDataFrame([*out, (900, None, 0), (901, "idiotic", None)], "doc_id bigint, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    chain = toxicity.fit_chain(df, labels)
+    got = {r.doc_id: r for r in toxicity.predicted(df, chain).collect()}
+    assert all(got[k].insult == (k % 6 == 0) and got[k].toxic == (k % 3 == 0) for k in range(300)) and not got[900].toxic
+
+
 def test_pipeline_stages_in_order():
     pipeline = importlib.import_module("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality rules", "near dedup", "secret scans", "source mix", "best-fit packing"]
 
 
 def test_pipeline(spark, docs, none, tmp_path, rows):
+    """Each stage against brute force on what the one before it kept."""
+    import re as regex
+
+    from pericell.llm import mixing, packing, quality, tokens
+
     pipeline = importlib.import_module("corpus_pipeline")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    out = pipeline.run(spark, str(tmp_path)).collect()
-    assert out and all(r.length <= 1024 for r in out)
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in pipeline.STAGES[:-1]:
+    rng = random.Random(21)
+    secret = " ".join([*(f"the w{rng.randrange(900)}" for _ in range(60)), 'password = "hunter2hunter2"', "and the 0123456789abcdef01 end"])
+    more = [(900, secret, "en", "s1", 7), (901, secret + " tail", "en", "s1", 7), (902, "of " * 60, "en", "s2", 7)]
+    given = spark.createDataFrame([*rows, *more], docs.schema).repartition(3)
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    now, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), [sorted((r.asDict() for r in given.collect()), key=key)]
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns
+        path = str(tmp_path / f"stage{k}")
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
+        seen.append(sorted((r.asDict() for r in now.collect()), key=key))
+    start, good, alone, clean, mixed = seen
+
+    def passes(text):
+        w, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {i + d for i, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if grams[g] > 1 for d in range(3)}
+        if len(w) < 50 or 100 * len(hit) > 50 * len(w):
+            return False
+        ratio = {
+            "n_words": len(w),
+            "mean_word_chars": sum(map(len, w)) / len(w),
+            "symbol_ratio": len(regex.findall(r"[#*$%&|<>]", text)) / len(w),
+            "stop_ratio": sum(x.lower() in quality.STOP_WORDS for x in w) / len(w),
+            "repeat_ratio": len(hit) / len(w),
+            "dup_line_ratio": (len(lines) - len(set(lines))) / len(lines),
+            "bullet_line_ratio": sum(bool(regex.match(r"[ \t]*[-*•]", x)) for x in lines) / len(lines),
+            "ellipsis_line_ratio": sum(bool(regex.search(r"(\.\.\.|…)[ \t\r]*$", x)) for x in lines) / len(lines),
+        }
+        return all((lo is None or ratio[n] >= lo) and (hi is None or ratio[n] <= hi) for n, lo, hi in quality.RULES)
+
+    assert good == [r for r in start if passes(r["text"])] and 5 < len(good) < len(start)
+    root, _ = similar([tuple(r.values()) for r in good])
+    least = {}
+    for r, c in zip(good, root, strict=True):  # in order of ids, null last
+        least.setdefault(c, r["doc_id"])
+    assert len(alone) == len(least) < len(good) and Counter(r["doc_id"] for r in alone) == Counter(least.values())
+    strong = regex.compile("hunter2hunter2|0123456789abcdef01")
+    assert any(strong.search(r["text"]) for r in alone) and not any(strong.search(r["text"]) for r in clean)
+    assert [(r["doc_id"], strong.search(r["text"]) is None) for r in clean] == [(r["doc_id"], True) for r in alone]
+    assert all(r["n_chars"] == len(r["text"]) for r in clean)
+    assert all(a["text"] == b["text"] for a, b in zip(alone, clean, strict=True) if "[SECRET]" not in b["text"])
+    plan = {(r.doc_id, r.text): r.copies for r in mixing.repetition(spark.read.parquet(str(tmp_path / "stage2"))).collect()}
+    assert Counter((r["doc_id"], r["text"]) for r in mixed) == Counter({k: n for k, n in plan.items() if n})
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    library = tokens.tokenizer("byte_bpe_50k.json")
+    want = Counter(b for r in mixed for b in _pieces([*library.encode(r["text"], add_special_tokens=False).ids, 2]))
+    assert Counter(bytes(r.ids) for r in out) == want
+    ends = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024 and len(ends) <= packing.Plan(Counter(r.length for r in out)).n_sequences
     none.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def _pieces(ids, limit=1024):
+    first = (len(ids) - 1) % limit + 1
+    cuts = [0, *range(first, len(ids), limit), len(ids)]
+    return [np.array(ids[a:b], "<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts of more than a slice (1 to 4 MB) and of more than a span of characters, with the operators' own parameters."""
+    from pericell.llm import katz, media, mixing, packing, quality, secret_scan, tokens
+
+    rng = random.Random(30)
+    w = [f"w{rng.randrange(50_000)}" for _ in range(700_000)]
+    long = " ".join(w)
+    assert len(long) > 4 << 20
+    other = list(w)
+    other[1000] = "changed"
+    rows = [(1, long), (2, " ".join(other)), (3, "short text"), (4, " ".join(w[:30_000]) + " secret = abcdefghijklmnop"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    n = [len(WORD.findall(t or "")) for _, t in rows]
+    by = lambda found, *names: [tuple(r[x] for x in names) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    want = [len(e.ids) for e in tokens.tokenizer("byte_bpe_50k.json").encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+    assert [x for (x,) in by(tokens.count_tokens(df), "n_tokens")] == want
+    lengths = Counter()
+    for r in packing.pack(df.select("doc_id", "text")).collect():
+        lengths[r.doc_id] += r.length
+    assert [lengths[k] for k in range(1, 6)] == [x + 1 for x in want]
+    assert [c for (c,) in by(neardup.classes(df), "class_id")] == [1, 1, 3, 4, 5]
+    removed = [r for (r,) in by(substring.dedup_all(df, batches=2), "n_removed")]
+    assert removed == [0, n[1] - 1, 0, 30_000, 0]
+    assert [x for (x,) in by(quality.judged(df), "n_words")] == n == [x for (x,) in by(mixing.repetition(df), "size")]
+    found = by(secret_scan.scanned(df), "findings")
+    assert [len(f) for (f,) in found] == [0, 0, 0, 1, 0] and rows[3][1][found[3][0][0].start :].startswith("secret")
+    assert [bytes(p) for (p,) in by(media.read_media(media.to_media(df)), "payload")] == [media.pad((t or "").encode()) for _, t in rows]
+    got = by(katz.scored(df.select("doc_id", "text")), "n_tokens", "score")
+    assert [k for k, _ in got] == [x + 1 for x in n] and all(np.isfinite(s) and s < 0 for _, s in got)
+    chain = toxicity.fit_chain(df, spark.createDataFrame([(k, k % 2) for k in range(1, 6)], "doc_id bigint, toxic int"))
+    assert toxicity.predicted(df, chain).count() == 5
