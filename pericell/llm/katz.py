@@ -18,25 +18,31 @@ word): distinct contexts, the tokens after each and their counts. Counts of each
 slice of texts are summed before they are dealt out. Scoring deals out distinct
 n-grams of a slice with the texts they stand in, looks them up in the bucket of
 the highest order, and hands what was not seen down to the next one, recursively.
-Only counts of counts (a few numbers an order) go to the driver.
+Buckets with more than TOKENS_A_PART tokens, where a frequent word is the context, are
+counted and scored in parts: n-grams by a hash of the row that they come in, beside the
+whole bucket's table in scoring; parts of counts are summed before they meet. Only
+counts of counts (a few numbers an order) and the hot buckets' sizes go to the driver.
 
 Tokens are told apart by 56 bits of a fingerprint beside their bucket. A null
 text is empty and has one token, the end. The training part is told by the CRC-32
 of the id as text (a null id: of "null"). Repeated rows are counted and scored
-each. An empty table gives none. Only the id (long) and the text are read.
+each. An empty table gives none. A text longer than a slice is a slice of its own and
+takes memory in proportion. There are no ties. Only the id (long) and the text are
+read, so clashing names cannot arise.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, new_path, write
+from .store import drop, new_path, tidy, write
 from .substring import NO_ID, _runs, from_bytes, pack_docs, to_bytes, unpack_docs
 from .words import U64, Words, mix64, slices
 
@@ -48,7 +54,10 @@ CUTOFF = 5
 COUNT_ROW = "bucket int, contexts binary, lower binary, follow binary, words binary, counts binary, stats array<bigint>"
 SCORE_ROW = "bucket int, kind int, contexts binary, lower binary, follow binary, words binary, times binary, docs binary, owners binary, scores binary, known binary, tokens binary"
 COUNTS, GRAMS, ALPHAS = 0, 1, 2
-TOKENS_A_BUCKET = 2_500_000
+TOKENS_A_BUCKET = 5_000_000
+TOKENS_A_PART = 8_000_000
+AT_ONCE = 600_000  # tokens that a bucket looks up together
+SLICE = 2 << 20
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
@@ -74,15 +83,18 @@ class Tokens:
 
     def contexts(self, order: int) -> np.ndarray:
         """Fingerprint of the order - 1 tokens before each; the places before a text hold BEGIN."""
-        out = np.zeros(len(self.token), U64)
-        before = self.token
-        for _ in range(order - 1):
-            before = np.concatenate([[BEGIN], before[:-1]])
-            before[self.first] = BEGIN
-            out = mix64(out * STEP + before) & LOW
+        out, place = np.zeros(len(self.token), U64), np.arange(len(self.token)) - self.first[self.owner]
+        for back in range(order - 1, 0, -1):
+            before = np.concatenate([np.full(back, BEGIN), self.token[:-back]])[: len(out)]
+            out = longer(out, np.where(place < back, BEGIN, before))
         return out
 
 
+def longer(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Fingerprints of contexts with one more token."""
+    return mix64(contexts * STEP + words) & LOW
+
+
 def bucket_of(contexts: np.ndarray, words: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (mix64(contexts if order > 1 else words) >> U64(32)).astype(np.int64) % buckets
 
@@ -111,7 +123,8 @@ class Table:
     """A bucket's counts: contexts (ascending), lower contexts, tokens after each, and the counts."""
 
     def __init__(self, contexts: bytes, lower: bytes, follow: bytes, words: bytes, counts: bytes):
-        self.contexts, self.lower = from_bytes(contexts, WIDE), from_bytes(lower, WIDE)
+        self.contexts = from_bytes(contexts, WIDE)
+        self.lower = from_bytes(lower, WIDE) if lower else np.zeros(len(self.contexts), U64)
         self.follow = from_bytes(follow, 4).astype(np.int64)
         self.words, self.counts = from_bytes(words, WIDE), from_bytes(counts, 5).astype(np.int64)
         self.row = np.repeat(np.arange(len(self.contexts)), self.follow)
@@ -168,11 +181,12 @@ class Discounts:
 class KatzModel:
     """Tables in the shared folder: counts of each order, backoff weights of each order above 1."""
 
-    def __init__(self, spark, order: int = 2, buckets: int = 64, passes: int = 4):
+    def __init__(self, spark, order: int = 2, buckets: int = 64, passes: int = 3, part: int = TOKENS_A_PART):
         if order not in (1, 2, 3):  # an n-gram handed down carries its next context only
             raise ValueError("order is 1, 2 or 3")
-        self.spark, self.order, self.buckets, self.passes = spark, order, buckets, passes
-        self.counts: dict[int, str] = {}
+        self.spark, self.order, self.buckets, self.passes, self.part = spark, order, buckets, passes, part
+        self.hot: dict[int, dict[int, int]] = {}  # by order: parts of the buckets that have several
+        self.counts: dict[int, list[str]] = {}
         self.alphas: dict[int, str] = {}
         self.good: dict[int, Discounts] = {}
         self.unknown = 1.0
@@ -182,25 +196,67 @@ class KatzModel:
     def fit(self, docs: DataFrame) -> KatzModel:
         """docs: id, text; learns from those that are not held out."""
         for order in range(1, self.order + 1):
+            self.hot[order] = self._hot(order) if order > 1 else {}
             self.counts[order] = self._count(docs, order)
-            rows = self.spark.read.parquet(self.counts[order]).select(F.posexplode("stats").alias("i", "n"))
+            if order == 1:
+                self.hot[1] = self._hot(1)
+            rows = self._counts(order).select(F.posexplode("stats").alias("i", "n"))
             sums = {r["i"]: r["n"] for r in rows.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # eight numbers
             self.good[order] = Discounts(order, [sums.get(i, 0) for i in range(8)])
         one = self.good[1]
         if one.n:
-            seen = self.spark.read.parquet(self.counts[1]).mapInArrow(_seen_mass(one), "mass double").agg(F.sum("mass")).first()[0]
+            seen = self._counts(1).mapInArrow(_seen_mass(one), "mass double").agg(F.sum("mass")).first()[0]
             self.unknown = 1.0 - seen
             assert 0 < self.unknown < 1
         for order in range(2, self.order + 1):
             self.alphas[order] = self._weights(order)
         return self
 
-    def _count(self, docs: DataFrame, order: int) -> str:
+    def _hot(self, order: int) -> dict[int, int]:
+        """Parts of the buckets of an order with more than ``part`` tokens. A context comes up as often as it
+        was counted at the order below as a context and its token; at order 1 words are what buckets hold."""
+        buckets, below, begin = self.buckets, max(1, order - 1), np.zeros(1, U64)
+        for _ in range(order - 1):
+            begin = longer(begin, BEGIN)
+
+        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(buckets, np.int64)
+            for batch in batches:
+                for parts in zip(*(batch.column(c).to_pylist() for c in ("contexts", "lower", "follow", "words", "counts")), strict=True):
+                    t = Table(*parts)
+                    context = t.contexts[t.row]
+                    if order > 1:
+                        context = longer(context if order > 2 else np.zeros(len(t.words), U64), t.words)
+                        context[t.words == END] = begin  # as many texts begin as end
+                    np.add.at(sums, bucket_of(context, t.words, order, buckets), t.counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), pa.array(sums)], ["bucket", "n"])
+
+        rows = self._counts(below).mapInArrow(load, "bucket int, n bigint")
+        rows = rows.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > self.part).collect()  # n / part at most
+        return {r["bucket"]: -(-r["n"] // self.part) for r in rows}
+
+    def _parts(self, order: int) -> Column:
+        """Of a row's bucket."""
+        if not self.hot[order]:
+            return F.lit(1)
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in self.hot[order].items() for x in pair]), F.col("bucket")), F.lit(1))
+
+    def _dealt(self, rows: DataFrame, order: int) -> DataFrame:
+        """By bucket and ``part``: of a hot bucket each row of n-grams gets one by its hash."""
+        own = F.pmod(F.xxhash64("words"), self._parts(order)).cast("int") if self.hot[order] else F.lit(0)
+        return rows.withColumn("part", own)
+
+    def _counts(self, order: int) -> DataFrame:
+        """The table of an order, a row a bucket."""
+        tables = [self.spark.read.schema(f"{COUNT_ROW}, done int").parquet(path) for path in self.counts[order]]
+        return reduce(DataFrame.unionByName, tables).where("done = 1").drop("done")
+
+    def _count(self, docs: DataFrame, order: int) -> list[str]:
         buckets = self.buckets
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     t = Tokens(batch)
                     train = ~is_held_out(t.ids)[t.owner]
                     words, contexts = t.token[train], t.contexts(order)[train]
@@ -208,17 +264,34 @@ class KatzModel:
                     if len(words):
                         yield from _count_rows(contexts, lower, words, np.ones(len(words), np.int64), order, buckets)
 
-        def merge(key: tuple, table: pa.Table) -> pa.Table:
+        def summed(key: tuple, table: pa.Table, last: bool) -> pa.Table:
             parts = [Table(*r) for r in zip(*(table.column(c).to_pylist() for c in ("contexts", "lower", "follow", "words", "counts")), strict=True)]
             contexts = np.concatenate([p.contexts[p.row] for p in parts])
             lower = np.concatenate([p.lower[p.row] for p in parts])
             words, counts = np.concatenate([p.words for p in parts]), np.concatenate([p.counts for p in parts])
             del parts, table
-            return pa.Table.from_batches(list(_count_rows(contexts, lower, words, counts, order, 0, int(key[0].as_py()))))
+            out = pa.Table.from_batches(list(_count_rows(contexts, lower, words, counts, order, 0, int(key[0].as_py()), last)))
+            tidy()
+            return out
 
-        path = new_path(self.spark, f"counts_{order}")
-        rows = docs.mapInArrow(grams, COUNT_ROW).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, COUNT_ROW)
-        return write(rows, path)
+        hot = self.hot[order]
+
+        def merge(key: tuple, table: pa.Table) -> pa.Table:
+            last = key[0].as_py() not in hot
+            out = summed(key, table, last)
+            return out.append_column("done", pa.array([int(last)] * len(out), pa.int32()))
+
+        def finish(key: tuple, table: pa.Table) -> pa.Table:
+            out = summed(key, table, True)
+            return out.append_column("done", pa.array([1] * len(out), pa.int32()))
+
+        schema = f"{COUNT_ROW}, done int"
+        rows = self._dealt(docs.mapInArrow(grams, COUNT_ROW), order).repartition(buckets, "bucket", "part")
+        paths = [write(rows.groupBy("bucket", "part").applyInArrow(merge, schema), new_path(self.spark, f"counts_{order}"), by="done")]
+        if hot:
+            rest = self.spark.read.schema(schema).parquet(*paths).where("done = 0").repartition(buckets, "bucket")
+            paths.append(write(rest.groupBy("bucket").applyInArrow(finish, schema), new_path(self.spark, f"counts_{order}"), by="done"))
+        return paths
 
     def _weights(self, order: int) -> str:
         """Backoff weights: sums of lower-order probabilities over the tokens after each context, asked for by bucket of the lower order."""
@@ -268,7 +341,7 @@ class KatzModel:
             return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "alphas": pa.array([alpha.astype("<f8").tobytes()], pa.binary())})
 
         path = new_path(self.spark, f"alphas_{order}")
-        high, low = (self.spark.read.parquet(self.counts[k]).drop("stats") for k in (order, order - 1))
+        high, low = (self._counts(k).drop("stats") for k in (order, order - 1))
         tables = low.select("bucket", F.lit(COUNTS).alias("kind"), "contexts", "lower", "follow", "words", "counts", F.lit(None).cast("int").alias("origin"), F.lit(None).cast("binary").alias("refs"))
         asked = high.mapInArrow(request, ask).unionByName(tables).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "bucket int, refs binary, sums binary")
         rows = high.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(weigh, "bucket int, alphas binary")
@@ -290,8 +363,9 @@ class KatzModel:
                 rows = some.mapInArrow(self._grams(order), SCORE_ROW) if order in (self.order, 1) else None
                 for more in handed:
                     rows = more if rows is None else rows.unionByName(more)
-                rows = rows.unionByName(self._tables(order)).repartition(self.buckets, "bucket")
-                write(rows.groupBy("bucket").applyInArrow(self._look_up(order), SCORE_ROW), path)
+                tables = self._tables(order).withColumn("part", F.explode(F.sequence(F.lit(0), self._parts(order) - 1)))
+                rows = self._dealt(rows, order).unionByName(tables).repartition(self.buckets, "bucket", "part")
+                write(rows.groupBy("bucket", "part").applyInArrow(self._look_up(order), SCORE_ROW), path)
                 outs.append(self.spark.read.schema(SCORE_ROW).parquet(path))
             handed = [out.where(F.col("kind") == GRAMS) for out in outs]
             parts += [out.where(F.col("kind") == COUNTS) for out in outs]
@@ -306,12 +380,11 @@ class KatzModel:
 
     def drop(self) -> None:
         """Delete the tables; scores that were asked for before stay readable."""
-        for path in (*self.counts.values(), *self.alphas.values()):
-            drop(self.spark, path)
+        drop(self.spark, *(path for paths in self.counts.values() for path in paths), *self.alphas.values())
 
     def _tables(self, order: int) -> DataFrame:
         none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-        read = self.spark.read.parquet(self.counts[order])
+        read = self._counts(order)
         out = read.select("bucket", F.lit(COUNTS).alias("kind"), "contexts", "lower", "follow", "words", F.col("counts").alias("times"), *none("docs", "owners", "scores", "known", "tokens"))
         if order > 1:
             read = self.spark.read.parquet(self.alphas[order])
@@ -324,7 +397,7 @@ class KatzModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     t = Tokens(batch)
                     if len(t.token):
                         lower = t.contexts(order - 1) if order > 2 else np.zeros(len(t.token), U64)
@@ -350,7 +423,7 @@ class KatzModel:
             rows = [[col[c][i] for c in ("contexts", "lower", "follow", "words", "times", "docs", "owners", "scores")] for i, kind in enumerate(kinds) if kind == GRAMS]
             for weight in (b"1", b"0"):
                 mine = [r for r in rows if r[-1] == weight]
-                for lo, hi in _portions([len(r[6]) // 4 for r in mine], TOKENS_A_BUCKET):
+                for lo, hi in _portions([len(r[6]) // 4 for r in mine], AT_ONCE):
                     g = Grams(mine[lo:hi])
                     at = t.find(g.contexts, g.words) if t is not None else np.full(len(g.words), -1)
                     seen = at >= 0
@@ -374,6 +447,7 @@ class KatzModel:
                         tokens = np.flatnonzero(~seen[each])
                         gram = each[tokens]
                         batches += list(_gram_rows(g.lower[gram], np.zeros(len(gram), U64), g.words[gram], g.owners[tokens], True, g.ids, g.tags, order - 1, buckets))
+            tidy()
             return pa.Table.from_batches(batches, schema=_arrow_schema(SCORE_ROW))
 
         return look_up
@@ -388,7 +462,8 @@ class Grams:
         for contexts, lower, follow, words, times, docs, owners, _ in rows:
             n = from_bytes(follow, 4).astype(np.int64)
             ids, tags, _ = unpack_docs(docs)
-            own = (np.repeat(from_bytes(contexts, WIDE), n), np.repeat(from_bytes(lower, WIDE), n), from_bytes(words, WIDE), from_bytes(times, 4).astype(np.int64), ids, tags, from_bytes(owners, 4).astype(np.int64) + base)
+            below = np.repeat(from_bytes(lower, WIDE), n) if lower else np.zeros(int(n.sum()), U64)
+            own = (np.repeat(from_bytes(contexts, WIDE), n), below, from_bytes(words, WIDE), from_bytes(times, 4).astype(np.int64), ids, tags, from_bytes(owners, 4).astype(np.int64) + base)
             for part, x in zip(parts, own, strict=True):
                 part.append(x)
             base += len(ids)
@@ -425,8 +500,8 @@ def _seen_mass(good: Discounts):
     return run
 
 
-def _count_rows(contexts, lower, words, counts, order: int, buckets: int, bucket: int = 0) -> Iterator[pa.RecordBatch]:
-    """Summed counts as one row per bucket; ``buckets`` 0: all of this ``bucket``, with counts of counts."""
+def _count_rows(contexts, lower, words, counts, order: int, buckets: int, bucket: int = 0, last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Summed counts as one row per bucket; ``buckets`` 0: all of this ``bucket``; ``last``: with counts of counts."""
     sort, first, times, to = distinct(contexts, words, order, buckets)
     sums = np.concatenate([[0], np.cumsum(counts[sort])])
     counts, own = sums[first + times] - sums[first], sort[first]
@@ -438,11 +513,11 @@ def _count_rows(contexts, lower, words, counts, order: int, buckets: int, bucket
         begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         out["bucket"].append(int(b) if buckets else bucket)
         out["contexts"].append(to_bytes(c[begin], WIDE))
-        out["lower"].append(to_bytes(lower[i][begin], WIDE))
+        out["lower"].append(to_bytes(lower[i][begin], WIDE) if order > 2 else b"")
         out["follow"].append(to_bytes(np.diff(np.append(begin, n)).astype(U64), 4))
         out["words"].append(to_bytes(words[i], WIDE))
         out["counts"].append(to_bytes(counts[i].astype(U64), 5))
-        out["stats"].append(None if buckets else [*(int((counts == r).sum()) for r in range(1, 7)), len(counts), int(counts.sum())])
+        out["stats"].append(None if not last else [*(int((counts == r).sum()) for r in range(1, 7)), len(counts), int(counts.sum())])
     yield _as_batch(out, COUNT_ROW)
 
 
@@ -464,7 +539,7 @@ def _gram_rows(contexts, lower, words, owner, weight: bool, ids, tags, order: in
         out["bucket"].append(int(b))
         out["kind"].append(GRAMS)
         out["contexts"].append(to_bytes(c[begin], WIDE))
-        out["lower"].append(to_bytes(lower[i][begin], WIDE))
+        out["lower"].append(to_bytes(lower[i][begin], WIDE) if order > 2 else b"")
         out["follow"].append(to_bytes(np.diff(np.append(begin, n)).astype(U64), 4))
         out["words"].append(to_bytes(words[i], WIDE))
         out["times"].append(to_bytes(times[i].astype(U64), 4))
@@ -521,7 +596,7 @@ def _sum_up(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"id": own, "n_rows": rows, "held_out": is_held_out(own), "n_tokens": tokens // rows, "n_known": known // rows, "base_score": base / rows, "score": scores / rows})
 
 
-def scored(docs: DataFrame, order: int = 2, buckets: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, order: int = 2, buckets: int | None = None, part: int = TOKENS_A_PART) -> DataFrame:
     """A model of the training part of all documents, and the score of every one."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -529,7 +604,7 @@ def scored(docs: DataFrame, order: int = 2, buckets: int | None = None) -> DataF
         size, buckets = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 8
         while buckets * TOKENS_A_BUCKET * 6 < size:  # about 6 bytes a word
             buckets *= 2
-    model = KatzModel(spark, order, buckets).fit(given)
+    model = KatzModel(spark, order, buckets, part=part).fit(given)
     out = model.score(given)
     model.drop()
     return out
