@@ -54,8 +54,8 @@ CUTOFF = 5
 COUNT_ROW = "bucket int, contexts binary, lower binary, follow binary, words binary, counts binary, stats array<bigint>"
 SCORE_ROW = "bucket int, kind int, contexts binary, lower binary, follow binary, words binary, times binary, docs binary, owners binary, scores binary, known binary, tokens binary"
 COUNTS, GRAMS, ALPHAS = 0, 1, 2
-TOKENS_A_BUCKET = 5_000_000
-TOKENS_A_PART = 8_000_000
+TOKENS_A_BUCKET = 2_500_000
+TOKENS_A_PART = 4_500_000
 AT_ONCE = 600_000  # tokens that a bucket looks up together
 SLICE = 2 << 20
 
@@ -124,7 +124,7 @@ class Table:
 
     def __init__(self, contexts: bytes, lower: bytes, follow: bytes, words: bytes, counts: bytes):
         self.contexts = from_bytes(contexts, WIDE)
-        self.lower = from_bytes(lower, WIDE) if lower else np.zeros(len(self.contexts), U64)
+        self.lower = from_bytes(lower, WIDE) if lower else None  # up to order 2
         self.follow = from_bytes(follow, 4).astype(np.int64)
         self.words, self.counts = from_bytes(words, WIDE), from_bytes(counts, 5).astype(np.int64)
         self.row = np.repeat(np.arange(len(self.contexts)), self.follow)
@@ -181,7 +181,7 @@ class Discounts:
 class KatzModel:
     """Tables in the shared folder: counts of each order, backoff weights of each order above 1."""
 
-    def __init__(self, spark, order: int = 2, buckets: int = 64, passes: int = 3, part: int = TOKENS_A_PART):
+    def __init__(self, spark, order: int = 2, buckets: int = 64, passes: int = 2, part: int = TOKENS_A_PART):
         if order not in (1, 2, 3):  # an n-gram handed down carries its next context only
             raise ValueError("order is 1, 2 or 3")
         self.spark, self.order, self.buckets, self.passes, self.part = spark, order, buckets, passes, part
@@ -260,16 +260,21 @@ class KatzModel:
                     t = Tokens(batch)
                     train = ~is_held_out(t.ids)[t.owner]
                     words, contexts = t.token[train], t.contexts(order)[train]
-                    lower = t.contexts(order - 1)[train] if order > 2 else np.zeros(len(words), U64)
+                    lower = t.contexts(order - 1)[train] if order > 2 else None
                     if len(words):
                         yield from _count_rows(contexts, lower, words, np.ones(len(words), np.int64), order, buckets)
 
         def summed(key: tuple, table: pa.Table, last: bool) -> pa.Table:
-            parts = [Table(*r) for r in zip(*(table.column(c).to_pylist() for c in ("contexts", "lower", "follow", "words", "counts")), strict=True)]
-            contexts = np.concatenate([p.contexts[p.row] for p in parts])
-            lower = np.concatenate([p.lower[p.row] for p in parts])
-            words, counts = np.concatenate([p.words for p in parts]), np.concatenate([p.counts for p in parts])
-            del parts, table
+            contexts, lower, words, counts = [], [], [], []
+            for k in range(len(table)):  # a row at a time, so that what it is made of goes again
+                t = Table(*(table.column(c)[k].as_py() for c in ("contexts", "lower", "follow", "words", "counts")))
+                contexts.append(t.contexts[t.row])
+                words.append(t.words)
+                counts.append(t.counts)
+                if order > 2:
+                    lower.append(t.lower[t.row])
+            contexts, words, counts = np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
+            lower = np.concatenate(lower) if order > 2 else None
             out = pa.Table.from_batches(list(_count_rows(contexts, lower, words, counts, order, 0, int(key[0].as_py()), last)))
             tidy()
             return out
@@ -303,7 +308,7 @@ class KatzModel:
             for batch in batches:
                 for b, *parts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "contexts", "lower", "follow", "words", "counts")), strict=True):
                     t = Table(*parts)
-                    contexts = t.lower[t.row]
+                    contexts = t.lower[t.row] if order > 2 else np.zeros(len(t.words), U64)
                     to = bucket_of(contexts, t.words, order - 1, buckets)
                     chosen = np.argsort(to, kind="stable")
                     out: dict[str, list] = {k: [] for k in ("bucket", "kind", "contexts", "lower", "follow", "words", "counts", "origin", "refs")}
@@ -400,7 +405,7 @@ class KatzModel:
                 for batch in slices(whole, "text", SLICE):
                     t = Tokens(batch)
                     if len(t.token):
-                        lower = t.contexts(order - 1) if order > 2 else np.zeros(len(t.token), U64)
+                        lower = t.contexts(order - 1) if order > 2 else None
                         yield from _gram_rows(t.contexts(order), lower, t.token, t.owner, order == top, t.ids, t.tags, order, buckets)
 
         return run
@@ -446,7 +451,8 @@ class KatzModel:
                         each = np.repeat(np.arange(len(g.words)), g.times)
                         tokens = np.flatnonzero(~seen[each])
                         gram = each[tokens]
-                        batches += list(_gram_rows(g.lower[gram], np.zeros(len(gram), U64), g.words[gram], g.owners[tokens], True, g.ids, g.tags, order - 1, buckets))
+                        below = g.lower[gram] if order > 2 else np.zeros(len(gram), U64)
+                        batches += list(_gram_rows(below, None, g.words[gram], g.owners[tokens], True, g.ids, g.tags, order - 1, buckets))
             tidy()
             return pa.Table.from_batches(batches, schema=_arrow_schema(SCORE_ROW))
 
@@ -462,7 +468,7 @@ class Grams:
         for contexts, lower, follow, words, times, docs, owners, _ in rows:
             n = from_bytes(follow, 4).astype(np.int64)
             ids, tags, _ = unpack_docs(docs)
-            below = np.repeat(from_bytes(lower, WIDE), n) if lower else np.zeros(int(n.sum()), U64)
+            below = np.repeat(from_bytes(lower, WIDE), n) if lower else np.zeros(0, U64)
             own = (np.repeat(from_bytes(contexts, WIDE), n), below, from_bytes(words, WIDE), from_bytes(times, 4).astype(np.int64), ids, tags, from_bytes(owners, 4).astype(np.int64) + base)
             for part, x in zip(parts, own, strict=True):
                 part.append(x)
@@ -505,7 +511,7 @@ def _count_rows(contexts, lower, words, counts, order: int, buckets: int, bucket
     sort, first, times, to = distinct(contexts, words, order, buckets)
     sums = np.concatenate([[0], np.cumsum(counts[sort])])
     counts, own = sums[first + times] - sums[first], sort[first]
-    contexts, lower, words = contexts[own], lower[own], words[own]
+    contexts, lower, words = contexts[own], lower[own] if order > 2 else None, words[own]
     out: dict[str, list] = {k: [] for k in ("bucket", "contexts", "lower", "follow", "words", "counts", "stats")}
     for b, lo, n in zip(*_runs(to), strict=True):
         i = slice(lo, lo + n)
@@ -525,7 +531,7 @@ def _gram_rows(contexts, lower, words, owner, weight: bool, ids, tags, order: in
     sort, first, times, to = distinct(contexts, words, order, buckets)
     tokens = sort[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)]
     own, owner = sort[first], owner[tokens]
-    contexts, lower, words = contexts[own], lower[own], words[own]
+    contexts, lower, words = contexts[own], lower[own] if order > 2 else None, words[own]
     ends = np.concatenate([[0], np.cumsum(times)])
     out: dict[str, list] = {k: [] for k in ("bucket", "kind", "contexts", "lower", "follow", "words", "times", "docs", "owners", "scores")}
     for b, lo, n in zip(*_runs(to), strict=True):
@@ -559,14 +565,12 @@ def _partial_sums(g: Grams, value, base, known, buckets: int) -> pa.RecordBatch:
     seen = np.bincount(g.owners, known[each], n) if whole else none
     tokens = np.bincount(g.owners, minlength=n) if whole else none
     ends = np.bincount(g.owners[g.words[each] == END], minlength=n) if whole else none
-    # a text may come in several rows: one entry for each
-    order = np.lexsort((g.tags, g.ids, g.ids % buckets))
-    ids, tags = g.ids[order], g.tags[order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(tags) != 0)]))
-    add = lambda x: np.add.reduceat(x[..., order], first, axis=-1)
-    sums, seen, tokens, ends, ids, tags = add(sums), add(seen), add(tokens), add(ends), ids[first], tags[first]
+    # a text may come in several rows, which _sum_up puts together
+    shard = (g.ids % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(shard, kind="stable")
+    sums, seen, tokens, ends, ids, tags, shard = sums[:, order], seen[order], tokens[order], ends[order], g.ids[order], g.tags[order], shard[order].astype(np.int64)
     out: dict[str, list] = {k: [] for k in ("bucket", "kind", "docs", "times", "scores", "known", "tokens")}
-    for b, lo, k in zip(*_runs((ids % buckets).astype(np.int64)), strict=True):
+    for b, lo, k in zip(*_runs(shard), strict=True):
         own = slice(lo, lo + k)
         out["bucket"].append(int(b))
         out["kind"].append(COUNTS)
