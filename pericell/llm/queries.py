@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, media, mixing, neardup, packing, quality, secret_scan, substring, tokens, toxicity
+from . import katz, media, merkle, mixing, neardup, packing, quality, secret_scan, sharding, substring, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -71,7 +71,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_near_dedup, op3_best_fit_packing, op4_toxicity_chain, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(merkle.manifest(documents(spark, sf_dir, *merkle.FIELDS)))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.plan(documents(spark, sf_dir, "doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_near_dedup, op3_best_fit_packing, op4_toxicity_chain, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns, op11_merkle_manifest, op13_shards)}
 
 MIX_SQL = r"""
 WITH sized AS (
@@ -134,4 +143,75 @@ SELECT *, NOT base_failed AND {bounds} AS kept FROM q
 """
 
 
-ORACLE_SQL = {"op5_mix_sources": MIX_SQL, "op8_quality_rules": _quality_sql()}
+def _crc_table() -> list[int]:
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+#: A relation ``t`` with the table of CRC-32, and the checksum of a text, byte by byte.
+CRC_SQL = f"t AS MATERIALIZED (SELECT {_crc_table()}::BIGINT[] AS crc)"
+
+
+def _crc_sql(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return f"xor(4294967295::BIGINT, list_reduce({data}, lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295::BIGINT))"
+
+
+SHARDS_SQL = f"""
+WITH {CRC_SQL}, d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, t
+), p AS (
+  SELECT *, row_number() OVER o AS r, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total
+  FROM d WINDOW o AS (ORDER BY doc_id ASC NULLS FIRST, size, text_crc32)
+), s AS (
+  SELECT *, CAST(least(7, 8 * (2 * start + size) // (2 * total)) AS INTEGER) AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+
+def _levels_sql(name: str, leaves: str, levels: int) -> str:
+    """``name``_0 to ``name``_levels: nodes (g, i, h) of trees over leaves (g, i, h); a tree's root repeats itself at i 0 once it is reached.
+    ``name``_up: for each leaf the others on its way (text, from below), and for each level its place."""
+    out = [f"{name}_0 AS ({leaves})"]
+    for k in range(levels):
+        out.append(f"""{name}_n{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}_{k}),
+{name}_{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}_n{k} GROUP BY g, i // 16),
+{name}_r{k} AS (SELECT g, i // 16 AS i, any_value(n) > 1 AS hashed, list(h ORDER BY i) AS run FROM {name}_n{k} GROUP BY g, i // 16)""")
+    joins = " ".join(f"JOIN {name}_r{k} r{k} ON r{k}.g = a.g AND r{k}.i = a.i // {16 ** (k + 1)}" for k in range(levels))
+    place = lambda k: f"1 + a.i // {16**k} % 16"
+    before = lambda k: f"array_to_string(r{k}.run[1:{place(k)} - 1], '')"
+    after = lambda k: f"array_to_string(r{k}.run[{place(k)} + 1:], '')"
+    parts = " || ".join(f"{before(k)} || {after(k)}" for k in range(levels))
+    steps = ", ".join(f"CASE WHEN r{k}.hashed THEN [{before(k)}, {after(k)}] END" for k in range(levels))
+    out.append(f"{name}_up AS (SELECT a.g, a.i, {parts} AS others, [{steps}] AS steps FROM {name}_0 a {joins})")
+    return ",\n".join(out)
+
+
+def _merkle_sql(levels: int = 5, top: int = 4) -> str:
+    """By levels one after another: right up to 16**levels rows a source and 16**top sources."""
+    field = lambda c, value=None: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({value or c} AS VARCHAR)) || ':' || CAST({value or c} AS VARCHAR) END"
+    row = lambda text: f"sha256({' || '.join(field(c, text if c == 'text' else None) for c in merkle.FIELDS)})"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH {CRC_SQL}, d AS (
+  SELECT doc_id, source, {row("text")} AS h, CASE WHEN doc_id IS NOT NULL AND {_crc_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {row(small)} ELSE {row("text")} END AS changed FROM documents, t
+), l AS (
+  SELECT *, dense_rank() OVER (ORDER BY source ASC NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id ASC NULLS FIRST, h) - 1 AS i FROM d
+),
+{_levels_sql("own", "SELECT g, i, h FROM l", levels)},
+{_levels_sql("top", f"SELECT 0 AS g, g AS i, h FROM own_{levels}", top)},
+folded AS (
+  SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(a.others || b.others) AS proof_sha256,
+    list_reduce(list_filter(list_concat(a.steps, b.steps), lambda x: x IS NOT NULL), lambda x, y: [sha256(y[1] || x[1] || y[2])], [l.changed])[1] AS folded_root
+  FROM l JOIN own_up a ON a.g = l.g AND a.i = l.i JOIN top_up b ON b.i = l.g JOIN top_0 s ON s.i = l.g, top_{top} r
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+ORACLE_SQL = {"op5_mix_sources": MIX_SQL, "op8_quality_rules": _quality_sql(), "op11_merkle_manifest": _merkle_sql(), "op13_shards": SHARDS_SQL}

@@ -93,14 +93,16 @@ class Words:
 
     start, end: byte spans; doc: for each text, the number of its first word
     (one more entry than texts). ``hash(seed)`` gives 64-bit word fingerprints.
-    ``punctuation``: ASCII punctuation separates words as well.
+    ``punctuation``: ASCII punctuation separates words as well; ``separators``: these bytes do, in place of white space.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, punctuation: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, punctuation: bool = False, separators: np.ndarray | None = None):
         self.data, self.at = raw(column)
         if lower:
             self.data = LOWER[self.data]
-        word = ~(PUNCTUATION if punctuation else SEPARATOR)[self.data]
+        if separators is None:
+            separators = PUNCTUATION if punctuation else SEPARATOR
+        word = ~separators[self.data]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
