@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, media, merkle, mixing, neardup, packing, quality, secret_scan, sharding, substring, tokens, toxicity
+from . import collocations, katz, media, merkle, mixing, neardup, packing, quality, secret_scan, sharding, substring, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -75,12 +75,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven(merkle.manifest(documents(spark, sf_dir, *merkle.FIELDS)))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
 def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.plan(documents(spark, sf_dir, "doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_near_dedup, op3_best_fit_packing, op4_toxicity_chain, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns, op11_merkle_manifest, op13_shards)}
+QUERIES = {f.__name__: f for f in (op1_katz_scores, op2_near_dedup, op3_best_fit_packing, op4_toxicity_chain, op5_mix_sources, op6_token_counts, op7_substring_dedup, op8_quality_rules, op9_secret_scan, op10_media_columns, op11_merkle_manifest, op12_collocations, op13_shards)}
 
 MIX_SQL = r"""
 WITH sized AS (
@@ -214,4 +218,40 @@ SELECT *, folded_root = root AS verified FROM folded
 """
 
 
-ORACLE_SQL = {"op5_mix_sources": MIX_SQL, "op8_quality_rules": _quality_sql(), "op11_merkle_manifest": _merkle_sql(), "op13_shards": SHARDS_SQL}
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, p FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), words AS (
+  SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM (SELECT lang, piece, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces)
+), runs AS (
+  SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)
+), n AS (
+  SELECT lang, count(*) AS n FROM runs GROUP BY lang
+), f1 AS (
+  SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL
+), f2 AS (
+  SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+), cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2 LEFT JOIN longer m ON m.lang = p.lang AND m.w1 = p.w1 AND m.w2 = p.w2
+  WHERE m.most IS NULL OR 100 * m.most < 50 * p.f
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, 1, x.f, y.f FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, 2, x.f, y.f FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w3
+), scored AS (
+  SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op5_mix_sources": MIX_SQL, "op8_quality_rules": _quality_sql(), "op11_merkle_manifest": _merkle_sql(), "op12_collocations": PHRASES_SQL, "op13_shards": SHARDS_SQL}
