@@ -7,9 +7,8 @@ row's come from a model that did not see it, so a later model learns to trust th
 far as they hold on new rows. Each category's decision threshold is the one of best F1
 on its out-of-fold probabilities; of equally good ones, the highest.
 
-Where labels have one toxic flag alone, the category ``insult`` is labelled from it:
-a toxic document with a word of INSULTS. That is a weak label, for training alone;
-whether a document is scored as one is the model's matter.
+Categories are the columns of the labels, in the order given; the query takes
+``low_quality`` (labels' quality 0), then ``toxic``. No words are listed by hand.
 
 Fitting uses at most ``max_rows`` labelled documents, those of least hash of
 their id, and of equal hashes the least id. Of several rows of labels with one id the
@@ -38,8 +37,6 @@ from .words import U64, Words, mix64, slices
 
 DIMS = 1 << 20
 PREFIXES = (4, 5)  # bytes
-#: Frequent English words of abuse of a person.
-INSULTS = "clown coward disgusting dumb filth fool garbage idiot imbecile loser moron pathetic scum stupid trash worthless".split()
 
 
 class Rows:
@@ -203,11 +200,10 @@ class Chain:
         return extra[:, 1:]
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("insult", "toxic"), max_rows: int = 8_000, **parameters) -> Chain:
-    """``labels``: doc_id and a 0/1 column for each category; ``insult`` may be left out, and is then made from ``toxic``."""
-    told = [c for c in categories if c != "insult" or c in labels.columns]
-    whole = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in told]).dropna()
-    whole = whole.groupBy("doc_id").agg(F.min(F.struct(*told)).alias("y")).select("doc_id", "y.*")
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), max_rows: int = 8_000, **parameters) -> Chain:
+    """``labels``: doc_id and a 0/1 column for each category."""
+    whole = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
+    whole = whole.groupBy("doc_id").agg(F.min(F.struct(*categories)).alias("y")).select("doc_id", "y.*")
     some = F.broadcast(whole.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # the documented bound
     names = ["doc_id", *categories]
 
@@ -220,10 +216,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} int' for c in categories)}, length double, words binary"
     known = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(some, "doc_id")
-    known = known.groupBy("doc_id", *told).agg(F.min("text").alias("text"))
-    if told != list(categories):
-        held = F.lower("text").rlike(rf"\b({'|'.join(INSULTS)})\b")
-        known = known.withColumn("insult", F.when(held, F.col("toxic")).otherwise(0))
+    known = known.groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
     found = known.select("doc_id", "text", *categories).mapInArrow(features, schema).toPandas().sort_values("doc_id")
     parts = [np.frombuffer(b, "<i4") for b in found["words"]]
     index = np.concatenate(parts) if parts else np.zeros(0, np.int32)
