@@ -44,7 +44,7 @@ BETWEEN[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BETWEEN.copy()
 APART[[0x20, 0x09]] = True
 SLICE = 4 << 20
-EXACT, BITS = 8_000_000, 28
+EXACT, BITS = 4_000_000, 28
 GROUPS = 64
 
 
@@ -90,12 +90,12 @@ class Frequent:
 def frequent(table: DataFrame, exact: int = EXACT, bits: int = BITS) -> Frequent:
     """The runs of a level's table, in a bounded size."""
     if table.count() <= exact:
-        return Frequent(np.sort(table.select("mark").toPandas()["mark"].to_numpy(np.int64).view(U64)))
+        return Frequent(np.sort(table.select("mark").toArrow().column("mark").to_numpy().view(U64)))
     low = table.select(F.col("mark").bitwiseAND((1 << bits) - 1).alias("p"))
     packed = low.groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("word"))
-    found = packed.toPandas()  # at most 1 << bits - 6 rows
+    found = packed.toArrow()  # at most 1 << bits - 6 rows
     out = np.zeros(1 << bits - 6, U64)
-    out[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(U64)
+    out[found.column("at").to_numpy()] = found.column("word").to_numpy().view(U64)
     return Frequent(None, out)
 
 
