@@ -18,9 +18,10 @@ def frame_pairs(xyz: np.ndarray, cell: np.ndarray, cutoff: float, binned_from: i
     frac = xyz @ inverse
     whole = np.floor(frac)
     frac, home = frac - whole, xyz - whole @ cell
-    bins = np.floor(width / cutoff).astype(int)
-    if n >= binned_from and (bins >= 3).all():
-        i, j, r = _binned(home, frac, cell, bins)
+    bins = np.maximum(np.floor(width / cutoff).astype(int), 1)
+    reach = np.where(width >= cutoff, 1, np.ceil(cutoff / width).astype(int))
+    if n >= binned_from and bins.prod() > (2 * reach + 1).prod() // 2:
+        i, j, r = _binned(home, frac, cell, bins, reach, cutoff)
     else:
         i, j, r = _brute(home, cell, np.ceil(cutoff / width).astype(int), cutoff)
     d = np.linalg.norm(r, axis=1)
@@ -41,21 +42,24 @@ def _brute(home: np.ndarray, cell: np.ndarray, reach: np.ndarray, cutoff: float)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _binned(home: np.ndarray, frac: np.ndarray, cell: np.ndarray, bins: np.ndarray):
+def _binned(home: np.ndarray, frac: np.ndarray, cell: np.ndarray, bins: np.ndarray, reach: np.ndarray, cutoff: float):
+    """Bins around each atom, counted on over the cell's edges: one that is met again there is another image."""
     place = np.minimum((frac * bins).astype(int), bins - 1)
     key = (place[:, 0] * bins[1] + place[:, 1]) * bins[2] + place[:, 2]
     order = np.argsort(key, kind="stable")
     counts = np.bincount(key, minlength=int(bins.prod()))
     start = np.cumsum(counts) - counts
     out = []
-    for step in np.stack(np.meshgrid(*[[-1, 0, 1]] * 3, indexing="ij"), -1).reshape(-1, 3):
+    for step in np.stack(np.meshgrid(*[np.arange(-k, k + 1) for k in reach], indexing="ij"), -1).reshape(-1, 3):
         to = place + step
         shift, to = np.floor_divide(to, bins), np.mod(to, bins)
         other = (to[:, 0] * bins[1] + to[:, 1]) * bins[2] + to[:, 2]
         n = counts[other]
         i = np.repeat(np.arange(len(home)), n)
         j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[other], n)]
-        out.append((i, j, home[j] - home[i] + (shift @ cell)[i]))
+        r = home[j] - home[i] + (shift @ cell)[i]
+        near = np.einsum("pa,pa->p", r, r) < cutoff * cutoff
+        out.append((i[near], j[near], r[near]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -47,33 +47,56 @@ def brute_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame
     return _measured(both, cutoff)
 
 
+def _counted(rows: DataFrame, cutoff: float) -> DataFrame:
+    """Bins in each direction (na, nb, nc) from the widths, and how many bins a cutoff reaches (ka, kb, kc).
+
+    A bin is at least a cutoff wide, so one step reaches; a direction thinner than the cutoff is one bin, whose
+    images are looked at as far as the cutoff goes.
+    """
+    rc = X.number(cutoff)
+    for k, w in zip("abc", WIDTHS, strict=True):
+        rows = rows.withColumn(f"n{k}", F.expr(f"greatest(cast(floor({w} / {rc}) as bigint), 1L)"))
+        rows = rows.withColumn(f"k{k}", F.expr(f"CASE WHEN {w} >= {rc} THEN 1L ELSE cast(ceil({rc} / {w}) as bigint) END"))
+    return rows
+
+
 def bins(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
-    """Atoms wrapped into the cell, with their bin (ba, bb, bc) and the bins in each direction (na, nb, nc)."""
+    """Atoms wrapped into the cell, with their bin (ba, bb, bc), the bins in each direction and their reach."""
     out = _placed(atoms, frames)
     for f in ("fa", "fb", "fc"):
         out = out.withColumn(f, F.expr(f"{f} - floor({f})"))
-    for n, w, f, b in (("na", "w0", "fa", "ba"), ("nb", "w1", "fb", "bb"), ("nc", "w2", "fc", "bc")):
-        out = out.withColumn(n, F.expr(f"cast(floor({w} / {X.number(cutoff)}) as bigint)"))
+    out = _counted(out, cutoff)
+    for n, f, b in (("na", "fa", "ba"), ("nb", "fb", "bb"), ("nc", "fc", "bc")):
         out = out.withColumn(b, F.expr(f"least(cast(floor({f} * {n}) as bigint), {n} - 1)"))
     wrapped = X.cartesian(["fa", "fb", "fc"], CELL)
-    return out.select("frame_id", "atom_id", "type", *CELL, "na", "nb", "nc", "ba", "bb", "bc", *[F.expr(e).alias(a) for e, a in zip(wrapped, "xyz", strict=True)])
+    return out.select("frame_id", "atom_id", "type", *CELL, "na", "nb", "nc", "ka", "kb", "kc", "ba", "bb", "bc", *[F.expr(e).alias(a) for e, a in zip(wrapped, "xyz", strict=True)])
 
 
 #: Offsets to half of the 26 bins around one, and to itself.
 HALF = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
 
 
+def _offsets() -> Column:
+    """Half of the bins within reach. They count on over the cell's edges: a bin met again there is another image."""
+    one = F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"o{k}") for k, x in zip("abc", o, strict=True)]) for o in HALF])
+    steps = lambda k: F.sequence(-F.col(f"k{k}"), F.col(f"k{k}"))
+    row = lambda a, b: F.transform(steps("c"), lambda c: F.struct(a.alias("oa"), b.alias("ob"), c.alias("oc")))
+    every = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("ka")), lambda a: F.flatten(F.transform(steps("b"), lambda b: row(a, b)))))
+    half = F.filter(every, lambda o: (o["oa"] > 0) | (o["ob"] > 0) | ((o["ob"] == 0) & (o["oc"] >= 0)))
+    return F.when(F.greatest("ka", "kb", "kc") == 1, one).otherwise(half)
+
+
 def cell_list_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
-    """Equi-join on frame and bin over the bins around each atom. Right only with 3 bins and more in each direction.
+    """Equi-join on frame and bin over the bins around each atom, for cells of any shape.
 
     Atoms go to their own bin and to half of those around it, with the position that they have as seen from there,
-    and the bin's number; each pair is met once and gives both of its directions.
+    and the bin's number; each pair is met once and gives both of its directions. With one or two bins in a
+    direction (slabs, wires, small boxes) an atom goes to a bin once for each image of it that is in reach.
     """
     binned = bins(atoms, frames, cutoff)
     bin_of = lambda a, b, c: ((a * F.col("nb") + b) * F.col("nc") + c).alias("bin")
     two = binned.select("frame_id", bin_of(F.col("ba"), F.col("bb"), F.col("bc")), F.col("atom_id").alias("j"), F.col("type").alias("tj"), *[F.col(a).alias(f"{a}j") for a in "xyz"])
-    offsets = F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"o{k}") for k, x in zip("abc", o, strict=True)]) for o in HALF])
-    one = binned.withColumn("o", F.explode(offsets))
+    one = binned.withColumn("o", F.explode(_offsets()))
     there = {k: F.col(f"b{k}") + F.col(f"o.o{k}") for k in "abc"}
     shift = {k: F.floor(there[k] / F.col(f"n{k}")) for k in "abc"}
     seen = [(F.col(a) - sum((shift[n] * F.col(f"c{3 * m + k}") for m, n in enumerate("abc")), F.lit(0.0))).alias(f"{a}i") for k, a in enumerate("xyz")]
@@ -88,11 +111,13 @@ def cell_list_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataF
     return both.select("frame_id", F.inline(rows))
 
 
-def usable(atoms: DataFrame, frames: DataFrame, cutoff: float, least_atoms: int = 64) -> DataFrame:
-    """frame_id and ok: whether the cell list is right and worth it."""
-    enough = F.least(*WIDTHS) >= 3 * cutoff
+def usable(atoms: DataFrame, frames: DataFrame, cutoff: float, least_atoms: int = 64, large: int = 4096) -> DataFrame:
+    """frame_id and ok: whether the cell list is worth it, by its bins against the 14 that each atom goes to. Frames of
+    ``large`` atoms and more take it with any bins, since else a frame is one key of the join."""
     sizes = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("natoms"))
-    return geometry(frames).join(sizes, "frame_id").select("frame_id", (enough & (F.col("natoms") >= least_atoms)).alias("ok"))
+    counted = _counted(geometry(frames), cutoff).join(sizes, "frame_id")
+    enough = (F.col("na") * F.col("nb") * F.col("nc") > len(HALF)) & (F.col("natoms") >= least_atoms)
+    return counted.select("frame_id", (enough | (F.col("natoms") >= large)).alias("ok"))
 
 
 def neighbor_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float, least_atoms: int = 64) -> DataFrame:

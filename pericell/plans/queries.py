@@ -107,6 +107,39 @@ def j2_cell_list(spark, sf_dir):
     return N.cell_list_pairs(atoms(spark, sf_dir), frames(spark, sf_dir), RCELL).select(*PAIR_COLUMNS)
 
 
+SLABS, SLAB_X, SLAB_Y, SLAB_Z, SLAB_RC = 4, 128, 32, 2, 4
+SLAB_XYZ = [f"x + 8e0 * (frame_id div {SLABS} % {SLAB_X})", f"y + 8e0 * (frame_id div {SLABS * SLAB_X} % {SLAB_Y})", f"z - {SLAB_Z}e0 * floor(z / {SLAB_Z}e0)"]
+
+
+def slabs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All atoms in SLABS slabs of 1024 x 256 x 2: their boxes side by side, and thinner than the cutoff."""
+    xyz = [F.expr(e).alias(a) for e, a in zip(SLAB_XYZ, "xyz", strict=True)]
+    rows = atoms(spark, sf_dir).select((F.col("frame_id") % SLABS).alias("frame_id"), (F.col("frame_id") * 1000 + F.col("atom_id")).alias("atom_id"), "type", *xyz)
+    cell = F.array(*[F.lit(float(8 * (SLAB_X if k == 0 else SLAB_Y) if k < 8 else SLAB_Z) if k % 4 == 0 else 0.0) for k in range(9)])
+    return rows, rows.select("frame_id").distinct().withColumn("cell", cell)
+
+
+SLAB_SQL = f"""slab AS (
+  SELECT frame_id % {SLABS} AS f, frame_id * 1000 + atom_id AS a, {SLAB_XYZ[0].replace("div", "//")} AS x, {SLAB_XYZ[1].replace("div", "//")} AS y, {SLAB_XYZ[2]} AS z FROM atoms
+), image AS (
+  SELECT f, a, x + {8 * SLAB_X}e0 * sx AS x, y + {8 * SLAB_Y}e0 * sy AS y, z + {SLAB_Z}e0 * sz AS z
+  FROM slab, (SELECT unnest(range(-1, 2)) AS sx), (SELECT unnest(range(-1, 2)) AS sy), (SELECT unnest(range(-3, 4)) AS sz)
+  WHERE x + {8 * SLAB_X}e0 * sx BETWEEN -{SLAB_RC}e0 AND {8 * SLAB_X + SLAB_RC}e0 AND y + {8 * SLAB_Y}e0 * sy BETWEEN -{SLAB_RC}e0 AND {8 * SLAB_Y + SLAB_RC}e0
+), strip AS (
+  SELECT f, a, x, y, z, unnest(range(-1, 2)) + CAST(floor(x / {SLAB_RC}e0) AS BIGINT) AS k FROM image
+), near AS (
+  SELECT s.f, s.a, t.a AS b, (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z) AS d2
+  FROM slab s JOIN strip t ON s.f = t.f AND CAST(floor(s.x / {SLAB_RC}e0) AS BIGINT) = t.k AND t.y BETWEEN s.y - {SLAB_RC}e0 AND s.y + {SLAB_RC}e0
+)"""
+
+
+@query(f"""WITH {ATOMS_SQL}, {SLAB_SQL}
+SELECT f AS frame_id, a AS i, count(*) AS n, count(CASE WHEN a = b THEN 1 END) AS n_own, round(sum(sqrt(d2)), 6) AS sum_d FROM near WHERE d2 < {SLAB_RC**2}e0 AND d2 > 1e-20 GROUP BY 1, 2""")
+def j2_slab(spark, sf_dir):
+    found = N.neighbor_pairs(*slabs(spark, sf_dir), float(SLAB_RC))
+    return rounded(found.groupBy("frame_id", "i").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("i") == F.col("j"), 1)).alias("n_own"), F.sum("d").alias("sum_d")))
+
+
 @query(f"WITH {ATOMS_SQL}, {pairs_sql(RCELL)} SELECT frame_id, count(*) AS n, round(sum(d), 6) AS sum_d FROM pairs GROUP BY 1")
 def j3_strategy(spark, sf_dir):
     found = N.neighbor_pairs(atoms(spark, sf_dir), frames(spark, sf_dir), RCELL, least_atoms=4)

@@ -112,7 +112,7 @@ def test_parameter_gradient():
         assert np.isclose((loss(up) - loss(down)) / 2e-6, g[k], rtol=1e-5, atol=1e-4)
 
 
-@pytest.mark.parametrize("cell", [np.diag([30.0, 30, 30]), np.array([[40.0, 0, 0], [4, 40, 0], [3, 2, 40]])])
+@pytest.mark.parametrize("cell", [np.diag([30.0, 30, 30]), np.array([[40.0, 0, 0], [4, 40, 0], [3, 2, 40]]), np.diag([40.0, 40, 2]), np.array([[40.0, 0, 0], [9, 30, 0], [2, 1, 3.5]]), np.diag([13.0, 70, 13])])
 def test_bins_find_the_pairs_of_brute_force(cell):
     xyz = np.random.default_rng(1).uniform(-5, 35, (450, 3))
     a, b = (frame_pairs(xyz, cell, 6.0, k) for k in (1, 10**9))

@@ -51,6 +51,45 @@ def test_strategy_covers_all_frames(data):
     close(rows(N.neighbor_pairs(data[0], data[1], 6.0)), expected(data[2], CELLS))
 
 
+#: Slabs, wires and boxes with one or two bins in a direction, also thinner than half of the cutoff, upright and skewed.
+THIN = {
+    1: np.diag([40.0, 40, 2]),
+    2: np.diag([4.0, 60, 5]),
+    3: np.diag([13.0, 12.5, 14]),
+    4: np.diag([7.0, 50, 13]),
+    5: np.array([[40.0, 0, 0], [9, 30, 0], [2, 1, 3.5]]),
+    6: np.array([[5.0, 1, 0], [0, 6.1, 1], [1, 0, 70]]),
+    7: np.diag([6.0, 6, 6]),
+    8: np.diag([2.5, 2.6, 2.7]),
+}
+
+
+def test_thin_frames_by_bins(spark):
+    rng = np.random.default_rng(8)
+    atoms = [(f, a, a % 2, *map(float, rng.uniform(-6, 46, 3))) for f in THIN for a in range(70 if f < 7 else 4)]
+    given = spark.createDataFrame(atoms, "frame_id bigint, atom_id bigint, type int, x double, y double, z double")
+    frames = spark.createDataFrame([(f, [float(x) for x in c.ravel()], None) for f, c in THIN.items()], "frame_id bigint, cell array<double>, energy double")
+    binned = N.cell_list_pairs(given, frames, 6.0)
+    close(rows(binned), rows(N.brute_pairs(given, frames, 6.0)))
+    assert {r.frame_id for r in binned.where("i = j").collect()} >= {1, 2, 5, 6, 8}  # own images
+    ok = {r.frame_id: r.ok for r in N.usable(given, frames, 6.0).collect()}
+    assert ok == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False, 8: False}
+    assert {r.ok for r in N.usable(given, frames, 6.0, large=4).collect()} == {True}
+    close(rows(N.neighbor_pairs(given, frames, 6.0)), rows(binned))
+
+
+def test_a_slab_is_dealt_by_bins(spark):
+    """20,000 atoms in a slab thinner than the cutoff: candidates stay in proportion to atoms, and no bin has a large share."""
+    rng = np.random.default_rng(9)
+    xyz = np.column_stack([rng.uniform(0, 300, (20_000, 2)), rng.uniform(0, 2.5, 20_000)])
+    given = spark.createDataFrame([(1, k, 0, *map(float, x)) for k, x in enumerate(xyz)], "frame_id bigint, atom_id bigint, type int, x double, y double, z double")
+    frames = spark.createDataFrame([(1, [300.0, 0, 0, 0, 300, 0, 0, 0, 2.5], None)], "frame_id bigint, cell array<double>, energy double")
+    assert N.bins(given, frames, 4.0).groupBy("ba", "bb", "bc").count().agg({"count": "max"}).first()[0] < 40
+    i, j, r = frame_pairs(xyz, np.diag([300, 300, 2.5]), 4.0)
+    counts = {r.i: r["count"] for r in N.neighbor_pairs(given, frames, 4.0).groupBy("i").count().collect()}
+    assert counts == {k: c for k, c in enumerate(np.bincount(i, minlength=20_000).tolist()) if c}
+
+
 def test_half_list_mirrored(data):
     full = N.brute_pairs(data[0], data[1].where("frame_id < 4"), 6.0)
     close(rows(N.mirrored(full.where("i <= j"))), rows(full))
