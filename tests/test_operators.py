@@ -83,7 +83,7 @@ def test_a_slab_is_dealt_by_bins(spark):
     rng = np.random.default_rng(9)
     xyz = np.column_stack([rng.uniform(0, 300, (20_000, 2)), rng.uniform(0, 2.5, 20_000)])
     given = spark.createDataFrame([(1, k, 0, *map(float, x)) for k, x in enumerate(xyz)], "frame_id bigint, atom_id bigint, type int, x double, y double, z double")
-    frames = spark.createDataFrame([(1, [300.0, 0, 0, 0, 300, 0, 0, 0, 2.5], None)], "frame_id bigint, cell array<double>, energy double")
+    frames = spark.createDataFrame([(1, np.diag([300, 300, 2.5]).ravel().tolist(), None)], "frame_id bigint, cell array<double>, energy double")
     assert N.bins(given, frames, 4.0).groupBy("ba", "bb", "bc").count().agg({"count": "max"}).first()[0] < 40
     i, j, r = frame_pairs(xyz, np.diag([300, 300, 2.5]), 4.0)
     counts = {r.i: r["count"] for r in N.neighbor_pairs(given, frames, 4.0).groupBy("i").count().collect()}
