@@ -43,7 +43,7 @@ BETWEEN = np.zeros(256, bool)  # pieces
 BETWEEN[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BETWEEN.copy()
 APART[[0x20, 0x09]] = True
-SLICE = 4 << 20
+SLICE = 2 << 20
 EXACT, BITS = 4_000_000, 28
 GROUPS = 64
 
