@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +15,6 @@ XYZ = (
 SYMBOLS = ["A", "N", "R"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; without one, a temporary folder in local mode only."""
-    conf = spark.sparkContext
-    named = conf.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and (not conf.master.startswith("local") or conf.master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (named or "file://" + tempfile.gettempdir()).rstrip("/")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,8 @@ from ..operators import descriptors as D
 from ..operators import metrics as M
 from ..operators import neighbors as N
 from ..operators import sampling as S
-from .bridge import ATOMS_SQL, FRAMES_SQL, atoms, frames, pairs_sql, shared_dir, table
+from ..storage import shared_dir
+from .bridge import ATOMS_SQL, FRAMES_SQL, atoms, frames, pairs_sql, table
 
 NT, N_RADIAL, N_ANGULAR, BASIS = 3, 3, 2, 3
 RC, RA, RCELL = 6.0, 4.0, 2.5

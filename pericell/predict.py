@@ -9,11 +9,14 @@ atoms and their neighbors is summed by atom (``predict_large``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .framestore import CALL, FrameStore, collate, unpacked
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
 from .kernels.potential import Batch, compute
@@ -73,8 +76,11 @@ def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, descriptor:
 def predict_frames(per_atom: DataFrame, frames: DataFrame) -> DataFrame:
     """frame_id, natoms, e_pred, w_xx .. (virial per atom), volume, s_xx .. (GPa)."""
     sums = per_atom.groupBy("frame_id").agg(F.count(F.lit(1)).alias("natoms"), F.sum("energy").alias("e_pred"), *[F.sum(v).alias(v) for v in V])
-    cells = frames.select("frame_id", *[F.col("cell")[k].alias(f"c{k}") for k in range(9)])
-    out = sums.join(cells, "frame_id").withColumn("volume", F.expr(X.volume([f"c{k}" for k in range(9)])))
+    if "volume" in frames.columns:
+        out = sums.join(frames.select("frame_id", "volume"), "frame_id")
+    else:
+        cells = frames.select("frame_id", *[F.col("cell")[k].alias(f"c{k}") for k in range(9)])
+        out = sums.join(cells, "frame_id").withColumn("volume", F.expr(X.volume([f"c{k}" for k in range(9)])))
     six = [(F.col(f"v{k}") / F.col("natoms")).alias(f"w_{n}") for k, n in zip(X.VIRIAL_SIX, SIX, strict=True)]
     stress = [F.expr(X.stress_gpa(f"v{k}", "volume")).alias(f"s_{n}") for k, n in zip(X.VIRIAL_SIX, SIX, strict=True)]
     return out.select("frame_id", "natoms", "e_pred", *six, "volume", *stress)
@@ -130,6 +136,33 @@ def predict_sized(atoms: DataFrame, frames: DataFrame, model: Model, descriptor:
     return predict_large(*big, model, descriptor).unionByName(predict_atoms(*small, model, descriptor=descriptor))
 
 
+def predict_store(store: FrameStore, model: Model, descriptor: bool = False) -> DataFrame:
+    """As predict_atoms, from frames whose pairs are kept: no neighbor search and no shuffle."""
+    shared = store.spark.sparkContext.broadcast(model)
+    names = ["frame_id", "atom_id", "energy", "fx", "fy", "fz", *V, "q"]
+    schema = f"frame_id bigint, atom_id bigint, {', '.join(f'{c} double' for c in names[2:-1])}, q array<double>"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), CALL):
+                frames = unpacked(batch.slice(lo, CALL))
+                found = compute(shared.value, collate(frames))
+                ids = [np.repeat([f.frame_id for f in frames], [f.n for f in frames]), np.concatenate([np.arange(f.n) for f in frames])]
+                arrays = [pa.array(np.ascontiguousarray(c)) for c in (*ids, found["energy"], *found["forces"].T, *found["virial"].T)]
+                q = pa.array(list(found["descriptor"]), pa.list_(pa.float64())) if descriptor else pa.nulls(len(ids[0]), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*arrays, q], names)
+
+    out = store.table().mapInArrow(kernel, schema)
+    return out if descriptor else out.drop("q")
+
+
+def store_tables(store: FrameStore, model: Model) -> dict[str, DataFrame]:
+    """Energy, force, virial and stress tables of a store's frames, with their references."""
+    per_atom, frames = predict_store(store, model), store.frames()
+    per_frame = predict_frames(per_atom, frames)
+    return {"energy": energy_table(per_frame, frames), "force": force_table(per_atom, store.atoms()), "virial": virial_table(per_frame, frames), "stress": virial_table(per_frame, frames, stress=True)}
+
+
 def energy_table(per_frame: DataFrame, frames: DataFrame) -> DataFrame:
     """frame_id, pred, ref in eV per atom; a missing reference is NaN in the file."""
     both = per_frame.join(frames.select("frame_id", "energy"), "frame_id")

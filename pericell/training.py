@@ -2,8 +2,9 @@
 
 Gradients are analytic (kernels.potential.State.gradient). Sets of up to
 ``local_atoms`` atoms are kept on the driver, where small steps cost no job;
-larger ones stay in Spark, one job a step: tasks add up sums and gradients, whose
-sizes are fixed by the model, and a few tasks add up those of the others. Losses
+larger ones stay in Spark, where pairs are found once and each epoch is laid out by
+batch, one job a step: tasks add up sums and gradients, whose sizes are fixed by the
+model, and a few tasks add up those of the others. Losses
 divide by counts of labelled frames and atoms over the whole step, and batches are
 ranks of the same hashes in both places, so that a seed gives one model, up to the
 rounding of sums, wherever the frames are kept.
@@ -18,17 +19,16 @@ import json
 import logging
 import os
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3
-from .kernels.potential import Batch, State
-from .kernels.pairs import frame_pairs
+from .framestore import Frame, FrameStore, collate, gathered, prepare, to_frame
+from .kernels.potential import State
 from .model import Model, load_model
 from .operators import sampling
 from .sources.config import Config
@@ -38,41 +38,6 @@ SIX = list(X.VIRIAL_SIX)
 SUMS = ("se", "sr", "n_e", "sf", "n_f", "sv", "ss", "n_v")
 
 
-@dataclass
-class Frame:
-    """A labelled frame with its pairs; a missing label is None."""
-
-    frame_id: int
-    type: np.ndarray
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
-    volume: float
-    energy: float | None
-    forces: np.ndarray | None
-    virial: np.ndarray | None
-
-    @property
-    def n(self) -> int:
-        return len(self.type)
-
-
-def prepare(frame_id, types, xyz, cell, cutoff, energy=None, forces=None, virial=None) -> Frame:
-    cell = np.reshape(np.asarray(cell, float), (3, 3))
-    known = lambda x: None if x is None or np.isnan(np.asarray(x, float)).any() else np.asarray(x, float)
-    energy = known(energy)
-    return Frame(int(frame_id), np.asarray(types), frame_pairs(np.asarray(xyz, float), cell, cutoff), abs(float(np.linalg.det(cell))), None if energy is None else float(energy), known(forces), known(virial))
-
-
-def collate(frames: list[Frame]) -> Batch:
-    at = np.cumsum([0, *(f.n for f in frames)])
-    return Batch(
-        np.concatenate([f.type for f in frames]),
-        np.repeat(np.arange(len(frames)), np.diff(at)),
-        np.concatenate([f.pairs[0] + a for f, a in zip(frames, at, strict=False)]),
-        np.concatenate([f.pairs[1] + a for f, a in zip(frames, at, strict=False)]),
-        np.concatenate([f.pairs[2] for f in frames]),
-    )
-
-
 def counts(frames: list[Frame]) -> tuple[int, int, int]:
     """Frames with energy, atoms with forces, frames with virial."""
     return sum(f.energy is not None for f in frames), sum(f.n for f in frames if f.forces is not None), sum(f.virial is not None for f in frames)
@@ -143,94 +108,40 @@ class LocalData:
         known = [f.energy / f.n for f in self.frames if f.energy is not None]
         return float(np.mean(known)) if known else 0.0
 
-
-PREPARED = "frame_id bigint, batch bigint, type array<int>, xyz array<double>, cell array<double>, energy double, forces array<double>, virial array<double>"
-
-
-def gathered(atoms: DataFrame, frames: DataFrame) -> DataFrame:
-    """A row per frame with its atoms as arrays in order. A frame is one row: its size bounds it."""
-    order = lambda *cols: F.sort_array(F.collect_list(F.struct("atom_id", *cols)))
-    have = [c for c in ("fx", "fy", "fz") if c in atoms.columns]
-    per = atoms.groupBy("frame_id").agg(order("type", "x", "y", "z", *have).alias("a"))
-    flat = lambda *names: F.flatten(F.transform("a", lambda r: F.array(*[r[n] for n in names])))
-    forces = F.when(F.forall("a", lambda r: r["fx"].isNotNull()), flat("fx", "fy", "fz")) if have else F.lit(None).cast("array<double>")
-    virial = F.col("virial") if "virial" in frames.columns else F.lit(None).cast("array<double>")
-    return per.join(frames, "frame_id").select("frame_id", F.transform("a", lambda r: r["type"]).alias("type"), flat("x", "y", "z").alias("xyz"), "cell", "energy", forces.alias("forces"), virial.alias("virial"))
-
-
-def to_frame(row, cutoff: float) -> Frame:
-    shaped = lambda x: None if x is None else np.reshape(x, (-1, 3))
-    return prepare(row["frame_id"], row["type"], shaped(row["xyz"]), row["cell"], cutoff, row["energy"], shaped(row["forces"]), row["virial"])
+    def close(self) -> None:
+        pass
 
 
 class SparkData:
-    """Frames that stay in Spark, one row each, cached; a step is one job over its frames."""
+    """Frames that stay in Spark (framestore): pairs are found once, a step is one job over the rows of its batch."""
 
     def __init__(self, rows: DataFrame, cutoff: float, groups: int | None = None):
-        groups = groups or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.rows, self.cutoff, self.groups = rows.repartition(groups, "frame_id").persist(), cutoff, groups
-        self.n = self.rows.count()
+        self.store = FrameStore(rows, cutoff, groups)
+        self.n = self.store.n
 
     def batches(self, seed: int, epoch: int, size: int):
-        order = sampling.batches(self.rows.select("frame_id"), seed, epoch, size).persist()
-        for k in range(-(-self.n // size)):
-            yield self.rows.join(order.where(F.col("batch") == k), "frame_id", "left_semi")
-        order.unpersist()
-
-    def _pass(self, rows: DataFrame, run: Callable[[list[Frame]], np.ndarray], combine: Callable = np.add) -> np.ndarray:
-        """``run`` on groups of frames; what it gives is combined in each task, then in a few, then here."""
-        cutoff = self.cutoff
-        few = max(1, int(self.groups**0.5))
-
-        def row(found: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([found.astype("<f8").tobytes()], pa.binary())], ["x"])
-
-        def go(batches):
-            found = None
-            for batch in batches:
-                frames = [to_frame(r, cutoff) for r in batch.to_pylist()]
-                for k in range(0, len(frames), 64):
-                    one = run(frames[k : k + 64])
-                    found = one if found is None else combine(found, one)
-            if found is not None:
-                yield row(found)
-
-        def add(batches):
-            found = None
-            for batch in batches:
-                for x in batch.column("x"):
-                    one = np.frombuffer(x.as_py(), "<f8")
-                    found = one if found is None else combine(found, one)
-            if found is not None:
-                yield row(found)
-
-        parts = rows.mapInArrow(go, "x binary").repartition(few).mapInArrow(add, "x binary").collect()  # ``few`` rows, of the model's size
-        out = None
-        for r in parts:
-            one = np.frombuffer(r["x"], "<f8")
-            out = one if out is None else combine(out, one)
-        return out
+        return self.store.epoch(seed, epoch, size)
 
     def step(self, model, chosen, weights, want_gradient=True):
-        rows = self.rows if chosen is None else chosen
-        total = (1, 1, 1)
-        if want_gradient:
-            c = rows.agg(F.count("energy"), F.sum(F.when(F.col("forces").isNotNull(), F.size("type"))), F.count("virial")).first()
-            total = tuple(int(x or 0) for x in c)
-        both = self._pass(rows, lambda f: np.concatenate([x for x in step(model, f, weights, total, want_gradient) if x is not None]))
+        """``chosen``: a step of an epoch; None: all frames, for their error sums."""
+        rows, total = (self.store.table(), (1, 1, 1)) if chosen is None else (chosen.rows, chosen.total)
+        both = self.store.fold(rows, lambda f: np.concatenate([x for x in step(model, f, weights, total, want_gradient) if x is not None]))
         return both[: len(SUMS)], both[len(SUMS) :].copy() if want_gradient else None
 
     def descriptor_range(self, model: Model):
-        least = self._pass(self.rows, lambda f: np.concatenate([(q := State(model, collate(f)).q).min(axis=1), -q.max(axis=1)]), np.minimum)
+        least = self.store.fold(self.store.table(), lambda f: np.concatenate([(q := State(model, collate(f)).q).min(axis=1), -q.max(axis=1)]), np.minimum)
         lo, hi = np.split(least, 2)
         return lo, -hi
 
     def most_neighbors(self, shape):
-        most = self._pass(self.rows, lambda f: np.array(LocalData(f).most_neighbors(shape), float), np.maximum)
+        most = self.store.fold(self.store.table(), lambda f: np.array(LocalData(f).most_neighbors(shape), float), np.maximum)
         return int(most[0]), int(most[1])
 
     def mean_energy(self) -> float:
-        return self.rows.agg(F.avg(F.col("energy") / F.size("type"))).first()[0] or 0.0
+        return self.store.table().agg(F.avg(F.col("energy") / F.col("n"))).first()[0] or 0.0
+
+    def close(self) -> None:
+        self.store.close()
 
 
 class Adam:
@@ -540,6 +451,11 @@ def train(spark, config: Config, xyz_file: str, valid_file: str | None = None, v
         if given:
             given(epoch, model)
 
-    out = fit(config, data, load_data(rows(valid), cutoff, local_atoms) if valid is not None else None, out_dir, seed, on_epoch=on_epoch, **parameters)
+    checked = load_data(rows(valid), cutoff, local_atoms) if valid is not None else None
+    try:
+        out = fit(config, data, checked, out_dir, seed, on_epoch=on_epoch, **parameters)
+    finally:
+        for given_data in filter(None, (data, checked)):
+            given_data.close()
     predict(out["final"])
     return out

@@ -177,3 +177,56 @@ def test_from_file_in_spark_as_on_the_driver(spark, tmp_path):
     assert w[0].r_xx == -1e6 and np.isclose(w[1].w_xx, one["virial"][0] / 6, rtol=1e-9) and np.isclose(w[1].r_xy, v[1] / 6)
     with pytest.raises(ValueError):
         Calculator(model).compute(["Xx"], x[:1], CELL)
+
+
+def stored(spark, n=12, groups=3):
+    """The structures as a store, and the same on the driver."""
+    from pericell.framestore import gathered
+
+    rows, frames = [], []
+    for k, t, x, e, f, v in structures(n):
+        frames.append((k, [float(c) for c in CELL.ravel()], None if e is None else float(e), None if v is None else [float(c) for c in v]))
+        rows += [(k, a, int(t[a]), *map(float, x[a]), *([None] * 3 if f is None else map(float, f[a]))) for a in range(len(t))]
+    atoms = spark.createDataFrame(rows, "frame_id bigint, atom_id bigint, type int, x double, y double, z double, fx double, fy double, fz double")
+    cells = spark.createDataFrame(frames, "frame_id bigint, cell array<double>, energy double, virial array<double>")
+    return T.SparkData(gathered(atoms, cells), 5.0, groups), atoms, cells
+
+
+def test_pairs_are_built_once_and_an_epoch_reads_each_row_once(spark):
+    from pericell import storage
+
+    own, _, _ = stored(spark)
+    config = replace(parse_config(CONFIG), epoch=2)
+    a, b = T.fit(config, own, seed=3), T.fit(config, data(), seed=3)
+    assert np.allclose(a["final"].vector(), b["final"].vector(), rtol=1e-8, atol=1e-11)
+    assert np.allclose([r[1:] for r in a["log"]], [r[1:] for r in b["log"]], rtol=1e-8)
+    assert own.store.built.value == 12
+    before = own.store.read.value
+    model = Model.random(config.shape(), 1)
+    seen = []
+    for step in own.batches(3, 1, 5):
+        own.step(model, step, (1, 1, 1))
+        seen.append([r.frame_id for r in step.rows.select("frame_id").collect()])
+        assert step.total == T.counts([f for f in data().frames if f.frame_id in seen[-1]])
+    assert own.store.read.value - before == 12 and [len(x) for x in seen] == [5, 5, 2]
+    assert [sorted(x) for x in seen] == [sorted(f.frame_id for f in x) for x in data().batches(3, 1, 5)]
+    assert seen != [[r.frame_id for r in s.rows.select("frame_id").collect()] for s in own.batches(3, 2, 5)]
+    plan = own.store.table().join(spark.range(12).withColumnRenamed("id", "frame_id").hint("merge"), "frame_id")._jdf.queryExecution().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the order's side alone
+    own.close()
+    assert not storage.exists(own.store.path) and own.store.name not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_prediction_from_a_store(spark):
+    from pericell.predict import energy_table, force_table, predict_atoms, predict_frames, predict_store, store_tables, virial_table
+
+    own, atoms, frames = stored(spark)
+    model = Model.random(parse_config(CONFIG).shape(), 9)
+    numbers = lambda df: {tuple(r[: 2 if "atom_id" in df.columns else 1]): [x for v in r[2 if "atom_id" in df.columns else 1 :] for x in (v if isinstance(v, list) else [v])] for r in df.collect()}
+    want, got = predict_atoms(atoms, frames, model, descriptor=True), predict_store(own.store, model, descriptor=True)
+    tables = {"energy": energy_table(per := predict_frames(want, frames), frames), "force": force_table(want, atoms), "virial": virial_table(per, frames), "stress": virial_table(per, frames, stress=True)}
+    for a, b in [(want, got), *zip(tables.values(), store_tables(own.store, model).values(), strict=True)]:
+        a, b = numbers(a), numbers(b)
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-9, atol=1e-11, equal_nan=True) for k in a)
+    assert own.store.built.value == 12 and own.store.frames().where("virial IS NULL").count() == 6
+    own.close()
