@@ -127,6 +127,21 @@ def angular(x: str, y: str, z: str, max_l: int) -> list[str]:
     return [f"({polynomial(tables.z_factor(order, m)[0], z)} * {plane[m][0 if part == 're' else 1]})" for order, m, part in tables.moments(max_l)]
 
 
+def angular_slopes(x: str, y: str, z: str, max_l: int) -> list[tuple[str, str, str]]:
+    """Derivatives of every moment's polynomial by x, y and z: (x + iy)^m has m (x + iy)^(m-1) and i times that."""
+    plane = plane_powers(x, y, max_l)
+    out = []
+    for order, m, part in tables.moments(max_l):
+        height = tables.z_factor(order, m)[0]
+        rise = [k * c for k, c in enumerate(height)][1:]
+        re, im = plane[m - 1] if m else (number(0), number(0))
+        by_x, by_y = (re, f"(-1e0 * {im})") if part == "re" else (im, re)
+        up = f"({number(m)} * {polynomial(height, z)})"
+        own = plane[m][0 if part == "re" else 1]
+        out.append((f"({up} * {by_x})", f"({up} * {by_y})", f"({polynomial(rise, z)} * {own})" if any(rise) else number(0)))
+    return out
+
+
 # invariants of moments; s: the moments' columns in order
 
 
@@ -152,6 +167,38 @@ def q_extra(s: list[str], channel: str) -> str:
     return q_1111(s) if channel == "1111" else q_cubic(s, channel)
 
 
+def monomials(max_l: int, channels: list[str]) -> list[list[tuple[float, tuple[int, ...]]]]:
+    """Each invariant in the model's order, as (coefficient, places of its factors)."""
+    out = []
+    for order in range(1, max_l + 1):
+        own = [(k, m) for k, (o, m, _) in enumerate(tables.moments(max_l)) if o == order]
+        out.append([((2 if m else 1) * tables.three_body_weight(order, m), (k, k)) for k, m in own])
+    for channel in channels:
+        if channel == "1111":
+            c, plane = tables.c5b(), ((1, 1), (2, 2))
+            out.append([(c[0], (0, 0, 0, 0)), *((c[1], (0, 0, *p)) for p in plane), *((c[2], (*p, *q)) for p in plane for q in plane)])
+        else:
+            out.append(list(tables.cubic(channel)))
+    return out
+
+
+def pulled_back(s: list[str], slopes: list[str], max_l: int, channels: list[str]) -> list[str]:
+    """dE/ds of every moment from dE/dq of every invariant, by the product rule: a monomial gives each of its
+    factors the product of the others; like ones are put together."""
+    out = []
+    found: list[dict[int, dict[tuple[int, ...], float]]] = [{} for _ in s]
+    for q, poly in enumerate(monomials(max_l, channels)):
+        for c, places in poly:
+            for at, p in enumerate(places):
+                rest = tuple(sorted((*places[:at], *places[at + 1 :])))
+                own = found[p].setdefault(q, {})
+                own[rest] = own.get(rest, 0.0) + c
+    for own in found:
+        sums = [f"{slopes[q]} * ({' + '.join(' * '.join([number(c), *(s[k] for k in rest)]) for rest, c in parts.items())})" for q, parts in own.items()]
+        out.append(f"({' + '.join(sums)})" if sums else number(0))
+    return out
+
+
 # screened repulsion
 
 

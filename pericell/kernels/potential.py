@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 from ..functions import tables
+from ..functions.expressions import monomials
 from ..model import Model
 
 
@@ -39,18 +40,7 @@ def scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 @lru_cache(None)
 def terms(l_max: int, channels: tuple[str, ...]) -> list[list[tuple[float, tuple[int, ...]]]]:
     """Each invariant of one n as monomials of moments: (coefficient, places)."""
-    out = []
-    for order in range(1, l_max + 1):
-        own = [(k, m) for k, (o, m, _) in enumerate(tables.moments(l_max)) if o == order]
-        out.append([((2 if m else 1) * tables.three_body_weight(order, m), (k, k)) for k, m in own])
-    for c in channels:
-        if c == "1111":
-            a, b, g = tables.c5b()
-            plane = [(1, 1), (2, 2)]
-            out.append([(a, (0, 0, 0, 0)), *((b, (0, 0, *p)) for p in plane), *((g, (*p, *q)) for p in plane for q in plane)])
-        else:
-            out.append(list(tables.cubic(c)))
-    return out
+    return monomials(l_max, list(channels))
 
 
 def evaluate(polynomials, s: np.ndarray) -> np.ndarray:

@@ -1,13 +1,22 @@
-"""Rotation-invariant descriptors by columns and grouped sums (the auditable form; kernels give the fast one)."""
+"""Rotation-invariant descriptors, their slopes and forces, by columns and grouped sums.
+
+Angular moments, of which an atom has dozens, are summed by NumPy over blocks of atoms with their pairs; as
+generated columns they fill methods too long to be compiled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import product
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import tables
+from ..kernels.potential import chebyshev, evaluate
 
 ATOM = ["frame_id", "atom_id"]
 #: A table of more type pairs than this is joined, not broadcast by hand.
@@ -53,22 +62,45 @@ def radial_terms(pairs: DataFrame, c: np.ndarray, cutoff: float) -> tuple[DataFr
     return g.select("frame_id", F.col("i").alias("atom_id"), *[F.col(f"g_{a}").alias(n) for a, n in enumerate(names)]), names
 
 
-def angular_terms(pairs: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> tuple[DataFrame, list[str]]:
-    """What each pair gives to s_<n>_<lm> of its atom i."""
-    g = contracted(pairs, c, cutoff).select("*", *[(F.col(f"d{a}") / F.col("d")).alias(f"u{a}") for a in "xyz"])
-    y = [F.expr(e).alias(f"y_{k}") for k, e in enumerate(X.angular("ux", "uy", "uz", max_l))]
-    g = g.select("*", *y)
-    terms = [(F.col(f"g_{a}") * F.col(f"y_{k}")).alias(f"s_{a}_{k}") for a in range(c.shape[2]) for k in range(len(y))]
-    return g.select("frame_id", F.col("i").alias("atom_id"), *terms), [f"s_{a}_{k}" for a in range(c.shape[2]) for k in range(len(y))]
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values [row, pair] by ``at``, which is in order: [row, n]."""
+    out = np.zeros((len(values), n))
+    if len(at):
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        out[:, at[first]] = np.add.reduceat(values, first, axis=1)
+    return out
 
 
-def radial(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float) -> DataFrame:
-    return on_atoms(atoms, *radial_terms(pairs, c, cutoff))
+def on_blocks(atoms: DataFrame, pairs: DataFrame, run: Callable, names: list[str], block: int = 8192) -> DataFrame:
+    """Sums over each atom's pairs by NumPy: frame_id, atom_id, type and ``names`` of every atom.
+
+    Atoms and pairs are dealt by the center atom into groups of about ``block`` atoms, a frame over many of them;
+    atoms without pairs are there. ``run`` gets the types of a group's atoms, for each pair its center's place
+    (ascending), the type of its neighbor and its vector, and gives [name, atom].
+    """
+    parts = max(1, -(-atoms.count() // block))
+    keys = [("frame_id", atoms.schema["frame_id"].dataType), ("atom_id", atoms.schema["atom_id"].dataType), ("type", atoms.schema["type"].dataType)]
+    schema = ", ".join([*(f"{n} {t.simpleString()}" for n, t in keys), *(f"{n} double" for n in names)])
+    center = atoms.select("frame_id", "atom_id", F.col("type").alias("kind"), F.lit(True).alias("center"), *[F.lit(0.0).alias(f"d{a}") for a in "xyz"])
+    near = pairs.select("frame_id", F.col("i").alias("atom_id"), F.col("tj").alias("kind"), F.lit(False).alias("center"), "dx", "dy", "dz")
+    dealt = center.unionByName(near).withColumn("part", F.pmod(F.xxhash64("frame_id", "atom_id"), F.lit(parts)))
+
+    def kernel(table: pa.Table) -> pa.Table:
+        frame, atom, kind = (table.column(c).to_numpy() for c in ("frame_id", "atom_id", "kind"))
+        own = table.column("center").to_numpy()
+        order = np.lexsort((~own, atom, frame))  # every atom before its pairs
+        frame, atom, kind, own = frame[order], atom[order], kind[order], own[order]
+        r = np.stack([table.column(f"d{a}").to_numpy()[order] for a in "xyz"], axis=1)
+        at = np.cumsum(own) - 1
+        found = run(kind[own], at[~own], kind[~own], r[~own])
+        ids = [pa.array(np.ascontiguousarray(x[own])) for x in (frame, atom, kind)]
+        return pa.Table.from_arrays([*ids, *(pa.array(x) for x in found)], [*(n for n, _ in keys), *names])
+
+    return dealt.groupBy("part").applyInArrow(kernel, schema)
 
 
-def angular_moments(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> DataFrame:
-    """s_<n>_<lm> of every atom."""
-    return on_atoms(atoms, *angular_terms(pairs, c, cutoff, max_l))
+def radial(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float) -> DataFrame:
+    return on_atoms(atoms, *radial_terms(pairs, c, cutoff))
 
 
 def invariants(moments: DataFrame, n: int, max_l: int, channels: list[str], before: list[str] | None = None) -> DataFrame:
@@ -80,26 +112,57 @@ def invariants(moments: DataFrame, n: int, max_l: int, channels: list[str], befo
     return moments.select(*ATOM, "type", *(before or []), *out)
 
 
+def _summed_by(c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int) -> Callable:
+    """For on_blocks: radial components, then moments with n before lm."""
+
+    def sums(types: np.ndarray, at: np.ndarray, tj: np.ndarray, r: np.ndarray) -> np.ndarray:
+        d = np.linalg.norm(r, axis=1)
+        ti, out = types[at], []
+        for c, cutoff, angular in ((c2, radial_cutoff, False), (c3, angular_cutoff, True)):
+            if not c.shape[2]:
+                continue
+            near = np.flatnonzero(d < cutoff)
+            f, g = chebyshev(d[near], cutoff, c.shape[3] - 1)[0], np.empty((c.shape[2], len(near)))
+            for a, b in product(range(c.shape[0]), range(c.shape[1])):
+                own = (ti[near] == a) & (tj[near] == b)
+                g[:, own] = c[a, b] @ f[:, own]
+            if angular:
+                y = tables.moment_values(*(r[near] / d[near, None]).T, max_l)
+                g = (g[:, None] * y).reshape(-1, len(near))
+            out.append(summed(at[near], g, len(types)))
+        return np.concatenate(out)
+
+    return sums
+
+
+def _angular_names(n: int, max_l: int) -> list[str]:
+    return [f"s_{a}_{k}" for a in range(n) for k in range(len(tables.moments(max_l)))]
+
+
+def angular_moments(atoms: DataFrame, pairs: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> DataFrame:
+    """s_<n>_<lm> of every atom."""
+    none = np.zeros((*c.shape[:2], 0, 1))
+    return on_blocks(atoms, pairs.where(F.col("d") < cutoff), _summed_by(none, c, 0.0, cutoff, max_l), _angular_names(c.shape[2], max_l))
+
+
+def descriptor_sums(atoms: DataFrame, pairs: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int) -> DataFrame:
+    """q_<n> and s_<n>_<lm> of every atom, with its type."""
+    names = [*(f"q_{a}" for a in range(c2.shape[2])), *_angular_names(c3.shape[2], max_l)]
+    return on_blocks(atoms, pairs.where(F.col("d") < max(radial_cutoff, angular_cutoff)), _summed_by(c2, c3, radial_cutoff, angular_cutoff, max_l), names)
+
+
 def descriptors(atoms: DataFrame, pairs: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, channels: list[str]) -> DataFrame:
-    """All components of every atom in the model's order, as columns, from one pass over the pairs and one grouped sum."""
+    """All components of every atom in the model's order, as columns, from one pass over the pairs."""
     if not max_l:
         return radial(atoms, pairs, c2, radial_cutoff)
-    outer = max(radial_cutoff, angular_cutoff)
-    spark = pairs.sparkSession
-    near = pairs.where(F.col("d") < outer).join(coefficient_table(spark, c2), ["ti", "tj"]).join(coefficient_table(spark, c3, "b"), ["ti", "tj"])
-    near = near.select("*", *[(F.col(f"d{a}") / F.col("d")).alias(f"u{a}") for a in "xyz"])
-    parts = []
-    for f, c, cutoff in (("f", c2, radial_cutoff), ("h", c3, angular_cutoff)):
-        # a function is nothing beyond its own cutoff
-        parts += [F.when(F.col("d") < cutoff, F.expr(e)).otherwise(0.0).alias(f"{f}_{k}") for k, e in enumerate(X.chebyshev("d", cutoff, c.shape[3] - 1))]
-    near = near.select("*", *parts, *[F.expr(e).alias(f"y_{k}") for k, e in enumerate(X.angular("ux", "uy", "uz", max_l))])
-    q = [F.expr(" + ".join(f"c_{a}_{k} * f_{k}" for k in range(c2.shape[3]))).alias(f"q_{a}") for a in range(c2.shape[2])]
-    g = [F.expr(" + ".join(f"b_{a}_{k} * h_{k}" for k in range(c3.shape[3]))).alias(f"g_{a}") for a in range(c3.shape[2])]
-    size = len(tables.moments(max_l))
-    near = near.select("frame_id", F.col("i").alias("atom_id"), *q, *g, *[f"y_{k}" for k in range(size)])
-    terms = {f"q_{a}": F.col(f"q_{a}") for a in range(c2.shape[2])} | {f"s_{a}_{k}": F.col(f"g_{a}") * F.col(f"y_{k}") for a in range(c3.shape[2]) for k in range(size)}
-    sums = on_atoms(atoms, near.select(*ATOM, *[e.alias(n) for n, e in terms.items()]), list(terms))
-    return invariants(sums, c3.shape[2], max_l, channels, [f"q_{a}" for a in range(c2.shape[2])])
+    sums, n, polynomials = _summed_by(c2, c3, radial_cutoff, angular_cutoff, max_l), c3.shape[2], X.monomials(max_l, channels)
+
+    def run(types: np.ndarray, *of_pairs: np.ndarray) -> np.ndarray:
+        q, s = np.split(sums(types, *of_pairs), [c2.shape[2]])
+        return np.concatenate([q, evaluate(polynomials, s.reshape(n, -1, len(types))).reshape(-1, len(types))])
+
+    names = [*(f"q_{a}" for a in range(c2.shape[2])), *(f"q{k}_{a}" for k in [*range(1, max_l + 1), *channels] for a in range(n))]
+    return on_blocks(atoms, pairs.where(F.col("d") < max(radial_cutoff, angular_cutoff)), run, names)
 
 
 def components(df: DataFrame) -> list[str]:
@@ -130,6 +193,74 @@ def net(df: DataFrame, names: list[str], weights: dict, b1: float) -> DataFrame:
     return df.withColumn("energy", F.expr(f"CASE {' '.join(branches)} END - {X.number(b1)}"))
 
 
+def net_slopes(df: DataFrame, names: list[str], weights: dict, keep: list[str] | None = None) -> DataFrame:
+    """dE/dq of each component as e_<name>: (w1 (1 - h^2)) W0 by type. ``keep``: other columns to pass on."""
+    size = len(next(iter(weights.values()))[1])
+    hidden = []
+    for k in range(size):
+        branches = [f"WHEN type = {int(t)} THEN tanh({' + '.join(f'{X.number(w)} * {q}' for w, q in zip(w0[k], names, strict=True))} - {X.number(b0[k])})" for t, (w0, b0, _) in weights.items()]
+        hidden.append(F.expr(f"CASE {' '.join(branches)} END").alias(f"h_{k}"))
+    slopes = []
+    for c, name in enumerate(names):
+        branches = [f"WHEN type = {int(t)} THEN {' + '.join(f'{X.number(w1[k] * w0[k][c])} * (1e0 - h_{k} * h_{k})' for k in range(size))}" for t, (w0, _, w1) in weights.items()]
+        slopes.append(F.expr(f"CASE {' '.join(branches)} END").alias(f"e_{name}"))
+    return df.select("*", *hidden).select(*ATOM, "type", *(keep or []), *slopes)
+
+
+def moment_slopes(rows: DataFrame, n: int, max_l: int, channels: list[str], slopes: list[str], keep: list[str] | None = None) -> DataFrame:
+    """dE/ds as w_<n>_<lm>, from moments s_<n>_<lm> and dE/dq of the invariants (columns ``slopes``, in the model's order)."""
+    size = len(tables.moments(max_l))
+    out = []
+    for a in range(n):
+        found = X.pulled_back([f"s_{a}_{k}" for k in range(size)], slopes[a::n], max_l, channels)
+        out += [F.expr(e).alias(f"w_{a}_{k}") for k, e in enumerate(found)]
+    return rows.select(*ATOM, *(keep or []), *out)
+
+
+def gradients(pairs: DataFrame, slopes: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, radial: list[str]) -> DataFrame:
+    """dE/dr of every pair from its center's slopes: dE/dq of the radial components (columns ``radial``) and dE/ds (w_<n>_<lm>).
+
+    The slopes are joined on the center. Of an angular function the distance part goes along the pair, the rest
+    across it: g' Y u + g (grad Y - u (u . grad Y)) / d, with the polynomial's gradient.
+    """
+    spark, n, size = pairs.sparkSession, c3.shape[2], len(tables.moments(max_l))
+    near = pairs.where(F.col("d") < max(radial_cutoff, angular_cutoff)).join(coefficient_table(spark, c2), ["ti", "tj"]).join(coefficient_table(spark, c3, "b"), ["ti", "tj"])
+    near = near.select("*", *[(F.col(f"d{a}") / F.col("d")).alias(f"u{a}") for a in "xyz"])
+    parts = []
+    for name, found, cutoff in (("df", X.chebyshev_slopes("d", radial_cutoff, c2.shape[3] - 1), radial_cutoff), ("h", X.chebyshev("d", angular_cutoff, c3.shape[3] - 1), angular_cutoff), ("dh", X.chebyshev_slopes("d", angular_cutoff, c3.shape[3] - 1), angular_cutoff)):
+        parts += [F.when(F.col("d") < cutoff, F.expr(e)).otherwise(0.0).alias(f"{name}_{k}") for k, e in enumerate(found)]
+    total = lambda terms: F.expr("(" + " + ".join(terms) + ")")
+    near = near.select("*", *parts)
+    dq = [total(f"c_{a}_{k} * df_{k}" for k in range(c2.shape[3])).alias(f"dq_{a}") for a in range(c2.shape[2])]
+    g = [total(f"b_{a}_{k} * {f}_{k}" for k in range(c3.shape[3])).alias(f"{name}_{a}") for name, f in (("g", "h"), ("dg", "dh")) for a in range(n)]
+    near = near.select("frame_id", "i", "j", "d", "dx", "dy", "dz", "ux", "uy", "uz", *dq, *g)
+    own = slopes.withColumnRenamed("atom_id", "i")
+    both = near.join(own.drop("type"), ["frame_id", "i"])
+    along = [f"{e} * dq_{a}" for a, e in enumerate(radial)]
+    weights = [total(f"w_{a}_{k} * {f}_{a}" for a in range(n)).alias(f"{name}_{k}") for name, f in (("on_y", "dg"), ("on_dy", "g")) for k in range(size)]
+    both = both.select("frame_id", "i", "j", "d", "dx", "dy", "dz", "ux", "uy", "uz", total(along).alias("size"), *weights)
+    y, dy = X.angular("ux", "uy", "uz", max_l), X.angular_slopes("ux", "uy", "uz", max_l)
+    pulled = [total(f"on_dy_{k} * {dy[k][c]}" for k in range(size)).alias(f"p{a}") for c, a in enumerate("xyz")]
+    both = both.select("frame_id", "i", "j", "d", "dx", "dy", "dz", "ux", "uy", "uz", total(["size", *(f"on_y_{k} * {e}" for k, e in enumerate(y))]).alias("size"), *pulled)
+    both = both.withColumn("inward", F.expr("ux * px + uy * py + uz * pz"))
+    return both.select("frame_id", "i", "j", "dx", "dy", "dz", *[F.expr(f"size * u{a} + (p{a} - inward * u{a}) / d").alias(f"g{a}") for a in "xyz"])
+
+
+def net_forces(atoms: DataFrame, pairs: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, channels: list[str], weights: dict, scaler: np.ndarray) -> DataFrame:
+    """fx, fy, fz and v0 .. v8 of every atom under the net, all by columns. ``weights[type] = (W0, b0, w1)``; components
+    times ``scaler`` go in."""
+    n, size = c3.shape[2], len(tables.moments(max_l))
+    moments = [f"s_{a}_{k}" for a in range(n) for k in range(size)]
+    q = [f"q_{a}" for a in range(c2.shape[2])]
+    sums = descriptor_sums(atoms, pairs, c2, c3, radial_cutoff, angular_cutoff, max_l)
+    full = invariants(sums, n, max_l, channels, [*q, *moments])
+    names = [c for c in components(full) if c not in moments]
+    scaled_weights = {t: (np.asarray(w0) * scaler, b0, w1) for t, (w0, b0, w1) in weights.items()}
+    slopes = net_slopes(full, names, scaled_weights, moments)
+    on = moment_slopes(slopes, n, max_l, channels, [f"e_{c}" for c in names[len(q) :]], [f"e_{c}" for c in q])
+    return forces(atoms, gradients(pairs, on, c2, c3, radial_cutoff, angular_cutoff, max_l, [f"e_{c}" for c in q]))
+
+
 def zbl_atoms(atoms: DataFrame, pairs: DataFrame, numbers: list[int], inner: float, outer: float, factor: float | None = None) -> DataFrame:
     """Half the pair energies on i. With ``factor``, outer is the typewise cutoff and inner 0."""
     rows = [(a, b, float(za), float(zb), 0.0 if factor else float(inner), float(tables.zbl_outer(za, zb, factor, outer) if factor else outer)) for a, za in enumerate(numbers) for b, zb in enumerate(numbers)]

@@ -50,6 +50,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_wide(df: DataFrame, digits: int = 6) -> DataFrame:
+    """For dozens of columns: short expressions, whose method the JVM still compiles. Ties go to even numbers."""
+    scale = X.number(10.0**digits)
+    return df.select(*[F.expr(f"rint({c} * {scale}) / {scale} + 0e0").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def pairs(spark: SparkSession, sf_dir: str, cutoff: float) -> DataFrame:
     return N.brute_pairs(atoms(spark, sf_dir), frames(spark, sf_dir), cutoff)
 
@@ -282,7 +288,7 @@ def moments(spark, sf_dir):
 
 @query(f"WITH {ATOMS_SQL}, {pairs_sql(RA)}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(f's_{n}_{k}', f's_{n}_{k}') for n in range(N_ANGULAR) for k in range(N_MOMENTS))} FROM s")
 def a2_moments(spark, sf_dir):
-    return rounded(moments(spark, sf_dir).drop("type"))
+    return rounded_wide(moments(spark, sf_dir).drop("type"))
 
 
 def three_body_sql(n: int) -> dict[str, str]:
@@ -360,13 +366,13 @@ INVARIANTS_SQL = {k: v for n in range(N_ANGULAR) for k, v in (three_body_sql(n)
 
 @query(f"WITH {ATOMS_SQL}, {pairs_sql(RA)}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(e, k) for k, e in INVARIANTS_SQL.items())} FROM s JOIN u USING (frame_id, atom_id)")
 def p16_p20_invariants(spark, sf_dir):
-    return rounded(D.invariants(moments(spark, sf_dir), N_ANGULAR, MAX_L, list(tables.CHANNELS)).drop("type"))
+    return rounded_wide(D.invariants(moments(spark, sf_dir), N_ANGULAR, MAX_L, list(tables.CHANNELS)).drop("type"))
 
 
 @query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MOMENTS_SQL} SELECT frame_id, atom_id, {', '.join(r6(q, q) for q in Q)}, {', '.join(r6(e, k) for k, e in INVARIANTS_SQL.items())} FROM r JOIN s USING (frame_id, atom_id) JOIN u USING (frame_id, atom_id)")
 def a4_descriptor(spark, sf_dir):
     near = pairs(spark, sf_dir, RC)
-    return rounded(D.descriptors(atoms(spark, sf_dir), near, C2, C3, RC, RA, MAX_L, list(tables.CHANNELS)).drop("type"))
+    return rounded_wide(D.descriptors(atoms(spark, sf_dir), near, C2, C3, RC, RA, MAX_L, list(tables.CHANNELS)).drop("type"))
 
 
 # net
@@ -732,6 +738,110 @@ def k1_energy_table(spark, sf_dir):
     return out.select("frame_id", F.round("pred", 6).alias("pred"), F.when(~F.isnan("ref"), F.round("ref", 10)).alias("ref"))
 
 
+ANGULAR_L, ANGULAR_CHANNELS = 2, ("222", "1111", "112")
+
+
+def angular_model():
+    """Radial and angular terms up to L = 2 with three extra channels, and a scaler."""
+    import warnings
+
+    from ..model import Model, Shape
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        shape = Shape(("A", "N", "R"), RC, RA, N_RADIAL - 1, N_ANGULAR - 1, BASIS, BASIS, ANGULAR_L, ANGULAR_CHANNELS, 4)
+    model = Model.random(shape, 0)
+    model.c2, model.c3, model.q_scaler = C2, C3, 0.5 + np.arange(shape.dim) % 3 / 2
+    n, k = np.meshgrid(np.arange(4), np.arange(shape.dim), indexing="ij")
+    model.w0 = np.stack([((n * 7 + k * 3 + t) % 11 - 5) / 50.0 for t in range(NT)])
+    model.b0, model.w1, model.b1 = np.tile([0.1, -0.2, 0.3, 0.0], (NT, 1)), np.tile([0.5, -1.0, 0.25, 0.75], (NT, 1)), B1
+    return model
+
+
+def angular_force_sql() -> str:
+    """Energies and forces of angular_model by vectors and tensors: with unit vectors u of an atom's pairs, a = sum g u and
+    T = sum g (u u - 1/3); invariants a.a, T:T, tr T^3, (a.a)^2 and a.T.a; A = dE/da, M = dE/dT. A pair then has
+    dE/dr = (sum u_n q'_n + sum g' (A.u + u.M.u - tr M / 3)) u + sum g / d (A - (A.u) u + 2 (M u - (u.M.u) u))."""
+    axes, both = range(3), [(a, b) for a in range(3) for b in range(a, 3)]
+    t = lambda n, a, b: f"t_{n}_{min(a, b)}{max(a, b)}"
+    m = lambda n, a, b: f"m_{n}_{min(a, b)}{max(a, b)}"
+    add = " + ".join
+    inside = lambda e: f"CASE WHEN d < {RA}e0 THEN {e} ELSE 0e0 END"
+    slope = lambda n: "(" + add(f"{coefficient_sql(n, k, 4)} * {e}" for k, e in enumerate(slopes_sql(RA))) + ")"
+    rise = lambda n: "(" + add(f"{coefficient_sql(n, k, 0)} * {e}" for k, e in enumerate(slopes_sql(RC))) + ")"
+    ns, one, two = range(N_ANGULAR), 3 / (4 * np.pi), 15 / (8 * np.pi)
+    cubic, quartic, mixed = -0.809943929279723 / 3, 0.026596810706114, 0.164961305093080 / 2
+    square = {n: "(" + add(f"a_{n}_{x} * a_{n}_{x}" for x in axes) + ")" for n in ns}
+    q = [f"q_{k}" for k in range(N_RADIAL)]
+    q += [f"{one!r} * {square[n]}" for n in ns]
+    q += [f"{two!r} * (" + add(f"{t(n, x, y)} * {t(n, x, y)}" for x in axes for y in axes) + ")" for n in ns]
+    q += [f"{cubic!r} * (" + add(f"{t(n, x, y)} * {t(n, y, z)} * {t(n, z, x)}" for x in axes for y in axes for z in axes) + ")" for n in ns]
+    q += [f"{quartic!r} * {square[n]} * {square[n]}" for n in ns]
+    q += [f"{mixed!r} * (" + add(f"a_{n}_{x} * {t(n, x, y)} * a_{n}_{y}" for x in axes for y in axes) + ")" for n in ns]
+    weight = lambda h, k: f"(((({h * 7 + k * 3}) + type) % 11 - 5) / 5e1 * {0.5 + k % 3 / 2}e0)"
+    out = list(zip(("0.5e0", "(-1e0)", "0.25e0", "0.75e0"), ("0.1e0", "(-0.2e0)", "0.3e0", "0e0"), strict=True))
+    hidden = ", ".join(f"tanh({add(f'{weight(h, k)} * p_{k}' for k in range(len(q)))} - {b}) AS h_{h}" for h, (_, b) in enumerate(out))
+    slopes = ", ".join("(" + add(f"{w} * (1e0 - h_{h} * h_{h}) * {weight(h, k)}" for h, (w, _) in enumerate(out)) + f") AS u_{k}" for k in range(len(q)))
+    at = lambda channel, n: f"u_{N_RADIAL + N_ANGULAR * channel + n}"
+    on_a = [f"({2 * one!r} * {at(0, n)} + {4 * quartic!r} * {square[n]} * {at(3, n)}) * a_{n}_{x} + {2 * mixed!r} * {at(4, n)} * ({add(f'{t(n, x, y)} * a_{n}_{y}' for y in axes)}) AS b_{n}_{x}" for n in ns for x in axes]
+    on_t = [f"{2 * two!r} * {at(1, n)} * {t(n, x, y)} + {3 * cubic!r} * {at(2, n)} * ({add(f'{t(n, x, z)} * {t(n, z, y)}' for z in axes)}) + {mixed!r} * {at(4, n)} * a_{n}_{x} * a_{n}_{y} AS m_{n}_{x}{y}" for n in ns for x, y in both]
+    u = ("ux", "uy", "uz")
+    turned = [f"({add(f'{m(n, x, y)} * {u[y]}' for y in axes)}) AS mu_{n}_{x}" for n in ns for x in axes]
+    line = [f"({add(f'b_{n}_{x} * {u[x]}' for x in axes)}) AS bu_{n}, ({add(f'mu_{n}_{x} * {u[x]}' for x in axes)}) AS uu_{n}" for n in ns]
+    size = add([*(f"u_{k} * dq_{k}" for k in range(N_RADIAL)), *(f"dg_{n} * (bu_{n} + uu_{n} - ({add(m(n, x, x) for x in axes)}) / 3e0)" for n in ns)])
+    pulled = [f"({size}) * {u[x]} + " + add(f"g_{n} / d * (b_{n}_{x} - bu_{n} * {u[x]} + 2e0 * (mu_{n}_{x} - uu_{n} * {u[x]}))" for n in ns) + f" AS g{'xyz'[x]}" for x in axes]
+    return f"""p1 AS (SELECT *, dx / d AS ux, dy / d AS uy, dz / d AS uz, {', '.join(f'{inside(g_sql(n, RA, 4))} AS g_{n}, {inside(slope(n))} AS dg_{n}' for n in ns)}, {', '.join(f'{rise(k)} AS dq_{k}' for k in range(N_RADIAL))} FROM pairs),
+m1 AS (SELECT frame_id, i, {', '.join(f'sum(g_{n} * {u[x]}) AS a_{n}_{x}' for n in ns for x in axes)}, {', '.join(f'sum(g_{n} * ({u[x]} * {u[y]}{" - 1e0 / 3e0" if x == y else ""})) AS {t(n, x, y)}' for n in ns for x, y in both)} FROM p1 GROUP BY 1, 2),
+v1 AS (SELECT r.*, {', '.join(f'coalesce(a_{n}_{x}, 0e0) AS a_{n}_{x}' for n in ns for x in axes)}, {', '.join(f'coalesce({t(n, x, y)}, 0e0) AS {t(n, x, y)}' for n in ns for x, y in both)} FROM r LEFT JOIN m1 ON r.frame_id = m1.frame_id AND r.atom_id = m1.i),
+v2 AS (SELECT *, {', '.join(f'{e} AS p_{k}' for k, e in enumerate(q))} FROM v1),
+v3 AS (SELECT *, {hidden} FROM v2),
+v4 AS (SELECT *, {add(f'{w} * h_{h}' for h, (w, _) in enumerate(out))} - {B1}e0 AS e, {slopes} FROM v3),
+v5 AS (SELECT *, {', '.join(on_a)}, {', '.join(on_t)} FROM v4),
+g1 AS (SELECT p1.*, {', '.join(f'u_{k}' for k in range(N_RADIAL))}, {', '.join(f'b_{n}_{x}' for n in ns for x in axes)}, {', '.join(m(n, x, y) for n in ns for x, y in both)} FROM p1 JOIN v5 ON p1.frame_id = v5.frame_id AND p1.i = v5.atom_id),
+g2 AS (SELECT *, {', '.join(turned)} FROM g1),
+g3 AS (SELECT *, {', '.join(line)} FROM g2),
+h AS (SELECT frame_id, i, j, dx, dy, dz, {', '.join(pulled)} FROM g3),
+{FORCE_SQL[FORCE_SQL.index("u AS (") :]}"""
+
+
+ANGULAR_SQL = f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {angular_force_sql()}"
+SHOWN_FORCES = ", ".join(f"round(coalesce(f.{c}, 0e0), 5) AS {c}" for c in FORCE_COLUMNS)
+
+
+@query(f"{ANGULAR_SQL} SELECT t.frame_id, t.atom_id, {SHOWN_FORCES} FROM atoms t LEFT JOIN f USING (frame_id, atom_id)")
+def a10_p13_p22_angular_forces(spark, sf_dir):
+    """Forces and virials under a net with angular terms, all by columns: slopes by the product rule, joined on pairs."""
+    m = angular_model()
+    weights = {t: (m.w0[t], m.b0[t], m.w1[t]) for t in range(NT)}
+    return rounded_wide(D.net_forces(atoms(spark, sf_dir), pairs(spark, sf_dir, RC), m.c2, m.c3, RC, RA, ANGULAR_L, list(ANGULAR_CHANNELS), weights, m.q_scaler).drop("type"), 5)
+
+
+@query(f"{ANGULAR_SQL} SELECT v5.frame_id, v5.atom_id, round(e, 5) AS energy, {SHOWN_FORCES} FROM v5 LEFT JOIN f USING (frame_id, atom_id)")
+def m19_angular_forces_large(spark, sf_dir):
+    """The same, with energies, by the kernel over blocks of center atoms."""
+    from ..predict import predict_large
+
+    return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), angular_model()).select("frame_id", "atom_id", "energy", *FORCE_COLUMNS), 5)
+
+
+@query(
+    f"{ANGULAR_SQL}, {FRAMES_SQL}, w AS (SELECT t.frame_id, count(*) AS natoms, {', '.join(f'sum(coalesce(v{k}, 0e0)) AS v{k}' for k in X.VIRIAL_SIX)} FROM atoms t LEFT JOIN f USING (frame_id, atom_id) GROUP BY 1) "
+    + "SELECT frame_id, "
+    + ", ".join(f"round(v{k} {scale}, 5) AS {name}_{c}, CASE WHEN energy IS NULL THEN -1e6 ELSE round(energy * {k + 1}e0 {scale}, 9) END AS r{name}_{c}" for name, scale in (("w", "/ natoms"), ("s", "/ 512e0 * 160.21766208e0")) for k, c in zip(X.VIRIAL_SIX, SIX, strict=True))
+    + " FROM w JOIN frames USING (frame_id)"
+)
+def k3_k4_predicted_virials(spark, sf_dir):
+    """Predicted virials and stresses of the kernel over whole frames, beside references and their sentinel."""
+    from ..predict import predict_atoms, predict_frames, virial_table
+
+    f = frames(spark, sf_dir)
+    per = predict_frames(predict_atoms(atoms(spark, sf_dir), f, angular_model()), f)
+    refs = f.select("frame_id", F.when(F.col("energy").isNotNull(), F.array(*[F.col("energy") * (k + 1.0) for k in range(9)])).alias("virial"))
+    out = [virial_table(per, refs, stress).withColumnsRenamed({f"r_{c}": f"r{t}_{c}" for c in SIX}) for t, stress in (("w", False), ("s", True))]
+    both = out[0].join(out[1], "frame_id")
+    return both.select(*[F.round(c, 9 if c.startswith("r") else 5).alias(c) if t == "double" else F.col(c) for c, t in both.dtypes])
+
+
 NINE = "(frame_id % 7) * 0.5e0 + {k} * 0.25e0 - natoms"
 K3_SQL = ", ".join(
     f"round(CASE WHEN energy IS NULL THEN -1e6 ELSE ({NINE.format(k=k)}) {scale} END, 6) AS {name}_{c}"

@@ -135,6 +135,42 @@ def test_large_frames_give_forces_and_virials(spark, data):
         assert all(np.allclose(got[k], want[k], rtol=1e-8, atol=1e-8) for k in want)
 
 
+def test_forces_by_columns_are_the_kernels(spark, data):
+    """Angular slopes by the product rule, for all channels and L = 4, joined on pairs; atoms without pairs stay."""
+    from pericell.functions import tables
+    from pericell.model import Model, Shape
+    from pericell.predict import predict_atoms
+
+    model = Model.random(Shape(("Cr", "Ni"), 5.0, 4.0, 1, 0, 2, 2, 4, tables.CHANNELS, 3), 2, uniform=True)
+    model.q_scaler = np.linspace(0.5, 1.5, model.shape.dim)
+    frames = data[1].where("frame_id IN (3, 4)")
+    atoms = data[0].where("frame_id IN (3, 4)")
+    weights = {t: (model.w0[t], model.b0[t], model.w1[t]) for t in range(2)}
+    got = D.net_forces(atoms, N.brute_pairs(atoms, frames, 5.0), model.c2, model.c3, 5.0, 4.0, 4, list(tables.CHANNELS), weights, model.q_scaler)
+    names = ["fx", "fy", "fz", *[f"v{k}" for k in range(9)]]
+    numbers = lambda df: {(r.frame_id, r.atom_id): [r[n] for n in names] for r in df.collect()}
+    got, want = numbers(got), numbers(predict_atoms(atoms, frames, model))
+    assert got.keys() == want.keys() and len(got) == 22
+    assert all(np.allclose(got[k], want[k], rtol=1e-8, atol=1e-8) for k in want)
+
+
+def test_blocks_of_atoms_with_their_pairs(spark, data):
+    """Sums by blocks: every atom once, in any block size, with none, one or many pairs."""
+    near = N.brute_pairs(data[0], data[1], 6.0)
+    want = {(f, a): [0.0, 0.0] for f, a, *_ in data[2]}
+    for r in near.collect():
+        want[r.frame_id, r.i][0] += 1
+        want[r.frame_id, r.i][1] += r.dx * (1 + r.tj) * (1 + r.ti)
+    for block in (7, 10_000):
+
+        def run(types, at, tj, r):
+            return D.summed(at, np.stack([np.ones(len(at)), r[:, 0] * (1 + tj) * (1 + types[at])]), len(types))
+
+        got = D.on_blocks(data[0], near, run, ["n", "x"], block).collect()
+        assert len(got) == len(want) and all(np.allclose([r.n, r.x], want[r.frame_id, r.atom_id]) for r in got)
+        assert {(r.frame_id, r.atom_id, r.type) for r in got} == {a[:3] for a in data[2]}
+
+
 def test_unknown_species_raises(spark):
     df = spark.createDataFrame([("Pb",), ("Xx",)], "species string")
     with pytest.raises(Exception, match="unknown species"):
