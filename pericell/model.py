@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
+from . import storage
 from .functions import tables
 
 
@@ -112,7 +113,7 @@ def plain(x: float) -> str:
 
 
 def save_model(model: Model, path: str) -> None:
-    """The text format; both neighbor counts must be known."""
+    """The text format, in any store that Spark reaches; both neighbor counts must be known."""
     s, (most_r, most_a) = model.shape, model.most_neighbors
     if most_r <= 0 or most_a <= 0:
         raise ValueError("neighbor counts must be positive")
@@ -134,13 +135,11 @@ def save_model(model: Model, path: str) -> None:
     if s.l_max:
         body.append(model.c3.transpose(2, 3, 0, 1).ravel())
     body.append(model.q_scaler)
-    with open(path, "w") as out:
-        out.write("\n".join([*lines, *(f"{x:.10e}" for x in np.concatenate(body))]) + "\n")
+    storage.commit(path, "\n".join([*lines, *(f"{x:.10e}" for x in np.concatenate(body))]) + "\n")
 
 
 def load_model(path: str) -> Model:
-    with open(path) as text:
-        lines = text.read().split("\n")
+    lines = storage.read_text(path).split("\n")
     head, at = lines[0].split(), 1
     types, zbl, factor = tuple(head[2 : 2 + int(head[1])]), None, None
     if "zbl" in head[0]:

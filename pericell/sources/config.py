@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .. import storage
 from ..model import Shape, parse_l_max
 
 
@@ -90,5 +91,4 @@ def parse_config(text: str) -> Config:
 
 
 def read_config(path: str) -> Config:
-    with open(path) as file:
-        return parse_config(file.read())
+    return parse_config(storage.read_text(path))

@@ -8,10 +8,12 @@ reader sees the old file, the new one, or none, but never half of one.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -43,15 +45,14 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _session() -> SparkSession:
-    spark = SparkSession.getActiveSession() or SparkSession._instantiatedSession
-    if spark is None:
-        raise RuntimeError("a Spark session is needed to reach files")
-    return spark
+def _session() -> SparkSession | None:
+    return SparkSession.getActiveSession() or SparkSession._instantiatedSession
 
 
 def _at(path: str):
     spark = _session()
+    if spark is None:
+        raise RuntimeError("a Spark session is needed to reach files in stores")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
@@ -61,22 +62,32 @@ def join(folder: str, *names: str) -> str:
 
 
 def exists(path: str) -> bool:
+    if _session() is None and "://" not in path:
+        return Path(path).exists()
     fs, at = _at(path)
     return fs.exists(at)
 
 
 def delete(path: str) -> None:
+    if _session() is None and "://" not in path:
+        shutil.rmtree(path) if Path(path).is_dir() else Path(path).unlink(missing_ok=True)
+        return
     fs, at = _at(path)
     fs.delete(at, True)
 
 
 def listed(folder: str) -> list[str]:
     """Names in a folder, in order; none if it does not exist."""
+    if _session() is None and "://" not in folder:
+        return sorted(x.name for x in Path(folder).iterdir()) if Path(folder).exists() else []
     fs, at = _at(folder)
     return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def read_bytes(path: str) -> bytes:
+    """Without a session, plain paths only: a calculator needs no Spark to read its model."""
+    if _session() is None and "://" not in path:
+        return Path(path).read_bytes()
     fs, at = _at(path)
     stream = fs.open(at)
     try:
@@ -90,20 +101,21 @@ def read_text(path: str) -> str:
 
 
 def commit(path: str, data: bytes | str) -> None:
-    """Write a file whole: under another name beside it, then renamed over it."""
+    """Write a file whole: under another name beside it, then renamed over it. Without a session, plain paths only."""
+    data, name = data.encode() if isinstance(data, str) else data, f"{path}.{uuid.uuid4().hex}.tmp"
+    if _session() is None and "://" not in path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(name).write_bytes(data)
+        Path(name).replace(path)
+        return
     fs, at = _at(path)
-    _, beside = _at(f"{path}.{uuid.uuid4().hex}.tmp")
+    _, beside = _at(name)
     stream = fs.create(beside, True)
     try:
-        stream.write(bytearray(data.encode() if isinstance(data, str) else data))
+        stream.write(bytearray(data))
     finally:
         stream.close()
     if not fs.rename(beside, at):  # some stores do not rename over a file that is there
         fs.delete(at, False)
         if not fs.rename(beside, at):
             raise OSError(f"cannot put {path} in place")
-
-
-def append(path: str, text: str) -> None:
-    """Add text to a small file, by writing it anew."""
-    commit(path, (read_text(path) if exists(path) else "") + text)

@@ -17,14 +17,18 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
-import os
+import secrets
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3
 from .framestore import Frame, FrameStore, collate, gathered, prepare, to_frame
@@ -239,46 +243,58 @@ def log_row(epoch: int, loss: float, m: dict, valid: dict | None) -> list[float]
 
 
 def save_checkpoint(path: str, model: Model, adam: Adam, state: dict, averaged: np.ndarray | None = None) -> None:
-    """A folder: parameters, moments and the average of stage 2 in one file, the rest as JSON; the JSON goes last and completes it."""
-    os.makedirs(path, exist_ok=True)
-    more = {} if averaged is None else {"averaged": averaged}
-    np.savez(os.path.join(path, "arrays.npz"), x=model.vector(), q=model.q_scaler, m=adam.m, v=adam.v, top=adam.top, **more)
-    with open(os.path.join(path, "state.json.tmp"), "w") as out:
-        json.dump(state | {"t": adam.t, "lr": adam.lr, "neighbors": list(model.most_neighbors)}, out)
-    os.replace(os.path.join(path, "state.json.tmp"), os.path.join(path, "state.json"))
+    """A folder in any store: numbers of the size of the model as Parquet, the rest as JSON that names that file.
+
+    The JSON is put in place last, by renaming, and completes the checkpoint; a run that is stopped before leaves
+    the one before it whole. Parts that no state names are deleted after.
+    """
+    columns = {"x": model.vector(), "m": adam.m, "v": adam.v, "top": adam.top} | ({} if averaged is None else {"averaged": averaged})
+    buffer, name = pa.BufferOutputStream(), f"numbers-{uuid.uuid4().hex}.parquet"
+    pq.write_table(pa.table({k: pa.array(v) for k, v in columns.items()}), buffer)
+    storage.commit(storage.join(path, name), buffer.getvalue().to_pybytes())
+    whole = state | {"numbers": name, "q_scaler": model.q_scaler.tolist(), "t": adam.t, "lr": adam.lr, "neighbors": list(model.most_neighbors)}
+    storage.commit(storage.join(path, "state.json"), json.dumps(whole))
+    for other in storage.listed(path):
+        if other.startswith("numbers-") and other != name:
+            storage.delete(storage.join(path, other))
+
+
+def load_state(path: str) -> dict:
+    return json.loads(storage.read_text(storage.join(path, "state.json")))
 
 
 def load_checkpoint(path: str, model: Model) -> tuple[Model, Adam, dict]:
     """The state has the average of stage 2 as ``averaged``, None before."""
-    with open(os.path.join(path, "state.json")) as file:
-        state = json.load(file)
-    with np.load(os.path.join(path, "arrays.npz")) as a:
-        model = replace(model.with_vector(a["x"]), q_scaler=a["q"].copy(), most_neighbors=tuple(state["neighbors"]))
-        adam = Adam(len(a["x"]), state["lr"])
-        adam.m, adam.v, adam.top, adam.t = a["m"].copy(), a["v"].copy(), a["top"].copy(), state["t"]
-        state["averaged"] = a["averaged"].copy() if "averaged" in a else None
+    state = load_state(path)
+    found = pq.read_table(pa.BufferReader(storage.read_bytes(storage.join(path, state["numbers"]))))
+    a = {k: found.column(k).to_numpy().copy() for k in found.column_names}
+    model = replace(model.with_vector(a["x"]), q_scaler=np.array(state["q_scaler"]), most_neighbors=tuple(state["neighbors"]))
+    adam = Adam(len(a["x"]), state["lr"])
+    adam.m, adam.v, adam.top, adam.t = a["m"], a["v"], a["top"], state["t"]
+    state["averaged"] = a.get("averaged")
     return model, adam, state
 
 
 def fresh_seed() -> int:
-    return int.from_bytes(os.urandom(4), "big")
+    return secrets.randbits(32)
 
 
 class RunLog:
     """Lines of a run to ``train.log`` in its folder, if it has one, and to the logger. A resumed run adds to its file."""
 
     def __init__(self, out_dir: str | None, resumed: bool):
-        self.path = os.path.join(out_dir, "train.log") if out_dir else None
-        if out_dir:
-            os.makedirs(out_dir, exist_ok=True)
-            if not resumed:
-                open(self.path, "w").close()
+        self.path, self.text = storage.join(out_dir, "train.log") if out_dir else None, ""
+        if out_dir and resumed and storage.exists(self.path):
+            self.text = storage.read_text(self.path)
 
     def __call__(self, text: str) -> None:
         log.info(text)
+        self.text += text + "\n"
+
+    def flush(self) -> None:
+        """Stores cannot add to a file: the log is put in place whole, once an epoch."""
         if self.path:
-            with open(self.path, "a") as file:
-                file.write(text + "\n")
+            storage.commit(self.path, self.text)
 
     def banner(self, config: Config, model: Model, n_train: int, n_valid: int | None, seed: int) -> None:
         width = 72
@@ -333,7 +349,7 @@ def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int
     def keep(name: str, done: int) -> None:
         if out_dir:
             state = {"epoch": done, "seed": seed, "weights": weights, "stage": 2 if in_stage2 else 1, "start_stage2": stage2, "n_averaged": n_averaged, "schedule": schedule.__dict__, "stop": stop.__dict__, "log": rows, "best_loss": best[0], "best": list(best[1].vector()) if best[1] else None, "best_epoch": best[2]}
-            save_checkpoint(os.path.join(out_dir, name), model, adam, state, averaged)
+            save_checkpoint(storage.join(out_dir, name), model, adam, state, averaged)
 
     while epoch < config.epoch:
         epoch += 1
@@ -375,6 +391,7 @@ def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int
         if stop_now and stage2 and not in_stage2:
             stage2, stop_now = epoch + 1, False  # stage 1 has ended; a resumed run must know
         keep("checkpoint", epoch)
+        tell.flush()
         if on_epoch:
             on_epoch(epoch, model)
         if stop_now:
@@ -385,15 +402,15 @@ def fit(config: Config, data, valid=None, out_dir: str | None = None, seed: int
         model.b1 += means(data.step(model, None, weights, False)[0], centered=False)["residual"]
     out = {"final": model, "best": best[1] or model, "best_loss": best[0], "best_epoch": best[2], "log": rows, "seed": seed}
     tell(f"best loss {best[0]:.6g} at epoch {best[2]}")
+    tell.flush()
     if out_dir:
         from .model import save_model
 
-        save_model(out["best"], os.path.join(out_dir, "nep.txt"))
-        save_model(out["final"], os.path.join(out_dir, "nep_final.txt"))
-        with open(os.path.join(out_dir, "loss.out"), "w") as file:
-            more = [f"{h}_test" for h in HEADER[2:]] if valid else []
-            file.write(" ".join(["#", *HEADER, *more]) + "\n")
-            file.writelines(" ".join(f"{x:.6e}" if k else str(int(x)) for k, x in enumerate(r)) + "\n" for r in rows)
+        save_model(out["best"], storage.join(out_dir, "nep.txt"))
+        save_model(out["final"], storage.join(out_dir, "nep_final.txt"))
+        more = [f"{h}_test" for h in HEADER[2:]] if valid else []
+        lines = [" ".join(f"{x:.6e}" if k else str(int(x)) for k, x in enumerate(r)) for r in rows]
+        storage.commit(storage.join(out_dir, "loss.out"), "\n".join([" ".join(["#", *HEADER, *more]), *lines]) + "\n")
     return out
 
 
@@ -419,8 +436,7 @@ def train(spark, config: Config, xyz_file: str, valid_file: str | None = None, v
     seed = fresh_seed() if seed is None else seed
     resume = parameters.get("resume_from")
     if resume:  # the split must be the same again
-        with open(os.path.join(resume, "state.json")) as file:
-            seed = json.load(file)["seed"]
+        seed = load_state(resume)["seed"]
     read = read_xyz(spark, xyz_file)
     if slim_types:
         seen = {r[0] for r in read.select(F.explode("species")).distinct().collect()}

@@ -230,3 +230,44 @@ def test_prediction_from_a_store(spark):
         assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-9, atol=1e-11, equal_nan=True) for k in a)
     assert own.store.built.value == 12 and own.store.frames().where("virial IS NULL").count() == 6
     own.close()
+
+
+@pytest.mark.parametrize("scheme", ["file://", ""])
+def test_checkpoints_in_a_store(spark, tmp_path, scheme):
+    """Through the file system API: a run resumed from a URI ends as one that went through, and a state names whole files only."""
+    from pericell import storage
+    from pericell.sources.config import read_config
+
+    at = f"{scheme}{tmp_path}/run"
+    storage.commit(f"{at}/nep.in", CONFIG + "stage2 1\n")
+    config = replace(read_config(f"{at}/nep.in"), start_stage2=3)
+    whole = T.fit(config, data(), seed=5, out_dir=f"{at}/a", average=True)
+    T.fit(replace(config, epoch=4), data(), seed=5, out_dir=f"{at}/b", average=True)
+    more = T.fit(config, data(), out_dir=f"{at}/c", resume_from=f"{at}/b/checkpoint", average=True)
+    assert np.allclose(more["final"].vector(), whole["final"].vector(), rtol=1e-12) and more["log"] == whole["log"]
+    assert storage.read_text(f"{at}/c/loss.out") == storage.read_text(f"{at}/a/loss.out")
+    assert np.allclose(load_model(f"{at}/a/nep_final.txt").vector(), whole["final"].vector(), rtol=1e-9)
+    names = storage.listed(f"{at}/b/checkpoint")
+    assert len(names) == 2 and names[0] == T.load_state(f"{at}/b/checkpoint")["numbers"] and names[1] == "state.json"
+    assert sorted(storage.listed(f"{at}/a")) == ["checkpoint", "checkpoint_stage1", "loss.out", "nep.txt", "nep_final.txt", "train.log"]
+
+
+def test_a_stopped_write_leaves_the_checkpoint_before(spark, tmp_path, monkeypatch):
+    from pericell import storage
+
+    at, config = f"file://{tmp_path}", replace(parse_config(CONFIG), epoch=2)
+    T.fit(config, data(), seed=5, out_dir=at)
+    commit = storage.commit
+
+    def broken(path, text):
+        if path.endswith("state.json"):
+            raise OSError("lost")
+        commit(path, text)
+
+    monkeypatch.setattr(storage, "commit", broken)
+    with pytest.raises(OSError):
+        T.fit(replace(config, epoch=3), data(), out_dir=at, resume_from=f"{at}/checkpoint")
+    monkeypatch.undo()
+    assert T.load_state(f"{at}/checkpoint")["epoch"] == 2
+    again = T.fit(replace(config, epoch=3), data(), out_dir=at, resume_from=f"{at}/checkpoint")
+    assert len(again["log"]) == 3 and len(storage.listed(f"{at}/checkpoint")) == 2
