@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,22 +128,24 @@ def slabs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows, rows.select("frame_id").distinct().withColumn("cell", cell)
 
 
-SLAB_SQL = f"""slab AS (
-  SELECT frame_id % {SLABS} AS f, frame_id * 1000 + atom_id AS a, {SLAB_XYZ[0].replace("div", "//")} AS x, {SLAB_XYZ[1].replace("div", "//")} AS y, {SLAB_XYZ[2]} AS z FROM atoms
+SLAB_SQL = f"""{ATOMS_SQL.replace("atoms AS (", "lines AS (", 1)}, slab AS (
+  SELECT frame_id % {SLABS} AS f, frame_id * 1000 + atom_id AS a, type, {SLAB_XYZ[0].replace("div", "//")} AS x, {SLAB_XYZ[1].replace("div", "//")} AS y, {SLAB_XYZ[2]} AS z FROM lines
 ), image AS (
-  SELECT f, a, x + {8 * SLAB_X}e0 * sx AS x, y + {8 * SLAB_Y}e0 * sy AS y, z + {SLAB_Z}e0 * sz AS z
+  SELECT f, a, type, x + {8 * SLAB_X}e0 * sx AS x, y + {8 * SLAB_Y}e0 * sy AS y, z + {SLAB_Z}e0 * sz AS z
   FROM slab, (SELECT unnest(range(-1, 2)) AS sx), (SELECT unnest(range(-1, 2)) AS sy), (SELECT unnest(range(-3, 4)) AS sz)
   WHERE x + {8 * SLAB_X}e0 * sx BETWEEN -{SLAB_RC}e0 AND {8 * SLAB_X + SLAB_RC}e0 AND y + {8 * SLAB_Y}e0 * sy BETWEEN -{SLAB_RC}e0 AND {8 * SLAB_Y + SLAB_RC}e0
 ), strip AS (
-  SELECT f, a, x, y, z, unnest(range(-1, 2)) + CAST(floor(x / {SLAB_RC}e0) AS BIGINT) AS k FROM image
+  SELECT f, a, type, x, y, z, unnest(range(-1, 2)) + CAST(floor(x / {SLAB_RC}e0) AS BIGINT) AS k FROM image
 ), near AS (
-  SELECT s.f, s.a, t.a AS b, (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z) AS d2
+  SELECT s.f, s.a AS i, t.a AS j, s.type AS ti, t.type AS tj, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz
   FROM slab s JOIN strip t ON s.f = t.f AND CAST(floor(s.x / {SLAB_RC}e0) AS BIGINT) = t.k AND t.y BETWEEN s.y - {SLAB_RC}e0 AND s.y + {SLAB_RC}e0
-)"""
+), pairs AS (
+  SELECT f AS frame_id, i, j, ti, tj, dx, dy, dz, sqrt(dx * dx + dy * dy + dz * dz) AS d FROM near
+  WHERE dx * dx + dy * dy + dz * dz < {SLAB_RC**2}e0 AND dx * dx + dy * dy + dz * dz > 1e-20
+), atoms AS (SELECT f AS frame_id, a AS atom_id, type FROM slab)"""
 
 
-@query(f"""WITH {ATOMS_SQL}, {SLAB_SQL}
-SELECT f AS frame_id, a AS i, count(*) AS n, count(CASE WHEN a = b THEN 1 END) AS n_own, round(sum(sqrt(d2)), 6) AS sum_d FROM near WHERE d2 < {SLAB_RC**2}e0 AND d2 > 1e-20 GROUP BY 1, 2""")
+@query(f"WITH {SLAB_SQL} SELECT frame_id, i, count(*) AS n, count(CASE WHEN i = j THEN 1 END) AS n_own, round(sum(d), 6) AS sum_d FROM pairs GROUP BY 1, 2")
 def j2_slab(spark, sf_dir):
     found = N.neighbor_pairs(*slabs(spark, sf_dir), float(SLAB_RC))
     return rounded(found.groupBy("frame_id", "i").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("i") == F.col("j"), 1)).alias("n_own"), F.sum("d").alias("sum_d")))
@@ -717,6 +721,19 @@ def m19_j4_forces_large(spark, sf_dir):
     return rounded(predict_large(atoms(spark, sf_dir), frames(spark, sf_dir), radial_model()).select("frame_id", "atom_id", "energy", *FORCE_COLUMNS))
 
 
+SLAB_FORCE_SQL = ", ".join(x.replace(f"{RC}e0", f"{float(SLAB_RC)}e0") for x in (RADIAL_SQL, MODEL_FORCE_SQL))
+
+
+@query(f"WITH {SLAB_SQL}, {SLAB_FORCE_SQL} SELECT n.frame_id, n.atom_id, round(e, 6) AS energy, {', '.join(r6(f'coalesce(f.{c}, 0e0)', c) for c in FORCE_COLUMNS)} FROM n LEFT JOIN f USING (frame_id, atom_id)")
+def m19_j4_blocks(spark, sf_dir):
+    """Large frames by blocks of space with their halos: energies, forces and virials in slabs of all atoms."""
+    from ..predict import predict_blocks
+
+    model = radial_model()
+    model.shape = replace(model.shape, cutoff_radial=float(SLAB_RC), cutoff_angular=float(SLAB_RC))
+    return rounded(predict_blocks(*slabs(spark, sf_dir), model).select("frame_id", "atom_id", "energy", *FORCE_COLUMNS))
+
+
 @query(f"WITH {ATOMS_SQL}, {pairs_sql(RC)}, {RADIAL_SQL}, {MODEL_FORCE_SQL} SELECT t.frame_id, t.atom_id, {', '.join(r6(f'coalesce(f.f{a}, 0e0)', f'f{a}') for a in 'xyz')}, {', '.join(f'round(CAST(t.f{a} AS DOUBLE), 10) AS rf{a}' for a in 'xyz')} FROM atoms t LEFT JOIN f USING (frame_id, atom_id)")
 def k2_force_table(spark, sf_dir):
     """Predicted and reference forces by the kernel over whole frames; a missing reference is null here and nan in the file."""

@@ -2,9 +2,10 @@
 
 Frames are dealt by their id once; each group of frames is one call of the NumPy
 kernel on Arrow batches. Frames of ``tiled_from`` atoms and more are not gathered
-into one task: their pairs come from the distributed cell list, the kernel takes
-bounded blocks of center atoms with their pairs, and what a block gives to its
-atoms and their neighbors is summed by atom (``predict_large``).
+into one task: they are cut into blocks of space, a block gets its atoms and those
+around it, finds their pairs, and what it gives to its atoms and their neighbors is
+summed by atom (``predict_blocks``). ``predict_large`` does the same from pairs of the
+distributed join, in blocks of center atoms of any frames.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .framestore import CALL, FrameStore, collate, unpacked
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
 from .kernels.potential import Batch, compute
-from .kernels.pairs import many_pairs
+from .kernels.pairs import frame_pairs, many_pairs
 from .model import Model
 from .operators import sampling
 
@@ -127,13 +128,43 @@ def predict_large(atoms: DataFrame, frames: DataFrame, model: Model, descriptor:
     return out if descriptor else out.drop("q")
 
 
+def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = 4096) -> DataFrame:
+    """As predict_large, by blocks of space (operators.blocks): atoms are sent, with a halo, and pairs are found where they land."""
+    from .operators.blocks import blocked
+
+    s = model.shape
+    shared, cutoff = atoms.sparkSession.sparkContext.broadcast(model), max(s.cutoff_radial, s.cutoff_angular)
+    fields = ["energy", "fx", "fy", "fz", *V]
+    schema = f"frame_id bigint, atom_id bigint, {', '.join(f'{c} double' for c in fields)}, q array<double>"
+
+    def kernel(key: tuple, table: pa.Table) -> pa.Table:
+        own, atom, kind = (table.column(c).to_numpy() for c in ("own", "atom_id", "type"))
+        xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
+        xyz = xyz - xyz.min(axis=0)
+        i, j, r = frame_pairs(xyz, np.diag(np.ptp(xyz, axis=0) + 2 * cutoff), cutoff)  # a box with nothing across its edges
+        mine = own[i]
+        result = compute(shared.value, Batch(kind.astype(np.int64), np.zeros(len(kind), np.int64), i[mine], j[mine], r[mine]))
+        known, at = np.unique(atom, return_inverse=True)
+        add = lambda x: np.bincount(at, x, len(known))  # noqa: E731  an atom may be here more than once, as images
+        columns = [np.full(len(known), key[0].as_py()), known, add(np.where(own, result["energy"], 0.0)), *(add(x) for x in (*result["forces"].T, *result["virial"].T))]
+        q: list = [None] * len(known)
+        if descriptor:
+            for k in np.flatnonzero(own):
+                q[at[k]] = result["descriptor"][k]
+        return pa.Table.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(q, pa.list_(pa.float64()))], ["frame_id", "atom_id", *fields, "q"])
+
+    shares = blocked(atoms, frames, cutoff, block).groupBy("frame_id", "block").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
+    out = shares.agg(*[F.sum(c).alias(c) for c in fields], F.first("q", ignorenulls=True).alias("q"))
+    return out if descriptor else out.drop("q")
+
+
 def predict_sized(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, tiled_from: int = 50_000) -> DataFrame:
-    """Frames of ``tiled_from`` atoms and more by predict_large, the others by predict_atoms."""
-    large = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tiled_from).select("frame_id").persist()
+    """Frames of ``tiled_from`` atoms and more by predict_blocks, the others by predict_atoms."""
+    large = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tiled_from).select("frame_id")
     if large.isEmpty():
         return predict_atoms(atoms, frames, model, descriptor=descriptor)
     big, small = ([t.join(large, "frame_id", how) for t in (atoms, frames)] for how in ("left_semi", "left_anti"))
-    return predict_large(*big, model, descriptor).unionByName(predict_atoms(*small, model, descriptor=descriptor))
+    return predict_blocks(*big, model, descriptor).unionByName(predict_atoms(*small, model, descriptor=descriptor))
 
 
 def predict_store(store: FrameStore, model: Model, descriptor: bool = False) -> DataFrame:
@@ -210,6 +241,8 @@ def write_predictions(read: DataFrame, model: Model, out_dir: str, output_descri
         out["descriptor"] = descriptor_table(per_atom, output_descriptor, model.shape.dim)
     for name, table in out.items():
         write_table(table, f"{out_dir}/{name}_{suffix}.out")
+    for used in (per_atom, per_frame):  # the tables that are returned are computed anew when they are asked for
+        used.unpersist()
     return out
 
 

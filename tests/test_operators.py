@@ -123,13 +123,13 @@ def test_large_frames_give_forces_and_virials(spark, data):
     """Frames in blocks of a few atoms, with repulsion and all channels, against whole frames."""
     from pericell.functions import tables
     from pericell.model import Model, Shape
-    from pericell.predict import predict_atoms, predict_large, predict_sized
+    from pericell.predict import predict_atoms, predict_blocks, predict_large, predict_sized
 
     model = Model.random(Shape(("Cr", "Ni"), 5.0, 4.0, 2, 1, 3, 3, 4, tables.CHANNELS, 5, (1.0, 2.5)), 2, uniform=True)
     names = ["energy", "fx", "fy", "fz", *[f"v{k}" for k in range(9)]]
     numbers = lambda df: {(r.frame_id, r.atom_id): [*(r[n] for n in names), *r.q] for r in df.collect()}
     want = numbers(predict_atoms(data[0], data[1], model, descriptor=True))
-    for df in (predict_large(data[0], data[1], model, descriptor=True, block=8), predict_sized(data[0], data[1], model, descriptor=True, tiled_from=sorted(SIZES.values())[-2])):
+    for df in (predict_large(data[0], data[1], model, descriptor=True, block=8), predict_blocks(data[0], data[1], model, descriptor=True, block=8), predict_sized(data[0], data[1], model, descriptor=True, tiled_from=sorted(SIZES.values())[-2])):
         got = numbers(df)
         assert got.keys() == want.keys()
         assert all(np.allclose(got[k], want[k], rtol=1e-8, atol=1e-8) for k in want)
@@ -171,6 +171,35 @@ def test_blocks_of_atoms_with_their_pairs(spark, data):
         assert {(r.frame_id, r.atom_id, r.type) for r in got} == {a[:3] for a in data[2]}
 
 
+def test_blocks_of_space(spark):
+    """A large frame: every atom is own once, halos hold what is in reach and little more, blocks are even, forces are the whole frame's."""
+    from pericell.model import Model, Shape
+    from pericell.operators.blocks import blocked
+    from pericell.predict import predict_atoms, predict_blocks, predict_sized
+
+    rng, side = np.random.default_rng(10), 40.0
+    rows = [(1, k, k % 2, *map(float, x)) for k, x in enumerate(rng.uniform(-5, 45, (4000, 3)))]
+    rows += [(2, k, 0, *map(float, x)) for k, x in enumerate(rng.uniform(0, 9, (30, 3)))]
+    atoms = spark.createDataFrame(rows, "frame_id bigint, atom_id bigint, type int, x double, y double, z double")
+    cells = {1: np.diag([side] * 3), 2: np.array([[9.0, 0, 0], [1, 4, 0], [0, 2, 14]])}
+    frames = spark.createDataFrame([(f, [float(x) for x in c.ravel()], None) for f, c in cells.items()], "frame_id bigint, cell array<double>, energy double")
+    sent = blocked(atoms, frames, 4.0, 500).where("frame_id = 1").toPandas()
+    own = sent[sent.own]
+    assert sorted(own.atom_id) == list(range(4000)) and own.groupby("block").size().max() < 600 and own.block.nunique() >= 8
+    i, j, _ = frame_pairs(np.array([r[3:] for r in rows if r[0] == 1]), cells[1], 4.0)
+    home = own.set_index("atom_id").block.loc[range(4000)].to_numpy()
+    needed = {(int(home[a]), int(b)) for a, b in zip(i, j, strict=True) if home[a] != home[b]}
+    halo = {(b, a) for b, a in zip(sent.block[~sent.own], sent.atom_id[~sent.own], strict=True)}
+    assert needed <= halo and len(sent) < 0.5 * len(i)  # atoms, not pairs
+    assert all(abs(x - round(x)) < 1e-9 for x in ((sent.merge(own, on="atom_id").eval("x_x - x_y")) / side))
+    model = Model.random(Shape(("A", "B"), 4.0, 3.5, 2, 1, 3, 3, 2, ("222",), 5), 2, uniform=True)
+    numbers = lambda df: {(r.frame_id, r.atom_id): [r.energy, r.fx, r.fy, r.fz, r.v0, r.v4, r.v5] for r in df.collect()}
+    want = numbers(predict_atoms(atoms, frames, model))
+    for df in (predict_blocks(atoms, frames, model, block=500), predict_sized(atoms, frames, model, tiled_from=1000)):
+        got = numbers(df)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-8, atol=1e-8) for k in want)
+
+
 def test_unknown_species_raises(spark):
     df = spark.createDataFrame([("Pb",), ("Xx",)], "species string")
     with pytest.raises(Exception, match="unknown species"):
