@@ -2,8 +2,9 @@
 
 ``read_xyz`` reads a file or a folder of files through Spark's text reader, so that
 they may lie in any store and nothing is read by the driver: each split of a file is
-cut into frames where it lies, and only the pieces of frames that cross from one
-split into the next are put together. It gives a row per frame: frame_id (order in
+cut into frames and parsed where it lies, once, into a table in the shared folder,
+and only the pieces of frames that cross from one split into the next are put
+together. It gives a row per frame: frame_id (order in
 the files, by path), natoms, cell, energy, virial, species, pos, forces (null if
 absent), block (the text itself, less than 2 GB).
 
@@ -20,10 +21,14 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import storage
+
 SCHEMA = "frame_id bigint, natoms int, cell array<double>, energy double, virial array<double>, species array<string>, pos array<double>, forces array<double>, block string"
 
 
@@ -167,7 +172,11 @@ def register(spark: SparkSession) -> None:
 
 
 COUNT = re.compile(r"\s*\d+\s*").fullmatch
-PIECE = "file string, start bigint, no int, whole boolean, value string"
+FIELDS = [x.split(" ")[0] for x in SCHEMA.split(", ")][1:-1]
+#: Where a piece stands (no: its order in the split, -1 before the first frame; sub: its order in what was put together),
+#: its text and, of whole frames, the tag frame_id and what SCHEMA has between frame_id and block.
+PIECE = f"file string, start bigint, no int, sub int, whole boolean, value string, tag string, {', '.join(SCHEMA.split(', ')[1:-1])}"
+KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 class Cutter:
@@ -209,97 +218,107 @@ class Cutter:
             yield self.no, False, "\n".join(self.lines)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, start (of the split), no (order in the split; -1 before its first frame), whole, value."""
-    import pyarrow as pa
+def _row(file: str, start: int, no: int, sub: int, whole: bool, text: str, energy_key: str | None) -> tuple:
+    """A piece as PIECE has it; a whole frame is parsed if ``energy_key`` is given."""
+    if not whole or energy_key is None:
+        return (file, start, no, sub, whole, text, *[None] * (1 + len(FIELDS)))
+    f = parse_block(text, energy_key)
+    return (file, start, no, sub, whole, text, scalar_tag(text.split("\n", 2)[1], "frame_id"), *(f[name] for name in FIELDS))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        at, cutter = None, Cutter()
 
-        def out() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
-            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "start", "no", "whole", "value"])
-            rows.clear()
-            return batch
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split(" ") for x in PIECE.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], KINDS[t]) for k, t in enumerate(kinds)], list(names))
+
 
+def pieces(spark: SparkSession, path: str, energy_key: str | None, counter: Accumulator | None = None) -> DataFrame:
+    """PIECE of every split: frames, and parts of frames where a split begins or ends. ``counter`` gets the characters that are read."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cutter = None, Cutter()
         for batch in batches:
+            rows, seen = [], 0
             for line, file, start in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start")), strict=True):
                 if at != (file, start):
-                    rows += [(*at, *p) for p in cutter.end()] if at else []
+                    rows += [_row(*at, no, 0, whole, text, energy_key) for no, whole, text in cutter.end()] if at else []
                     at, cutter = (file, start), Cutter()
-                rows += [(*at, *p) for p in cutter.add(line)]
+                rows += [_row(*at, no, 0, whole, text, energy_key) for no, whole, text in cutter.add(line)]
+                seen += len(line) + 1
+            if counter is not None:
+                counter.add(seen)
             if rows:
-                yield out()
-        rows += [(*at, *p) for p in cutter.end()] if at else []
+                yield _batch(rows)
+        rows = [_row(*at, no, 0, whole, text, energy_key) for no, whole, text in cutter.end()] if at else []
         if rows:
-            yield out()
+            yield _batch(rows)
 
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     return lines.mapInArrow(cut, PIECE)
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """frame_id, value: the text of every frame."""
-    cut = pieces(spark, path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back."""
+    spark = df.sparkSession
+    path = storage.new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def framed(spark: SparkSession, path: str, energy_key: str | None = None, counter: Accumulator | None = None) -> DataFrame:
+    """frame_id, value, tag and, with ``energy_key``, the fields of every frame, in order of files and places.
+
+    The text is gone through once: its splits are cut into frames, parsed and written as a table. What follows reads
+    that table's columns: places alone for the numbering, parts of frames alone to be put together.
+    """
+    cut = written(pieces(spark, path, energy_key, counter), "pieces")
     splits = cut.groupBy("file", "start").agg(F.max("no").alias("last"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
     splits = splits.withColumn("joint", F.last(F.when(F.col("last") >= 0, F.col("start")), ignorenulls=True).over(before))
     # a piece before the first frame of a split goes with the last split that has the beginning of one; a file may have none before it
-    parts = cut.where("not whole").join(splits.select("file", "start", "joint"), ["file", "start"])
+    parts = cut.where("not whole").select("file", "start", "no", "value").join(splits.select("file", "start", "joint"), ["file", "start"])
     parts = parts.withColumn("of", F.when(F.col("no") >= 0, F.col("start")).otherwise(F.coalesce("joint", F.lit(-1))))
     joined = parts.groupBy("file", F.col("of").alias("start")).agg(F.max("no").alias("no"), F.sort_array(F.collect_list(F.struct("start", "no", "value"))).alias("p"))
     joined = joined.select("file", "start", "no", F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"))
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, start, no, text in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "no", "value")), strict=True):
+                rows += [_row(file, start, no, sub, True, one, energy_key) for sub, one in enumerate(_frames(file, text))]
+            yield _batch(rows)
+
     # what was put together may hold several frames when counts stood at the end of splits
-    mended = joined.mapInArrow(_blocks, "file string, start bigint, no int, sub int, value string")
-    whole = cut.where("whole").select("file", "start", "no", F.lit(0).alias("sub"), "value")
-    every = whole.unionByName(mended)
+    every = cut.where("whole").unionByName(written(joined.mapInArrow(mend, PIECE), "mended"))
     counts = every.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
     counts = counts.select("file", "start", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("no", "sub")) - 1
-    return every.withColumn("at", inside).join(counts, ["file", "start"]).select((F.col("ahead") + F.col("at")).cast("long").alias("frame_id"), "value")
-
-
-def _blocks(batches):
-    """The frames of texts that are runs of whole frames."""
-    import pyarrow as pa
+    # frames of a split are numbered as they come, and what was put together follows its beginning: no row moves
+    at = F.col("ahead") + F.greatest("no", F.lit(0)) + F.col("sub")
+    return every.join(counts, ["file", "start"]).select(at.cast("long").alias("frame_id"), "value", "tag", *FIELDS)
 
-    for batch in batches:
-        rows = []
-        for file, start, no, text in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "no", "value")), strict=True):
-            lines, at, sub = text.split("\n"), 0, 0
-            while at < len(lines):
-                size = int(lines[at]) + 2
-                if at + size > len(lines):
-                    raise ValueError(f"the last frame of {file} is cut short")
-                rows.append((file, start, no, sub, "\n".join(lines[at : at + size])))
-                at, sub = at + size, sub + 1
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "start", "no", "sub", "value"])
 
+def _frames(file: str, text: str) -> Iterator[str]:
+    """The frames of a text that is a run of whole frames."""
+    lines, at = text.split("\n"), 0
+    while at < len(lines):
+        size = int(lines[at]) + 2
+        if at + size > len(lines):
+            raise ValueError(f"the last frame of {file} is cut short")
+        yield "\n".join(lines[at : at + size])
+        at += size
 
-def parsed(blocks: DataFrame, energy_key: str = "energy", keep_ids: bool = False) -> DataFrame:
-    """Rows as SCHEMA from frame_id and value; ``keep_ids``: a tag frame_id in the comment stands before the order."""
-    import pandas as pd
 
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["frame_id"], batch["value"], strict=True):
-                f = parse_block(text, energy_key)
-                tag = scalar_tag(text.split("\n", 2)[1], "frame_id") if keep_ids else None
-                rows.append((int(tag) if tag else key, f["natoms"], f["cell"], f["energy"], f["virial"], f["species"], f["pos"], f["forces"], text + "\n"))
-            yield pd.DataFrame(rows, columns=names)
-
-    return blocks.mapInPandas(parse, SCHEMA)
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """frame_id, value: the text of every frame."""
+    return framed(spark, path).select("frame_id", "value")
 
 
-def read_xyz(spark: SparkSession, path: str, energy_key: str = "energy", keep_ids: bool = False) -> DataFrame:
-    """A row per frame of a file or a folder of files, in any store that Spark reads."""
-    return parsed(numbered(spark, path), energy_key, keep_ids)
+def read_xyz(spark: SparkSession, path: str, energy_key: str = "energy", keep_ids: bool = False, counter: Accumulator | None = None) -> DataFrame:
+    """A row per frame of a file or a folder of files, in any store that Spark reads; ``keep_ids``: a tag frame_id in
+    the comment stands before the order. The text is read and parsed at once, into a table that the result reads."""
+    read = framed(spark, path, energy_key, counter)
+    key = F.coalesce(F.expr("cast(tag as bigint)"), F.col("frame_id")) if keep_ids else F.col("frame_id")
+    return read.select(key.alias("frame_id"), *FIELDS, F.concat("value", F.lit("\n")).alias("block"))
 
 
 def read_blocks(spark: SparkSession, path: str, energy_key: str = "energy") -> DataFrame:

@@ -73,6 +73,19 @@ def test_splits_of_files_are_put_together(spark, tmp_path, size):
         E.read_xyz(spark, str(tmp_path / "short.xyz")).collect()
 
 
+def test_text_is_gone_through_once(spark, tmp_path):
+    """However often the rows are used, each line is cut and parsed once; numbering reads no text."""
+    text = "".join(BLOCK.replace("-3.5", f"-{k}.5") for k in range(40))
+    (tmp_path / "a.xyz").write_text(text)
+    seen = spark.sparkContext.accumulator(0)
+    read = E.read_xyz(spark, str(tmp_path / "a.xyz"), counter=seen)
+    assert [r.energy for r in read.orderBy("frame_id").collect()] == [-k - 0.5 for k in range(40)]
+    assert E.to_atoms(read).count() == 80 and read.where("energy < -9").count() == 31 and "".join(r.block for r in read.orderBy("frame_id").collect()) == text
+    assert seen.value == len(text)
+    plan = read.select("frame_id")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "pos" not in plan.split("Physical Plan")[1]
+
+
 def test_structures_in_memory(spark):
     one = E.parse_block(BLOCK)
     given = {"species": one["species"], "positions": np.reshape(one["pos"], (2, 3)), "cell": np.diag([4, 5, 6]), "forces": one["forces"], "energy": -3.5}
