@@ -14,6 +14,7 @@ from ..operators import descriptors as D
 from ..operators import metrics as M
 from ..operators import neighbors as N
 from ..operators import sampling as S
+from ..operators import statistics as T
 from ..storage import shared_dir
 from .bridge import ATOMS_SQL, FRAMES_SQL, atoms, frames, pairs_sql, table
 
@@ -424,10 +425,15 @@ def a5_p26_zbl(spark, sf_dir):
 RADII = {z: tables.COVALENT_RADIUS[z - 1] for z in ZBL_NUMBERS}
 
 
-@query(f"WITH n(z, r) AS (VALUES {', '.join(f'({z}, {r}e0)' for z, r in RADII.items())}) SELECT a.z AS zi, b.z AS zj, round(least((a.r + b.r) * 0.65e0, 2.5e0), 6) AS outer FROM n a, n b")
+@query(f"""WITH {ATOMS_SQL}, {pairs_sql(3.0)}, n(type, z, r) AS (VALUES {', '.join(f'({k}, {z}e0, {r}e0)' for k, (z, r) in enumerate(RADII.items()))}),
+o AS (SELECT p.*, a.z AS zi, b.z AS zj, least((a.r + b.r) * 0.65e0, 2.5e0) AS r_out FROM pairs p JOIN n a ON a.type = p.ti JOIN n b ON b.type = p.tj),
+x AS (SELECT *, (pow(zi, 0.23e0) + pow(zj, 0.23e0)) * 2.134563e0 * d AS x, d / r_out AS t FROM o WHERE d < r_out),
+e AS (SELECT frame_id, i, count(*) AS n, sum(0.5e0 * 14.399645e0 * zi * zj / d * (0.18175e0 * exp(-3.1998e0 * x) + 0.50986e0 * exp(-0.94229e0 * x) + 0.28022e0 * exp(-0.4029e0 * x) + 0.02817e0 * exp(-0.20162e0 * x)) * (0.5e0 * cos(pi() * t) + 0.5e0)) AS zbl FROM x GROUP BY 1, 2)
+SELECT a.frame_id, a.atom_id, round(ln(1e0 + coalesce(zbl, 0e0)), 8) AS log_zbl FROM atoms a LEFT JOIN e ON a.frame_id = e.frame_id AND a.atom_id = e.i""")
 def p27_zbl_typewise(spark, sf_dir):
-    rows = [(a, b, tables.zbl_outer(a, b, 0.65, 2.5)) for a in ZBL_NUMBERS for b in ZBL_NUMBERS]
-    return rounded(spark.createDataFrame(rows, "zi int, zj int, outer double"))
+    """Repulsion of each atom with the cutoff that its and its neighbor's elements give, from 0 on."""
+    e = D.zbl_atoms(atoms(spark, sf_dir), pairs(spark, sf_dir, 3.0), list(ZBL_NUMBERS), 0.0, 2.5, 0.65)
+    return rounded(e.select("frame_id", "atom_id", F.log1p("zbl").alias("log_zbl")), 8)
 
 
 FORCE_SQL = f"""g AS (SELECT *, ({' + '.join(f'{w} * (' + ' + '.join(f'{coefficient_sql(n, k, 0)} * {e}' for k, e in enumerate(slopes_sql(RC))) + ')' for n, w in enumerate(('0.5e0', '(-0.25e0)', '1e0')))}) AS size FROM pairs),
@@ -477,6 +483,24 @@ def labelled(spark, sf_dir):
 LABELLED_SQL = f"WITH {ATOMS_SQL}, {FRAMES_SQL}, l AS (SELECT f.frame_id, f.energy, a.n AS natoms, a.h AS has_forces, a.n * (f.frame_id % 7) * 0.5e0 AS e_pred, f.frame_id % 3 <> 0 AS has_virial FROM frames f JOIN (SELECT frame_id, count(*) AS n, max(fx IS NOT NULL) AS h FROM atoms GROUP BY 1) a USING (frame_id)), r AS (SELECT *, (e_pred - energy) / natoms AS r FROM l)"
 
 
+STATISTICS = ("x", "y", "z", "fx", "fy", "fz")
+
+
+@query(
+    f"WITH {ATOMS_SQL} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(min({c})::DOUBLE, 6) AS least, round(max({c})::DOUBLE, 6) AS most, round(fsum({c}::DOUBLE), 6) AS total, round(fsum({c}::DOUBLE * {c}::DOUBLE), 6) AS square, round(1 / greatest(max({c}) - min({c}), 1e-10), 6) AS scaler FROM atoms" for c in STATISTICS)
+)
+def a27_merged_statistics(spark, sf_dir):
+    """Ranges, sums and scalers of atoms' columns, kept by ranges of frames and merged."""
+    import uuid
+
+    ranges, a = T.Ranges(f"{shared_dir(spark)}/statistics-{uuid.uuid4().hex}"), atoms(spark, sf_dir)
+    for part in range(3):
+        ranges.add(f"part{part}", a.where(F.col("frame_id") % 3 == part), list(STATISTICS))
+    found = ranges.merged(spark)
+    return rounded(found.join(T.scalers(found), "name"))
+
+
 @query(LABELLED_SQL + " SELECT count(*) AS n_frames, count(energy) AS n_energy, count(CASE WHEN has_forces THEN 1 END) AS n_forces, count(CASE WHEN has_virial THEN 1 END) AS n_virial FROM l")
 def a13_coverage(spark, sf_dir):
     return M.coverage(labelled(spark, sf_dir))
@@ -893,7 +917,19 @@ def s1_extxyz_round_trip(spark, sf_dir):
     return extxyz.to_atoms(extxyz.read_blocks(spark, path)).select("frame_id", "atom_id", "species", "x", "y", "z")
 
 
-@query()
+@query(f"""WITH {ATOMS_SQL}, {FRAMES_SQL}, t AS (SELECT count(DISTINCT species) AS n FROM atoms), m AS (SELECT -avg(energy / n) AS b1 FROM frames JOIN (SELECT frame_id, count(*) AS n FROM atoms GROUP BY 1) USING (frame_id))
+SELECT name, CAST(size AS BIGINT) AS n, round(total, 6) AS total FROM (
+  SELECT 'w0' AS name, n * 4 * {N_RADIAL + 3 * N_ANGULAR} AS size, NULL::DOUBLE AS total FROM t UNION ALL SELECT 'b0', n * 4, 0e0 FROM t UNION ALL SELECT 'w1', n * 4, NULL FROM t
+  UNION ALL SELECT 'b1', 1, b1 FROM m UNION ALL SELECT 'c2', n * n * {N_RADIAL * (BASIS + 1)}, NULL FROM t UNION ALL SELECT 'c3', n * n * {N_ANGULAR * (BASIS + 1)}, NULL FROM t
+  UNION ALL SELECT 'q_scaler', {N_RADIAL + 3 * N_ANGULAR}, {N_RADIAL + 3 * N_ANGULAR}e0)""")
 def m1_params(spark, sf_dir):
-    """A model's parameters as a table."""
-    return small_model().params(spark)
+    """A model for the species of the atoms, its offset from the frames' energies: numbers of each kind, and sums of those that are not random."""
+    from ..model import Model, Shape
+
+    a, f = atoms(spark, sf_dir), frames(spark, sf_dir)
+    species = tuple(sorted(r[0] for r in a.select("species").distinct().collect()))
+    model = Model.random(Shape(species, RC, RA, N_RADIAL - 1, N_ANGULAR - 1, BASIS, BASIS, 2, ("222",), 4), 0)
+    sizes = a.groupBy("frame_id").agg(F.count(F.lit(1)).alias("natoms"))
+    model.b1 = M.initial_offset(f.join(sizes, "frame_id")).first()["b1"]
+    known = F.col("name").isin("b0", "b1", "q_scaler")
+    return rounded(model.params(spark).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(known, F.col("value"))).alias("total")))

@@ -284,7 +284,7 @@ def framed(spark: SparkSession, path: str, energy_key: str | None = None, counte
         for batch in batches:
             rows = []
             for file, start, no, text in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "no", "value")), strict=True):
-                rows += [_row(file, start, no, sub, True, one, energy_key) for sub, one in enumerate(_frames(file, text))]
+                rows += [_row(file, start, no, sub, True, one, energy_key) for sub, one in enumerate(frames_of(file, text))]
             yield _batch(rows)
 
     # what was put together may hold several frames when counts stood at the end of splits
@@ -297,7 +297,7 @@ def framed(spark: SparkSession, path: str, energy_key: str | None = None, counte
     return every.join(counts, ["file", "start"]).select(at.cast("long").alias("frame_id"), "value", "tag", *FIELDS)
 
 
-def _frames(file: str, text: str) -> Iterator[str]:
+def frames_of(file: str, text: str) -> Iterator[str]:
     """The frames of a text that is a run of whole frames."""
     lines, at = text.split("\n"), 0
     while at < len(lines):
