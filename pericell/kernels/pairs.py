@@ -31,6 +31,20 @@ def frame_pairs(xyz: np.ndarray, cell: np.ndarray, cutoff: float, binned_from: i
     return i[order], j[order], r[order]
 
 
+def cloud_pairs(xyz: np.ndarray, center: np.ndarray, cutoff: float, binned_from: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As frame_pairs for points in open space, with the pairs of some centers (a mask) alone."""
+    xyz = xyz - xyz.min(axis=0)
+    if len(xyz) < binned_from:
+        own = np.flatnonzero(center)
+        r = xyz[None] - xyz[own, None]
+        square = np.einsum("ija,ija->ij", r, r)
+        i, j = np.nonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
+        return own[i], j, r[i, j]
+    i, j, r = frame_pairs(xyz, np.diag(np.ptp(xyz, axis=0) + 2 * cutoff), cutoff, binned_from)  # nothing lies across the edges of this box
+    mine = center[i]
+    return i[mine], j[mine], r[mine]
+
+
 def _brute(home: np.ndarray, cell: np.ndarray, reach: np.ndarray, cutoff: float):
     n, out = len(home), []
     shifts = np.stack(np.meshgrid(*[np.arange(-k, k + 1) for k in reach], indexing="ij"), -1).reshape(-1, 3) @ cell

@@ -21,7 +21,7 @@ from .framestore import CALL, FrameStore, collate, unpacked
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
 from .kernels.potential import Batch, compute
-from .kernels.pairs import frame_pairs, many_pairs
+from .kernels.pairs import cloud_pairs, many_pairs
 from .model import Model
 from .operators import sampling
 
@@ -137,23 +137,27 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
     fields = ["energy", "fx", "fy", "fz", *V]
     schema = f"frame_id bigint, atom_id bigint, {', '.join(f'{c} double' for c in fields)}, q array<double>"
 
-    def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        own, atom, kind = (table.column(c).to_numpy() for c in ("own", "atom_id", "type"))
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("frame_id", "ascending"), ("block", "ascending")])
+        frame, block_, own, atom, kind = (table.column(c).to_numpy() for c in ("frame_id", "block", "own", "atom_id", "type"))
         xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
-        xyz = xyz - xyz.min(axis=0)
-        i, j, r = frame_pairs(xyz, np.diag(np.ptp(xyz, axis=0) + 2 * cutoff), cutoff)  # a box with nothing across its edges
-        mine = own[i]
-        result = compute(shared.value, Batch(kind.astype(np.int64), np.zeros(len(kind), np.int64), i[mine], j[mine], r[mine]))
-        known, at = np.unique(atom, return_inverse=True)
-        add = lambda x: np.bincount(at, x, len(known))  # noqa: E731  an atom may be here more than once, as images
-        columns = [np.full(len(known), key[0].as_py()), known, add(np.where(own, result["energy"], 0.0)), *(add(x) for x in (*result["forces"].T, *result["virial"].T))]
+        first = np.flatnonzero((np.diff(frame, prepend=frame[0] - 1) != 0) | (np.diff(block_, prepend=-1) != 0))
+        found = [cloud_pairs(xyz[a:b], own[a:b], cutoff) for a, b in zip(first, [*first[1:], len(frame)], strict=True)]
+        i, j = (np.concatenate([f[k] + a for f, a in zip(found, first, strict=True)]) for k in (0, 1))
+        result = compute(shared.value, Batch(kind.astype(np.int64), np.zeros(len(kind), np.int64), i, j, np.concatenate([f[2] for f in found])))
+        known, at = np.unique(np.stack([frame, atom], axis=1), axis=0, return_inverse=True)  # an atom may be here more than once, as images
+        at = at.ravel()
+        add = lambda x: np.bincount(at, x, len(known))
+        columns = [*known.T, add(np.where(own, result["energy"], 0.0)), *(add(x) for x in (*result["forces"].T, *result["virial"].T))]
         q: list = [None] * len(known)
         if descriptor:
             for k in np.flatnonzero(own):
                 q[at[k]] = result["descriptor"][k]
         return pa.Table.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(q, pa.list_(pa.float64()))], ["frame_id", "atom_id", *fields, "q"])
 
-    shares = blocked(atoms, frames, cutoff, block).groupBy("frame_id", "block").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
+    parts = max(1, -(-atoms.count() // block))  # blocks of small frames share a call
+    dealt = blocked(atoms, frames, cutoff, block).withColumn("part", F.pmod(F.xxhash64("frame_id", "block"), F.lit(parts)))
+    shares = dealt.groupBy("part").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
     out = shares.agg(*[F.sum(c).alias(c) for c in fields], F.first("q", ignorenulls=True).alias("q"))
     return out if descriptor else out.drop("q")
 
