@@ -7,8 +7,8 @@ import numpy as np
 NEAREST = 1e-10
 
 
-def frame_pairs(xyz: np.ndarray, cell: np.ndarray, cutoff: float, binned_from: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j and r = r_j(image) - r_i of all pairs closer than the cutoff, in order of i, j."""
+def frame_pairs(xyz: np.ndarray, cell: np.ndarray, cutoff: float, binned_from: int = 400, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and r = r_j(image) - r_i of all pairs closer than the cutoff, in order of i, j. ``of``: the centers i to look at; else all."""
     n = len(xyz)
     cell = np.asarray(cell, float).reshape(3, 3)
     if not n:
@@ -21,9 +21,12 @@ def frame_pairs(xyz: np.ndarray, cell: np.ndarray, cutoff: float, binned_from: i
     bins = np.maximum(np.floor(width / cutoff).astype(int), 1)
     reach = np.where(width >= cutoff, 1, np.ceil(cutoff / width).astype(int))
     if n >= binned_from and bins.prod() > (2 * reach + 1).prod() // 2:
-        i, j, r = _binned(home, frac, cell, bins, reach, cutoff)
+        i, j, r = _binned(home, frac, cell, bins, reach, cutoff, np.arange(n) if of is None else of)
     else:
         i, j, r = _brute(home, cell, np.ceil(cutoff / width).astype(int), cutoff)
+        if of is not None:
+            mine = np.isin(i, of)
+            i, j, r = i[mine], j[mine], r[mine]
     d = np.linalg.norm(r, axis=1)
     near = (d < cutoff) & (d > NEAREST)
     i, j, r = i[near], j[near], r[near]
@@ -40,9 +43,8 @@ def cloud_pairs(xyz: np.ndarray, center: np.ndarray, cutoff: float, binned_from:
         square = np.einsum("ija,ija->ij", r, r)
         i, j = np.nonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
         return own[i], j, r[i, j]
-    i, j, r = frame_pairs(xyz, np.diag(np.ptp(xyz, axis=0) + 2 * cutoff), cutoff, binned_from)  # nothing lies across the edges of this box
-    mine = center[i]
-    return i[mine], j[mine], r[mine]
+    box = np.diag(np.ptp(xyz, axis=0) + 2 * cutoff)  # nothing lies across its edges
+    return frame_pairs(xyz, box, cutoff, binned_from, np.flatnonzero(center))
 
 
 def _brute(home: np.ndarray, cell: np.ndarray, reach: np.ndarray, cutoff: float):
@@ -56,7 +58,7 @@ def _brute(home: np.ndarray, cell: np.ndarray, reach: np.ndarray, cutoff: float)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _binned(home: np.ndarray, frac: np.ndarray, cell: np.ndarray, bins: np.ndarray, reach: np.ndarray, cutoff: float):
+def _binned(home: np.ndarray, frac: np.ndarray, cell: np.ndarray, bins: np.ndarray, reach: np.ndarray, cutoff: float, of: np.ndarray):
     """Bins around each atom, counted on over the cell's edges: one that is met again there is another image."""
     place = np.minimum((frac * bins).astype(int), bins - 1)
     key = (place[:, 0] * bins[1] + place[:, 1]) * bins[2] + place[:, 2]
@@ -65,13 +67,13 @@ def _binned(home: np.ndarray, frac: np.ndarray, cell: np.ndarray, bins: np.ndarr
     start = np.cumsum(counts) - counts
     out = []
     for step in np.stack(np.meshgrid(*[np.arange(-k, k + 1) for k in reach], indexing="ij"), -1).reshape(-1, 3):
-        to = place + step
+        to = place[of] + step
         shift, to = np.floor_divide(to, bins), np.mod(to, bins)
         other = (to[:, 0] * bins[1] + to[:, 1]) * bins[2] + to[:, 2]
         n = counts[other]
-        i = np.repeat(np.arange(len(home)), n)
+        i = np.repeat(of, n)
         j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[other], n)]
-        r = home[j] - home[i] + (shift @ cell)[i]
+        r = home[j] - home[i] + np.repeat(shift @ cell, n, axis=0)
         near = np.einsum("pa,pa->p", r, r) < cutoff * cutoff
         out.append((i[near], j[near], r[near]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

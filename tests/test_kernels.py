@@ -119,6 +119,18 @@ def test_bins_find_the_pairs_of_brute_force(cell):
     assert all(np.array_equal(x, y) for x, y in zip(a[:2], b[:2], strict=True)) and np.allclose(a[2], b[2])
 
 
+@pytest.mark.parametrize("n", [50, 900])
+def test_pairs_of_some_centers_in_open_space(n):
+    from pericell.kernels.pairs import cloud_pairs
+
+    rng = np.random.default_rng(n)
+    xyz, center = rng.uniform(-9, 9, (n, 3)), rng.random(n) < 0.4
+    i, j, r = cloud_pairs(xyz, center, 3.0)
+    d = np.linalg.norm(xyz[None] - xyz[:, None], axis=2)
+    a, b = np.nonzero((d < 3) & (d > 0) & center[:, None])
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True)) and np.allclose(r, xyz[j] - xyz[i])
+
+
 def test_tiny_and_empty_boxes():
     assert len(frame_pairs(np.zeros((0, 3)), np.eye(3), 2.0)[0]) == 0
     i, j, r = frame_pairs(np.zeros((1, 3)), 3 * np.eye(3), 4.5)  # its own images
