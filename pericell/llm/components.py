@@ -9,17 +9,28 @@ few, else by a sort-merge join, whose hot keys adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructType
 
 from .store import drop, written
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _bytes(kind: DataType, column: Column) -> Column:
+    if isinstance(kind, StructType):
+        return sum((_bytes(f.dataType, column[f.name]) for f in kind), F.lit(16))
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    return F.lit(8)
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table of two numbers a row, marked for broadcast while it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table of numbers, texts and structs of these, marked for broadcast while its rows, measured, take at most BROADCAST_BYTES."""
+    row = sum((_bytes(f.dataType, F.col(f.name)) for f in table.schema), F.lit(16))
+    size = table.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:

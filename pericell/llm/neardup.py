@@ -21,7 +21,11 @@ grow. Equal texts count as one document between them: a text with n copies count
    That joins most of a group; then its texts are dealt into blocks by the component
    they are in so far, and all pairs of blocks are compared but those within one
    component, so that no pair of two components is left out. Two turns, whatever the
-   size of a group.
+   size of a group. A group of more than ``wide`` blocks is first told apart by rare
+   shingles: with shingles in order of their frequency, two texts that reach the
+   threshold share one among the rarest of each that are more than 1 - ``threshold``
+   of its weight, so only texts with such a shingle in common are dealt into blocks.
+   Where that sends more texts than pairs of blocks would, the group is left whole.
 4. Components of the verified links are the classes.
 
 Equal word sequences are one text from the start, so copies cost one text. A
@@ -57,6 +61,7 @@ ONE = 1 << 16  # a document without copies, in the counters
 POOL = 1 << 16
 ID_BITS = U64(44)
 ID_MASK = U64((1 << 44) - 1)
+BODY = "text_id bigint, ids binary, often binary"
 
 
 class Shingled:
@@ -275,7 +280,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **p
     return out.select(F.col("id").alias(id_col), F.when(F.col("known"), F.col("least")).otherwise(F.col("id")).alias("class_id"), "text_id")
 
 
-def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32, most: int = 1 << 20) -> DataFrame:
+def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 4, chunk: int = 256, pivots: int = 32, most: int = 1 << 20, wide: int = 16) -> DataFrame:
     """id, mark (a hash of the text as given), text_id, root (one of each class; null without words): one row per document."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -302,26 +307,28 @@ def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     groups = groups.groupBy(F.xxhash64("size", "x", "lo", "hi").alias("grp")).agg(F.min(F.struct("band", "key")).alias("at"), F.min("size").alias("size"), F.min("shingles").alias("shingles"))
     groups = written(groups.select("grp", "size", parts.alias("parts"), "at.band", "at.key"), "bands")
     members = written(keyed.join(small(groups), ["band", "key"]).select("grp", "text_id", "owner", "n", "size", "parts"), "groups")
-    links = _verified(given, members, weights, threshold, pivots, chunk // 2, most // 2)
+    links = _verified(given, members, weights, threshold, pivots, chunk // 2, most // 2, wide)
     roots = components(links).withColumnRenamed("id", "text_id")
     drop(spark, groups, members, links)
     return signed.select("id", "mark", "text_id").join(small(roots), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
 
 
-def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, pivots: int, block: int, most: int) -> DataFrame:
-    """Links (a, b) between texts of a group that reach the threshold, enough to connect all that are linked."""
+def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text_id, ids (sorted), often (place and times of those that occur more than once) of the texts of each slice."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            s = Shingled(batch.column("text"))
+            once = np.unique(s.text_id, return_index=True)[1]
+            once = once[~s.empty[once]]
+            bodies = [(s.ids[s.at[i] : s.at[i + 1]].tobytes(), s.times[s.at[i] : s.at[i + 1]].astype("<u4")) for i in once]
+            # most shingles occur once: those that do not are told by place and times
+            often = [np.stack([f := np.flatnonzero(t > 1), t[f]]).astype("<u4").tobytes() for _, t in bodies]
+            yield pa.RecordBatch.from_arrays([pa.array(s.text_id[once]), pa.array([b for b, _ in bodies], pa.binary()), pa.array(often, pa.binary())], ["text_id", "ids", "often"])
+    tidy()
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                s = Shingled(batch.column("text"))
-                once = np.unique(s.text_id, return_index=True)[1]
-                once = once[~s.empty[once]]
-                bodies = [(s.ids[s.at[i] : s.at[i + 1]].tobytes(), s.times[s.at[i] : s.at[i + 1]].astype("<u4")) for i in once]
-                # most shingles occur once: those that do not are told by place and times
-                often = [np.stack([f := np.flatnonzero(t > 1), t[f]]).astype("<u4").tobytes() for _, t in bodies]
-                yield pa.RecordBatch.from_arrays([pa.array(s.text_id[once]), pa.array([b for b, _ in bodies], pa.binary()), pa.array(often, pa.binary())], ["text_id", "ids", "often"])
-        tidy()
+
+def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, pivots: int, block: int, most: int, wide: int) -> DataFrame:
+    """Links (a, b) between texts of a group that reach the threshold, enough to connect all that are linked."""
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("pivot", "descending"), ("text_id", "ascending")])
@@ -335,7 +342,7 @@ def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, pi
     wanted = small(written(groups.select("text_id", "owner.mark", "owner.id").dropDuplicates(["text_id"]).select("mark", "id").distinct(), "wanted"))
     wanted = wanted.withColumnRenamed("mark", "own_mark").withColumnRenamed("id", "own_id")
     texts = given.join(wanted, F.col("mark").eqNullSafe(F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own_id"))).select("text")
-    bodies = written(texts.mapInArrow(shingles, "text_id bigint, ids binary, often binary").dropDuplicates(["text_id"]), "shingles")
+    bodies = written(texts.mapInArrow(shingles, BODY).dropDuplicates(["text_id"]), "shingles")
     own = F.pmod(F.xxhash64(F.lit(0), "text_id"), F.col("parts")).cast("int")
     split = groups.select("grp", own.alias("part"), "text_id", F.lit(False).alias("pivot"))
     large = groups.where("parts > 1").select("grp", "text_id", "n", "size", "parts")
@@ -348,12 +355,101 @@ def _verified(given: DataFrame, groups: DataFrame, weights, threshold: float, pi
     split = written(split, "parts")
     found = bodies.join(small(split), "text_id").select("grp", "part", "text_id", "ids", "often", "pivot")
     links = written(found.groupBy("grp", "part").applyInArrow(verify, "a bigint, b bigint").where("a != b"), "links")
-    out = _across(bodies, large, links, weights, threshold, block, most) if some else links
+    out = _across(bodies, large, links, weights, threshold, block, most, wide) if some else links
     drop(given.sparkSession, bodies, split, *([links] if some else []))
     return out
 
 
-def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, threshold: float, size: int, most: int) -> DataFrame:
+def _rare(bodies: DataFrame, groups: DataFrame, weights, threshold: float) -> DataFrame:
+    """unit, grp, text_id, n, root: texts of a group that share a rare shingle (a unit) and are in different components, as a written table.
+
+    ``groups``: grp, text_id, n, root. Frequencies are counters over these texts; any order would do, this one makes units small.
+    """
+    spark = bodies.sparkSession
+    own = bodies.join(small(written(groups.select("text_id").distinct(), "wide")), "text_id")
+
+    def add_up(sums: np.ndarray, batch: pa.RecordBatch) -> None:
+        for body in batch.column("ids"):
+            np.add.at(sums, (np.frombuffer(body.as_py(), U64) % U64(COUNTERS)).astype(np.int64), 1)
+
+    held = np.minimum(summed(own.select("ids"), add_up, COUNTERS), (1 << 31) - 1).astype(np.int32)
+    held = spark.sparkContext.broadcast(held)  # COUNTERS numbers
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, of = [np.zeros(0, np.int64)], []
+            for text, (ids, times) in zip(batch.column("text_id").to_pylist(), unpacked(pa.Table.from_batches([batch])), strict=True):
+                counter = (ids % U64(COUNTERS)).astype(np.int64)
+                order = np.lexsort((ids, held.value[counter]))
+                w = (times * weights.value[counter]).astype(np.float64)[order]
+                rest = np.cumsum(w[::-1])[::-1]  # the weight of a shingle and all that are more frequent
+                order = order[rest >= threshold * rest[0] * (1 - 1e-9)]
+                out.append(ids[order[held.value[counter[order]] > 1]].astype(np.int64))  # others are in one text
+                of.append(np.full(len(out[-1]), text, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([out[0], *of])), pa.array(np.concatenate(out))], ["text_id", "shingle"])
+        tidy()
+
+    rare = own.mapInArrow(rarest, "text_id bigint, shingle bigint").join(groups, "text_id")
+    rare = written(rare.select("grp", "shingle", "text_id", "n", "root"), "rare")
+    held.unpersist()
+    sets = rare.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("text_id")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    once = sets.where("lo < hi").groupBy("grp", "size", "x", "lo", "hi").agg(F.min("shingle").alias("shingle"))
+    once = written(once.select("grp", "shingle"), "once")
+    out = written(rare.join(small(once), ["grp", "shingle"]).select(F.xxhash64("grp", "shingle").alias("unit"), "grp", "text_id", "n", "root"), "units")
+    drop(spark, rare, once)
+    return out
+
+
+def _filled(units: DataFrame, size: int, most: int) -> DataFrame:
+    """unit, root, fill, small, blocks, texts: components of each unit that has more than one, with what is to be dealt.
+
+    ``fill`` is a component's number of blocks, ``small`` that of all components below one block, ``blocks`` that of the unit.
+    """
+    per = units.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("texts"), F.greatest(F.count(F.lit(1)) / size, F.sum("n") / most).alias("fill"))
+    low, high = F.sum(F.when(F.col("fill") < 1, F.col("fill"))), F.sum(F.when(F.col("fill") >= 1, F.ceil("fill")))
+    blocks = F.coalesce(F.ceil(low), F.lit(0)) + F.coalesce(high, F.lit(0))
+    whole = per.groupBy("unit").agg(F.count(F.lit(1)).alias("classes"), low.alias("small"), blocks.alias("blocks"), F.sum("texts").alias("texts")).where("classes > 1")
+    return per.drop("texts").join(whole.drop("classes"), "unit")
+
+
+def _tasks(bodies: DataFrame, now: DataFrame, weights, threshold: float, size: int, most: int, wide: int) -> DataFrame:
+    """task, unit, side, text_id, root: what is to be compared, side 0 with side 1 or, where there is none, within; a written table.
+
+    ``now``: grp, text_id, n, root. Units of one block share tasks.
+    """
+    spark = bodies.sparkSession
+    units = now.withColumn("unit", F.col("grp"))
+    per = written(_filled(units, size, most), "components")
+    whole = per.select("unit", "blocks", "texts").distinct()
+    large = whole.where(F.col("blocks") > wide)
+    if not large.isEmpty():
+        some = written(now.join(small(written(large.select(F.col("unit").alias("grp")), "wide")), "grp"), "wide")
+        rare = _rare(bodies, some, weights, threshold)
+        told = _filled(rare, size, most).select("unit", "blocks", "texts").distinct()
+        told = told.join(rare.select("unit", "grp").distinct(), "unit").groupBy("grp").agg(F.sum(F.col("blocks") * F.col("texts")).alias("sent"))
+        cheaper = large.join(told, large["unit"] == told["grp"], "left").where(F.coalesce("sent", F.lit(0)) < F.col("blocks") * large["texts"])
+        cheaper = small(written(cheaper.select(large["unit"].alias("grp")), "cheaper"))
+        units = written(units.join(cheaper, "grp", "left_anti").select("unit", "text_id", "n", "root").union(rare.join(cheaper, "grp").select("unit", "text_id", "n", "root")), "units")
+        drop(spark, per, some, rare)
+        per = written(_filled(units, size, most), "components")
+    single = per.where("blocks = 1").agg(F.sum("fill")).first()[0] or 0
+    pure = F.col("fill") >= 1
+    deal = F.pmod(F.xxhash64("text_id", F.lit(1)), F.ceil(F.when(pure, F.col("fill")).otherwise(F.col("small"))))
+    block = F.struct(pure.alias("pure"), F.when(pure, F.col("root")).otherwise(0).alias("of"), deal.alias("k"))
+    dealt = written(units.join(small(per), ["unit", "root"]).select("unit", "text_id", "root", "blocks", block.alias("block")), "blocks")
+    shared = F.xxhash64(F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(int(single) + 1)))
+    alone = dealt.where("blocks = 1").select(shared.alias("task"), "unit", F.lit(0).alias("side"), "text_id", "root")
+    blocks = dealt.where("blocks > 1").select("unit", "block").distinct()
+    both = blocks.select("unit", F.col("block").alias("x")).join(blocks.select("unit", F.col("block").alias("y")), "unit")
+    both = both.where("x <= y and not (x.pure and y.pure and x.of = y.of)").withColumn("task", F.xxhash64("unit", "x", "y"))
+    sides = both.select("unit", "task", F.col("x").alias("block"), F.lit(0).alias("side"))
+    sides = written(sides.union(both.where("x != y").select("unit", "task", F.col("y").alias("block"), F.lit(1).alias("side"))), "sides")
+    out = written(alone.union(dealt.join(sides, ["unit", "block"]).select("task", "unit", "side", "text_id", "root")), "tasks")
+    drop(spark, per, dealt, sides)
+    return out
+
+
+def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, threshold: float, size: int, most: int, wide: int) -> DataFrame:
     """``links``, and those between texts of a large group that are in different components of ``links``.
 
     Components of ``size`` texts or ``most`` shingles and more have blocks of their own, smaller ones share theirs.
@@ -362,31 +458,20 @@ def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, thre
     now = large.join(small(roots.withColumnRenamed("id", "text_id")), "text_id", "left")
     now = written(now.select("grp", "text_id", "n", F.coalesce("root", "text_id").alias("root")), "large")
     known = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b")
-    per = now.groupBy("grp", "root").agg(F.greatest(F.count(F.lit(1)) / size, F.sum("n") / most).alias("fill"))
-    unfinished = per.groupBy("grp").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("fill") < 1, F.col("fill"))).alias("small")).where("classes > 1").drop("classes")
-    per = written(per.join(unfinished, "grp"), "components")
-    if per.isEmpty():
-        return written(known, "links")
-    pure = F.col("fill") >= 1
-    deal = F.pmod(F.xxhash64("text_id", F.lit(1)), F.ceil(F.when(pure, F.col("fill")).otherwise(F.col("small"))))
-    block = F.struct(pure.alias("pure"), F.when(pure, F.col("root")).otherwise(0).alias("of"), deal.alias("k"))
-    dealt = written(now.join(small(per), ["grp", "root"]).select("grp", "text_id", "root", block.alias("block")), "blocks")
-    blocks = dealt.select("grp", "block").distinct()
-    both = blocks.select("grp", F.col("block").alias("x")).join(blocks.select("grp", F.col("block").alias("y")), "grp")
-    both = both.where("x <= y and not (x.pure and y.pure and x.of = y.of)").withColumn("task", F.xxhash64("x", "y"))
-    sides = both.select("grp", "task", F.col("x").alias("block"), F.lit(0).alias("side"))
-    sides = written(sides.union(both.where("x != y").select("grp", "task", F.col("y").alias("block"), F.lit(1).alias("side"))), "sides")
+    tasks = _tasks(bodies, now, weights, threshold, size, most, wide)
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        root, side = np.array(table.column("root"), np.int64), np.array(table.column("side"))
+        root, side, unit = (np.array(table.column(c), np.int64) for c in ("root", "side", "unit"))
         texts = unpacked(table)
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1) if side.any() else a
-        hits = reaching([texts[k] for k in a], [texts[k] for k in b], weights.value, threshold) & (root[a][:, None] != root[b])
-        pairs = np.unique(np.sort(np.stack([root[a][np.nonzero(hits)[0]], root[b][np.nonzero(hits)[1]]], axis=1), axis=1), axis=0)
+        pairs = set()
+        for own in np.split(order := np.argsort(unit, kind="stable"), np.flatnonzero(np.diff(unit[order])) + 1):
+            a, b = own[side[own] == 0], own[side[own] == 1]
+            b = b if b.size else a
+            hits = np.nonzero(reaching([texts[k] for k in a], [texts[k] for k in b], weights.value, threshold) & (root[a][:, None] != root[b]))
+            pairs |= {(min(x, y), max(x, y)) for x, y in zip(root[a][hits[0]].tolist(), root[b][hits[1]].tolist(), strict=True)}
         above: dict[int, int] = {}
         kept = []
-        for x, y in pairs.tolist():  # a spanning forest of the joined components
+        for x, y in sorted(pairs):  # a spanning forest of the joined components
             p, q = x, y
             while p in above:
                 p = above[p]
@@ -397,10 +482,9 @@ def _across(bodies: DataFrame, large: DataFrame, links: DataFrame, weights, thre
                 kept.append((x, y))
         return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
 
-    found = bodies.join(small(written(dealt.join(sides, ["grp", "block"]).select("grp", "task", "side", "text_id", "root"), "tasks")), "text_id")
-    more = found.groupBy("grp", "task").applyInArrow(verify, "a bigint, b bigint")
+    more = bodies.join(small(tasks), "text_id").groupBy("task").applyInArrow(verify, "a bigint, b bigint")
     out = written(known.union(more), "links")
-    drop(bodies.sparkSession, now, per, dealt, sides, roots)
+    drop(bodies.sparkSession, now, tasks, roots)
     return out
 
 

@@ -119,8 +119,9 @@ def test_star_of_near_copies(spark):
             break
         want = least
     assert 1 < len(set(want.tolist())) and (want == 0).sum() > 1500
-    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
-    assert [got[k] for k in range(len(texts))] == want.tolist()
+    for wide in (0, 16):
+        got = {r.doc_id: r.class_id for r in neardup.classes(df, wide=wide).collect()}
+        assert [got[k] for k in range(len(texts))] == want.tolist()
 
 
 def test_unlike_texts_in_one_band(spark):
@@ -131,8 +132,38 @@ def test_unlike_texts_in_one_band(spark):
     for k in range(0, 1000, 10):  # copies of texts that are in other parts
         texts.append(texts[k] + f" end{k}")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    got = {r.doc_id: r.class_id for r in neardup.classes(df, bands=40, rows=1, chunk=64, pivots=4, most=20_000).collect()}
-    assert got == {k: k if k < 1000 else 10 * (k - 1000) for k in range(1100)}
+    for wide in (0, 1000):  # by rare shingles, by pairs of blocks
+        got = {r.doc_id: r.class_id for r in neardup.classes(df, bands=40, rows=1, chunk=64, pivots=4, most=20_000, wide=wide).collect()}
+        assert got == {k: k if k < 1000 else 10 * (k - 1000) for k in range(1100)}
+
+
+def test_many_unlike_texts_in_one_group(spark):
+    """20,000 texts of one group with passages in common: few are compared, and every near pair is found."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    n = 20_000
+    passages = [" ".join(f"p{p}w{k}" for k in range(30)) for p in range(5)]
+    texts = [" ".join([passages[k % 5], *(f"u{rng.randrange(10**9)}" for _ in range(30))]) for k in range(n)]
+    near = {}
+    for k in range(0, n, 100):
+        own = texts[k].split(" ")
+        own[rng.choice([0, 59])] = "x"
+        near[len(texts)] = k
+        texts.append(" ".join(own))
+    given = spark.createDataFrame(pa.table({"text": texts}).to_pandas()).repartition(8)
+    bodies = given.mapInArrow(neardup.shingles, neardup.BODY).cache()
+    ids = neardup.Shingled(pa.array(texts)).text_id.tolist()
+    weights = spark.sparkContext.broadcast(neardup.idf(*neardup.counters(given.withColumn("mark", F.xxhash64("text")))))
+    now = bodies.select(F.lit(1).cast("long").alias("grp"), "text_id", (F.octet_length("ids") / 8).cast("long").alias("n"), F.col("text_id").alias("root"))
+    tasks = neardup._tasks(bodies, now, weights, 0.8, 128, 1 << 19, 16)
+    sides = tasks.groupBy("task", "unit").pivot("side", [0, 1]).count().na.fill(0)
+    compared = sides.select(F.sum(F.when(F.col("1") > 0, F.col("0") * F.col("1")).otherwise(F.col("0") * (F.col("0") - 1) / 2))).first()[0]
+    assert len(near) <= compared <= 10 * len(near)  # of 2e8 pairs
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    got = {tuple(sorted(r)) for r in neardup._across(bodies, now.drop("root"), none, weights, 0.8, 128, 1 << 19, 16).collect()}
+    assert got == {tuple(sorted((ids[a], ids[b]))) for a, b in near.items()}
+    bodies.unpersist()
 
 
 def test_frequent_shingles_weigh_less():
