@@ -15,7 +15,11 @@ plan holds a few entries per length whatever the number of pieces.
 
 A null text is empty; every document ends with ``end_id``, so an empty one has
 one piece of length 1. Repeated rows are packed each. An empty table gives none.
-Other columns are not read.
+A very long text is encoded in spans and cut into pieces by the task that reads it,
+which takes memory in proportion to it. Pieces of equal length tie: they take the
+plan's places in the order of tasks and of rows within them, so which sequence one
+gets may differ between runs, not how many there are. Other columns, of any name,
+are not read.
 """
 
 from __future__ import annotations

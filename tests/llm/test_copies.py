@@ -1,4 +1,5 @@
 import importlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -394,6 +395,69 @@ def _pieces(ids, limit=1024):
     return [np.array(ids[a:b], "<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def test_pipeline_stages_pass_on_clashing_columns(spark, rows, tmp_path):
+    """Names that the stages use themselves, on rows with nulls and copies: values stay with their documents."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    names = ["row", "id", "mark", "root", "rows", "size", "rate", "copies", "key", "kind", "findings", "n_words", "kept", "own_id", "text_id"]
+    given = [(*r, *[f"{n} {k}" for n in names]) for k, r in enumerate([*rows, (903, "the of and to " + " ".join(f"w{k}" for k in range(80)), "en", "s1", 5)])]
+    now = spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)).repartition(2)
+    columns = now.columns
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == columns
+        now.write.parquet(str(tmp_path / f"stage{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+    got, want = now.collect(), {(r[0], *r[5:]) for r in given}
+    assert got and {(r[0], *r[5:]) for r in got} <= want
+    pieces = pipeline.STAGES[-1][1](spark, now, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in got}
+
+
+def test_broadcast_by_bytes(spark, monkeypatch):
+    from pericell.llm import components as C
+
+    table = spark.range(100).select("id", F.struct(F.repeat(F.lit("x"), 1000).alias("t"), F.col("id").alias("k")).alias("s"))
+    hinted = lambda: "broadcast" in C.small(table)._jdf.queryExecution().logical().toString().lower()
+    assert hinted()
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 90_000)  # the texts alone are 100,000 bytes
+    assert not hinted()
+    assert C.small(spark.range(0)).count() == 0
+
+
+def test_near_pairs_of_the_table_share_a_class(spark):
+    """Recall on the given documents: every pair of distinct texts at 0.8 or more, by brute force over all pairs, is in one class."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the given tables are not here")
+    import pyarrow as pa
+
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    held = {}
+    for r in docs.collect():
+        held.setdefault(r.text or "", r.doc_id)
+    texts, ids = list(held), list(held.values())
+    weights = neardup.idf(*neardup.counters(docs.withColumn("mark", F.xxhash64("text"))))
+    s = neardup.Shingled(pa.array(texts))
+    posted = defaultdict(list)
+    total = np.zeros(len(texts))
+    for t in range(len(texts)):
+        for g, n in zip(s.ids[s.at[t] : s.at[t + 1]].tolist(), s.times[s.at[t] : s.at[t + 1]].tolist(), strict=True):
+            w = float(weights[g % neardup.COUNTERS])
+            posted[g].append((t, n * w))
+            total[t] += n * w
+    shared = Counter()
+    for own in posted.values():
+        for k, (a, x) in enumerate(own):
+            for b, y in own[:k]:
+                shared[b, a] += min(x, y)
+    near = [(a, b) for (a, b), x in shared.items() if x / (total[a] + total[b] - x) >= 0.8]
+    assert near
+    of = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    found = sum(of[ids[a]] == of[ids[b]] for a, b in near)
+    print(f"near pairs {len(near)}, in one class {found}")
+    assert found >= 0.97 * len(near)  # sampling finds a pair at 0.8 with probability 0.995
+
+
 def test_texts_longer_than_a_slice(spark):
     """Texts of more than a slice (1 to 4 MB) and of more than a span of characters, with the operators' own parameters."""
     from pericell.llm import katz, media, mixing, packing, quality, secret_scan, tokens
