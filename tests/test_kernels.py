@@ -184,3 +184,63 @@ def test_many_frames_together():
     want = [frame_pairs(xyz[a : a + n], c, 5.0) for a, n, c in zip(starts, sizes, cells, strict=True)]
     key = lambda i, j, r: sorted((a, b, *np.round(v, 7)) for a, b, v in zip(i.tolist(), j.tolist(), r.tolist(), strict=True))
     assert key(i, j, r) == key(*(np.concatenate(x) for x in zip(*((p[0] + a, p[1] + a, p[2]) for p, a in zip(want, starts, strict=True)), strict=True)))
+
+
+def test_adapter(monkeypatch):
+    """Against a stand-in for the ASE base class, which is not installed here: energies, forces, stress and parts."""
+    import sys
+    import types
+
+    from pericell import predict
+
+    class Base:
+        def __init__(self, **more):
+            self.results = {}
+
+        def calculate(self, atoms=None, properties=("energy",), system_changes=()):
+            self.atoms = atoms
+
+    stand_in = types.ModuleType("ase.calculators.calculator")
+    stand_in.Calculator, stand_in.all_changes = Base, ()
+    for name, module in {"ase": types.ModuleType("ase"), "ase.calculators": types.ModuleType("ase.calculators"), "ase.calculators.calculator": stand_in}.items():
+        monkeypatch.setitem(sys.modules, name, module)
+
+    class Atoms:
+        def __init__(self, species, positions, cell, pbc=(True, True, True)):
+            self.species, self.positions, self.pbc, self.cell = species, positions, pbc, types.SimpleNamespace(array=cell)
+
+        def get_chemical_symbols(self):
+            return self.species
+
+    m = model()
+    names = list(m.shape.types)
+    xyz, kinds = cluster()
+    species, cell = [names[k] for k in kinds], np.reshape(np.asarray(CELL, float), (3, 3))
+    calc = predict.adapter()(m, components=True)
+
+    def energy(pos, box):
+        calc.calculate(Atoms(species, pos, box))
+        return calc.results["energy"]
+
+    first = Atoms(species, xyz, cell)
+    calc.calculate(first)
+    got = dict(calc.results)
+    assert np.isclose(got["energy"], np.sum(got["energies"])) and got["forces"].shape == xyz.shape
+    assert np.isclose(got["energy"], got["energy_net"] + got["energy_zbl"]) and np.allclose(got["forces"], got["forces_net"] + got["forces_zbl"])
+    parts = calc.get_components(first)
+    assert set(parts) == {f"{k}_{n}" for k in ("energy", "forces", "virial") for n in ("net", "zbl")}
+    h = 1e-5
+    for atom, axis in ((0, 0), (5, 2)):
+        step = np.zeros_like(xyz)
+        step[atom, axis] = h
+        assert np.isclose(got["forces"][atom, axis], -(energy(xyz + step, cell) - energy(xyz - step, cell)) / (2 * h), atol=1e-5)
+    volume = abs(np.linalg.det(cell))
+    for k, (i, j) in enumerate([(0, 0), (1, 1), (2, 2), (1, 2), (0, 2), (0, 1)]):
+        strain = np.zeros((3, 3))
+        strain[i, j] += h / 2
+        strain[j, i] += h / 2
+        up, down = np.eye(3) + strain, np.eye(3) - strain
+        slope = (energy(xyz @ up, cell @ up) - energy(xyz @ down, cell @ down)) / (2 * h)
+        assert np.isclose(got["stress"][k], slope / volume, atol=1e-6)
+    assert "stress" not in predict.Calculator(m).compute(species, xyz, None)
+    assert calc.get_descriptor(first).shape[0] == len(xyz)
