@@ -8,20 +8,29 @@ together. It gives a row per frame: frame_id (order in
 the files, by path), natoms, cell, energy, virial, species, pos, forces (null if
 absent), block (the text itself, less than 2 GB).
 
-    register(spark); spark.read.format("extxyz").load(path)
+Frames by their number come through an index, which tasks make in one pass over the count lines:
 
-gives the same rows of one local file: a block's length stands in its first line, so
-one pass over count lines cuts the file into ranges of frames, one a partition.
+    register(spark); index_xyz(spark, path, index)
+    spark.read.format("extxyz").option("index", index).option("first", 5000).option("last", 5999).load()
+
+gives the same rows and numbers as read_xyz; of frames between two numbers only the
+ranges of bytes that hold them are read, and only they are parsed. Tasks open the files themselves: plain paths, or stores that pyarrow has a file system for.
+Without an index, load(path) takes one file of at most SCANNED bytes, whose count
+lines the driver looks at.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pd
+from pyarrow import fs as stores
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,9 +112,43 @@ def parse_block(block: str, energy_key: str = "energy") -> dict[str, Any]:
     return {"natoms": n, **parse_comment(comment, energy_key), "species": [r[text_at] for r in rows], "pos": pick("pos"), "forces": pick("forces") if forces is None else forces}
 
 
+#: Bytes of a file that the driver goes through if there is no index.
+SCANNED = 256 << 20
+#: A row per range of frames that lie together in a file: the first and last frame_id, and where the range is.
+INDEX = "file string, length bigint, first bigint, last bigint, start bigint, size bigint"
+COUNT = re.compile(r"\s*\d+\s*").fullmatch
+
+
+def store_of(path: str) -> tuple[stores.FileSystem, str]:
+    """Plain paths and file: URIs are local; others need a file system of pyarrow."""
+    if path.startswith("file:") or "://" not in path:
+        return stores.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return stores.FileSystem.from_uri(quote(path, safe=":/"))
+
+
+def opened(path: str) -> BinaryIO:
+    store, at = store_of(path)
+    return io.BufferedReader(store.open_input_file(at), 1 << 20)
+
+
+def aligned(file: BinaryIO, lo: int) -> int | None:
+    """Where the first frame at or after byte ``lo`` begins: at 0, or at a count line before a line with Properties."""
+    if lo == 0:
+        return 0
+    file.seek(lo - 1)
+    file.readline()
+    at, line = file.tell(), file.readline()
+    while line:
+        place, following = file.tell(), file.readline()
+        if COUNT(line.decode()) and b"properties=" in following.lower():
+            return at
+        at, line = place, following
+    return None
+
+
 def blocks(path: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int]]:
-    """(byte offset, bytes) of each frame; only count lines are looked at."""
-    with open(path, "rb") as file:
+    """(byte offset, bytes) of each frame that begins before ``hi``, from the one at ``lo`` on; only count lines are looked at."""
+    with opened(path) as file:
         file.seek(lo)
         while hi is None or file.tell() < hi:
             start = file.tell()
@@ -115,44 +158,103 @@ def blocks(path: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int,
             n = int(first)  # a blank line is an error
             for _ in range(n + 1):
                 if not file.readline():
-                    raise ValueError(f"the frame at byte {start} is cut short")
+                    raise ValueError(f"the frame at byte {start} of {path} is cut short")
             yield start, file.tell() - start
 
 
+def index_xyz(spark: SparkSession, path: str, target: str, range_bytes: int = 32 << 20) -> None:
+    """Writes INDEX of a file or a folder of files, in the order of read_xyz, to the folder ``target``.
+
+    A task looks at the count lines of about ``range_bytes`` and finds its first frame by itself; a frame belongs to
+    the range that it begins in. Empty files have no rows. Bytes that are in no frame, or in two, are an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    ranges = files.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))))
+    ranges = ranges.withColumn("hi", F.least(F.col("lo") + range_bytes, "length"))
+    tasks = min(ranges.count(), 20_000)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, length, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("file", "length", "lo", "hi")), strict=True):
+                with opened(file) as text:
+                    start = aligned(text, lo)
+                n = size = 0
+                if start is not None and start < hi:
+                    for _, more in blocks(file, start, hi):
+                        n, size = n + 1, size + more
+                rows.append({"file": file, "length": length, "start": start, "size": size, "frames": n})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("length", "start", "size", "frames"))]))
+
+    seen = written(ranges.repartition(max(tasks, 1)).mapInArrow(look, "file string, length bigint, start bigint, size bigint, frames bigint"), "ranges").where("frames > 0")
+    ahead = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    bad = seen.withColumn("end", F.coalesce(F.sum("size").over(ahead), F.lit(0))).groupBy("file", "length").agg(F.max((F.col("start") != F.col("end")).cast("int")).alias("apart"), F.sum("size").alias("size"))
+    bad = files.join(bad, ["file", "length"], "left").where("apart = 1 OR size IS NULL OR size != length").select("file").first()
+    if bad:
+        raise ValueError(f"{bad[0]} is no run of whole frames")
+    before = F.coalesce(F.sum("frames").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    rows = seen.withColumn("first", before).withColumn("last", F.col("first") + F.col("frames") - 1)
+    rows.select(*[x.split(" ")[0] for x in INDEX.split(", ")]).sort("first").write.parquet(target)
+
+
 class FrameRange(InputPartition):
-    def __init__(self, path: str, first: int, start: int, size: int):
+    def __init__(self, path: str, length: int, first: int, start: int, size: int):
         super().__init__((path, first, start, size))
-        self.path, self.first, self.start, self.size = path, first, start, size
+        self.path, self.length, self.first, self.start, self.size = path, length, first, start, size
 
 
 class ExtxyzReader(DataSourceReader):
+    """Frames of an index, or of one small file, those of numbers ``first`` to ``last`` alone.
+
+    They are options, not conditions pushed down: Spark 4.1 keeps a source that conditions have narrowed, and a later
+    read of the same DataFrame without conditions then misses rows.
+    """
+
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"].removeprefix("file://")
+        self.path, self.index = options.get("path"), options.get("index")
         self.energy_key = options.get("energykey", "energy")
         self.bytes = int(options.get("partitionbytes", 4 << 20))
+        self.least, self.most = int(options.get("first", 0)), int(options.get("last", 2**63 - 1))
 
     def partitions(self) -> list[FrameRange]:
+        if self.index:
+            store, at = store_of(self.index)
+            wanted = (pd.field("first") <= self.most) & (pd.field("last") >= self.least)
+            rows = pd.dataset(at, filesystem=store, format="parquet").to_table(filter=wanted).sort_by("first").to_pylist()
+            return [FrameRange(r["file"], r["length"], r["first"], r["start"], r["size"]) for r in rows]
+        length = bytes_of(self.path)
+        if length > SCANNED:
+            raise ValueError(f"{self.path} has more than {SCANNED} bytes: make an index of it by index_xyz, or use read_xyz")
         out, first, start, size, count = [], 0, 0, 0, 0
         for at, n in blocks(self.path):
             if size and size + n > self.bytes:
-                out.append(FrameRange(self.path, first, start, size))
+                out.append(FrameRange(self.path, length, first, start, size))
                 first, start, size = count, at, 0
             size += n
             count += 1
         if size:
-            out.append(FrameRange(self.path, first, start, size))
+            out.append(FrameRange(self.path, length, first, start, size))
         return out
 
     def read(self, partition: FrameRange) -> Iterator[tuple]:
         if partition is None:
             return
-        with open(partition.path, "rb") as file:
-            spans = list(blocks(partition.path, partition.start, partition.start + partition.size))
-            for k, (at, n) in enumerate(spans):
-                file.seek(at)
-                block = file.read(n).decode()
-                f = parse_block(block, self.energy_key)
-                yield (partition.first + k, f["natoms"], f["cell"], f["energy"], f["virial"], f["species"], f["pos"], f["forces"], block)
+        if bytes_of(partition.path) != partition.length:
+            raise ValueError(f"{partition.path} has changed since its frames were found")
+        with opened(partition.path) as file:
+            for no, (at, n) in enumerate(blocks(partition.path, partition.start, partition.start + partition.size), partition.first):
+                if no > self.most:
+                    return
+                if no >= self.least:
+                    file.seek(at)
+                    block = file.read(n).decode()
+                    f = parse_block(block, self.energy_key)
+                    yield (no, *(f[name] for name in FIELDS), block)
+
+
+def bytes_of(path: str) -> int:
+    store, at = store_of(path)
+    return store.get_file_info(at).size
 
 
 class Extxyz(DataSource):
@@ -171,7 +273,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Extxyz)
 
 
-COUNT = re.compile(r"\s*\d+\s*").fullmatch
 FIELDS = [x.split(" ")[0] for x in SCHEMA.split(", ")][1:-1]
 #: Where a piece stands (no: its order in the split, -1 before the first frame; sub: its order in what was put together),
 #: its text and, of whole frames, the tag frame_id and what SCHEMA has between frame_id and block.

@@ -39,6 +39,70 @@ def test_reader_in_ranges(spark, tmp_path):
     assert (atoms[1].species, atoms[1].x, atoms[1].fz) == ("Pb", 1.0, 6.0)
 
 
+@pytest.fixture
+def folder(tmp_path):
+    """Two files, one with a space in its name, with frames of unlike lengths."""
+    blocks = [BLOCK.replace("-3.5", f"-{k}.5") if k % 3 else PLAIN for k in range(40)]
+    blocks[7] = blocks[31] = "30\n" + BLOCK.split("\n")[1] + "\n" + "0.0 0.1 0.2 Te 1 2 3\n" * 30
+    at = tmp_path / "in"
+    at.mkdir()
+    (at / "a 1.xyz").write_text("".join(blocks[:25]))
+    (at / "b.xyz").write_text("".join(blocks[25:]))
+    (at / "c.xyz").write_text("")
+    return at, blocks
+
+
+@pytest.mark.parametrize("size", [1, 150, 700, 1 << 20])
+def test_index_made_in_tasks(spark, tmp_path, folder, size):
+    """Ranges shorter and longer than frames: the rows of read_xyz; two numbers leave few ranges."""
+    at, blocks = folder
+    E.register(spark)
+    E.index_xyz(spark, str(at), str(tmp_path / "index"), size)
+    read = spark.read.format("extxyz").option("index", f"file://{tmp_path}/index").load()
+    got = read.orderBy("frame_id").collect()
+    assert got == E.read_xyz(spark, str(at)).orderBy("frame_id").collect() and [r.block for r in got] == blocks
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert read.rdd.getNumPartitions() == index.count() >= 2
+    for first, last in ((23, 26), (31, 31), (38, 99), (0, 1), (50, 60), (3, 2)):
+        some = spark.read.format("extxyz").options(index=str(tmp_path / "index"), first=first, last=last).load()
+        ids = list(range(first, min(last, 39) + 1))
+        assert [(r.frame_id, r.block) for r in some.orderBy("frame_id").collect()] == [(k, blocks[k]) for k in ids]
+        assert size > 200 or some.rdd.getNumPartitions() <= len(ids) + 1
+        assert some.where("frame_id = 31").count() == (31 in ids) and some.count() == len(ids)
+
+
+def test_index_reads_what_is_asked_for(spark, tmp_path, folder):
+    """Frames beside those asked for are not parsed; a file that has changed or has no whole frames is an error."""
+    at, blocks = folder
+    E.register(spark)
+    E.index_xyz(spark, str(at), str(tmp_path / "index"))
+    part = lambda lo, hi: spark.read.format("extxyz").options(index=str(tmp_path / "index"), first=lo, last=hi).load()
+    (at / "b.xyz").write_text("".join(blocks[25:]).replace("Lattice", "Nothing"))
+    assert part(0, 24).count() == 25
+    with pytest.raises(Exception, match="no Lattice"):
+        part(24, 25).collect()
+    (at / "b.xyz").write_text("".join(blocks[25:]) + PLAIN)
+    with pytest.raises(Exception, match="has changed"):
+        part(39, 39).collect()
+    for k, bad in enumerate((BLOCK * 3 + BLOCK[:-30], BLOCK.replace("2\n", "3\n", 1) + BLOCK * 3, "x\n" + BLOCK, BLOCK + "\n")):
+        (tmp_path / f"{k}.xyz").write_text(bad)
+        for size in (100, 1 << 20):
+            with pytest.raises(Exception, match="cut short|whole frames|invalid literal"):
+                E.index_xyz(spark, str(tmp_path / f"{k}.xyz"), str(tmp_path / f"bad{k}{size}"), size)
+    (tmp_path / "none.xyz").write_text("")
+    E.index_xyz(spark, str(tmp_path / "none.xyz"), str(tmp_path / "none"))
+    assert spark.read.format("extxyz").option("index", str(tmp_path / "none")).load().count() == 0
+
+
+def test_driver_scans_small_files_alone(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.xyz").write_text(BLOCK * 3)
+    reader = E.ExtxyzReader({"path": str(tmp_path / "a.xyz")})
+    assert [p.first for p in reader.partitions()] == [0]
+    monkeypatch.setattr(E, "SCANNED", 10)
+    with pytest.raises(ValueError, match="index_xyz"):
+        reader.partitions()
+
+
 def test_written_parts_read_back(spark, tmp_path):
     path = str(tmp_path / "a.xyz")
     with open(path, "w") as out:
