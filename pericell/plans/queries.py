@@ -917,6 +917,20 @@ def s1_extxyz_round_trip(spark, sf_dir):
     return extxyz.to_atoms(extxyz.read_blocks(spark, path)).select("frame_id", "atom_id", "species", "x", "y", "z")
 
 
+@query(f"WITH {ATOMS_SQL} SELECT dense_rank() OVER (ORDER BY frame_id) - 1 AS frame_id, atom_id, species, x, y, z FROM atoms")
+def s2_indexed_frames(spark, sf_dir):
+    """Every frame written as extended XYZ text and read by the numbers that an index made in tasks gives, in order of frames."""
+    from .. import storage
+    from ..sources import extxyz
+
+    path, index = storage.new_path(spark, "xyz"), storage.new_path(spark, "index")
+    extxyz.write_xyz(atoms(spark, sf_dir).drop("fx", "fy", "fz"), frames(spark, sf_dir), path)
+    extxyz.register(spark)
+    extxyz.index_xyz(spark, path, index)
+    read = spark.read.format("extxyz").option("index", index).load()
+    return extxyz.to_atoms(read).select("frame_id", "atom_id", "species", "x", "y", "z")
+
+
 @query(f"""WITH {ATOMS_SQL}, {FRAMES_SQL}, t AS (SELECT count(DISTINCT species) AS n FROM atoms), m AS (SELECT -avg(energy / n) AS b1 FROM frames JOIN (SELECT frame_id, count(*) AS n FROM atoms GROUP BY 1) USING (frame_id))
 SELECT name, CAST(size AS BIGINT) AS n, round(total, 6) AS total FROM (
   SELECT 'w0' AS name, n * 4 * {N_RADIAL + 3 * N_ANGULAR} AS size, NULL::DOUBLE AS total FROM t UNION ALL SELECT 'b0', n * 4, 0e0 FROM t UNION ALL SELECT 'w1', n * 4, NULL FROM t

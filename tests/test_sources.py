@@ -52,7 +52,7 @@ def folder(tmp_path):
     return at, blocks
 
 
-@pytest.mark.parametrize("size", [1, 150, 700, 1 << 20])
+@pytest.mark.parametrize("size", [60, 700, 1 << 20])
 def test_index_made_in_tasks(spark, tmp_path, folder, size):
     """Ranges shorter and longer than frames: the rows of read_xyz; two numbers leave few ranges."""
     at, blocks = folder
