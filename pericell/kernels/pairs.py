@@ -97,19 +97,66 @@ def many_pairs(xyz: np.ndarray, starts: np.ndarray, cells: np.ndarray, cutoff: f
                 out.append((i + starts[f], j + starts[f], r))
             continue
         shifts = np.stack(np.meshgrid(*[np.arange(-s, s + 1) for s in steps], indexing="ij"), -1).reshape(-1, 3)
-        block = max(1, 1_000_000 // max(1, size * size * len(shifts)))
+        block = max(1, 100_000 // max(1, size * size * len(shifts)))  # arrays that stay in the cache
         for lo in range(0, len(own), block):
             f = own[lo : lo + block]
             at = starts[f][:, None] + np.arange(size)
             home = xyz[at]
             whole = np.floor(home @ inverse[f])
             home = home - whole @ cells[f]
-            r = home[:, None, :, None] - home[:, :, None, None] + (shifts @ cells[f])[:, None, None]
-            square = np.einsum("fijsa,fijsa->fijs", r, r)
-            a, i, j, s = np.nonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
-            out.append((at[a, i], at[a, j], r[a, i, j, s]))
+            moved = shifts @ cells[f]
+            r = [(home[:, None, :, k] - home[:, :, None, k])[..., None] + moved[:, None, None, :, k] for k in range(3)]
+            square = r[0] * r[0]
+            square += r[1] * r[1]
+            square += r[2] * r[2]
+            found = np.flatnonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
+            a, i, j = np.unravel_index(found // len(shifts), (len(f), size, size))
+            out.append((at[a, i], at[a, j], np.stack([x.ravel()[found] for x in r], axis=1)))
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3))
     i, j, r = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.argsort(i, kind="stable")
     return i[order], j[order], r[order]
+
+
+def binned_pairs(xyz: np.ndarray, starts: np.ndarray, cells: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As many_pairs by cell lists, of all frames at once: each atom looks at its bin and half of those around it."""
+    n = np.diff(np.append(starts, len(xyz)))
+    of = np.repeat(np.arange(len(n)), n)
+    inverse = np.linalg.inv(cells) if len(cells) else cells
+    width = 1 / np.linalg.norm(inverse, axis=1) if len(cells) else np.zeros((0, 3))
+    bins = np.maximum(np.floor(width / cutoff), 1).astype(np.int64)
+    reach = np.where(width >= cutoff, 1, np.ceil(cutoff / width)).astype(np.int64)
+    frac = np.einsum("pa,pab->pb", xyz, inverse[of])
+    whole = np.floor(frac)
+    frac, home = frac - whole, xyz - np.einsum("pa,pab->pb", whole, cells[of])
+    per = bins.prod(axis=1)
+    base = (np.cumsum(per) - per)[of]
+    bins, reach = bins[of], reach[of]
+    place = np.clip(np.nan_to_num(frac * bins).astype(np.int64), 0, bins - 1)
+    key = base + (place[:, 0] * bins[:, 1] + place[:, 1]) * bins[:, 2] + place[:, 2]
+    order = np.argsort(key, kind="stable")
+    ordered, most, out = key[order], (reach.max(axis=0) if len(xyz) else np.zeros(3, int)), []
+    for step in np.stack(np.meshgrid(np.arange(most[0] + 1), *[np.arange(-k, k + 1) for k in most[1:]], indexing="ij"), -1).reshape(-1, 3):
+        if tuple(step) < (0, 0, 0):
+            continue
+        i = np.flatnonzero((np.abs(step) <= reach).all(axis=1))
+        shift, to = np.divmod(place[i] + step, bins[i])
+        other = base[i] + (to[:, 0] * bins[i, 1] + to[:, 1]) * bins[i, 2] + to[:, 2]
+        lo = np.searchsorted(ordered, other, "left")
+        count = np.searchsorted(ordered, other, "right") - lo
+        which = np.repeat(np.arange(len(i)), count)
+        i, shift = i[which], shift[which]
+        j = order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]]
+        r = home[j] - home[i] + np.einsum("pa,pab->pb", shift.astype(float), cells[of[i]])
+        square = np.einsum("pa,pa->p", r, r)
+        near = (square < cutoff * cutoff) & (square > NEAREST * NEAREST)
+        if not step.any():
+            near &= i < j
+        out.append((i[near], j[near], r[near]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3))
+    i, j, r = (np.concatenate(x) for x in zip(*out, strict=True))
+    i, j, r = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([r, 0.0 - r])
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order], r[order]

@@ -37,6 +37,28 @@ def scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, row, n) for row in rows]).reshape(*values.shape[:-1], n)
 
 
+def contract(c: np.ndarray, ti: np.ndarray, tj: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """sum_k c[ti, tj, n, k] f[k, pair]: [n, pair]; one product for each pair of types, zero for types that c does not have."""
+    nt, _, n, size = c.shape
+    known = (ti >= 0) & (ti < nt) & (tj >= 0) & (tj < nt)
+    kind = np.where(known, ti * nt + tj, nt * nt).astype(np.uint16 if nt < 256 else np.int64)
+    order = np.argsort(kind, kind="stable")
+    edge = np.searchsorted(kind[order], np.arange(nt * nt + 1))
+    moved, found = f[:, order], np.zeros((n, len(kind)))
+    for of, lo, hi in zip(c.reshape(-1, n, size), edge[:-1], edge[1:], strict=True):
+        if lo < hi:
+            found[:, lo:hi] = of @ moved[:, lo:hi]
+    out = np.empty_like(found)
+    out[:, order] = found
+    return out
+
+
+def pair_forces(i: np.ndarray, j: np.ndarray, r: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """F [3, atom] and V [9, atom] from g = dE/dr of pairs: F_i += g, F_j -= g and V_j[ab] -= r_a g_b."""
+    f = scatter(i, g.T, n) - scatter(j, g.T, n)
+    return f, -scatter(j, np.stack([r[:, a] * g[:, b] for a in range(3) for b in range(3)]), n)
+
+
 @lru_cache(None)
 def terms(l_max: int, channels: tuple[str, ...]) -> list[list[tuple[float, tuple[int, ...]]]]:
     """Each invariant of one n as monomials of moments: (coefficient, places)."""
@@ -132,14 +154,7 @@ class State:
         self.zbl, self.zbl_slope = self._zbl()
 
     def _contract(self, c: np.ndarray, near: np.ndarray, f: np.ndarray) -> np.ndarray:
-        """[n, pair]; one product for each pair of types."""
-        out = np.empty((c.shape[2], len(near)))
-        for a in range(c.shape[0]):
-            for b in range(c.shape[1]):
-                own = (self.ti[near] == a) & (self.tj[near] == b)
-                if own.any():
-                    out[:, own] = c[a, b] @ f[:, own]
-        return out
+        return contract(c, self.ti[near], self.tj[near], f)
 
     def _zbl(self) -> tuple[np.ndarray, np.ndarray]:
         s = self.model.shape
@@ -194,8 +209,7 @@ class State:
     def forces(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """F [atom, 3] and V [atom, 9]."""
         b = self.batch
-        f = scatter(b.i, g.T, b.n) - scatter(b.j, g.T, b.n)
-        v = -scatter(b.j, np.einsum("pa,pb->abp", b.r, g).reshape(9, -1), b.n)
+        f, v = pair_forces(b.i, b.j, b.r, g, b.n)
         return f.T, v.T
 
     def gradient(self, on_energy: np.ndarray, on_force: np.ndarray, on_virial: np.ndarray) -> dict[str, np.ndarray]:

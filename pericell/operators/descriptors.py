@@ -1,13 +1,14 @@
 """Rotation-invariant descriptors, their slopes and forces, by columns and grouped sums.
 
 Angular moments, of which an atom has dozens, are summed by NumPy over blocks of atoms with their pairs; as
-generated columns they fill methods too long to be compiled.
+generated columns they fill methods too long to be compiled. Each operator has two forms. From pairs, for frames of any
+size: pairs are dealt by their center atom. From frames (``whole_...``), for frames that fit a task: atoms are
+sent, and their pairs are found and summed where the frame lands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import tables
-from ..kernels.potential import chebyshev, evaluate
+from ..kernels.potential import chebyshev, contract, evaluate, pair_forces
+from .whole import on_clustered, on_frames
 
 ATOM = ["frame_id", "atom_id"]
 #: A table of more type pairs than this is joined, not broadcast by hand.
@@ -122,13 +124,10 @@ def _summed_by(c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cut
             if not c.shape[2]:
                 continue
             near = np.flatnonzero(d < cutoff)
-            f, g = chebyshev(d[near], cutoff, c.shape[3] - 1)[0], np.empty((c.shape[2], len(near)))
-            for a, b in product(range(c.shape[0]), range(c.shape[1])):
-                own = (ti[near] == a) & (tj[near] == b)
-                g[:, own] = c[a, b] @ f[:, own]
+            g = contract(c, ti[near], tj[near], chebyshev(d[near], cutoff, c.shape[3] - 1)[0])
             if angular:
                 y = tables.moment_values(*(r[near] / d[near, None]).T, max_l)
-                g = (g[:, None] * y).reshape(-1, len(near))
+                g = (g[:, None] * y).reshape(len(g) * len(y), len(near))
             out.append(summed(at[near], g, len(types)))
         return np.concatenate(out)
 
@@ -155,14 +154,19 @@ def descriptors(atoms: DataFrame, pairs: DataFrame, c2: np.ndarray, c3: np.ndarr
     """All components of every atom in the model's order, as columns, from one pass over the pairs."""
     if not max_l:
         return radial(atoms, pairs, c2, radial_cutoff)
+    run, names = _components_by(c2, c3, radial_cutoff, angular_cutoff, max_l, channels)
+    return on_blocks(atoms, pairs.where(F.col("d") < max(radial_cutoff, angular_cutoff)), run, names)
+
+
+def _components_by(c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, channels: list[str]) -> tuple[Callable, list[str]]:
+    """For on_blocks: all components in the model's order, and their names."""
     sums, n, polynomials = _summed_by(c2, c3, radial_cutoff, angular_cutoff, max_l), c3.shape[2], X.monomials(max_l, channels)
 
     def run(types: np.ndarray, *of_pairs: np.ndarray) -> np.ndarray:
         q, s = np.split(sums(types, *of_pairs), [c2.shape[2]])
         return np.concatenate([q, evaluate(polynomials, s.reshape(n, -1, len(types))).reshape(-1, len(types))])
 
-    names = [*(f"q_{a}" for a in range(c2.shape[2])), *(f"q{k}_{a}" for k in [*range(1, max_l + 1), *channels] for a in range(n))]
-    return on_blocks(atoms, pairs.where(F.col("d") < max(radial_cutoff, angular_cutoff)), run, names)
+    return run, [*(f"q_{a}" for a in range(c2.shape[2])), *(f"q{k}_{a}" for k in [*range(1, max_l + 1), *channels] for a in range(n))]
 
 
 def components(df: DataFrame) -> list[str]:
@@ -287,3 +291,83 @@ def radial_gradients(pairs: DataFrame, c: np.ndarray, cutoff: float, slopes_on_q
     g = contracted(pairs, c, cutoff, slopes=True)
     size = F.expr(" + ".join(f"{X.number(w)} * dg_{a}" for a, w in enumerate(slopes_on_q)))
     return g.select("frame_id", "i", "j", "dx", "dy", "dz", *[(size * F.col(f"d{a}") / F.col("d")).alias(f"g{a}") for a in "xyz"])
+
+
+# from whole frames
+
+
+def _by_center(run: Callable) -> Callable:
+    """A function of on_blocks for on_frames."""
+    return lambda types, i, j, r: run(types, i, types[j], r)
+
+
+def pair_sums(atoms: DataFrame, frames: DataFrame, cutoff: float, terms: Callable, names: list[str]) -> DataFrame:
+    """Sums of terms(r, d) [name, pair] over each atom's pairs, of the atoms that have any."""
+
+    def run(types: np.ndarray, i: np.ndarray, j: np.ndarray, r: np.ndarray) -> np.ndarray:
+        each = np.vstack([terms(r, np.linalg.norm(r, axis=1)), np.ones(len(i))])
+        return summed(i, each, len(types))
+
+    return on_frames(atoms, frames, cutoff, run, [*names, "n"]).where("n > 0").drop("n", "type")
+
+
+def whole_radial(atoms: DataFrame, frames: DataFrame, c: np.ndarray, cutoff: float) -> DataFrame:
+    """As radial."""
+    none = np.zeros((*c.shape[:2], 0, 1))
+    return on_frames(atoms, frames, cutoff, _by_center(_summed_by(c, none, cutoff, 0.0, 0)), [f"q_{a}" for a in range(c.shape[2])])
+
+
+def whole_moments(atoms: DataFrame, frames: DataFrame, c: np.ndarray, cutoff: float, max_l: int) -> DataFrame:
+    """As angular_moments."""
+    none = np.zeros((*c.shape[:2], 0, 1))
+    return on_frames(atoms, frames, cutoff, _by_center(_summed_by(none, c, 0.0, cutoff, max_l)), _angular_names(c.shape[2], max_l))
+
+
+def whole_descriptors(atoms: DataFrame, frames: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, channels: list[str]) -> DataFrame:
+    """As descriptors."""
+    run, names = _components_by(c2, c3, radial_cutoff, angular_cutoff, max_l, channels)
+    return on_frames(atoms, frames, max(radial_cutoff, angular_cutoff), _by_center(run), names)
+
+
+FORCE_NAMES = ["fx", "fy", "fz", *[f"v{k}" for k in range(9)]]
+
+
+def radial_forces_by(c: np.ndarray, cutoff: float, slopes_on_q: list[float]) -> Callable:
+    """For on_frames and frame_sums: FORCE_NAMES for E_i = sum_n slopes_on_q[n] q_n(i)."""
+
+    def run(types: np.ndarray, i: np.ndarray, j: np.ndarray, r: np.ndarray) -> np.ndarray:
+        d = np.linalg.norm(r, axis=1)
+        size = np.asarray(slopes_on_q) @ contract(c, types[i], types[j], chebyshev(d, cutoff, c.shape[3] - 1)[1])
+        return np.concatenate(pair_forces(i, j, r, (size / d)[:, None] * r, len(types)))
+
+    return run
+
+
+def whole_net_forces(atoms: DataFrame, frames: DataFrame, c2: np.ndarray, c3: np.ndarray, radial_cutoff: float, angular_cutoff: float, max_l: int, channels: list[str], weights: dict, scaler: np.ndarray) -> DataFrame:
+    """As net_forces, in one pass of a task over its frames: sums over pairs, slopes by columns, then pairs again with
+    their center's slopes, which are read in the place where they were made and not joined."""
+    n, size, cutoff = c3.shape[2], len(tables.moments(max_l)), max(radial_cutoff, angular_cutoff)
+    moments, q, place = _angular_names(n, max_l), [f"q_{a}" for a in range(c2.shape[2])], ["x", "y", "z", "cell"]
+    sums = on_frames(atoms, frames, cutoff, _by_center(_summed_by(c2, c3, radial_cutoff, angular_cutoff, max_l)), [*q, *moments], place=True)
+    full = invariants(sums, n, max_l, channels, [*q, *moments, *place])
+    names = [c for c in components(full) if c not in (*moments, *place)]
+    slopes = net_slopes(full, names, {t: (np.asarray(w0) * scaler, b0, w1) for t, (w0, b0, w1) in weights.items()}, [*moments, *place])
+    on_q, on_s = [f"e_{c}" for c in q], [f"w_{a}_{k}" for a in range(n) for k in range(size)]
+    rows = moment_slopes(slopes, n, max_l, channels, [f"e_{c}" for c in names[len(q) :]], ["type", *place, *on_q])
+
+    def run(types: np.ndarray, table: pa.Table, i: np.ndarray, j: np.ndarray, r: np.ndarray) -> np.ndarray:
+        on = lambda names: np.array([table.column(c).to_numpy() for c in names])
+        d = np.linalg.norm(r, axis=1)
+        u, g = r / d[:, None], np.zeros_like(r)
+        near = np.flatnonzero(d < radial_cutoff)
+        rise = contract(c2, types[i[near]], types[j[near]], chebyshev(d[near], radial_cutoff, c2.shape[3] - 1)[1])
+        g[near] += (on(on_q)[:, i[near]] * rise).sum(axis=0)[:, None] * u[near]
+        near = np.flatnonzero(d < angular_cutoff)
+        h, dh = (contract(c3, types[i[near]], types[j[near]], f) for f in chebyshev(d[near], angular_cutoff, c3.shape[3] - 1))
+        unit, w = u[near].T, on(on_s).reshape(n, size, -1)[:, :, i[near]]
+        along = np.einsum("nkp,np,kp->p", w, dh, tables.moment_values(*unit, max_l))
+        pulled = np.einsum("kp,kap->ap", np.einsum("nkp,np->kp", w, h), tables.moment_gradients(*unit, max_l))
+        g[near] += (along * unit + (pulled - (pulled * unit).sum(axis=0) * unit) / d[near]).T
+        return np.concatenate(pair_forces(i, j, r, g, len(types)))
+
+    return on_clustered(rows, cutoff, run, FORCE_NAMES)

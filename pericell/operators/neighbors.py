@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .whole import whole_pairs
 
 CELL = [f"c{k}" for k in range(9)]
 INVERSE = [f"v{k}" for k in range(9)]
@@ -86,8 +87,18 @@ def _offsets() -> Column:
     return F.when(F.greatest("ka", "kb", "kc") == 1, one).otherwise(half)
 
 
-def cell_list_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
-    """Equi-join on frame and bin over the bins around each atom, for cells of any shape.
+def cell_list_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float, whole_below: int = 4096) -> DataFrame:
+    """Pairs by the bins around each atom, for cells of any shape. Frames below ``whole_below`` atoms are binned where their
+    atoms land, without sending them once for each bin; larger ones by binned_join."""
+    large = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= whole_below).select("frame_id")
+    if large.isEmpty():
+        return whole_pairs(atoms, frames, cutoff, by_bins=True)
+    big, small = ([t.join(large, "frame_id", how) for t in (atoms, frames)] for how in ("left_semi", "left_anti"))
+    return binned_join(*big, cutoff).unionByName(whole_pairs(*small, cutoff, by_bins=True))
+
+
+def binned_join(atoms: DataFrame, frames: DataFrame, cutoff: float) -> DataFrame:
+    """Equi-join on frame and bin over the bins around each atom.
 
     Atoms go to their own bin and to half of those around it, with the position that they have as seen from there,
     and the bin's number; each pair is met once and gives both of its directions. With one or two bins in a
@@ -121,10 +132,14 @@ def usable(atoms: DataFrame, frames: DataFrame, cutoff: float, least_atoms: int
 
 
 def neighbor_pairs(atoms: DataFrame, frames: DataFrame, cutoff: float, least_atoms: int = 64) -> DataFrame:
-    """Each frame by the strategy that fits it."""
-    ok = usable(atoms, frames, cutoff, least_atoms)
-    many, few = (frames.join(ok.where("ok" if k else "NOT ok"), "frame_id", "left_semi") for k in (True, False))
-    return cell_list_pairs(atoms, many, cutoff).unionByName(brute_pairs(atoms, few, cutoff))
+    """Each frame by the strategy that fits it: cell lists where they are usable, else all shifts of all pairs. Frames below
+    4096 atoms are searched where their atoms land."""
+    large = 4096
+    big = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= large).select("frame_id")
+    if big.isEmpty():
+        return whole_pairs(atoms, frames, cutoff, least_atoms=least_atoms, least_bins=len(HALF) + 1)
+    (some, cells), few = ([t.join(big, "frame_id", how) for t in (atoms, frames)] for how in ("left_semi", "left_anti"))
+    return binned_join(some, cells, cutoff).unionByName(whole_pairs(*few, cutoff, least_atoms=least_atoms, least_bins=len(HALF) + 1))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

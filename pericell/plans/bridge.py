@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.whole import spread
+
 BOX = 8.0
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 XYZ = (
@@ -23,7 +25,8 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame_id, atom_id, species, type, x, y, z, fx, fy, fz (null where the line is open)."""
     order = Window.partitionBy("l_orderkey").orderBy(*ORDER)
     known = "l_linestatus <> 'O'"
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    return spread(lines, lines.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("frame_id"),
         (F.row_number().over(order) - 1).cast("long").alias("atom_id"),
         F.col("l_returnflag").alias("species"),

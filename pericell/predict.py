@@ -1,7 +1,7 @@
 """Predictions of whole datasets: atoms and frames in, energies, forces, virials, stresses and descriptors out.
 
-Frames are dealt by their id once; each group of frames is one call of the NumPy
-kernel on Arrow batches. Frames of ``tiled_from`` atoms and more are not gathered
+Frames are dealt by their id once and go through the NumPy kernel as a stream of
+Arrow batches, whole frames at a time. Frames of ``tiled_from`` atoms and more are not gathered
 into one task: they are cut into blocks of space, a block gets its atoms and those
 around it, finds their pairs, and what it gives to its atoms and their neighbors is
 summed by atom (``predict_blocks``). ``predict_large`` does the same from pairs of the
@@ -24,8 +24,12 @@ from .kernels.potential import Batch, compute
 from .kernels.pairs import cloud_pairs, many_pairs
 from .model import Model
 from .operators import sampling
+from .operators.whole import CALL as CHUNK
+from .operators.whole import Chunk, clustered, whole
 
 V = [f"v{k}" for k in range(9)]
+#: Atoms of a block of space.
+BLOCK = 4096
 SIX = ("xx", "yy", "zz", "xy", "yz", "zx")
 
 
@@ -36,41 +40,28 @@ def as_batch(frame: np.ndarray, types: np.ndarray, xyz: np.ndarray, cells: np.nd
     return Batch(types, np.searchsorted(first, np.arange(len(frame)), "right") - 1, i, j, r)
 
 
-def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = 1 << 15) -> DataFrame:
+def predict_atoms(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
     """frame_id, atom_id, energy, fx, fy, fz, v0 .. v8 (and q: the scaled descriptor) of every atom.
 
-    atoms: frame_id, atom_id, type, x, y, z. Each group holds whole frames, of about ``block`` atoms together.
+    atoms: frame_id, atom_id, type, x, y, z. A call of the kernel holds whole frames, of about ``block`` atoms together.
+    ``keep``: other columns of atoms to pass on.
     """
     spark = atoms.sparkSession
     shared = spark.sparkContext.broadcast(model)  # parameters: fixed by the shape, not by the data
     cutoff = max(model.shape.cutoff_radial, model.shape.cutoff_angular)
-    groups = max(1, -(-atoms.count() // block))
-    schema = f"frame_id bigint, atom_id bigint, energy double, fx double, fy double, fz double, {', '.join(f'{v} double' for v in V)}, q array<double>"
+    names, keep = ["frame_id", "atom_id", "energy", "fx", "fy", "fz", *V], keep or []
+    schema = ", ".join(["frame_id bigint, atom_id bigint", *(f"{c} double" for c in names[2:]), "q array<double>", *(f"{c} {atoms.schema[c].dataType.simpleString()}" for c in keep)])
 
-    def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("frame_id", "ascending"), ("atom_id", "ascending")])
-        frame, atom, kind, *xyz = (table.column(c).to_numpy() for c in ("frame_id", "atom_id", "type", "x", "y", "z"))
-        xyz = np.stack(xyz, axis=1)
-        out = []
-        edge = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1))
-        # a few thousand atoms at a time, whole frames
-        cuts = [0]
-        for e in [*edge[1:], len(frame)]:
-            if e - cuts[-1] >= 4096 or e == len(frame):
-                cuts.append(int(e))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            where = edge[(edge >= lo) & (edge < hi)]
-            cells = np.array(table.column("cell").take(pa.array(where)).to_pylist()).reshape(-1, 3, 3)
-            result = compute(shared.value, as_batch(frame[lo:hi], kind[lo:hi], xyz[lo:hi], cells, cutoff))
-            columns = [frame[lo:hi], atom[lo:hi], result["energy"], *result["forces"].T, *result["virial"].T]
-            arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
-            arrays.append(pa.array(list(result["descriptor"]), pa.list_(pa.float64())) if descriptor else pa.nulls(hi - lo, pa.list_(pa.float64())))
-            out.append(pa.Table.from_arrays(arrays, ["frame_id", "atom_id", "energy", "fx", "fy", "fz", *V, "q"]))
-        return pa.concat_tables(out)
-
-    dealt = atoms.select("frame_id", "atom_id", "type", "x", "y", "z").join(frames.select("frame_id", "cell"), "frame_id")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("frame_id"), F.lit(groups)))
-    out = dealt.groupBy("part").applyInArrow(kernel, schema)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches, block):
+            chunk = Chunk(table)
+            n = len(chunk.type)
+            result = compute(shared.value, Batch(chunk.type, np.zeros(n, np.int64), *chunk.pairs(cutoff)))
+            arrays = [*chunk.columns(("frame_id", "atom_id")), *(pa.array(np.ascontiguousarray(c)) for c in (result["energy"], *result["forces"].T, *result["virial"].T))]
+            q = pa.array(list(result["descriptor"]), pa.list_(pa.float64())) if descriptor else pa.nulls(n, pa.list_(pa.float64()))
+            yield from pa.Table.from_arrays([*arrays, q, *chunk.columns(tuple(keep))], [*names, "q", *keep]).to_batches()
+
+    out = clustered(atoms, frames, *keep).where("cell IS NOT NULL").mapInArrow(kernel, schema)
     return out if descriptor else out.drop("q")
 
 
@@ -90,8 +81,27 @@ def predict_frames(per_atom: DataFrame, frames: DataFrame) -> DataFrame:
 def predict_large(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = 1024) -> DataFrame:
     """As predict_atoms, for frames too large for one task: about ``block`` center atoms a call, of any frame, with all their pairs.
 
-    A center's energy and slopes need its own pairs only; forces and virials of a block are shares, added up by atom.
+    Frames of up to ``block`` atoms are dealt whole, so nothing of them is sent but their atoms. Of larger ones a
+    center's energy and slopes need its own pairs only; forces and virials of a block are shares, added up by atom.
     """
+    large = _larger(atoms, block + 1)
+    if large.isEmpty():
+        return predict_atoms(atoms, frames, model, descriptor)
+    (atoms, frames), few = _parted(atoms, frames, large)
+    return _predict_centers(atoms, frames, model, descriptor, block).unionByName(predict_atoms(*few, model, descriptor))
+
+
+def _larger(atoms: DataFrame, least: int) -> DataFrame:
+    """frame_id of frames of ``least`` atoms and more."""
+    return atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("frame_id")
+
+
+def _parted(atoms: DataFrame, frames: DataFrame, large: DataFrame) -> list[list[DataFrame]]:
+    """atoms and frames of the large frames, and of the others."""
+    return [[t.join(large, "frame_id", how) for t in (atoms, frames)] for how in ("left_semi", "left_anti")]
+
+
+def _predict_centers(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool, block: int) -> DataFrame:
     from .operators import neighbors as N
 
     s = model.shape
@@ -128,7 +138,7 @@ def predict_large(atoms: DataFrame, frames: DataFrame, model: Model, descriptor:
     return out if descriptor else out.drop("q")
 
 
-def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = 4096) -> DataFrame:
+def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = BLOCK) -> DataFrame:
     """As predict_large, by blocks of space (operators.blocks): atoms are sent, with a halo, and pairs are found where they land."""
     from .operators.blocks import blocked
 
@@ -163,11 +173,11 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
 
 
 def predict_sized(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, tiled_from: int = 50_000) -> DataFrame:
-    """Frames of ``tiled_from`` atoms and more by predict_blocks, the others by predict_atoms."""
-    large = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tiled_from).select("frame_id")
+    """Frames of ``tiled_from`` atoms and more by predict_blocks, the others by predict_atoms, as those that fit one block."""
+    large = _larger(atoms, max(tiled_from, BLOCK + 1))
     if large.isEmpty():
         return predict_atoms(atoms, frames, model, descriptor=descriptor)
-    big, small = ([t.join(large, "frame_id", how) for t in (atoms, frames)] for how in ("left_semi", "left_anti"))
+    big, small = _parted(atoms, frames, large)
     return predict_blocks(*big, model, descriptor).unionByName(predict_atoms(*small, model, descriptor=descriptor))
 
 
@@ -204,7 +214,10 @@ def energy_table(per_frame: DataFrame, frames: DataFrame) -> DataFrame:
     return both.select("frame_id", (F.col("e_pred") / F.col("natoms")).alias("pred"), F.coalesce(F.col("energy") / F.col("natoms"), F.lit(float("nan"))).alias("ref"))
 
 
-def force_table(per_atom: DataFrame, atoms: DataFrame) -> DataFrame:
+def force_table(per_atom: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
+    """Predicted and reference forces. Without ``atoms`` the references are columns rfx, rfy, rfz of ``per_atom``."""
+    if atoms is None:
+        return per_atom.select("frame_id", "atom_id", "fx", "fy", "fz", *[F.coalesce(f"r{c}", F.lit(float("nan"))).alias(f"r{c}") for c in ("fx", "fy", "fz")])
     known = [c for c in ("fx", "fy", "fz") if c in atoms.columns]
     refs = atoms.select("frame_id", "atom_id", *[(F.col(c) if c in known else F.lit(None).cast("double")).alias(f"r{c}") for c in ("fx", "fy", "fz")])
     both = per_atom.join(refs, ["frame_id", "atom_id"])
@@ -213,10 +226,19 @@ def force_table(per_atom: DataFrame, atoms: DataFrame) -> DataFrame:
 
 def virial_table(per_frame: DataFrame, frames: DataFrame, stress: bool = False) -> DataFrame:
     """Six predicted and six reference components per atom, or in GPa; a missing reference is the sentinel, unscaled."""
+    of = "s" if stress else "w"
+    both = virials_and_stresses(per_frame, frames)
+    return both.select("frame_id", *[f"{of}_{n}" for n in SIX], *[F.col(f"r{of}_{n}").alias(f"r_{n}") for n in SIX])
+
+
+def virials_and_stresses(per_frame: DataFrame, frames: DataFrame) -> DataFrame:
+    """frame_id with w_ and rw_ (virials per atom), s_ and rs_ (stresses) of six components each, from one pass."""
     refs = frames.select("frame_id", *[F.col("virial")[k].alias(f"r_{n}") for k, n in zip(X.VIRIAL_SIX, SIX, strict=True)])
-    both = per_frame.join(refs, "frame_id")
-    scale = F.lit(GPA_PER_EV_A3) / F.when(F.col("volume") > 0, F.col("volume")).otherwise(1.0) if stress else 1.0 / F.col("natoms")
-    return both.select("frame_id", *[f"{'s' if stress else 'w'}_{n}" for n in SIX], *[F.coalesce(F.col(f"r_{n}") * scale, F.lit(MISSING_VIRIAL)).alias(f"r_{n}") for n in SIX])
+    scales = {"w": 1.0 / F.col("natoms"), "s": F.lit(GPA_PER_EV_A3) / F.when(F.col("volume") > 0, F.col("volume")).otherwise(1.0)}
+    out = []
+    for of, scale in scales.items():
+        out += [*(F.col(f"{of}_{n}") for n in SIX), *(F.coalesce(F.col(f"r_{n}") * scale, F.lit(MISSING_VIRIAL)).alias(f"r{of}_{n}") for n in SIX)]
+    return per_frame.join(refs, "frame_id").select("frame_id", *out)
 
 
 def descriptor_table(per_atom: DataFrame, mode: int, dim: int) -> DataFrame:
