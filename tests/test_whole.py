@@ -98,7 +98,7 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
 
 
 #: Queries that send atoms and frames, and no pairs.
-SENT_BY_FRAME = ["a1_a3_radial", "m19_j4_forces_large", "m19_predict_large"]
+SENT_BY_FRAME = ["a1_a3_radial", "m19_j4_forces_large", "m19_predict_large", "m19_angular_forces_large"]
 
 
 @pytest.mark.parametrize("name", SENT_BY_FRAME)
