@@ -98,7 +98,7 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
 
 
 #: Queries that send atoms and frames, and no pairs.
-SENT_BY_FRAME = ["a1_a3_radial", "m19_j4_forces_large", "m19_predict_large", "m19_angular_forces_large", "a10_p13_p22_angular_forces", "p16_p20_invariants", "j2_cell_list", "a2_moments", "p10_p12_angular_basis", "j3_strategy", "k2_force_table", "a4_descriptor", "a7_a8_a10_forces", "a9_p28_p29_k4_stress"]
+SENT_BY_FRAME = ["a1_a3_radial", "m19_j4_forces_large", "m19_predict_large", "m19_angular_forces_large", "a10_p13_p22_angular_forces", "p16_p20_invariants", "j2_cell_list", "a2_moments", "p10_p12_angular_basis", "j3_strategy", "k2_force_table", "a4_descriptor", "a7_a8_a10_forces", "a9_p28_p29_k4_stress", "p8_radial_basis", "p9_basis_slopes"]
 
 
 @pytest.mark.parametrize("name", SENT_BY_FRAME)
