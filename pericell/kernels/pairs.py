@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 NEAREST = 1e-10
@@ -160,3 +162,31 @@ def binned_pairs(xyz: np.ndarray, starts: np.ndarray, cells: np.ndarray, cutoff:
     i, j, r = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([r, 0.0 - r])
     order = np.argsort(i, kind="stable")
     return i[order], j[order], r[order]
+
+
+def cloud_slices(xyz: np.ndarray, center: np.ndarray, cutoff: float, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of some centers (a mask) in open space: centers, i, j, r of one slice of centers after the other.
+
+    A slice has about ``most`` candidates, so memory does not grow with density. Three bins that follow each other are
+    one run of the sorted atoms, so an atom looks at nine runs.
+    """
+    place = np.floor((xyz - xyz.min(axis=0)) / cutoff).astype(np.int64) + 1
+    size = place.max(axis=0) + 2
+    key = (place[:, 0] * size[1] + place[:, 1]) * size[2] + place[:, 2]
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    own = order[center[order]]  # neighbors in space follow each other
+    runs = key[own] + np.array([[(a * size[1] + b) * size[2]] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    lo, hi = np.searchsorted(ordered, runs - 1, "left"), np.searchsorted(ordered, runs + 1, "right")
+    count = hi - lo
+    share = np.cumsum(count.sum(axis=0)) // most
+    for first, last in zip(*(np.searchsorted(share, np.unique(share), side) for side in ("left", "right")), strict=True):
+        n, out = count[:, first:last], []
+        for k in range(len(n)):
+            i = np.repeat(own[first:last], n[k])
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(n[k]) - n[k], n[k]) + np.repeat(lo[k, first:last], n[k])]
+            r = xyz[j] - xyz[i]
+            square = r[:, 0] * r[:, 0] + r[:, 1] * r[:, 1] + r[:, 2] * r[:, 2]
+            near = np.flatnonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
+            out.append((i[near], j[near], r[near]))
+        yield own[first:last], *(np.concatenate(x) for x in zip(*out, strict=True))

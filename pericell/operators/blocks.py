@@ -10,9 +10,14 @@ found from the occupied bins alone, with their counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.pairs import cloud_slices
 from .neighbors import CELL, bins
 
 #: Bits of a bin's number in each direction (the curve's numbers have three times as many).
@@ -68,3 +73,41 @@ def blocked(atoms: DataFrame, frames: DataFrame, cutoff: float, block: int = 409
     at = [(F.col(a) + sum((F.col(f"s{k}") * F.col(CELL[3 * m + n]) for m, k in enumerate("abc")), F.lit(0.0))).alias(a) for n, a in enumerate("xyz")]
     still = (F.col("sa") == 0) & (F.col("sb") == 0) & (F.col("sc") == 0)
     return sent.select("frame_id", "block", "atom_id", "type", *at, (still & (F.col("block") == F.col("home"))).alias("own"))
+
+
+def dealt(atoms: DataFrame, frames: DataFrame, cutoff: float, block: int = 4096) -> DataFrame:
+    """blocked, with the ``part`` that a block goes to: as many parts as blocks are full, so blocks of small frames share a call."""
+    parts = max(1, -(-atoms.count() // block))
+    return blocked(atoms, frames, cutoff, block).withColumn("part", F.pmod(F.xxhash64("frame_id", "block"), F.lit(parts)))
+
+
+def each_block(table: pa.Table) -> list[tuple[int, int]]:
+    """First and last row of each block of a table in order of frame and block."""
+    frame, block = table.column("frame_id").to_numpy(), table.column("block").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(frame) != 0) | (np.diff(block) != 0)]))
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(frame)], strict=True))
+
+
+def on_space(atoms: DataFrame, frames: DataFrame, cutoff: float, terms: Callable, names: list[str], block: int = 4096) -> DataFrame:
+    """frame_id, atom_id and sums over each atom's pairs, by blocks of space; no pair leaves its task.
+
+    ``terms`` gets the atom_ids of each pair and its vector, and gives [name, pair].
+    """
+    (frame, atom) = (atoms.schema[c].dataType.simpleString() for c in ("frame_id", "atom_id"))
+    schema = f"frame_id {frame}, atom_id {atom}, {', '.join(f'{n} double' for n in names)}"
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("frame_id", "ascending"), ("block", "ascending")])
+        atom, own = (table.column(c).to_numpy() for c in ("atom_id", "own"))
+        xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
+        sums = np.zeros((len(names), len(atom)))
+        for a, b in each_block(table):
+            for _, i, j, r in cloud_slices(xyz[a:b], own[a:b], cutoff):
+                found = terms(atom[a + i], atom[a + j], r)
+                for k, row in enumerate(found):
+                    sums[k, a:b] += np.bincount(i, row, b - a)
+        mine = np.flatnonzero(own)
+        ids = [table.column(c).take(pa.array(mine)) for c in ("frame_id", "atom_id")]
+        return pa.Table.from_arrays([*ids, *(pa.array(x[mine]) for x in sums)], ["frame_id", "atom_id", *names])
+
+    return dealt(atoms, frames, cutoff, block).groupBy("part").applyInArrow(kernel, schema)

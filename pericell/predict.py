@@ -21,7 +21,7 @@ from .framestore import CALL, FrameStore, collate, unpacked
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
 from .kernels.potential import Batch, compute
-from .kernels.pairs import cloud_pairs, many_pairs
+from .kernels.pairs import cloud_slices, many_pairs
 from .model import Model
 from .operators import sampling
 from .operators.whole import CALL as CHUNK
@@ -140,7 +140,7 @@ def _predict_centers(atoms: DataFrame, frames: DataFrame, model: Model, descript
 
 def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = BLOCK) -> DataFrame:
     """As predict_large, by blocks of space (operators.blocks): atoms are sent, with a halo, and pairs are found where they land."""
-    from .operators.blocks import blocked
+    from .operators.blocks import dealt, each_block
 
     s = model.shape
     shared, cutoff = atoms.sparkSession.sparkContext.broadcast(model), max(s.cutoff_radial, s.cutoff_angular)
@@ -149,25 +149,42 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
 
     def kernel(table: pa.Table) -> pa.Table:
         table = table.sort_by([("frame_id", "ascending"), ("block", "ascending")])
-        frame, block_, own, atom, kind = (table.column(c).to_numpy() for c in ("frame_id", "block", "own", "atom_id", "type"))
+        frame, own, atom, kind = (table.column(c).to_numpy() for c in ("frame_id", "own", "atom_id", "type"))
         xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
-        first = np.flatnonzero((np.diff(frame, prepend=frame[0] - 1) != 0) | (np.diff(block_, prepend=-1) != 0))
-        found = [cloud_pairs(xyz[a:b], own[a:b], cutoff) for a, b in zip(first, [*first[1:], len(frame)], strict=True)]
-        i, j = (np.concatenate([f[k] + a for f, a in zip(found, first, strict=True)]) for k in (0, 1))
-        result = compute(shared.value, Batch(kind.astype(np.int64), np.zeros(len(kind), np.int64), i, j, np.concatenate([f[2] for f in found])))
+        energy, shares, q_own = np.zeros(len(kind)), np.zeros((12, len(kind))), {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def give() -> None:
+            """One call of the kernel for the pairs that are held, on the atoms that they touch."""
+            center, i, j, r = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            touched = np.zeros(len(kind), bool)
+            for x in (center, i, j):
+                touched[x] = True
+            here, at = np.flatnonzero(touched), np.cumsum(touched) - 1
+            result = compute(shared.value, Batch(kind[here].astype(np.int64), np.zeros(len(here), np.int64), at[i], at[j], r))
+            energy[center] = result["energy"][at[center]]
+            shares[:, here] += np.concatenate([result["forces"].T, result["virial"].T])
+            if descriptor:
+                q_own.update(zip(center.tolist(), result["descriptor"][at[center]], strict=True))
+
+        for a, b in each_block(table):
+            for center, i, j, r in cloud_slices(xyz[a:b], own[a:b], cutoff):
+                held.append((center + a, i + a, j + a, r))
+                if sum(len(h[1]) for h in held) >= 30_000:  # arrays stay in the cache, and a task's memory does not grow with density
+                    give()
+        if held:
+            give()
         known, at = np.unique(np.stack([frame, atom], axis=1), axis=0, return_inverse=True)  # an atom may be here more than once, as images
         at = at.ravel()
         add = lambda x: np.bincount(at, x, len(known))
-        columns = [*known.T, add(np.where(own, result["energy"], 0.0)), *(add(x) for x in (*result["forces"].T, *result["virial"].T))]
+        columns = [*known.T, add(energy), *(add(x) for x in shares)]
         q: list = [None] * len(known)
-        if descriptor:
-            for k in np.flatnonzero(own):
-                q[at[k]] = result["descriptor"][k]
+        for k, row in q_own.items():
+            q[at[k]] = row
         return pa.Table.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(q, pa.list_(pa.float64()))], ["frame_id", "atom_id", *fields, "q"])
 
-    parts = max(1, -(-atoms.count() // block))  # blocks of small frames share a call
-    dealt = blocked(atoms, frames, cutoff, block).withColumn("part", F.pmod(F.xxhash64("frame_id", "block"), F.lit(parts)))
-    shares = dealt.groupBy("part").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
+    shares = dealt(atoms, frames, cutoff, block).groupBy("part").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
     out = shares.agg(*[F.sum(c).alias(c) for c in fields], F.first("q", ignorenulls=True).alias("q"))
     return out if descriptor else out.drop("q")
 

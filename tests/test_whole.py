@@ -106,3 +106,22 @@ def test_no_pairs_are_sent(spark, name):
     plan = entry.queries()[f"op_{name}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "FlatMapGroupsInArrow" not in plan
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_dense_clouds_are_searched_in_slices():
+    """The pairs of all slices are those of the whole, and no slice has many."""
+    from pericell.kernels.pairs import cloud_pairs, cloud_slices
+
+    rng = np.random.default_rng(5)
+    xyz, center = rng.uniform(-3, 9, (1500, 3)), rng.random(1500) < 0.4
+    parts = list(cloud_slices(xyz, center, 4.0, 50_000))
+    assert len(parts) > 5 and max(len(p[1]) for p in parts) < 60_000
+    assert sorted(np.concatenate([p[0] for p in parts]).tolist()) == np.flatnonzero(center).tolist()
+    got = sorted((i, j) for p in parts for i, j in zip(p[1].tolist(), p[2].tolist(), strict=True))
+    i, j, _ = cloud_pairs(xyz, center, 4.0)
+    assert got == sorted(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_slab_sends_no_pairs(spark):
+    plan = entry.queries()["op_j2_slab"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "inline" not in plan
