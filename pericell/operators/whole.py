@@ -23,9 +23,10 @@ ROWS_A_TASK = 1 << 18
 
 
 def spread(df: DataFrame, rows: int, *key: str) -> DataFrame:
-    """Rows dealt by ``key`` to tasks in proportion to their number, where the session has fewer partitions."""
+    """Rows dealt by ``key`` to tasks in proportion to their number. The number of tasks is given, since adaptive execution
+    would put a session's partitions together to few of up to 64 MB compressed, millions of rows each."""
     parts = -(-rows // ROWS_A_TASK)
-    return df.repartition(parts, *key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *key) if parts > 1 else df
 
 
 def clustered(atoms: DataFrame, frames: DataFrame, *more: str) -> DataFrame:

@@ -97,6 +97,20 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert "hashpartitioning(l_orderkey#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and f", {-(-rows // 500)})" in plan
 
 
+@pytest.mark.parametrize("name", ["a24_bin_counts", "m19_j4_forces_large", "j2_cell_list"])
+def test_tasks_are_not_put_together(spark, monkeypatch, name):
+    """In a session with many partitions too, which adaptive execution puts together to one here."""
+    monkeypatch.setattr(W, "ROWS_A_TASK", 500)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = entry.queries()[f"op_{name}"](spark, SF)
+        assert df.rdd.getNumPartitions() == -(-rows // 500)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 #: Queries that send atoms and frames, and no pairs.
 SENT_BY_FRAME = ["a1_a3_radial", "m19_j4_forces_large", "m19_predict_large", "m19_angular_forces_large", "a10_p13_p22_angular_forces", "p16_p20_invariants", "j2_cell_list", "a2_moments", "p10_p12_angular_basis", "j3_strategy", "k2_force_table", "a4_descriptor", "a7_a8_a10_forces", "a9_p28_p29_k4_stress", "p8_radial_basis", "p9_basis_slopes"]
 
