@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame_id, atom_id, species, type, x, y, z, fx, fy, fz (null where the line is open)."""
-    order = Window.partitionBy("l_orderkey").orderBy(*ORDER)
+    order = Window.partitionBy("frame_id").orderBy(*ORDER)
     known = "l_linestatus <> 'O'"
     lines = table(spark, sf_dir, "lineitem")
-    return spread(lines, lines.count(), "l_orderkey").select(
-        F.col("l_orderkey").alias("frame_id"),
+    return spread(lines, lines.count(), "l_orderkey").withColumnRenamed("l_orderkey", "frame_id").select(
+        "frame_id",
         (F.row_number().over(order) - 1).cast("long").alias("atom_id"),
         F.col("l_returnflag").alias("species"),
         (F.array_position(F.array(*[F.lit(s) for s in SYMBOLS]), F.col("l_returnflag")) - 1).cast("int").alias("type"),
@@ -37,13 +37,13 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_id, cell, energy (null for pending orders)."""
+    """frame_id, cell, energy (null for pending orders). Not broadcast: as many as orders, and equal cells compress to nothing."""
     cell = F.array(*[F.lit(BOX if k % 4 == 0 else 0.0) for k in range(9)])
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("frame_id"),
         cell.alias("cell"),
         F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1e4 END").alias("energy"),
-    )
+    ).hint("merge")
 
 
 ATOMS_SQL = f"""atoms AS (

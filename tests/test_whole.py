@@ -111,6 +111,12 @@ def test_tasks_are_not_put_together(spark, monkeypatch, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("name", ["a24_bin_counts", "m19_angular_forces_large", "j2_cell_list", "k1_energy_table"])
+def test_frames_are_not_broadcast(spark, name):
+    """4.5 million frames were, since their equal cells compress to a few MB, and the driver ran out of memory."""
+    assert "Broadcast" not in entry.queries()[f"op_{name}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 #: Queries that send atoms and frames, and no pairs.
 SENT_BY_FRAME = ["a1_a3_radial", "m19_j4_forces_large", "m19_predict_large", "m19_angular_forces_large", "a10_p13_p22_angular_forces", "p16_p20_invariants", "j2_cell_list", "a2_moments", "p10_p12_angular_basis", "j3_strategy", "k2_force_table", "a4_descriptor", "a7_a8_a10_forces", "a9_p28_p29_k4_stress", "p8_radial_basis", "p9_basis_slopes"]
 
