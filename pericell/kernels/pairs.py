@@ -190,3 +190,66 @@ def cloud_slices(xyz: np.ndarray, center: np.ndarray, cutoff: float, most: int =
             near = np.flatnonzero((square < cutoff * cutoff) & (square > NEAREST * NEAREST))
             out.append((i[near], j[near], r[near]))
         yield own[first:last], *(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def cloud_tiles(xyz: np.ndarray, center: np.ndarray, cutoff: float, least: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some centers (a mask) that lie together, and all points closer than the cutoff to their box: every center once.
+
+    What is asked of all their pairs is then asked of a dense matrix, without an index for each pair. Cells have about ``least``
+    centers or more: a part of the cutoff wide where points are dense, so that few of a matrix's pairs are out of reach, and
+    some cutoffs where they are sparse.
+    """
+    if not center.any():
+        return
+    low = xyz.min(axis=0)
+    fine, reach = 4.0, 4
+    while True:
+        place = np.floor((xyz - low) * (fine / cutoff)).astype(np.int64) + reach
+        size = place.max(axis=0) + reach + 1
+        key = (place[:, 0] * size[1] + place[:, 1]) * size[2] + place[:, 2]
+        some = len(np.unique(key[center]))
+        if some == 1 or center.sum() >= least * some:
+            break
+        fine = fine - 1 if fine > 1 else fine / 2
+        reach = int(np.ceil(fine))
+    order = np.argsort(key, kind="stable")
+    ordered, at = key[order], xyz[order].T.copy()
+    own = order[center[order]]
+    cells, first = np.unique(key[own], return_index=True)
+    steps = range(-reach, reach + 1)
+    runs = cells[:, None] + np.array([(a * size[1] + b) * size[2] for a in steps for b in steps])
+    lo, hi = np.searchsorted(ordered, runs - reach, "left"), np.searchsorted(ordered, runs + reach, "right")
+    count = hi - lo
+    for k, (a, b) in enumerate(zip(first, [*first[1:], len(own)], strict=True)):
+        rows, n = own[a:b], count[k]
+        near = np.arange(n.sum()) + np.repeat(lo[k] - (np.cumsum(n) - n), n)
+        box, away = xyz[rows], 0.0
+        for low, high, x in zip(box.min(axis=0), box.max(axis=0), at, strict=True):
+            off = x[near]
+            off = np.maximum(low - off, off - high)
+            away = away + np.square(np.maximum(off, 0, out=off), out=off)
+        yield rows, order[near[away < cutoff * cutoff]]
+
+
+#: Elements of a matrix that stays in the cache with some others like it.
+TILE = 48_000
+
+
+def squares(one: np.ndarray, two: np.ndarray, cutoff: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared distances of some points [3, a] after the other to points near to them [3, b]: their places and [some, b]; the
+    cutoff's square for those not closer and of a point to itself. By a product of matrices, small enough for BLAS to leave
+    it to one thread; where its rounding could matter, very near and at the cutoff, by differences."""
+    most, origin = cutoff * cutoff, one.mean(axis=1, keepdims=True)
+    x, y = one - origin, two - origin
+    left = np.stack([*(-2 * x), (x * x).sum(axis=0), np.ones(x.shape[1])], axis=1)
+    right = np.stack([*y, np.ones(y.shape[1]), (y * y).sum(axis=0)])
+    full, step = np.full(y.shape[1], most), max(1, TILE // y.shape[1])
+    for lo in range(0, x.shape[1], step):
+        out = left[lo : lo + step] @ right
+        unsure = out < 1e-4 * most
+        unsure |= (out < most * (1 + 1e-12)) ^ (out < most * (1 - 1e-12))
+        i, j = np.divmod(np.flatnonzero(unsure), out.shape[1])
+        r = two[:, j] - one[:, lo + i]
+        exact = r[0] * r[0] + r[1] * r[1] + r[2] * r[2]
+        out[i, j] = np.where((exact < most) & (exact > NEAREST * NEAREST), exact, most)
+        yield slice(lo, lo + len(out)), np.minimum(out, full, out=out)

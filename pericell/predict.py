@@ -28,7 +28,7 @@ from .operators.whole import CALL as CHUNK
 from .operators.whole import Chunk, clustered, whole
 
 V = [f"v{k}" for k in range(9)]
-#: Atoms of a block of space.
+#: Atoms that a task holds with all their pairs.
 BLOCK = 4096
 SIX = ("xx", "yy", "zz", "xy", "yz", "zx")
 
@@ -138,9 +138,9 @@ def _predict_centers(atoms: DataFrame, frames: DataFrame, model: Model, descript
     return out if descriptor else out.drop("q")
 
 
-def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int = BLOCK) -> DataFrame:
+def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor: bool = False, block: int | None = None) -> DataFrame:
     """As predict_large, by blocks of space (operators.blocks): atoms are sent, with a halo, and pairs are found where they land."""
-    from .operators.blocks import dealt, each_block
+    from .operators.blocks import each_block, in_blocks
 
     s = model.shape
     shared, cutoff = atoms.sparkSession.sparkContext.broadcast(model), max(s.cutoff_radial, s.cutoff_angular)
@@ -148,7 +148,6 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
     schema = f"frame_id bigint, atom_id bigint, {', '.join(f'{c} double' for c in fields)}, q array<double>"
 
     def kernel(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("frame_id", "ascending"), ("block", "ascending")])
         frame, own, atom, kind = (table.column(c).to_numpy() for c in ("frame_id", "own", "atom_id", "type"))
         xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
         energy, shares, q_own = np.zeros(len(kind)), np.zeros((12, len(kind))), {}
@@ -175,8 +174,11 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
                     give()
         if held:
             give()
-        known, at = np.unique(np.stack([frame, atom], axis=1), axis=0, return_inverse=True)  # an atom may be here more than once, as images
-        at = at.ravel()
+        order = np.lexsort((atom, frame))  # an atom may be here more than once, as images
+        new = np.append(True, (np.diff(frame[order]) != 0) | (np.diff(atom[order]) != 0))
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        known = np.stack([frame, atom], axis=1)[order[new]]
         add = lambda x: np.bincount(at, x, len(known))
         columns = [*known.T, add(energy), *(add(x) for x in shares)]
         q: list = [None] * len(known)
@@ -184,7 +186,7 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
             q[at[k]] = row
         return pa.Table.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(q, pa.list_(pa.float64()))], ["frame_id", "atom_id", *fields, "q"])
 
-    shares = dealt(atoms, frames, cutoff, block).groupBy("part").applyInArrow(kernel, schema).groupBy("frame_id", "atom_id")
+    shares = in_blocks(atoms, frames, cutoff, kernel, schema, block).groupBy("frame_id", "atom_id")
     out = shares.agg(*[F.sum(c).alias(c) for c in fields], F.first("q", ignorenulls=True).alias("q"))
     return out if descriptor else out.drop("q")
 

@@ -145,3 +145,43 @@ def test_dense_clouds_are_searched_in_slices():
 def test_slab_sends_no_pairs(spark):
     plan = entry.queries()["op_j2_slab"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "inline" not in plan
+
+
+def test_dense_clouds_are_searched_by_matrices():
+    """Every center is in one tile with all that it reaches, dense matrices are mostly pairs, and pairs at the cutoff are told exactly."""
+    from pericell.kernels.pairs import cloud_pairs, cloud_tiles, squares
+
+    rng = np.random.default_rng(6)
+    for n, side, share in ((4000, 9.0, 0.3), (300, 60.0, 1.0), (30, 2.0, 0.5)):
+        xyz = rng.integers(0, int(side * 8), (n, 3)) / 8  # many at the cutoff, some at one place
+        center = (rng.random(n) < share) & (np.abs(xyz - side / 2) < side / 2 - (2 if share < 0.5 else -1)).all(axis=1)
+        seen, got, cells = [], [], 0
+        for rows, cols in cloud_tiles(xyz, center, 4.0):
+            seen += rows.tolist()
+            for at, d in squares(np.ascontiguousarray(xyz[rows].T), np.ascontiguousarray(xyz[cols].T), 4.0):
+                assert d.max() <= 16.0
+                i, j = np.nonzero(d < 16.0)
+                got += zip(rows[at][i].tolist(), cols[j].tolist(), d[i, j].round(9).tolist(), strict=True)
+                cells += d.size
+        assert sorted(seen) == np.flatnonzero(center).tolist()
+        i, j, r = cloud_pairs(xyz, center, 4.0)
+        assert sorted(got) == sorted(zip(i.tolist(), j.tolist(), (r * r).sum(axis=1).round(9).tolist(), strict=True))
+        assert n != 4000 or cells < 3 * len(i)
+
+
+def test_blocks_of_a_dense_slab_are_sent_atoms_once(spark):
+    """A slab of half the cutoff's height, dense: tasks get atoms once, make their images, and counts are those of its pairs."""
+    from pericell.kernels.pairs import frame_pairs
+    from pericell.operators.blocks import on_space
+
+    rng = np.random.default_rng(7)
+    xyz = np.column_stack([rng.integers(0, 256, 3000) / 8, rng.integers(0, 128, 3000) / 8, rng.integers(0, 16, 3000) / 8])
+    atoms = spark.createDataFrame([(1, k, 0, *map(float, x)) for k, x in enumerate(xyz)], "frame_id bigint, atom_id bigint, type int, x double, y double, z double")
+    cell = np.diag([32.0, 16, 2])  # whole powers of two, so that wrapping keeps pairs at the cutoff
+    frames = spark.createDataFrame([(1, cell.ravel().tolist())], "frame_id bigint, cell array<double>")
+    i, j, r = frame_pairs(xyz, cell, 4.0)
+    terms = lambda i, j, near, d: [near.sum(axis=1), (d * near).sum(axis=1), (near & (i == j)).sum(axis=1)]
+    out = on_space(atoms, frames, 4.0, terms, ["n", "d", "own"], 1000)
+    got = {x.atom_id: (x.n, x.d, x.own) for x in out.collect()}
+    count, length, own = np.bincount(i, minlength=3000), np.bincount(i, np.linalg.norm(r, axis=1), 3000), np.bincount(i[i == j], minlength=3000)
+    assert len(got) == 3000 and all(got[k][::2] == (count[k], own[k]) and np.isclose(got[k][1], length[k]) for k in got)
