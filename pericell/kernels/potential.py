@@ -14,6 +14,7 @@ import numpy as np
 from ..functions import tables
 from ..functions.expressions import monomials
 from ..model import Model
+from .pairs import TILE, cloud_tiles, squares
 
 
 def chebyshev(d: np.ndarray, rc: float, basis: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,3 +285,96 @@ def compute(model: Model, batch: Batch, components: bool = False) -> dict[str, n
             out[f"energy_{name}"] = e
             out[f"forces_{name}"], out[f"virial_{name}"] = state.forces(g)
     return out
+
+
+#: Multiplications of a product of matrices, which BLAS leaves to one thread.
+PRODUCT = 250_000
+
+
+def is_radial(model: Model) -> bool:
+    """Whether radial_cloud knows all terms: none by angles, no repulsion, polynomials of a degree that powers can take."""
+    return not model.shape.l_max and not model.shape.zbl and 1 <= model.shape.basis_radial <= 8
+
+
+def radial_cloud(model: Model, kind: np.ndarray, xyz: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """energy and scaled descriptor [dim, atom] of some centers (a mask) in open space, and what their pairs give to forces and
+    virials of all points, [12, atom], as compute does. By dense matrices of neighboring centers with the points around them.
+
+    Forces are along the pairs here, so with g = a r they are products of the matrix of a with coordinates and their squares.
+    Functions are polynomials in u = (d / rc - 1)^2 times the cutoff's, whose cosine and sine are those of a tangent, which NumPy
+    takes for many numbers at a time.
+    """
+    s, n_types, degree = model.shape, len(model.shape.types), model.shape.basis_radial
+    rc = s.cutoff_radial
+    energy, shares, scaled = np.zeros(len(kind)), np.zeros((len(kind), 9)), np.zeros((s.n_max_radial + 1, len(kind)))
+    small = kind.astype(np.int16)  # sorted by digits
+    powers = np.zeros((degree + 1, degree + 1))  # (T_k(2 u - 1) + 1) / 2 by powers of u
+    for k in range(degree + 1):
+        found = np.polynomial.Chebyshev.basis(k, domain=[0, 1]).convert(kind=np.polynomial.Polynomial).coef
+        powers[k, : len(found)] = found / 2
+    powers[:, 0] += 0.5
+    for rows, cols in cloud_tiles(xyz, center, rc):
+        cols = cols[np.argsort(small[cols], kind="stable")]
+        edge = np.searchsorted(small[cols], np.arange(n_types + 1))
+        first = edge[:-1][edge[:-1] < edge[1:]]
+        parts = [(t, slice(lo, hi)) for t, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if lo < hi]
+        one, two = (np.ascontiguousarray(xyz[x].T) for x in (rows, cols))
+        a = np.empty((len(rows), len(cols)))
+        mine, w0, w1, b0 = model.c2[kind[rows]] @ powers, model.w0[kind[rows]], model.w1[kind[rows]], model.b0[kind[rows]]
+        spare = np.empty((5, max(1, TILE // len(cols)), len(cols)))
+        for at, d in squares(one, two, rc):
+            own = rows[at]
+            w, u, fc, y, v = spare[:, : len(own)]
+            np.sqrt(d, out=d)
+            np.multiply(d, np.pi / 4 / rc, out=w)
+            np.multiply(d, 1 / rc, out=y)
+            np.subtract(y, 1, out=y)
+            np.tan(w, out=w)
+            np.multiply(w, w, out=u)
+            np.subtract(1, u, out=fc)
+            u += 1
+            fc /= u  # cos(pi d / 2 rc)
+            w /= u  # half of its sine
+            w *= fc
+            fc *= fc
+            np.multiply(y, y, out=u)
+            moments = np.zeros((degree + 1, n_types, len(own)))  # sums of u^k fc
+            now = fc
+            for k in range(degree + 1):
+                if k:
+                    now = np.multiply(now, u, out=v)
+                moments[k, [t for t, _ in parts]] = np.add.reduceat(now, first, axis=1).T
+            q = np.einsum("atnk,kta->na", mine[at], moments) * model.q_scaler[:, None]
+            hidden = np.tanh(np.einsum("and,da->an", w0[at], q) - b0[at])
+            energy[own], scaled[:, own] = (w1[at] * hidden).sum(axis=1) - model.b1, q
+            down = np.einsum("an,and->ad", w1[at] * (1 - hidden**2), w0[at]) * model.q_scaler
+            value = np.einsum("an,atnk->tka", down, mine[at])[..., None]
+            fc *= y
+            # p(u) and p'(u) by Horner's rule for each type; a d = p' 2 y / rc fc - p pi / rc sin cos
+            for t, part in parts:
+                z, p, dp, c = u[:, part], v[:, part], y[:, part], value[t]
+                np.multiply(z, c[degree] * (-2 * np.pi / rc), out=p)
+                for k in range(degree - 1, 0, -1):
+                    p += c[k] * (-2 * np.pi / rc)
+                    p *= z
+                p += c[0] * (-2 * np.pi / rc)
+                dp[:] = c[degree] * (2 * degree / rc)
+                for k in range(degree - 1, 0, -1):
+                    dp *= z
+                    dp += c[k] * (2 * k / rc)
+            v *= w
+            y *= fc
+            y += v
+            np.divide(y, d, out=a[at])
+        one, two = one - xyz[rows[0]][:, None], two - xyz[rows[0]][:, None]
+        left = np.stack([*one, np.ones(len(rows)), *(one[m] * one[n] for m in range(3) for n in range(m, 3))])
+        right = np.stack([*two, np.ones(len(cols))], axis=1)
+        sums, step = np.zeros((len(rows), 4)), max(1, PRODUCT // (10 * len(rows)))
+        given = np.empty((10, len(cols)))
+        for lo in range(0, len(cols), step):
+            sums += a[:, lo : lo + step] @ right[lo : lo + step]
+            given[:, lo : lo + step] = left @ a[:, lo : lo + step]
+        shares[rows, :3] += sums[:, :3] - one.T * sums[:, 3:]
+        square = [two[m] * (two[n] * given[3] - given[n]) - two[n] * given[m] for m in range(3) for n in range(m, 3)]
+        shares[cols] -= np.concatenate([two * given[3] - given[:3], square + given[4:]]).T
+    return energy, scaled, shares[:, [0, 1, 2, 3, 4, 5, 4, 6, 7, 5, 7, 8]].T

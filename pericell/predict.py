@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .framestore import CALL, FrameStore, collate, unpacked
 from .functions import expressions as X
 from .functions.tables import GPA_PER_EV_A3, MISSING_VIRIAL
-from .kernels.potential import Batch, compute
+from .kernels.potential import Batch, compute, is_radial, radial_cloud
 from .kernels.pairs import cloud_slices, many_pairs
 from .model import Model
 from .operators import sampling
@@ -167,7 +167,13 @@ def predict_blocks(atoms: DataFrame, frames: DataFrame, model: Model, descriptor
             if descriptor:
                 q_own.update(zip(center.tolist(), result["descriptor"][at[center]], strict=True))
 
+        radial = is_radial(shared.value) and ((kind >= 0) & (kind < len(s.types))).all()
         for a, b in each_block(table):
+            if radial:
+                energy[a:b], q, shares[:, a:b] = radial_cloud(shared.value, kind[a:b], xyz[a:b], own[a:b])
+                if descriptor:
+                    q_own.update((a + k, q[:, k]) for k in np.flatnonzero(own[a:b]).tolist())
+                continue
             for center, i, j, r in cloud_slices(xyz[a:b], own[a:b], cutoff):
                 held.append((center + a, i + a, j + a, r))
                 if sum(len(h[1]) for h in held) >= 30_000:  # arrays stay in the cache, and a task's memory does not grow with density

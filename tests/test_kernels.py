@@ -244,3 +244,24 @@ def test_adapter(monkeypatch):
         assert np.isclose(got["stress"][k], slope / volume, atol=1e-6)
     assert "stress" not in predict.Calculator(m).compute(species, xyz, None)
     assert calc.get_descriptor(first).shape[0] == len(xyz)
+
+
+def test_radial_models_by_matrices_of_pairs():
+    """Energies, descriptors, forces and virials of a cloud without a list of pairs: those of the kernel over its pairs."""
+    from pericell.kernels.pairs import cloud_pairs
+    from pericell.kernels.potential import Batch, compute, is_radial, radial_cloud
+    from pericell.model import Model, Shape
+
+    rng = np.random.default_rng(12)
+    for degree, n, side in ((1, 300, 6.0), (3, 1500, 9.0), (8, 60, 40.0)):
+        model = Model.random(Shape(("A", "B", "C"), 4.0, 4.0, 2, 1, degree, 2, 0, (), 5), 2, uniform=True)
+        model.q_scaler = np.linspace(0.01, 0.02, model.shape.dim)
+        assert is_radial(model)
+        xyz, kind, center = rng.uniform(0, side, (n, 3)), 2 * rng.integers(0, 2, n), rng.random(n) < 0.6
+        xyz[1], kind[5] = xyz[0], 1  # two atoms at one place are no pair
+        i, j, r = cloud_pairs(xyz, center, 4.0)
+        want = compute(model, Batch(kind, np.zeros(n, int), i, j, r))
+        energy, q, shares = radial_cloud(model, kind, xyz, center)
+        assert np.allclose(energy[center], want["energy"][center], atol=1e-10) and np.allclose(q.T[center], want["descriptor"][center], atol=1e-10)
+        assert np.allclose(shares[:3].T, want["forces"], atol=1e-10) and np.allclose(shares[3:].T, want["virial"], atol=1e-10)
+    assert not is_radial(Model.random(Shape(("A",), 4.0, 4.0, 2, 1, 3, 3, 2, (), 5), 2))
